@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "results"]
+FAMILIES = ["logs", "results", "corpus"]
 
 
 def _families():
