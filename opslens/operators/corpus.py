@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from opslens import rules
 from opslens.functions import code as C
@@ -129,23 +129,23 @@ def _call_text(line: str, start: int) -> str:
     return ""
 
 
-def _prints_size_without_z(line: str) -> bool:
-    for match in re.finditer(rules.PRINTF_CALL, line):
-        call = _call_text(line, match.start())
-        literals = list(re.finditer(rules.QUOTED, call))
-        if not literals:
-            continue
-        arguments = call[literals[-1].end() :]
-        if "static_cast<" in arguments or not re.search(rules.SIZE_ARGUMENT, arguments):
-            continue
-        if any(not m.group(1) for m in re.finditer(rules.INT_CONVERSION, literals[-1].group(1))):
-            return True
-    return False
+def _size_without_z(patterns: dict[str, str]):
+    """Arrow function: does a line print a size-like argument without ``%z``?"""
 
+    def judge(line: str) -> bool:
+        for match in re.finditer(patterns["call"], line):
+            call = _call_text(line, match.start())
+            literals = list(re.finditer(patterns["quoted"], call))
+            if not literals:
+                continue
+            arguments = call[literals[-1].end() :]
+            if "static_cast<" in arguments or not re.search(patterns["size"], arguments):
+                continue
+            if any(not m.group(1) for m in re.finditer(patterns["conversion"], literals[-1].group(1))):
+                return True
+        return False
 
-@F.pandas_udf("boolean")
-def _size_without_z(lines: pd.Series) -> pd.Series:
-    return lines.map(_prints_size_without_z).astype(bool)
+    return F.pandas_udf(lambda lines: lines.map(judge).astype(bool), BooleanType())
 
 
 def printf_spec_scan(lines: DataFrame) -> DataFrame:
@@ -155,11 +155,19 @@ def printf_spec_scan(lines: DataFrame) -> DataFrame:
     patterns go to an Arrow function.
     """
     raw = F.col("raw")
+    judged = _size_without_z(
+        {
+            "call": rules.PRINTF_CALL,
+            "quoted": rules.QUOTED,
+            "size": rules.SIZE_ARGUMENT,
+            "conversion": rules.INT_CONVERSION,
+        }
+    )
     likely = raw.rlike(rules.PRINTF_CALL) & raw.rlike(rules.SIZE_ARGUMENT) & F.contains(raw, F.lit("%"))
     return (
         lines.where(likely)
         .select("path", "line_no", "raw")
-        .where(_size_without_z("raw"))
+        .where(judged("raw"))
         .select("path", "line_no", F.lit(rules.PRINTF_FLAG).alias("rule"), C.snippet(raw).alias("snippet"))
     )
 

@@ -36,6 +36,7 @@ def spans(spark, sf):
 
 
 SINCE = "2024-01-10"
+READ_SINCE = "2024-01-27"
 
 
 def _quote(text: str) -> str:
@@ -427,9 +428,9 @@ def _(spark, sf):
     return ops.todo_hotspots(ops.file_stats(views.corpus(spark, sf)))
 
 
-@query("coverage_gap", f"SELECT path FROM stats WHERE path NOT IN (SELECT path FROM changes WHERE committed_at >= TIMESTAMP '{SINCE}')")
+@query("coverage_gap", f"SELECT path FROM stats WHERE path NOT IN (SELECT path FROM changes WHERE committed_at >= TIMESTAMP '{READ_SINCE}')")
 def _(spark, sf):
-    read = views.change_log(spark, sf).where(F.col("committed_at") >= F.lit(SINCE).cast("timestamp_ntz"))
+    read = views.change_log(spark, sf).where(F.col("committed_at") >= F.lit(READ_SINCE).cast("timestamp_ntz"))
     return ops.coverage_gap(views.corpus(spark, sf), read)
 
 

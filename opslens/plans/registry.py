@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "results", "corpus"]
+FAMILIES = ["logs", "results", "corpus", "findings", "cells"]
 
 
 def _families():
