@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,56 +19,76 @@ def encode(data: Column, mode: str = "standard") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def audit(value: Column, mode: Column) -> Column:
-    """``struct(class, position)`` of an encoded value.
+def audit(values: DataFrame) -> DataFrame:
+    """Add ``class`` and ``position`` to rows with ``value`` and ``mode``.
 
     Modes: ``strict``, ``lenient`` (blanks, tabs and line ends ignored), ``mime``
     (line ends ignored), ``url``.  ``position`` is the 0-based place of the first
     offending character in the value as given, null where none is.
     """
-    ignored = F.when(mode == "lenient", r"[ \t\r\n]").when(mode == "mime", r"[\r\n]").otherwise(r"\z")
+    value, mode = F.col("value"), F.col("mode")
     url = mode == "url"
     # One mark per character: "a" data, "=" padding, "-" ignored, "!" anything else.
-    legal = F.when(url, r"[A-Za-z0-9_\-]").otherwise("[A-Za-z0-9+/]")
-    marks = F.regexp_replace(value, ignored, "\u0001")
-    marks = F.regexp_replace(marks, legal, "a")
-    marks = F.translate(F.regexp_replace(marks, "[^a=\u0001]", "!"), "\u0001", "-")
-    bad, padded = F.instr(marks, "!"), F.instr(marks, "=")
-    behind = F.when(padded > 0, F.regexp_instr(F.substring(marks, padded, F.length(marks)), F.lit("[a!]"))).otherwise(0)
-    late = F.when(behind > 0, padded + behind - 1).otherwise(0)
-    early_bad = (bad > 0) & ((padded == 0) | (bad < padded))
-
-    dense = F.translate(marks, "-", "")
-    head = F.length(F.substring_index(dense, "=", 1))
-    pads = F.length(dense) - F.length(F.translate(dense, "=", ""))
-    length = F.length(value) % 4
-    spare = F.when(url, F.when(length == 2, 2).when(length == 3, 1).otherwise(0)).otherwise(0)
-    sextets = F.length(dense) + spare
-    rest = head % 4
-    shown = F.when(mode == "lenient", F.translate(value, " \t\r\n", "")).when(
-        mode == "mime", F.translate(value, "\r\n", "")
-    ).otherwise(value)
-    last = F.substring(F.substring_index(shown, "=", 1), -1, 1)
-    # Characters whose low four or two bits are zero.
+    urlsafe = F.regexp_replace(F.regexp_replace(value, r"[A-Za-z0-9_\-]", "a"), "[^a=]", "!")
+    plain = F.translate(F.regexp_replace(value, "[A-Za-z0-9+/]", "a"), "-", "!")
+    marks = (
+        F.when(url, urlsafe)
+        .when(mode == "lenient", F.regexp_replace(F.regexp_replace(plain, "[ \t\r\n]", "-"), "[^a=-]", "!"))
+        .when(mode == "mime", F.regexp_replace(F.regexp_replace(plain, "[\r\n]", "-"), "[^a=-]", "!"))
+        .otherwise(F.regexp_replace(plain, "[^a=]", "!"))
+    )
+    data = (
+        F.when(mode == "lenient", F.translate(value, " \t\r\n", ""))
+        .when(mode == "mime", F.translate(value, "\r\n", ""))
+        .otherwise(value)
+    )
+    marked = values.withColumns(
+        {
+            "__marks": marks,
+            "__last": F.substring(F.substring_index(data, "=", 1), -1, 1),
+            "__foreign": F.when(url, F.regexp_instr(value, F.lit("[+/]"))).otherwise(0),
+            "__length": F.length(value) % 4,
+        }
+    )
+    m, length = F.col("__marks"), F.col("__length")
+    located = marked.withColumns(
+        {
+            "__bad": F.instr(m, "!"),
+            "__pad": F.instr(m, "="),
+            "__dense": F.translate(m, "-", ""),
+            "__spare": F.when(url & (length == 2), 2).when(url & (length == 3), 1).otherwise(0),
+        }
+    )
+    dense, bad, pad, spare = F.col("__dense"), F.col("__bad"), F.col("__pad"), F.col("__spare")
+    behind = F.regexp_instr(F.substring(m, pad, F.length(m)), F.lit("[a!]"))
+    counted = located.withColumns(
+        {
+            "__late": F.when(pad > 0, behind).otherwise(0),
+            "__rest": F.length(F.substring_index(dense, "=", 1)) % 4,
+            "__pads": F.length(dense) - F.length(F.translate(dense, "=", "")),
+            "__run": F.length(F.regexp_extract(dense, r"\A[a!]*(=*)", 1)),
+            "__sextets": (F.length(dense) + spare) % 4,
+        }
+    )
+    rest, pads, last = F.col("__rest"), F.col("__pads"), F.col("__last")
+    # Last characters whose low four or two bits are zero.
     clean = F.when(rest == 2, last.rlike("[AQgw]")).when(rest == 3, last.rlike("[AEIMQUYcgkosw048]")).otherwise(True)
-    first_pads = F.length(F.regexp_extract(dense, r"\A[a!]*(=*)", 1))
-    tail_bits = (rest >= 2) & ~clean & ((first_pads + spare) >= (4 - rest))
-
-    foreign = F.when(url, F.regexp_instr(value, F.lit("[+/]"))).otherwise(0)
+    unclean_tail = (rest >= 2) & ~clean & (F.col("__run") + spare >= 4 - rest)
     kind = (
-        F.when(foreign > 0, "bad_character")
+        F.when(F.col("__foreign") > 0, "bad_character")
         .when(url & (length == 1), "bad_length")
-        .when(early_bad, "bad_character")
-        .when(tail_bits, "tail_bits")
-        .when(late > 0, "data_after_padding")
-        .when(sextets % 4 == 1, "bad_length")
-        .when(sextets % 4 > 0, F.when(pads > 0, "incomplete_padding").otherwise("missing_padding"))
+        .when((bad > 0) & ((pad == 0) | (bad < pad)), "bad_character")
+        .when(unclean_tail, "tail_bits")
+        .when(F.col("__late") > 0, "data_after_padding")
+        .when(F.col("__sextets") == 1, "bad_length")
+        .when(F.col("__sextets") > 0, F.when(pads > 0, "incomplete_padding").otherwise("missing_padding"))
         .when((pads + spare > 2) | ((pads > 0) & (rest == 0)), "incomplete_padding")
         .otherwise("valid")
     )
+    judged = counted.withColumn("class", kind)
     position = (
-        F.when(foreign > 0, foreign - 1)
-        .when(kind == "bad_character", bad - 1)
-        .when(kind == "data_after_padding", late - 1)
+        F.when(F.col("__foreign") > 0, F.col("__foreign") - 1)
+        .when(F.col("class") == "bad_character", bad - 1)
+        .when(F.col("class") == "data_after_padding", pad + F.col("__late") - 2)
     )
-    return F.struct(kind.alias("class"), position.cast("bigint").alias("position"))
+    return judged.select(*values.columns, "class", position.cast("bigint").alias("position"))

@@ -54,11 +54,16 @@ def register_levels(requests: DataFrame) -> DataFrame:
 
 
 def rate_limit_aligned(
-    lines: DataFrame, limit: int, keys: Sequence[str] = ("source",), at: str = "ts_ms"
+    lines: DataFrame,
+    limit: int,
+    keys: Sequence[str] = ("source",),
+    at: str = "ts_ms",
+    used: DataFrame | None = None,
 ) -> DataFrame:
-    """Admit the first ``limit`` lines of each key and clock second."""
+    """Admit the first ``limit`` lines of each key and clock second; ``used`` may give
+    the lines already admitted per key and ``second``."""
     second = lines.withColumn("second", F.floor(F.col(at) / 1000).cast("bigint"))
-    return O.admit_first(second, [*keys, "second"], [at, "line_no"], limit)
+    return O.admit_first(second, [*keys, "second"], [at, "line_no"], limit, used=used)
 
 
 def _jump_table(times: np.ndarray, span: int) -> np.ndarray:
@@ -225,6 +230,7 @@ def log_flow(
     predicate: Callable[[Record], Column] | None = None,
     custom: dict[str, int] | None = None,
     tags: DataFrame | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """One row per line with its fate: ``rate_dropped``, ``filtered``, ``unrouted``
     or ``written``, and the output lines it produced.
@@ -232,7 +238,7 @@ def log_flow(
     The limiter comes before field extraction, so dropped lines are never
     scanned for fields.
     """
-    limited = rate_limit_aligned(lines, limit)
+    limited = rate_limit_aligned(lines, limit, used=used)
     if tags is not None:
         limited = attach_source_tags(limited, tags)
     else:

@@ -134,24 +134,33 @@ def with_halo(
 
 
 def admit_first(
-    df: DataFrame, window_keys: Sequence[str], order: Sequence[str], limit: int, name: str = "admitted"
+    df: DataFrame,
+    window_keys: Sequence[str],
+    order: Sequence[str],
+    limit: int,
+    name: str = "admitted",
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Flag the first ``limit`` rows of every window.
 
     Ranking stops at ``limit`` before the shuffle (Spark's window group limit),
     so a crowded window costs ``limit`` rows per map task; every row is then
-    compared with its window's last admitted position.
+    compared with its window's last admitted position.  ``used`` may give, per
+    window, how many rows it has admitted already.
     """
     keys = list(window_keys)
     rank = Window.partitionBy(*keys).orderBy(*order)
     position = F.struct(*[F.col(c) for c in order])
-    last = (
+    first = (
         df.select(*keys, *[c for c in order if c not in keys])
         .withColumn("__rank", F.row_number().over(rank))
         .where(F.col("__rank") <= limit)
-        .groupBy(*keys)
-        .agg(F.max(position).alias("__last"))
     )
+    if used is not None:
+        first = first.join(used, keys, "left").where(
+            F.col("__rank") + F.coalesce("used", F.lit(0)) <= limit
+        )
+    last = first.groupBy(*keys).agg(F.max(position).alias("__last"))
     return (
         df.join(last, keys, "left")
         .withColumn(name, F.coalesce(position <= F.col("__last"), F.lit(False)))

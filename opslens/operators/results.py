@@ -45,9 +45,9 @@ def ms_text_to_us(text: Column) -> Column:
     return F.when(whole != "", whole.cast("bigint") * 1000 + F.rpad(part, 3, "0").cast("bigint"))
 
 
-def result_fields(text: Column) -> dict[str, Column]:
-    """``status, tag, worker, duration_us`` of a result line; both historical layouts."""
-    tokens = _head(text)
+def result_fields(tokens: Column) -> dict[str, Column]:
+    """``status, tag, worker, duration_us`` of a result line's head; both historical
+    layouts."""
     micros = _first(tokens, "duration_us", r"\d{1,18}").cast("bigint")
     millis = ms_text_to_us(_first(tokens, "duration_ms", r"\d{1,15}(\.\d{1,3})?"))
     return {
@@ -63,7 +63,9 @@ def parse_task_result(lines: DataFrame) -> DataFrame:
 
     ``class`` is ``parsed``, ``skipped`` (no or unknown status) or ``blank``.
     """
-    parsed = lines.withColumns(result_fields(F.col("text")))
+    # Split once: the tokens are a column of their own, read by every field.
+    split = lines.withColumn("__head", _head(F.col("text")))
+    parsed = split.withColumns(result_fields(F.col("__head"))).drop("__head")
     known = F.col("status").isin(*STATUSES)
     return parsed.withColumns(
         {

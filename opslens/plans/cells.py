@@ -39,7 +39,7 @@ VIEWS["asked"] = "SELECT o_orderkey // 10 AS sheet, r.* FROM orders, (VALUES " +
     f"('{i}', {min(a, c)}, {min(b, d)}, {max(a, c)}, {max(b, d)})" for i, a, b, c, d in views.RANGES
 ) + ") r(range_id, c1, r1, c2, r2) WHERE o_orderkey % 10 = 0"
 VIEWS["inside"] = """
-SELECT a.sheet, a.range_id, c.row_no * 100 + c.col AS at, c.kind, c.num, c.content FROM asked a
+SELECT a.sheet, a.range_id, c.row_no * 100 + c.col AS spot, c.kind, c.num, c.content FROM asked a
 LEFT JOIN cell_values c ON c.sheet = a.sheet AND c.row_no BETWEEN a.r1 AND a.r2 AND c.col BETWEEN a.c1 AND a.c2"""
 
 
@@ -102,11 +102,11 @@ def _(spark, sf):
 
 @query(
     "cell_range_join",
-    "SELECT sheet, range_id, content, at FROM inside WHERE at IS NOT NULL",
+    "SELECT sheet, range_id, content, spot FROM inside WHERE spot IS NOT NULL",
 )
 def _(spark, sf):
     inside = ops.cell_range_join(views.cells(spark, sf), views.ranges(spark, sf))
-    return inside.select("sheet", "range_id", "content", (F.col("row_no") * 100 + F.col("col")).alias("at"))
+    return inside.select("sheet", "range_id", "content", (F.col("row_no") * 100 + F.col("col")).alias("spot"))
 
 
 @query(
@@ -115,7 +115,7 @@ def _(spark, sf):
       CASE WHEN e IS NULL THEN round(s / n, 6) END AS avg, CASE WHEN e IS NULL THEN lo END AS min, CASE WHEN e IS NULL THEN hi END AS max,
       e AS error, CASE WHEN e IS NULL AND n = 0 THEN '#VALUE!' END AS empty_error FROM (
       SELECT sheet, range_id, count(num) AS n, sum(num) AS s, min(num) AS lo, max(num) AS hi,
-        arg_min(content, at) FILTER (WHERE kind = 'error') AS e FROM inside GROUP BY sheet, range_id) g""",
+        arg_min(content, spot) FILTER (WHERE kind = 'error') AS e FROM inside GROUP BY sheet, range_id) g""",
 )
 def _(spark, sf):
     rows = ops.range_aggregate(views.cells(spark, sf), views.ranges(spark, sf))
@@ -126,8 +126,8 @@ def _(spark, sf):
     "range_logic",
     """SELECT sheet, range_id, CASE WHEN no_at < coalesce(err_at, 1e9) THEN 'FALSE' WHEN err_at IS NOT NULL THEN '#DIV/0!' ELSE 'TRUE' END AS all_true,
       CASE WHEN yes_at < coalesce(err_at, 1e9) THEN 'TRUE' WHEN err_at IS NOT NULL THEN '#DIV/0!' ELSE 'FALSE' END AS any_true FROM (
-      SELECT sheet, range_id, min(at) FILTER (WHERE kind = 'error') AS err_at,
-        min(at) FILTER (WHERE kind = 'string' OR num = 0) AS no_at, min(at) FILTER (WHERE kind = 'boolean' OR num <> 0) AS yes_at
+      SELECT sheet, range_id, min(spot) FILTER (WHERE kind = 'error') AS err_at,
+        min(spot) FILTER (WHERE kind = 'string' OR num = 0) AS no_at, min(spot) FILTER (WHERE kind = 'boolean' OR num <> 0) AS yes_at
       FROM inside GROUP BY sheet, range_id) g""",
 )
 def _(spark, sf):
@@ -190,11 +190,10 @@ SELECT doc_id, origin, mode, CASE doc_id % 6 WHEN 2 THEN CASE WHEN mode = 'stric
 
 @query("base64_audit", "SELECT doc_id, mode, class, CAST(position AS BIGINT) AS position FROM b64_judged")
 def _(spark, sf):
-    rows = views.b64_values(spark, sf).withColumn("a", b64.audit(F.col("value"), F.col("mode")))
-    return rows.select("doc_id", "mode", "a.class", "a.position")
+    return b64.audit(views.b64_values(spark, sf)).select("doc_id", "mode", "class", "position")
 
 
 @query("base64_class_counts", "SELECT origin, class, count(*) AS n FROM b64_judged GROUP BY origin, class")
 def _(spark, sf):
-    rows = views.b64_values(spark, sf).withColumn("class", b64.audit(F.col("value"), F.col("mode"))["class"])
-    return rows.groupBy("origin", "class").agg(F.count(F.lit(1)).alias("n"))
+    judged = b64.audit(views.b64_values(spark, sf))
+    return judged.groupBy("origin", "class").agg(F.count(F.lit(1)).alias("n"))

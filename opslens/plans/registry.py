@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "results", "corpus", "findings", "cells"]
+FAMILIES = ["logs", "results", "corpus", "findings", "cells", "streams"]
 
 
 def _families():
