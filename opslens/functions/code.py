@@ -39,8 +39,9 @@ def strip_comments(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final newline opens no further line."""
-    lines = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    lines = F.split(F.regexp_replace(body, r"\r(?=\n|\z)", ""), "\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def shifted(values: Column, by: int, fill: Column) -> Column:

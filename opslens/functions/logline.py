@@ -77,33 +77,40 @@ def parse_columns(text: Column, ingested: Column, custom: dict[str, int] | None
 # --- key=value fields -------------------------------------------------------
 
 
-def _pair_value(raw: Column) -> Column:
+_BLANKS = " \t\r\n\f\u000b"
+
+
+def _pair(found: Column) -> Column:
+    """``struct(key, value)`` of one matched pair.
+
+    Plain string functions do the common case; patterns are used only for values
+    that hold a backslash.
+    """
+    pair = F.ltrim(found, F.lit(_BLANKS))
+    cut = F.instr(pair, "=")
+    raw = F.substring(pair, cut + 1, F.length(pair))
     quote = F.substring(raw, 1, 1)
+    escaped = F.contains(raw, F.lit("\\"))
 
     def inner(mark: str) -> Column:
-        closed = raw.rlike(rf"\A{mark}[^{mark}\\]*+(?:\\[\s\S][^{mark}\\]*+)*+{mark}\z")
-        body = F.when(closed, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(
-            F.substring(raw, F.lit(2), F.length(raw))
-        )
-        return F.regexp_replace(body, rf"\\([{mark}\\])", "$1")
+        whole = rf"\A{mark}[^{mark}\\]*+(?:\\[\s\S][^{mark}\\]*+)*+{mark}\z"
+        closed = F.when(escaped, raw.rlike(whole)).otherwise((F.length(raw) > 1) & raw.endswith(mark))
+        body = F.substring(raw, F.lit(2), F.length(raw) - F.when(closed, 2).otherwise(1))
+        return F.when(escaped, F.regexp_replace(body, rf"\\([{mark}\\])", "$1")).otherwise(body)
 
-    return F.when(quote == '"', inner('"')).when(quote == "'", inner("'")).otherwise(raw)
+    value = F.when(quote == '"', inner('"')).when(quote == "'", inner("'")).otherwise(raw)
+    return F.struct(F.substring(pair, F.lit(1), cut - 1).alias("key"), value.alias("value"))
 
 
 def kv_strict(text: Column) -> Column:
     """Map of the ``key=value`` pairs from the start of the text up to the first
     token that is not a pair; a repeated key keeps its last value."""
-    pairs = F.transform(
-        F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)),
-        lambda p: F.struct(
-            F.regexp_extract(p, r"\A\s*([^\s=]+)=", 1).alias("key"),
-            _pair_value(F.regexp_extract(p, r"\A\s*[^\s=]+=([\s\S]*)\z", 1)).alias("value"),
-        ),
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), _pair)
+    return F.aggregate(
+        pairs,
+        F.create_map().cast("map<string,string>"),
+        lambda seen, p: merge_maps(seen, F.create_map(p["key"], p["value"])),
     )
-    newest = F.reverse(pairs)
-    keys = F.transform(newest, lambda p: p["key"])
-    kept = F.filter(newest, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(F.reverse(kept))
 
 
 def kv_tail(text: Column) -> Column:
@@ -114,16 +121,16 @@ def kv_tail(text: Column) -> Column:
 def kv_cascade(text: Column, message: Column, parsed: Column) -> Column:
     """Whole line, then for parsed lines the message, then the message's tail.
 
-    A line that starts with a pair never needs the tail scan and a message that
-    starts with a pair equals its own tail, so two scans cover the three steps.
+    The first token tells which of the three applies, so pairs are scanned once.
     """
-    strict = F.regexp_extract(text, r"\A\s*[^\s=]+=", 0) != ""
-    return F.when(strict, kv_strict(text)).when(
-        parsed,
-        F.when(F.regexp_extract(message, r"\A\s*[^\s=]+=", 0) != "", kv_strict(message)).otherwise(
-            kv_tail(message)
-        ),
-    ).otherwise(kv_strict(F.lit("")))
+    first = r"\A\s*[^\s=]+="
+    start = (
+        F.when(text.rlike(first), text)
+        .when(parsed & message.rlike(first), message)
+        .when(parsed, F.regexp_extract(message, TAIL, 1))
+        .otherwise("")
+    )
+    return kv_strict(start)
 
 
 def merge_maps(base: Column, override: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType
 from opslens import rules
 from opslens.functions import code as C
 from opslens.functions import text as T
+from opslens.operators.staging import once
 from opslens.sources.readers import HEADER_EXTENSIONS, extension
 
 
@@ -35,18 +36,18 @@ def explode_code_lines(corpus: DataFrame) -> DataFrame:
     """One row per line: ``path, line_no, raw, stripped, is_header, loc``, the next
     stripped line, and whether the line counts as output text (it or one of the
     three lines before it prints something)."""
-    files = corpus.select(
-        "path",
-        C.split_lines(F.col("text")).alias("raw"),
-        C.split_lines(C.strip_comments(F.col("text"))).alias("stripped"),
-    )
     prints = F.transform(
-        "raw",
+        C.split_lines(F.col("text")),
         lambda l: F.contains(T.ascii_lower(l), F.lit("printf"))
         | F.contains(l, F.lit("<<"))
         | (F.contains(T.ascii_lower(l), F.lit("log")) & F.contains(l, F.lit('"'))),
     )
-    files = files.withColumn("prints", prints)
+    files = once(
+        corpus.select("path", "text"),
+        raw=C.split_lines(F.col("text")),
+        stripped=C.split_lines(C.strip_comments(F.col("text"))),
+        prints=prints,
+    )
     no = F.lit(False)
     zipped = F.arrays_zip(
         F.col("raw"),
@@ -496,23 +497,14 @@ def duplicate_blocks(files: DataFrame, window: int = 5) -> DataFrame:
             F.btrim(F.regexp_replace(l, r"\s+", " ")).alias("line"),
         ),
     )
-    kept = files.select("path", F.filter(numbered, lambda l: l["line"] != "").alias("kept")).where(
-        F.size("kept") >= window
-    )
-    lines = F.transform("kept", lambda l: l["line"])
-    starts = F.sequence(F.lit(1), F.size("kept") - (window - 1))
-    blocks = kept.withColumn("lines", lines).select(
-        "path",
-        F.inline(
-            F.transform(
-                starts,
-                lambda i: F.struct(
-                    F.element_at("kept", i)["line_no"].alias("line_no"),
-                    F.sha2(F.array_join(F.slice("lines", i, F.lit(window)), "\n"), 256).alias("block"),
-                ),
-            )
-        ),
-    )
+    kept = once(files.select("path", "text"), kept=F.filter(numbered, lambda l: l["line"] != ""))
+    none = F.lit(None).cast("string")
+    following = [C.shifted(F.col("kept.line"), -k, none).alias(f"l{k}") for k in range(window)]
+    rows = kept.select(
+        "path", F.inline(F.arrays_zip(F.col("kept.line_no").alias("line_no"), *following))
+    ).where(F.col(f"l{window - 1}").isNotNull())
+    text = F.concat_ws("\n", *[F.col(f"l{k}") for k in range(window)])
+    blocks = rows.select("path", "line_no", F.sha2(text, 256).alias("block"))
     per_file = blocks.groupBy("block", "path").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line")
     )
@@ -534,8 +526,8 @@ def duplicate_blocks(files: DataFrame, window: int = 5) -> DataFrame:
 def file_stats(corpus: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """``path, loc, includes, todos`` per file, and ``functions`` when spans are given."""
     raw = C.split_lines(F.col("text"))
-    stripped = C.split_lines(C.strip_comments(F.col("text")))
-    stats = corpus.select(
+    stripped = C.split_lines(F.col("code"))
+    stats = once(corpus.select("path", "text"), code=C.strip_comments(F.col("text"))).select(
         "path",
         F.size(raw).cast("bigint").alias("loc"),
         F.size(F.filter(stripped, lambda l: l.rlike(rules.INCLUDE))).cast("bigint").alias("includes"),

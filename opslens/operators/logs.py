@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opslens.functions import logline as L
 from opslens.functions import text as T
 from opslens.operators import ordered as O
+from opslens.operators.staging import once
 
 Record = dict[str, Column]
 
@@ -203,21 +204,33 @@ def drop_stage(severity: Column, message: Column, predicate: Column, threshold:
     )
 
 
-def route_outputs(record: Record, routes: Sequence[L.Route]) -> Column:
-    """Array of ``(output, line)`` for the routes that accept a record."""
+def accepting_routes(record: Record, routes: Sequence[L.Route]) -> Column:
+    """Names of the routes that accept a record, in route order."""
     offers = []
     for route in routes:
-        message, fields = L.transformed(record["message"], record["fields"], route.chain)
         seen = dict(record)
         if route.position == "before":
-            seen.update(message=message, fields=fields)
+            seen["message"], seen["fields"] = L.transformed(record["message"], record["fields"], route.chain)
         accept = record["severity"] >= route.min_severity
         if route.predicate is not None:
             accept = accept & route.predicate(seen)
+        offers.append(F.when(accept, F.lit(route.name)))
+    return F.filter(F.array(*offers), lambda name: name.isNotNull())
+
+
+def route_line(record: Record, routes: Sequence[L.Route], output: Column) -> Column:
+    """The line a record becomes in the named output."""
+    line = F.lit(None).cast("string")
+    for route in reversed(routes):
+        message, _ = L.transformed(record["message"], record["fields"], route.chain)
         render = L.json_line if route.format == "json" else L.text_line
-        line = render(record["ts_text"], record["level"], record["source"], message)
-        offers.append(F.when(accept, F.struct(F.lit(route.name).alias("output"), line.alias("line"))))
-    return F.filter(F.array(*offers), lambda o: o.isNotNull())
+        made = render(record["ts_text"], record["level"], record["source"], message)
+        line = F.when(output == route.name, made).otherwise(line)
+    return line
+
+
+def _record() -> Record:
+    return {c: F.col(c) for c in ("source", "severity", "level", "ts_text", "message", "fields")}
 
 
 def log_flow(
@@ -241,56 +254,52 @@ def log_flow(
     limited = rate_limit_aligned(lines, limit, used=used)
     if tags is not None:
         limited = attach_source_tags(limited, tags)
-    else:
-        limited = limited.withColumn("tags", F.lit(None).cast("map<string,string>"))
     parsed = parse_log_line(limited, custom)
-    extracted = parsed.withColumn(
-        "kv", F.when(F.col("admitted"), L.kv_cascade(F.col("text"), F.col("message"), F.col("parsed")))
-    )
+    kv = F.when(F.col("admitted"), L.kv_cascade(F.col("text"), F.col("message"), F.col("parsed")))
+    extracted = once(parsed, kv=kv)
     fields = extracted.withColumn(
-        "fields", F.when(F.col("tags").isNull(), F.col("kv")).otherwise(L.merge_maps(F.col("tags"), F.col("kv")))
-    )
-    record = {c: F.col(c) for c in ("source", "severity", "level", "ts_text", "message", "fields")}
-    wanted = predicate(record) if predicate is not None else F.lit(True)
-    staged = fields.withColumn(
-        "stage",
-        F.when(F.col("admitted"), drop_stage(F.col("severity"), F.col("message"), wanted, threshold, keyword)),
+        "fields", F.col("kv") if tags is None else L.merge_maps(F.col("tags"), F.col("kv"))
     )
+    wanted = predicate(_record()) if predicate is not None else F.lit(True)
+    stage = F.when(F.col("admitted"), drop_stage(F.col("severity"), F.col("message"), wanted, threshold, keyword))
+    staged = once(fields, stage=stage)
     passed = F.col("admitted") & F.col("stage").isNull()
-    routed = staged.withColumn("outputs", F.when(passed, route_outputs(record, routes)))
+    routed = once(staged, accepted=F.when(passed, accepting_routes(_record(), routes)))
     return routed.withColumn(
         "disposition",
         F.when(~F.col("admitted"), "rate_dropped")
         .when(F.col("stage").isNotNull(), "filtered")
-        .when(F.size("outputs") == 0, "unrouted")
+        .when(F.size("accepted") == 0, "unrouted")
         .otherwise("written"),
     )
 
 
-def fan_out(flow: DataFrame) -> DataFrame:
+def fan_out(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
     """One row per record and accepting output: ``source, line_no, output, line``."""
-    return flow.where(F.col("disposition") == "written").select(
-        "source", "line_no", "ingested_ts", F.inline("outputs")
-    )
+    offered = flow.select("line_no", "ingested_ts", *_record().values(), F.explode("accepted").alias("output"))
+    line = route_line(_record(), routes, F.col("output"))
+    return offered.select("source", "line_no", "ingested_ts", "output", line.alias("line"))
 
 
 # --- counters ---------------------------------------------------------------
 
 
-def _written_bytes(outputs: Column) -> Column:
-    return F.aggregate(outputs, F.lit(0).cast("bigint"), lambda acc, o: acc + T.utf8_bytes(o["line"]) + 1)
-
-
-def disposition_counters(flow: DataFrame) -> DataFrame:
-    fate = F.col("disposition")
-    return flow.agg(
-        F.count(F.lit(1)).alias("ingested"),
+def disposition_counters(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
+    """All pipeline counters in one pass: a record gives one row per output it
+    reaches, or one row if it reaches none; record counts use the first."""
+    rows = flow.select(
+        "disposition", *_record().values(), F.posexplode_outer("accepted").alias("place", "output")
+    )
+    fate = F.when(F.coalesce("place", F.lit(0)) == 0, F.col("disposition"))
+    size = T.utf8_bytes(route_line(_record(), routes, F.col("output"))) + 1
+    return rows.agg(
+        F.count(fate).alias("ingested"),
         F.count_if(fate == "rate_dropped").alias("rate_dropped"),
         F.count_if(fate == "filtered").alias("filtered"),
         F.count_if(fate == "unrouted").alias("unrouted"),
         F.count_if(fate == "written").alias("written_records"),
-        F.coalesce(F.sum(F.when(fate == "written", F.size("outputs"))), F.lit(0)).cast("bigint").alias("written_lines"),
-        F.coalesce(F.sum(F.when(fate == "written", _written_bytes(F.col("outputs")))), F.lit(0)).alias("written_bytes"),
+        F.count("output").alias("written_lines"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("written_bytes"),
     )
 
 
@@ -306,16 +315,15 @@ def level_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def source_counters(flow: DataFrame) -> DataFrame:
-    return (
-        flow.where(F.col("admitted"))
-        .groupBy("source")
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.coalesce(
-                F.sum(F.when(F.col("disposition") == "written", _written_bytes(F.col("outputs")))), F.lit(0)
-            ).alias("written_bytes"),
-        )
+def source_counters(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
+    """Admitted lines and written bytes per source."""
+    rows = flow.where("admitted").select(
+        *_record().values(), F.posexplode_outer("accepted").alias("place", "output")
+    )
+    size = T.utf8_bytes(route_line(_record(), routes, F.col("output"))) + 1
+    return rows.groupBy("source").agg(
+        F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("lines"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("written_bytes"),
     )
 
 
@@ -329,8 +337,8 @@ def source_type_counters(lines: DataFrame) -> DataFrame:
     )
 
 
-def output_counters(flow: DataFrame) -> DataFrame:
-    return fan_out(flow).groupBy("output").agg(
+def output_counters(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
+    return fan_out(flow, routes).groupBy("output").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(T.utf8_bytes(F.col("line")) + 1).alias("bytes")
     )
 
@@ -599,10 +607,12 @@ def _samples(df: DataFrame, columns: Iterable[str], label: str | None = None) ->
     return df.select(labels.alias("labels"), F.inline(entries))
 
 
-def prometheus_lines(flow: DataFrame, lines: DataFrame, top: int = 10, prefix: str = "opslens_") -> DataFrame:
+def prometheus_lines(
+    flow: DataFrame, lines: DataFrame, routes: Sequence[L.Route], top: int = 10, prefix: str = "opslens_"
+) -> DataFrame:
     """Exposition text as ``family_no, kind, label, text`` rows in output order."""
     spark = flow.sparkSession
-    fate = disposition_counters(flow).select(
+    fate = disposition_counters(flow, routes).select(
         F.col("ingested").alias("lines_ingested_total"),
         F.col("filtered").alias("lines_filtered_total"),
         F.col("written_records").alias("lines_written_total"),
@@ -616,12 +626,12 @@ def prometheus_lines(flow: DataFrame, lines: DataFrame, top: int = 10, prefix: s
         F.col("percent").alias("kv_extraction_ratio"),
     )
     by_level = level_counts(flow).select("level", "severity", F.col("lines").alias("lines_ingested_total"))
-    by_source = source_counters(flow).select(
+    by_source = source_counters(flow, routes).select(
         "source",
         F.col("lines").alias("source_lines_total"),
         F.col("written_bytes").alias("source_output_bytes_total"),
     )
-    by_output = output_counters(flow).select(
+    by_output = output_counters(flow, routes).select(
         "output",
         F.col("lines").alias("output_lines_written_total"),
         F.col("bytes").alias("output_bytes_written_total"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.functions.text import dash_if_blank
 from opslens.operators import ordered as O
+from opslens.operators.staging import once
 
 # Statuses a result line may carry, priorities and trace events.
 STATUSES = ["OK", "FAILED", "RETRYING", "CANCELLED"]
@@ -23,9 +24,8 @@ TRACE_EVENTS = [
 
 def _head(text: Column) -> Column:
     """Tokens before the first one that starts with ``detail=``."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    cut = F.array_position(F.transform(tokens, lambda t: t.startswith("detail=")), F.lit(True)).cast("int")
-    return F.when(cut > 0, F.slice(tokens, F.lit(1), cut - 1)).otherwise(tokens)
+    before = F.regexp_replace(text, r"(?s)(\A|\s)detail=.*\z", "")
+    return F.filter(F.split(before, r"\s+"), lambda t: t != "")
 
 
 def _first(tokens: Column, name: str, shape: str | None = None) -> Column:
@@ -64,7 +64,7 @@ def parse_task_result(lines: DataFrame) -> DataFrame:
     ``class`` is ``parsed``, ``skipped`` (no or unknown status) or ``blank``.
     """
     # Split once: the tokens are a column of their own, read by every field.
-    split = lines.withColumn("__head", _head(F.col("text")))
+    split = once(lines, __head=_head(F.col("text")))
     parsed = split.withColumns(result_fields(F.col("__head"))).drop("__head")
     known = F.col("status").isin(*STATUSES)
     return parsed.withColumns(

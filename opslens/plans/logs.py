@@ -262,8 +262,8 @@ def _(spark, sf):
     empty = F.create_map().cast("map<string,string>")
     rows = records(spark, sf).withColumn("fields", empty)
     record = {c: F.col(c) for c in ("source", "severity", "level", "ts_text", "message", "fields")}
-    offered = rows.select("line_id", F.inline(ops.route_outputs(record, routes)))
-    message = F.regexp_extract("line", r"\] ([^\]]*) \|crc=", 1)
+    offered = rows.select("line_id", *record.values(), F.explode(ops.accepting_routes(record, routes)).alias("output"))
+    message = F.regexp_extract(ops.route_line(record, routes, F.col("output")), r"\] ([^\]]*) \|crc=", 1)
     return offered.select("line_id", F.concat(F.col("output"), F.lit(":"), message).alias("output"))
 
 
@@ -272,7 +272,7 @@ def _(spark, sf):
     "SELECT source, line_no, output, line FROM log_written",
 )
 def _(spark, sf):
-    return ops.fan_out(flow(spark, sf)).select("source", "line_no", "output", "line")
+    return ops.fan_out(flow(spark, sf), ROUTES).select("source", "line_no", "output", "line")
 
 
 @query(
@@ -401,7 +401,7 @@ def _(spark, sf):
       (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM log_written) AS written_bytes""",
 )
 def _(spark, sf):
-    return ops.disposition_counters(flow(spark, sf))
+    return ops.disposition_counters(flow(spark, sf), ROUTES)
 
 
 @query(
@@ -411,7 +411,7 @@ def _(spark, sf):
       LEFT JOIN (SELECT source, sum(strlen(line) + 1) AS b FROM log_written GROUP BY source) w ON s.source = w.source""",
 )
 def _(spark, sf):
-    return ops.source_counters(flow(spark, sf))
+    return ops.source_counters(flow(spark, sf), ROUTES)
 
 
 @query(
@@ -427,7 +427,7 @@ def _(spark, sf):
     "SELECT output, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM log_written GROUP BY output",
 )
 def _(spark, sf):
-    return ops.output_counters(flow(spark, sf))
+    return ops.output_counters(flow(spark, sf), ROUTES)
 
 
 @query(
@@ -491,7 +491,7 @@ _HEADS = ", ".join(f"({i}, '{n}', '{t}', '{h}')" for i, (n, t, h) in enumerate(o
       UNION ALL SELECT family_no, 1, '', '# TYPE opslens_' || fam || ' ' || typ FROM heads WHERE fam IN (SELECT fam FROM samples)) z""",
 )
 def _(spark, sf):
-    return ops.prometheus_lines(flow(spark, sf), views.log_lines(spark, sf))
+    return ops.prometheus_lines(flow(spark, sf), views.log_lines(spark, sf), ROUTES)
 
 
 @query(

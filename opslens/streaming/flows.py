@@ -158,7 +158,7 @@ def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, **options
         spark = batch.sparkSession
         before = _previous(spark, states, epoch, state_schema)
         flow = ops.log_flow(batch, routes, limit=limit, used=before, **options)
-        ops.fan_out(flow).write.mode("overwrite").partitionBy("output").parquet(_epoch_dir(out, epoch))
+        ops.fan_out(flow, routes).write.mode("overwrite").partitionBy("output").parquet(_epoch_dir(out, epoch))
         here = ops.rate_limit_aligned(batch, limit, used=before)
         counted = here.groupBy("source", "second").agg(F.count_if("admitted").alias("n"))
         both = counted.join(before, ["source", "second"], "full").select(
