@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opslens.operators.staging import once
+
 
 def encode(data: Column, mode: str = "standard") -> Column:
     """``standard``, ``url`` (URL-safe, no padding) or ``mime`` (lines of 76, CRLF)."""
@@ -28,47 +30,46 @@ def audit(values: DataFrame) -> DataFrame:
     """
     value, mode = F.col("value"), F.col("mode")
     url = mode == "url"
-    # One mark per character: "a" data, "=" padding, "-" ignored, "!" anything else.
-    urlsafe = F.regexp_replace(F.regexp_replace(value, r"[A-Za-z0-9_\-]", "a"), "[^a=]", "!")
-    plain = F.translate(F.regexp_replace(value, "[A-Za-z0-9+/]", "a"), "-", "!")
-    marks = (
-        F.when(url, urlsafe)
-        .when(mode == "lenient", F.regexp_replace(F.regexp_replace(plain, "[ \t\r\n]", "-"), "[^a=-]", "!"))
-        .when(mode == "mime", F.regexp_replace(F.regexp_replace(plain, "[\r\n]", "-"), "[^a=-]", "!"))
-        .otherwise(F.regexp_replace(plain, "[^a=]", "!"))
-    )
-    data = (
-        F.when(mode == "lenient", F.translate(value, " \t\r\n", ""))
-        .when(mode == "mime", F.translate(value, "\r\n", ""))
-        .otherwise(value)
-    )
-    marked = values.withColumns(
-        {
-            "__marks": marks,
-            "__last": F.substring(F.substring_index(data, "=", 1), -1, 1),
-            "__foreign": F.when(url, F.regexp_instr(value, F.lit("[+/]"))).otherwise(0),
-            "__length": F.length(value) % 4,
-        }
+    blanks = {"lenient": " \t\r\n", "mime": "\r\n"}
+
+    def by_mode(url_case: Column, case) -> Column:
+        chosen = F.when(url, url_case)
+        for name, skipped in blanks.items():
+            chosen = chosen.when(mode == name, case(skipped))
+        return chosen.otherwise(case(""))
+
+    illegal = by_mode(
+        F.regexp_instr(value, F.lit(r"[^A-Za-z0-9_\-=]")),
+        lambda skipped: F.regexp_instr(value, F.lit(f"[^A-Za-z0-9+/={skipped}]")),
     )
-    m, length = F.col("__marks"), F.col("__length")
-    located = marked.withColumns(
-        {
-            "__bad": F.instr(m, "!"),
-            "__pad": F.instr(m, "="),
-            "__dense": F.translate(m, "-", ""),
-            "__spare": F.when(url & (length == 2), 2).when(url & (length == 3), 1).otherwise(0),
-        }
+    dense = by_mode(value, lambda skipped: F.translate(value, skipped, "") if skipped else value)
+    pad, length = F.instr(value, "="), F.length(value) % 4
+    behind = F.substring(value, pad, F.length(value))
+    located = once(
+        values,
+        __bad=illegal,
+        __pad=pad,
+        __late=F.when(
+            pad > 0,
+            by_mode(
+                F.regexp_instr(behind, F.lit("[^=]")),
+                lambda skipped: F.regexp_instr(behind, F.lit(f"[^={skipped}]")),
+            ),
+        ).otherwise(0),
+        __foreign=F.when(url, F.regexp_instr(value, F.lit("[+/]"))).otherwise(0),
+        __length=length,
+        __dense=dense,
+        __spare=F.when(url & (length == 2), 2).when(url & (length == 3), 1).otherwise(0),
     )
-    dense, bad, pad, spare = F.col("__dense"), F.col("__bad"), F.col("__pad"), F.col("__spare")
-    behind = F.regexp_instr(F.substring(m, pad, F.length(m)), F.lit("[a!]"))
-    counted = located.withColumns(
-        {
-            "__late": F.when(pad > 0, behind).otherwise(0),
-            "__rest": F.length(F.substring_index(dense, "=", 1)) % 4,
-            "__pads": F.length(dense) - F.length(F.translate(dense, "=", "")),
-            "__run": F.length(F.regexp_extract(dense, r"\A[a!]*(=*)", 1)),
-            "__sextets": (F.length(dense) + spare) % 4,
-        }
+    tight, head = F.col("__dense"), F.substring_index("__dense", "=", 1)
+    bad, pad, length, spare = F.col("__bad"), F.col("__pad"), F.col("__length"), F.col("__spare")
+    counted = once(
+        located,
+        __rest=F.length(head) % 4,
+        __last=F.substring(head, -1, 1),
+        __pads=F.length(tight) - F.length(F.replace(tight, F.lit("="), F.lit(""))),
+        __run=F.length(F.regexp_extract(F.substring(tight, F.length(head) + 1, F.length(tight)), r"\A=*", 0)),
+        __sextets=(F.length(tight) + spare) % 4,
     )
     rest, pads, last = F.col("__rest"), F.col("__pads"), F.col("__last")
     # Last characters whose low four or two bits are zero.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -595,97 +595,159 @@ def escape_label(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit("\\n"))
 
 
-def _samples(df: DataFrame, columns: Iterable[str], label: str | None = None) -> DataFrame:
-    """Long form ``family, labels, value`` of the named count columns."""
-    entries = F.array(
-        *[F.struct(F.lit(c).alias("family"), F.col(c).cast("bigint").alias("value")) for c in columns]
+def _fact(family: str, n: Column, key: Column | str = "", value: Column | str = "") -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(
+        F.lit(family).alias("family"), lit(key).alias("key"), lit(value).alias("value"), n.cast("bigint").alias("n")
     )
-    if label is None:
-        labels = F.lit("")
-    else:
-        labels = F.concat(F.lit(f'{{{label}="'), escape_label(F.col(label)), F.lit('"}'))
-    return df.select(labels.alias("labels"), F.inline(entries))
+
+
+def metric_facts(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
+    """All counters as ``family, key, value, n``, from one pass over the flow.
+
+    Each record yields its handful of facts, which are summed map-side.
+    """
+    one = F.lit(1)
+    fate, admitted = F.col("disposition"), F.col("admitted")
+    lines = once(
+        flow,
+        made=F.transform(
+            "accepted", lambda o: F.struct(o.alias("output"), (T.utf8_bytes(route_line(_record(), routes, o)) + 1).alias("size"))
+        ),
+    )
+    size = F.aggregate("made", F.lit(0).cast("bigint"), lambda acc, m: acc + m["size"])
+    always = F.array(
+        _fact("lines_ingested_total", one),
+        _fact("lines_ingested_total", one, L.level_name(F.col("severity"))),
+        _fact("lines_filtered_total", (fate == "filtered").cast("int")),
+        _fact("lines_written_total", (fate == "written").cast("int")),
+        _fact("output_bytes_total", F.coalesce(size, F.lit(0))),
+        _fact("lines_rate_dropped_total", (~admitted).cast("int")),
+        _fact("source_type_lines_total", one, F.col("source_type")),
+        _fact("source_type_active", one, F.col("source_type"), F.col("source")),
+    )
+    offered = F.array(
+        _fact("kv_lines_attempted_total", one),
+        _fact("kv_lines_extracted_total", (F.size("kv") > 0).cast("int")),
+        _fact("kv_fields_extracted_total", F.size("kv")),
+        _fact("source_lines_total", one, F.col("source")),
+        _fact("source_output_bytes_total", F.coalesce(size, F.lit(0)), F.col("source")),
+    )
+    outputs = F.flatten(
+        F.transform(
+            "made",
+            lambda m: F.array(
+                _fact("output_lines_written_total", one, m["output"]),
+                _fact("output_bytes_written_total", m["size"], m["output"]),
+            ),
+        )
+    )
+    values = F.transform(F.map_entries("kv"), lambda e: _fact("field_value_count", one, e["key"], e["value"]))
+    none = F.slice(always, F.lit(1), F.lit(0))
+    facts = F.concat(
+        always,
+        F.when(admitted, F.concat(offered, values)).otherwise(none),
+        F.coalesce(outputs, none),
+    )
+    zero = [("lines_ingested_total", name) for name in L.SEVERITIES]
+    zero += [(f"kv_{name}_total", "") for name in ("lines_attempted", "lines_extracted", "fields_extracted")]
+    shown_anyway = flow.sparkSession.createDataFrame(
+        [(family, key, "", 0) for family, key in zero], "family string, key string, value string, n bigint"
+    )
+    summed = (
+        lines.select(F.inline(facts))
+        .unionByName(shown_anyway)
+        .groupBy("family", "key", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+    # Behind this border a filter on the family stays above the sum, so all readers
+    # share one pass.
+    return summed.select(F.inline(F.array(F.struct("family", "key", "value", "n"))))
+
+
+# Label each family carries.
+LABELS = {
+    "lines_ingested_total": "level",
+    "source_lines_total": "source",
+    "source_output_bytes_total": "source",
+    "output_lines_written_total": "output",
+    "output_bytes_written_total": "output",
+    "source_type_lines_total": "type",
+    "source_type_active": "type",
+}
 
 
 def prometheus_lines(
-    flow: DataFrame, lines: DataFrame, routes: Sequence[L.Route], top: int = 10, prefix: str = "opslens_"
+    flow: DataFrame, routes: Sequence[L.Route], top: int = 10, prefix: str = "opslens_"
 ) -> DataFrame:
     """Exposition text as ``family_no, kind, label, text`` rows in output order."""
     spark = flow.sparkSession
-    fate = disposition_counters(flow, routes).select(
-        F.col("ingested").alias("lines_ingested_total"),
-        F.col("filtered").alias("lines_filtered_total"),
-        F.col("written_records").alias("lines_written_total"),
-        F.col("written_bytes").alias("output_bytes_total"),
-        F.col("rate_dropped").alias("lines_rate_dropped_total"),
-    )
-    rate = kv_extraction_rate(flow).select(
-        F.col("attempted").alias("kv_lines_attempted_total"),
-        F.col("extracted").alias("kv_lines_extracted_total"),
-        F.col("fields").alias("kv_fields_extracted_total"),
-        F.col("percent").alias("kv_extraction_ratio"),
-    )
-    by_level = level_counts(flow).select("level", "severity", F.col("lines").alias("lines_ingested_total"))
-    by_source = source_counters(flow, routes).select(
-        "source",
-        F.col("lines").alias("source_lines_total"),
-        F.col("written_bytes").alias("source_output_bytes_total"),
-    )
-    by_output = output_counters(flow, routes).select(
-        "output",
-        F.col("lines").alias("output_lines_written_total"),
-        F.col("bytes").alias("output_bytes_written_total"),
-    )
-    by_type = source_type_counters(lines).select(
-        F.col("source_type").alias("type"),
-        F.col("lines").alias("source_type_lines_total"),
-        F.col("active_sources").alias("source_type_active"),
-    )
-    values = kv_top_n(kv_value_counts(flow), top).select(
-        F.concat(
-            F.lit('{key="'), escape_label(F.col("key")), F.lit('",value="'), escape_label(F.col("value")), F.lit('"}')
-        ).alias("labels"),
-        F.lit("field_value_count").alias("family"),
-        F.col("cnt").alias("value"),
-    )
-    parts = [
-        _samples(fate, fate.columns),
-        _samples(rate, rate.columns),
-        _samples(by_source, by_source.columns[1:], "source"),
-        _samples(by_output, by_output.columns[1:], "output"),
-        _samples(by_type, by_type.columns[1:], "type"),
-        values,
-    ]
-    long = _samples(by_level, ["lines_ingested_total"], "level").withColumn("kind", F.lit(2))
-    for part in parts:
-        kind = F.when(F.col("labels") == "", 3).otherwise(2)
-        long = long.unionByName(part.withColumn("kind", kind))
+    facts = metric_facts(flow, routes)
+    counted = facts.where(~F.col("family").isin("source_type_active", "field_value_count"))
+    active = (
+        facts.where(F.col("family") == "source_type_active")
+        .groupBy("family", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("family", "key", F.lit("").alias("value"), "n")
+    )
+    values = facts.where(F.col("family") == "field_value_count").select(
+        "family", "key", "value", F.col("n").alias("cnt")
+    )
+    common = kv_top_n(values, top).select("family", "key", "value", F.col("cnt").alias("n"))
+    total = lambda family: F.sum(F.when(F.col("family") == family, F.col("n")))
+    rate = (
+        counted.where(F.col("family").startswith("kv_"))
+        .agg(total("kv_lines_attempted_total").alias("attempted"), total("kv_lines_extracted_total").alias("extracted"))
+        .where(F.col("attempted").isNotNull())
+        .select(
+            F.lit("kv_extraction_ratio").alias("family"),
+            F.lit("").alias("key"),
+            F.lit("").alias("value"),
+            F.when(F.col("attempted") == 0, F.lit(100).cast("bigint"))
+            .otherwise(F.expr("(extracted * 100 + attempted div 2) div greatest(attempted, 1)"))
+            .alias("n"),
+        )
+    )
+    long = counted.unionByName(active).unionByName(common).unionByName(rate)
     families = spark.createDataFrame(
-        [(i, name, kind, text) for i, (name, kind, text) in enumerate(FAMILIES)],
-        "family_no int, family string, type string, help string",
+        [(i, name, kind, text, LABELS.get(name)) for i, (name, kind, text) in enumerate(FAMILIES)],
+        "family_no int, family string, type string, help string, label_name string",
+    )
+    one_label = F.concat(F.lit("{"), F.col("label_name"), F.lit('="'), escape_label(F.col("key")), F.lit('"}'))
+    two_labels = F.concat(
+        F.lit('{key="'), escape_label(F.col("key")), F.lit('",value="'), escape_label(F.col("value")), F.lit('"}')
     )
-    body = long.join(families, "family").select(
+    label = (
+        F.when(F.col("family") == "field_value_count", two_labels)
+        .when(F.col("key") == "", "")
+        .otherwise(one_label)
+    )
+    named = long.join(families, "family").withColumn("label", label)
+    body = named.select(
         "family_no",
-        "kind",
-        F.col("labels").alias("label"),
-        F.concat(F.lit(prefix), F.col("family"), F.col("labels"), F.lit(" "), F.col("value").cast("string")).alias("text"),
+        F.when(F.col("label") == "", 3).otherwise(2).alias("kind"),
+        "label",
+        F.concat(F.lit(prefix), F.col("family"), F.col("label"), F.lit(" "), F.col("n").cast("string")).alias("text"),
     )
-    used = families.join(long.select("family").distinct(), "family", "left_semi")
     name = F.concat(F.lit(prefix), F.col("family"), F.lit(" "))
-    heads = used.select(
-        "family_no",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(0).alias("kind"), F.lit("").alias("label"),
-                    F.concat(F.lit("# HELP "), name, F.col("help")).alias("text"),
-                ),
-                F.struct(
-                    F.lit(1).alias("kind"), F.lit("").alias("label"),
-                    F.concat(F.lit("# TYPE "), name, F.col("type")).alias("text"),
-                ),
-            )
-        ),
+    heads = (
+        named.select("family_no", "family", "type", "help")
+        .distinct()
+        .select(
+            "family_no",
+            F.inline(
+                F.array(
+                    F.struct(
+                        F.lit(0).alias("kind"), F.lit("").alias("label"),
+                        F.concat(F.lit("# HELP "), name, F.col("help")).alias("text"),
+                    ),
+                    F.struct(
+                        F.lit(1).alias("kind"), F.lit("").alias("label"),
+                        F.concat(F.lit("# TYPE "), name, F.col("type")).alias("text"),
+                    ),
+                )
+            ),
+        )
     )
     return heads.unionByName(body).orderBy("family_no", "kind", "label")
 

@@ -95,17 +95,25 @@ def parse_trace_line(lines: DataFrame) -> DataFrame:
     other lines are dropped."""
     from opslens.functions.logline import kv_strict
 
-    shape = r"\A(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[trace\] (\w+) (task=(\d{1,18})(?:\s[\s\S]*)?)\z"
     text = F.col("text")
-    rows = lines.withColumn("event", F.regexp_extract(text, shape, 2)).where(F.col("event").isin(*TRACE_EVENTS))
-    stamp = F.try_to_timestamp(F.regexp_extract(text, shape, 1), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    return rows.withColumns(
-        {
-            "at_ms": F.unix_millis(stamp),
-            "task_id": F.regexp_extract(text, shape, 4).cast("bigint"),
-            "fields": kv_strict(F.regexp_extract(text, shape, 3)),
-        }
-    ).drop("text")
+    # The stamp and the marker have fixed widths: "yyyy-MM-dd HH:mm:ss.SSS [trace] ".
+    body = F.substring(text, F.lit(33), F.length(text))
+    task = F.regexp_extract(body, r"\A\w+ task=(\d{1,18})(?=\s|\z)", 1)
+    rows = once(
+        lines.where(F.substring(text, 24, 9) == " [trace] "),
+        at_ms=F.unix_millis(F.try_to_timestamp(F.substring(text, 1, 23), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))),
+        event=F.substring_index(body, " ", 1),
+        __task=task,
+    )
+    known = F.col("event").isin(*TRACE_EVENTS) & (F.col("__task") != "") & F.col("at_ms").isNotNull()
+    others = [c for c in lines.columns if c not in ("text", "task_id")]
+    return rows.where(known).select(
+        *others,
+        "at_ms",
+        "event",
+        F.col("__task").cast("bigint").alias("task_id"),
+        kv_strict(F.substring(body, F.length("event") + 2, F.length(text))).alias("fields"),
+    )
 
 
 # --- status statistics ----------------------------------------------------------

@@ -15,3 +15,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select("*", F.inline(F.array(row)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a scan that comes in fewer pieces than there are cores.
+
+    Meant for costly expressions over a small file.  A large scan already has more
+    pieces than cores and is returned as it is, so no shuffle is added there.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

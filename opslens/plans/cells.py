@@ -175,7 +175,7 @@ FROM (SELECT *, to_base64(encode(text)) AS p FROM documents) d"""
 )
 def _(spark, sf):
     data = F.encode("text", "UTF-8")
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id", *[b64.encode(data, m).alias(m) for m in ("standard", "url", "mime")]
     )
 

@@ -379,7 +379,7 @@ def _(spark, sf):
       FROM h GROUP BY block HAVING count(*) > 1) z""",
 )
 def _(spark, sf):
-    files = views.table(spark, sf, "documents").select(
+    files = views.documents(spark, sf).select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "text"
     )
     return ops.duplicate_blocks(files)

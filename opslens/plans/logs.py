@@ -155,7 +155,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return (
-        views.table(spark, sf, "documents")
+        views.documents(spark, sf)
         .groupBy("lang")
         .agg(
             F.count(F.lit(1)).alias("docs"),
@@ -190,7 +190,7 @@ _FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 )
 def _(spark, sf):
     t = F.col("text")
-    return views.table(spark, sf, "documents").select(
+    return views.documents(spark, sf).select(
         "doc_id",
         (L.text_pred(t, "contains", "éCOLE") | L.text_pred(t, "contains", "LES")).alias("has"),
         L.text_pred(t, "starts_with", "E").alias("starts"),
@@ -491,7 +491,7 @@ _HEADS = ", ".join(f"({i}, '{n}', '{t}', '{h}')" for i, (n, t, h) in enumerate(o
       UNION ALL SELECT family_no, 1, '', '# TYPE opslens_' || fam || ' ' || typ FROM heads WHERE fam IN (SELECT fam FROM samples)) z""",
 )
 def _(spark, sf):
-    return ops.prometheus_lines(flow(spark, sf), views.log_lines(spark, sf), ROUTES)
+    return ops.prometheus_lines(flow(spark, sf), ROUTES)
 
 
 @query(

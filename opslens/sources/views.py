@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.operators.staging import spread
+
 # The lines source files are made of, by template number.
 TEMPLATES = [
     "#include <vector>",
@@ -62,6 +64,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _text(value: Column) -> Column:
     return value.cast("string")
 
@@ -110,7 +116,8 @@ def log_line_columns() -> list[Column]:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(*log_line_columns())
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return spread(events).select(*log_line_columns())
 
 
 def task_result_columns() -> list[Column]:
@@ -150,7 +157,10 @@ def task_result_columns() -> list[Column]:
 
 
 def task_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*task_result_columns())
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+    )
+    return spread(orders).select(*task_result_columns())
 
 
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +171,7 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.struct(F.lit(i + 1).cast("bigint").alias("seq"), F.lit(e).alias("event")) for i, e in enumerate(events)]
     )
     wanted = F.when(key % 19 == 0, 1).when(key % 5 == 0, 8).otherwise(4)
-    rows = table(spark, sf_dir, "orders").select(
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
         "o_orderkey", "o_custkey", F.inline(F.slice(steps, F.lit(1), wanted))
     )
     at = F.lit(1_700_000_000_000) + key * 10 + F.col("seq") * (cust % 97)
@@ -389,7 +399,7 @@ def b64_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((doc % 6 == 5) & (doc % 2 == 1) & (doc % 5 != 0), "lenient")
         .otherwise("strict")
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("source").alias("origin"), value.alias("value"), mode.alias("mode")
     )
 
