@@ -29,9 +29,10 @@ def _over(kind: str, value: Column, window) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value).over(window)
 
 
-def _total(kind: str, value: Column, rank: Column) -> Column:
+def _total(kind: str, value: Column, rank: Column, reverse: bool) -> Column:
     if kind == "last":
-        return F.max_by(value, F.when(value.isNotNull(), rank))
+        newest = F.min_by if reverse else F.max_by
+        return newest(value, F.when(value.isNotNull(), rank))
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value)
 
 
@@ -64,7 +65,7 @@ def running(
 
     rank = F.struct(*[F.col(c) for c in order])
     totals = base.groupBy(*keys, chunk).agg(
-        *[_total(kind, F.col(f"__v_{n}"), rank).alias(f"__t_{n}") for n, (kind, _) in specs.items()]
+        *[_total(kind, F.col(f"__v_{n}"), rank, reverse).alias(f"__t_{n}") for n, (kind, _) in specs.items()]
     )
     earlier = (
         Window.partitionBy(*keys)

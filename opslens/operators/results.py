@@ -155,7 +155,10 @@ def tag_stats_total(results: DataFrame) -> DataFrame:
     workers = rows.where((F.col("no_worker") == 0) & F.col("worker").isNotNull()).select(
         F.lit("worker").alias("block"), F.col("worker").cast("string").alias("name"), *names
     )
-    whole = rows.where((F.col("no_tag") == 1) & (F.col("no_worker") == 1))
+    # Summing the one grand row keeps the TOTAL rows, as zeros, for an empty log.
+    whole = rows.where((F.col("no_tag") == 1) & (F.col("no_worker") == 1)).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for n in names for c in (n, f"w_{n}")]
+    )
     total = whole.select(F.lit("tag").alias("block"), F.lit("TOTAL").alias("name"), *names)
     worker_total = whole.select(
         F.lit("worker").alias("block"), F.lit("TOTAL").alias("name"), *[F.col(f"w_{n}").alias(n) for n in names]

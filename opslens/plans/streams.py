@@ -44,7 +44,7 @@ def log_stream(spark, sf):
 @query("stream_log_lines", "SELECT source, source_type, count(*) AS lines FROM log_lines GROUP BY source, source_type")
 def _(spark, sf):
     out = fresh_dir(spark, "stream_log_lines")
-    flows.stream_to_table(log_stream(spark, sf), out)
+    flows.land_lines(log_stream(spark, sf), out)
     return flows.read_batches(spark, out).groupBy("source", "source_type").agg(F.count(F.lit(1)).alias("lines"))
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from opslens.functions.text import glob_match
 
-LOG_SCHEMA = "source string, line_no bigint, ingested_ts timestamp, text string, source_type string"
-
 # What counts as source code, as a header, and which folders hold
 # foreign or generated code.
 CODE_EXTENSIONS = ["cpp", "cc", "cxx", "c", "h", "hpp", "hh", "hxx", "inl", "ipp", "tcc"]
@@ -31,6 +29,35 @@ BUILD_NAMES = ["cmakelists.txt", "makefile", "meson.build", "build.bazel", "work
 # --- log files ------------------------------------------------------------------
 
 
+def file_lines(raw: DataFrame, source_type: str) -> DataFrame:
+    """Columns every text scan delivers: ``source, block, text, source_type``."""
+    return raw.select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"\r\z", "").alias("text"),
+        F.lit(source_type).alias("source_type"),
+    )
+
+
+def number_file_lines(lines: DataFrame) -> DataFrame:
+    """Turn ``block`` into ``line_no``, the 1-based number of a line in its file.
+
+    Files may be split: lines are numbered inside each split, then shifted by the
+    sizes of the earlier splits of the file.
+    """
+    placed = lines.withColumn("__at", F.monotonically_increasing_id())
+    inside = Window.partitionBy("source", "block").orderBy("__at")
+    sizes = lines.groupBy("source", "block").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("source", "block", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__shift"))
+    return (
+        placed.withColumn("__n", F.row_number().over(inside))
+        .join(shift, ["source", "block"])
+        .withColumn("line_no", (F.col("__n") + F.col("__shift")).cast("bigint"))
+        .drop("block", "__at", "__n", "__shift")
+    )
+
+
 def read_log_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -40,35 +67,16 @@ def read_log_lines(
 ) -> DataFrame:
     """Lines of log files with source, 1-based line number and ingest time.
 
-    Only ``\\n`` ends a line; one trailing ``\\r`` is removed.  Files may be split:
-    lines are numbered inside each split, then shifted by the sizes of the
-    earlier splits of the file.
+    Only ``\\n`` ends a line; one trailing ``\\r`` is removed.
     """
     reader = spark.read.option("lineSep", "\n")
     if include:
         reader = reader.option("pathGlobFilter", include)
-    raw = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", r"\r\z", "").alias("text"),
-    )
+    lines = file_lines(reader.text(paths), source_type)
     if excludes:
-        raw = raw.where(glob_match(F.col("source"), "*", list(excludes)))
-    inside = Window.partitionBy("source", "block").orderBy("at")
-    sizes = raw.groupBy("source", "block").agg(F.count(F.lit(1)).alias("size"))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("source", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("shift"))
-    return (
-        raw.withColumn("n", F.row_number().over(inside))
-        .join(shift, ["source", "block"])
-        .select(
-            "source",
-            (F.col("n") + F.col("shift")).cast("bigint").alias("line_no"),
-            F.current_timestamp().alias("ingested_ts"),
-            "text",
-            F.lit(source_type).alias("source_type"),
-        )
+        lines = lines.where(glob_match(F.col("source"), "*", list(excludes)))
+    return number_file_lines(lines).select(
+        "source", "line_no", F.current_timestamp().alias("ingested_ts"), "text", "source_type"
     )
 
 
@@ -145,11 +153,9 @@ def _text_files(spark: SparkSession, root: str, wanted: Column, include_all: boo
     files = files.withColumn("path", below).where(wanted)
     if not include_all:
         files = files.where(~in_skipped_folder(F.col("path")))
-    binary = F.instr(F.hex(F.substring("content", 1, 8192)), "00")
-    nul = F.exists(
-        F.regexp_extract_all(F.hex(F.substring("content", 1, 8192)), F.lit("(..)"), F.lit(1)), lambda b: b == "00"
-    )
-    return files.where((binary == 0) | ~nul).select("path", F.decode("content", "UTF-8").alias("text"))
+    # One character per byte, so that a NUL byte can be looked for.
+    head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
+    return files.where(~F.contains(head, F.lit("\u0000"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_corpus(spark: SparkSession, root: str, include_all: bool = False) -> DataFrame:
@@ -205,7 +211,6 @@ def read_review_documents(spark: SparkSession, paths: str | Sequence[str]) -> Da
     return (
         spark.read.schema(FINDINGS_SCHEMA)
         .option("multiLine", "true")
-        .option("encoding", "UTF-8")
         .json(paths)
         .withColumn("document", F.col("_metadata.file_path"))
     )

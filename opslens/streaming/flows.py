@@ -18,26 +18,19 @@ from opslens.functions import logline as L
 from opslens.operators import logs as ops
 from opslens.operators import ordered as O
 from opslens.operators import results as R
+from opslens.sources.readers import file_lines, number_file_lines
 
 
 def stream_log_lines(spark: SparkSession, path: str, source_type: str = "file", per_batch: int | None = None) -> DataFrame:
     """Lines of the log files landing in a folder, each file read once.
 
     Files must be complete when they appear; new files are picked up while the
-    stream runs and after a restart from its checkpoint.  A line is identified by
-    its file and its place in it (``block`` and ``at`` increase along a file).
+    stream runs and after a restart from its checkpoint.
     """
     reader = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.current_timestamp().alias("ingested_ts"),
-        F.regexp_replace("value", r"\r\z", "").alias("text"),
-        F.lit(source_type).alias("source_type"),
-    )
+    return file_lines(reader.text(path), source_type)
 
 
 def stream_table(spark: SparkSession, path: str, schema, per_batch: int | None = None) -> DataFrame:
@@ -224,6 +217,16 @@ def stream_result_stats(lines: DataFrame, out: str):
     return _append_batches(R.tag_status_stats(R.parse_task_result(lines)), out, lambda batch, _epoch: batch, "update")
 
 
-def stream_to_table(lines: DataFrame, out: str):
+def land_log_files(lines: DataFrame, out: str):
+    """Land the lines of :func:`stream_log_lines` with their numbers.  A file is read
+    in one batch, so numbers equal those of the batch reader."""
+
+    def numbered(batch: DataFrame, _epoch: int) -> DataFrame:
+        return number_file_lines(batch).withColumn("ingested_ts", F.current_timestamp())
+
+    return _append_batches(lines, out, numbered)
+
+
+def land_lines(lines: DataFrame, out: str):
     """Land a stream of lines as they are."""
     return _append_batches(lines, out, lambda batch, _epoch: batch)
