@@ -438,7 +438,7 @@ def build_line_index(offsets: DataFrame, interval: int) -> DataFrame:
     return offsets.where(last >= first).select("source", F.explode(marks).alias("mark"), "last_ts_ms")
 
 
-def index_seek(index: DataFrame, probes: DataFrame, bucket: int = 86_400_000) -> DataFrame:
+def index_seek(index: DataFrame, probes: DataFrame, bucket: int = 60_000) -> DataFrame:
     """Per probe ``(source, since_ms)``: last mark stamped at or before it (null: scan
     the whole source) and first mark stamped at or after it."""
     seek = O.asof_last(

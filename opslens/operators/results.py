@@ -265,7 +265,7 @@ def task_latency(trace: DataFrame, chunk: int = O.CHUNK_ROWS) -> DataFrame:
     )
 
 
-def cancel_resolution(trace: DataFrame, requests: DataFrame, bucket: int = 3_600_000) -> DataFrame:
+def cancel_resolution(trace: DataFrame, requests: DataFrame, bucket: int = 60_000) -> DataFrame:
     """Whether each cancel request ``(task_id, request_id, at_ms)`` finds its task queued.
 
     The last queue event at or before the request decides; a request succeeds

@@ -12,7 +12,8 @@ from opslens.functions import text as T
 from opslens.operators import logs as ops
 from opslens.operators import ordered as O
 from opslens.plans.oracle import crc32, sql
-from opslens.sources import views
+from opslens.session import fresh_dir
+from opslens.sources import readers, sinks, views
 
 CUSTOM = {"AUDIT": 7}
 TAGS = {"logs/app_0.log": "env=prod,tier=edge", "logs/app_1.log": "env=test,user=tagged,canary"}
@@ -281,14 +282,12 @@ def _(spark, sf):
       SELECT 'stdin' FROM conversations) x GROUP BY source_type""",
 )
 def _(spark, sf):
-    from opslens.sources.readers import union_sources
-
     lines = views.log_lines(spark, sf)
     console = views.table(spark, sf, "conversations").select(
         F.lit("stdin").alias("source"), F.monotonically_increasing_id().alias("line_no"), F.col("text")
     )
     return (
-        union_sources(
+        readers.union_sources(
             file=lines.where("source_type = 'file'"), glob=lines.where("source_type = 'glob'"), stdin=console
         )
         .groupBy("source_type")
@@ -788,36 +787,59 @@ def _(spark, sf):
     "SELECT DISTINCT source AS path FROM log_lines",
 )
 def _(spark, sf):
-    from opslens.sources.readers import distinct_paths
-
     e = F.col("line_id")
     written = F.when(e % 4 == 0, F.concat(F.lit("./"), F.col("source"))).when(
         e % 4 == 1, F.replace("source", F.lit("/"), F.lit("//"))
     ).when(e % 4 == 2, F.replace("source", F.lit("/"), F.lit("/x/../"))).otherwise(F.col("source"))
-    return distinct_paths(views.log_lines(spark, sf).select(written.alias("path")))
+    return readers.distinct_paths(views.log_lines(spark, sf).select(written.alias("path")))
 
 
 @query(
     "write_per_source",
-    "SELECT replace(replace(source, 'logs/', ''), '.', '_') AS name, count(*) AS lines FROM log_lines GROUP BY 1",
+    "SELECT replace(replace(source, 'logs/', ''), '.', '_') AS name, count(*) AS lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM log_lines GROUP BY 1",
 )
 def _(spark, sf):
-    return (
-        views.log_lines(spark, sf)
-        .groupBy(T.safe_source_name(F.col("source")).alias("name"))
-        .agg(F.count(F.lit(1)).alias("lines"))
+    out = fresh_dir(spark, "write_per_source")
+    sinks.write_per_source(views.log_lines(spark, sf), F.col("text"), out)
+    return spark.read.text(out).groupBy("name").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(T.utf8_bytes(F.col("value"))).alias("bytes")
     )
 
 
 @query(
     "write_daily",
-    "SELECT strftime(ingested_ts, '%Y-%m-%d') AS dt, count(*) AS lines FROM log_lines GROUP BY 1",
+    "SELECT strftime(ingested_ts, '%Y-%m-%d') AS dt, count(*) AS lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM log_lines GROUP BY 1",
 )
 def _(spark, sf):
-    return (
-        views.log_lines(spark, sf)
-        .groupBy(F.date_format("ingested_ts", "yyyy-MM-dd").alias("dt"))
-        .agg(F.count(F.lit(1)).alias("lines"))
+    out = fresh_dir(spark, "write_daily")
+    sinks.write_daily(views.log_lines(spark, sf), F.col("text"), F.col("ingested_ts"), out)
+    written = spark.read.schema("value string, dt string").text(out)
+    return written.groupBy("dt").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(T.utf8_bytes(F.col("value"))).alias("bytes")
+    )
+
+
+@query(
+    "read_log_lines",
+    """SELECT replace(replace(source, 'logs/', ''), '.', '_') AS name, count(*) AS lines, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
+      true AS dense FROM log_lines GROUP BY 1""",
+)
+def _(spark, sf):
+    out = fresh_dir(spark, "read_log_lines")
+    sinks.write_per_source(views.log_lines(spark, sf), F.col("text"), out)
+    per_file = (
+        readers.read_log_lines(spark, out)
+        .groupBy("source")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("line_no").alias("top"),
+            F.sum("line_no").alias("total"),
+            F.sum(T.utf8_bytes(F.col("text"))).alias("bytes"),
+        )
+    )
+    dense = (F.col("top") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1))
+    return per_file.groupBy(F.regexp_extract("source", "/name=([^/]+)/", 1).alias("name")).agg(
+        F.sum("n").alias("lines"), F.sum("bytes").alias("bytes"), F.every(dense).alias("dense")
     )
 
 

@@ -121,6 +121,14 @@ def read_task_results(spark: SparkSession, folder: str, prefix: str, day: str) -
     return lines.select(F.regexp_replace("value", r"\r\z", "").alias("text")), found
 
 
+def read_result_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Lines of the days ``first`` to ``last`` (``yyyyMMdd``) of a folder written by
+    ``write_task_results``; other days are not opened."""
+    rows = spark.read.schema("value string, day string").option("lineSep", "\n").text(path)
+    wanted = F.col("day").between(first, last)
+    return rows.where(wanted).select("day", F.regexp_replace("value", r"\r\z", "").alias("text"))
+
+
 # --- source files -------------------------------------------------------------------
 
 

@@ -1,4 +1,9 @@
-"""Partitioned text outputs."""
+"""Partitioned text outputs.
+
+Rows are rebalanced by the partition column first: small days share a writer, a
+day or source that holds much of the data is split over many, and each folder gets
+few files.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +13,31 @@ from pyspark.sql import functions as F
 from opslens.functions.text import safe_source_name
 
 
+def _write(rows: DataFrame, folder: str, path: str, mode: str) -> None:
+    rows.hint("rebalance", folder).write.partitionBy(folder).mode(mode).text(path)
+
+
 def write_daily(lines: DataFrame, line: Column, at: Column, path: str, mode: str = "append") -> None:
     """Text files in one folder per calendar day, ``dt=yyyy-MM-dd``."""
     day = F.date_format(at, "yyyy-MM-dd")
-    lines.select(line.alias("value"), day.alias("dt")).write.partitionBy("dt").mode(mode).text(path)
+    _write(lines.select(line.alias("value"), day.alias("dt")), "dt", path, mode)
 
 
 def write_per_source(lines: DataFrame, line: Column, path: str, mode: str = "append") -> None:
     """Text files in one folder per input source, named after the file."""
     named = lines.select(line.alias("value"), safe_source_name(F.col("source")).alias("name"))
-    named.write.partitionBy("name").mode(mode).text(path)
+    _write(named, "name", path, mode)
 
 
 def write_outputs(fanned: DataFrame, path: str, mode: str = "append") -> None:
     """Text files in one folder per output of ``fan_out`` rows."""
-    fanned.select(F.col("line").alias("value"), "output").write.partitionBy("output").mode(mode).text(path)
+    _write(fanned.select(F.col("line").alias("value"), "output"), "output", path, mode)
 
 
 def write_task_results(results: DataFrame, text: Column, at: Column, path: str, mode: str = "append") -> None:
     """Result lines in one folder per day, ``day=yyyyMMdd``."""
     day = F.date_format(at, "yyyyMMdd")
-    results.select(text.alias("value"), day.alias("day")).write.partitionBy("day").mode(mode).text(path)
+    _write(results.select(text.alias("value"), day.alias("day")), "day", path, mode)
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "error") -> None:
