@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 
 VIEWS["findings"] = """
-SELECT l_orderkey // 100 AS review_id, 'L-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
+SELECT l_orderkey // 100 AS review_id, 'L-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,
   l_partkey AS pk, ['blocker', 'MAJOR', ' minor ', 'Nit', 'weird', 'Minor'][CAST(l_partkey % 6 + 1 AS BIGINT)] AS written,
   ['Blocker', 'Major', 'Minor', 'Nit', 'Minor', 'Minor'][CAST(l_partkey % 6 + 1 AS BIGINT)] AS severity,
   [0, 1, 2, 3, 2, 2][CAST(l_partkey % 6 + 1 AS BIGINT)] AS rk,

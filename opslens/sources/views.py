@@ -267,6 +267,7 @@ def finding_id() -> Column:
         _text(F.col("l_linenumber")),
         _text(F.col("l_partkey")),
         _text(F.col("l_suppkey")),
+        _text(F.round(F.col("l_extendedprice") * 100).cast("bigint")),
     )
 
 
