@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType
 from opslens import rules
 from opslens.functions import code as C
 from opslens.functions import text as T
-from opslens.operators.staging import once
+from opslens.operators.staging import once, small_table
 from opslens.sources.readers import HEADER_EXTENSIONS, extension
 
 
@@ -447,7 +447,7 @@ def build_flag_counts(files: DataFrame) -> DataFrame:
 
 def missing_build_categories(flags: DataFrame) -> DataFrame:
     """Categories worth having of which no flag was found, with the suggestion."""
-    wanted = flags.sparkSession.createDataFrame(list(rules.SUGGESTIONS.items()), "category string, suggestion string")
+    wanted = small_table(flags.sparkSession, ["category", "suggestion"], rules.SUGGESTIONS.items())
     return wanted.join(flags, "category", "left_anti")
 
 
@@ -639,11 +639,26 @@ def iteration_trend(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def _place(rows: DataFrame, order: list[str]) -> Column:
+    """Text that sorts like the given columns (``-n``: largest number first)."""
+    types = dict(rows.dtypes)
+    parts = []
+    for name in order:
+        column = F.col(name.lstrip("-"))
+        if name.startswith("-"):
+            column = F.lit(10**17) - column
+        if types[name.lstrip("-")] != "string":
+            column = F.lpad(column.cast("string"), 18, "0")
+        parts.append(column)
+    return F.concat_ws("\u0001", *parts)
+
+
 def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, since: str, k: int = 15) -> DataFrame:
-    """The whole scan as one JSON document in one row.
+    """The whole scan as ``section, place, text`` lines; their texts joined by newlines
+    are one JSON document.
 
-    Every section is a top-k list or a count per rule, so the document's size does
-    not depend on the corpus.
+    Lines rather than one string: the document is never held in one row, and
+    ``sinks.write_report`` writes it in order.
     """
     lines = explode_code_lines(corpus)
     spans = function_spans(lines)
@@ -654,8 +669,6 @@ def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, s
     churn = churn_x_size(stats, changes, since).orderBy(F.col("risk").desc(), F.col("path").desc()).limit(k)
     magic = magic_number_counts(lines)
     classes = multi_class_headers(header_class_rows(lines))
-    crc_rank = Window.partitionBy("facility").orderBy(F.col("n").desc(), "origin")
-    bypass = wrapper_bypass(lines).withColumn("rank", F.row_number().over(crc_rank)).where(F.col("rank") <= 20)
     sections: list[tuple[str, DataFrame, list[str]]] = [
         ("totals", corpus_totals(corpus), ["scanned_files"]),
         ("top_files_by_size", top_files_by_size(stats, k), ["-loc", "path"]),
@@ -672,18 +685,23 @@ def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, s
         ("build_hardening", flags, ["category", "label"]),
         ("missing_categories", missing_build_categories(flags), ["category"]),
         ("header_composition", classes.orderBy(F.col("classes").desc(), "path").limit(10), ["-classes", "path"]),
-        ("wrapper_bypass", bypass.drop("rank"), ["facility", "-n", "origin"]),
+        ("wrapper_bypass", wrapper_bypass(lines), ["facility", "-n", "origin"]),
         ("magic_numbers", magic.orderBy(F.col("n").desc(), "path").limit(10), ["-n", "path"]),
         ("magic_number_total", magic.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), ["total"]),
     ]
-    whole = None
-    for place, (name, rows, order) in enumerate(sections):
-        keys = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in order]
-        entry = F.struct(F.struct(*[e.alias(f"k{i}") for i, e in enumerate(keys)]).alias("at"), F.to_json(F.struct("*")).alias("text"))
-        packed = rows.agg(F.array_sort(F.collect_list(entry)).alias("rows")).select(
-            F.lit(place).alias("place"),
-            F.concat(F.lit(f'"{name}":['), F.array_join(F.col("rows.text"), ","), F.lit("]")).alias("text"),
+    frame, entries = [(-1, "", "{")], None
+    for number, (name, rows, order) in enumerate(sections):
+        frame.append((3 * number, "", f'  "{name}": ['))
+        frame.append((3 * number + 2, "", "  ]" if number == len(sections) - 1 else "  ],"))
+        listed = rows.select(
+            F.lit(3 * number + 1).alias("section"), _place(rows, order).alias("place"), F.to_json(F.struct("*")).alias("entry")
         )
-        whole = packed if whole is None else whole.unionByName(packed)
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct("place", "text")))["text"], ",")
-    return whole.agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("report"))
+        entries = listed if entries is None else entries.unionByName(listed)
+    frame.append((3 * len(sections), "", "}"))
+    last = entries.groupBy("section").agg(F.max("place").alias("last"))
+    comma = F.when(F.col("place") == F.col("last"), "").otherwise(",")
+    body = entries.join(last, "section").select(
+        "section", "place", F.concat(F.lit("    "), F.col("entry"), comma).alias("text")
+    )
+    fixed = small_table(corpus.sparkSession, ["section", "place", "text"], frame)
+    return fixed.unionByName(body).orderBy("section", "place")

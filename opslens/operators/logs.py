@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opslens.functions import logline as L
 from opslens.functions import text as T
 from opslens.operators import ordered as O
-from opslens.operators.staging import once
+from opslens.operators.staging import join_checked, once, small_table
 
 Record = dict[str, Column]
 
@@ -185,8 +185,12 @@ def tags_of(spec: str) -> dict[str, str]:
 
 def tag_table(spark: SparkSession, specs: dict[str, str]) -> DataFrame:
     """``source, tags`` of configured inputs."""
-    rows = [(source, tags_of(spec)) for source, spec in specs.items()]
-    return spark.createDataFrame(rows, "source string, tags map<string,string>")
+    def tag_map(spec: str) -> Column:
+        pairs = [F.lit(x) for pair in tags_of(spec).items() for x in pair]
+        return F.create_map(*pairs).cast("map<string,string>")
+
+    rows = [(source, tag_map(spec)) for source, spec in specs.items()]
+    return small_table(spark, ["source", "tags"], rows)
 
 
 def attach_source_tags(lines: DataFrame, tags: DataFrame) -> DataFrame:
@@ -306,7 +310,7 @@ def disposition_counters(flow: DataFrame, routes: Sequence[L.Route]) -> DataFram
 def level_counts(records: DataFrame) -> DataFrame:
     """Lines per built-in level, zero rows included; severities above 4 count as RAW."""
     spark = records.sparkSession
-    names = spark.createDataFrame([(s, n) for n, s in L.SEVERITIES.items()], "severity int, level string")
+    names = small_table(spark, ["severity", "level"], [(s, n) for n, s in L.SEVERITIES.items()])
     counted = records.groupBy(F.least(F.col("severity"), F.lit(4)).alias("severity")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -389,7 +393,7 @@ def _anchors(lines: DataFrame, since_ms: int) -> DataFrame:
 def replay_since(lines: DataFrame, since_ms: int) -> DataFrame:
     """Per source, everything from the first line stamped at or after ``since_ms``."""
     return (
-        lines.join(_anchors(lines, since_ms), "source")
+        join_checked(lines, _anchors(lines, since_ms), ["source"])
         .where(F.col("line_no") >= F.col("anchor"))
         .drop("anchor")
     )
@@ -398,7 +402,7 @@ def replay_since(lines: DataFrame, since_ms: int) -> DataFrame:
 def replay_skipped_bytes(lines: DataFrame, since_ms: int) -> DataFrame:
     skipped = F.col("anchor").isNull() | (F.col("line_no") < F.col("anchor"))
     return (
-        lines.join(_anchors(lines, since_ms), "source")
+        join_checked(lines, _anchors(lines, since_ms), ["source"])
         .groupBy("source")
         .agg(F.coalesce(F.sum(F.when(skipped, line_size(F.col("text")))), F.lit(0)).alias("skipped_bytes"))
     )
@@ -474,7 +478,7 @@ def replay_positioning(offsets: DataFrame, index: DataFrame, since_ms: int) -> D
     sources = offsets.groupBy("source").agg(F.max("end").alias("size"))
     placed = sources.join(marks, "source", "left")
     aligned = (
-        offsets.join(marks, "source")
+        join_checked(offsets, marks, ["source"])
         .where(F.col("start") <= F.col("mark"))
         .groupBy("source")
         .agg(F.max("start").alias("start"))
@@ -651,8 +655,8 @@ def metric_facts(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
     )
     zero = [("lines_ingested_total", name) for name in L.SEVERITIES]
     zero += [(f"kv_{name}_total", "") for name in ("lines_attempted", "lines_extracted", "fields_extracted")]
-    shown_anyway = flow.sparkSession.createDataFrame(
-        [(family, key, "", 0) for family, key in zero], "family string, key string, value string, n bigint"
+    shown_anyway = small_table(
+        flow.sparkSession, ["family", "key", "value", "n"], [(family, key, "", 0) for family, key in zero]
     )
     summed = (
         lines.select(F.inline(facts))
@@ -709,9 +713,10 @@ def prometheus_lines(
         )
     )
     long = counted.unionByName(active).unionByName(common).unionByName(rate)
-    families = spark.createDataFrame(
-        [(i, name, kind, text, LABELS.get(name)) for i, (name, kind, text) in enumerate(FAMILIES)],
-        "family_no int, family string, type string, help string, label_name string",
+    families = small_table(
+        spark,
+        ["family_no", "family", "type", "help", "label_name"],
+        [(i, name, kind, text, LABELS.get(name, "")) for i, (name, kind, text) in enumerate(FAMILIES)],
     )
     one_label = F.concat(F.lit("{"), F.col("label_name"), F.lit('="'), escape_label(F.col("key")), F.lit('"}'))
     two_labels = F.concat(

@@ -63,7 +63,8 @@ def running(
     def directed(columns):
         return [F.col(c).desc() if reverse else F.col(c).asc() for c in columns]
 
-    rank = F.struct(*[F.col(c) for c in order])
+    # A single order column keeps the totals on hash aggregation.
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     totals = base.groupBy(*keys, chunk).agg(
         *[_total(kind, F.col(f"__v_{n}"), rank, reverse).alias(f"__t_{n}") for n, (kind, _) in specs.items()]
     )

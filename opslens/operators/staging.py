@@ -1,10 +1,16 @@
-"""Keep costly columns from being computed more than once."""
+"""Helpers that steer where work is done: once per row, on all cores, without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.session import shared_dir
+
+BROADCAST_ROWS = 1_000_000
+
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
@@ -27,3 +33,23 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def small_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
+    """A literal table whose few bytes the optimizer knows, so joins with it need no
+    shuffle."""
+    entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*entries)))
+
+
+def join_checked(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with an aggregate that is usually small, such as one row per source.
+
+    The aggregate is written to the checkpoint folder and counted; only up to
+    ``BROADCAST_ROWS`` rows is it broadcast, which saves shuffling the big side.
+    Beyond that the join is Spark's own, with AQE splitting skewed keys.
+    """
+    shared_dir(small.sparkSession)
+    kept = small.checkpoint()
+    fits = kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(kept) if fits else kept, list(keys), how)

@@ -270,7 +270,8 @@ def test_report_is_json(spark):
     df = corpus(spark, a_dot_cpp='#include <b>\nint f() {\n  x = new Foo; // TODO\n}\nprintf("k1=%d", 42);\n', a_dot_h="#pragma once\n")
     builds = corpus(spark, CMakeLists_dot_txt="-Wall")
     changes = spark.sql("select 'a.cpp' path, timestamp_ntz'2026-01-02 00:00:00' committed_at")
-    report = json.loads(ops.scan_report_json(df, builds, changes, "2026-01-01").first().report)
+    rows = ops.scan_report_json(df, builds, changes, "2026-01-01").orderBy("section", "place").collect()
+    report = json.loads("\n".join(r.text for r in rows))
     assert report["totals"] == [{"scanned_files": 2, "total_loc": 6}]
     assert report["longest_functions"] == [{"path": "a.cpp", "start": 2, "name": "f", "length": 3}]
     assert {r["rule"] for r in report["red_flags"]} == {"raw new", "printf family"}
