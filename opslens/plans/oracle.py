@@ -136,10 +136,12 @@ WHERE seq <= CASE WHEN o_orderkey % 19 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 8
 def sql(body: str) -> str:
     """``body`` with a WITH clause for every derived table it (indirectly) names."""
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for word in re.findall(r"[a-z_][a-z0-9_]*", text):
-            if word in VIEWS and word not in ordered:
+            if word in VIEWS and word not in seen:
+                seen.add(word)
                 visit(VIEWS[word])
                 ordered.append(word)
 

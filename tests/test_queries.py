@@ -24,8 +24,8 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
-def test_only_two_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"scan_report_json", "reference_graph"}
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
