@@ -67,14 +67,16 @@ def rate_limit_aligned(
     return O.admit_first(second, [*keys, "second"], [at, "line_no"], limit, used=used)
 
 
-def _jump_table(times: np.ndarray, span: int) -> np.ndarray:
-    """For each start point, the last window start reached from it."""
+def _last_starts(times: np.ndarray, span: int) -> np.ndarray:
+    """For each time taken as a window start, the last start its chain reaches."""
+    here = np.arange(len(times))
     following = np.searchsorted(times, times + span)
-    exits = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            exits[i] = exits[following[i]]
-    return exits
+    at = np.where(following < len(times), following, here)
+    while True:
+        further = at[at]
+        if np.array_equal(further, at):
+            return times[at]
+        at = further
 
 
 def window_starts(
@@ -109,7 +111,7 @@ def window_starts(
         reach = int(np.searchsorted(times, times[0] - times[0] % block + span)) + 1
         head = rows.iloc[:1][[*keys, "block"]].copy()
         head["times"] = [times[:reach]]
-        head["exits"] = [_jump_table(times, span)[:reach]]
+        head["exits"] = [_last_starts(times, span)[:reach]]
         return head
 
     summaries = points.groupBy(*keys, "block").applyInPandas(

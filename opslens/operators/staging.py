@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.session import shared_dir
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -45,11 +45,12 @@ def small_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequen
 def join_checked(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with an aggregate that is usually small, such as one row per source.
 
-    The aggregate is written to the checkpoint folder and counted; only up to
-    ``BROADCAST_ROWS`` rows is it broadcast, which saves shuffling the big side.
+    The aggregate is written to the checkpoint folder and measured; only up to
+    ``BROADCAST_BYTES`` is it broadcast, which saves shuffling the big side.
     Beyond that the join is Spark's own, with AQE splitting skewed keys.
     """
     shared_dir(small.sparkSession)
     kept = small.checkpoint()
-    fits = kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    fits = kept.agg(size.alias("bytes")).first()["bytes"] <= BROADCAST_BYTES
     return big.join(F.broadcast(kept) if fits else kept, list(keys), how)
