@@ -61,9 +61,11 @@ def rate_limit_aligned(
     at: str = "ts_ms",
     used: DataFrame | None = None,
 ) -> DataFrame:
-    """Admit the first ``limit`` lines of each key and clock second; ``used`` may give
-    the lines already admitted per key and ``second``."""
+    """Admit the first ``limit`` lines of each key and clock second (0: all lines);
+    ``used`` may give the lines already admitted per key and ``second``."""
     second = lines.withColumn("second", F.floor(F.col(at) / 1000).cast("bigint"))
+    if limit <= 0:
+        return second.withColumn("admitted", F.lit(True))
     return O.admit_first(second, [*keys, "second"], [at, "line_no"], limit, used=used)
 
 
@@ -170,9 +172,11 @@ def rate_limit_anchored(
     block: int = 3_600_000,
 ) -> DataFrame:
     """Admit the first ``limit`` lines of each window that opens at the first line
-    at least ``span`` ms after the previous window opened."""
+    at least ``span`` ms after the previous window opened (limit 0: all lines)."""
     starts = window_starts(lines, keys, at, span, block)
     placed = lines.join(starts, [*keys, at])
+    if limit <= 0:
+        return placed.withColumn("admitted", F.lit(True))
     return O.admit_first(placed, [*keys, "window_start"], [at, "line_no"], limit)
 
 

@@ -70,11 +70,17 @@ def run_available(
     return query
 
 
-def _append_batches(stream: DataFrame, out: str, build: Callable[[DataFrame, int], DataFrame], mode: str = "append"):
+def _append_batches(
+    stream: DataFrame,
+    out: str,
+    build: Callable[[DataFrame, int], DataFrame],
+    mode: str = "append",
+    interval: str | None = None,
+):
     def each(batch: DataFrame, epoch: int) -> None:
         build(batch, epoch).write.mode("overwrite").parquet(_epoch_dir(out, epoch))
 
-    return run_available(stream, each, f"{out}-checkpoint", mode)
+    return run_available(stream, each, f"{out}-checkpoint", mode, interval)
 
 
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
@@ -109,9 +115,12 @@ def stream_rate_limit(lines: DataFrame, out: str, limit: int, span: int = 1000,
         starts = ops.window_starts(batch, ["source"], "ts_ms", span, block, entry=before)
         placed = batch.join(starts, ["source", "ts_ms"])
         carried = before.select("source", F.col("start").alias("window_start"), "used")
-        judged = O.admit_first(
-            placed, ["source", "window_start"], ["ts_ms", "line_no"], limit, used=carried
-        )
+        if limit <= 0:
+            judged = placed.withColumn("admitted", F.lit(True))
+        else:
+            judged = O.admit_first(
+                placed, ["source", "window_start"], ["ts_ms", "line_no"], limit, used=carried
+            )
         judged.write.mode("overwrite").parquet(_epoch_dir(out, epoch))
         done = spark.read.parquet(_epoch_dir(out, epoch))
         ends = done.groupBy("source").agg(F.max("window_start").alias("start"))
@@ -163,13 +172,15 @@ def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, **options
     return run_available(lines, each, f"{out}-checkpoint")
 
 
-def stream_counters(lines: DataFrame, out: str, custom: dict[str, int] | None = None):
-    """Cumulative lines per level; every batch writes a whole snapshot and the last
-    one is final."""
+def stream_counters(
+    lines: DataFrame, out: str, custom: dict[str, int] | None = None, interval: str | None = None
+):
+    """Cumulative lines per level; every batch, or every ``interval``, writes a whole
+    snapshot and the last one is final."""
     parsed = ops.parse_log_line(lines, custom)
     counts = parsed.groupBy(F.least("severity", F.lit(4)).alias("severity")).agg(F.count(F.lit(1)).alias("lines"))
     named = counts.withColumn("level", L.level_name(F.col("severity")))
-    return _append_batches(named, out, lambda batch, _epoch: batch, "complete")
+    return _append_batches(named, out, lambda batch, _epoch: batch, "complete", interval)
 
 
 def last_snapshot(spark: SparkSession, out: str) -> DataFrame:

@@ -135,3 +135,15 @@ def test_result_stream(spark, tmp_path):
     flows.stream_result_stats(flows.stream_table(spark, str(tmp_path / "in"), df.schema, per_batch=1), out)
     got = sorted(map(tuple, flows.latest(flows.read_batches(spark, out), ["tag"]).collect()))
     assert got == sorted(map(tuple, R.tag_status_stats(R.parse_task_result(df)).collect()))
+
+
+def test_snapshots_at_an_interval(spark, tmp_path):
+    whole = log_batches(spark, tmp_path / "in", count=2)
+    query = flows.stream_counters(stream_of(spark, tmp_path / "in", whole), str(tmp_path / "c"), interval="0 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    snapshots = flows.read_batches(spark, str(tmp_path / "c")).orderBy("epoch").collect()
+    assert [r.lines for r in snapshots][-1] == 100
+    assert [r.lines for r in flows.last_snapshot(spark, str(tmp_path / "c")).collect()] == [100]

@@ -49,6 +49,12 @@ def test_aligned_limit_on_one_crowded_second(spark):
     assert sorted(r.line_no for r in flagged) == list(range(10))
 
 
+def test_limit_zero_admits_all(spark):
+    df = spark.range(50).select(F.lit("a").alias("source"), F.col("id").alias("line_no"), F.lit(1234).cast("bigint").alias("ts_ms"))
+    assert ops.rate_limit_aligned(df, 0).where("admitted").count() == 50
+    assert ops.rate_limit_anchored(df, 0).where("admitted").count() == 50
+
+
 def plain_rotation(sizes, room, header):
     number, used, out = 0, header, []
     for size in sizes:
