@@ -401,6 +401,26 @@ def member_naming_counts(lines: DataFrame) -> DataFrame:
     return counts.select(F.inline(entries))
 
 
+def member_naming_samples(lines: DataFrame, k: int = 3) -> DataFrame:
+    """The first ``k`` lines per member naming rule with the name found."""
+    found = F.array(
+        *[
+            F.struct(F.lit(label).alias("rule"), F.regexp_extract("stripped", pattern, 0).alias("name"))
+            for label, pattern in rules.MEMBER_RULES
+        ]
+    )
+    named = lines.select("path", "line_no", F.inline(F.filter(found, lambda f: f["name"] != "")))
+    order = Window.partitionBy("rule").orderBy("path", "line_no")
+    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("rule", "path", "line_no", "name")
+
+
+def function_naming_samples(spans: DataFrame, k: int = 8) -> DataFrame:
+    """The first ``k`` functions with their naming style."""
+    styled = spans.select("path", "start", "name", C.name_style(F.col("name")).alias("style"))
+    return styled.orderBy("path", "start").limit(k)
+
+
 # --- output text ----------------------------------------------------------------------
 
 
@@ -679,11 +699,14 @@ def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, s
         ("red_flags", hit_totals(hits), ["-hits", "rule"]),
         ("header_hygiene", hit_totals(header_hygiene(corpus, lines)), ["-hits", "rule"]),
         ("function_naming", naming_distribution(spans), ["-functions", "style"]),
+        ("function_naming_samples", function_naming_samples(spans), ["path", "start"]),
         ("member_naming", member_naming_counts(lines), ["rule"]),
+        ("member_naming_samples", member_naming_samples(lines), ["rule", "path", "line_no"]),
         ("log_field_style", log_field_style(fields), ["kind", "label"]),
         ("top_log_keys", top_log_keys(fields), ["-n", "key"]),
         ("build_hardening", flags, ["category", "label"]),
         ("missing_categories", missing_build_categories(flags), ["category"]),
+        ("runtime_cost", small_table(flags.sparkSession, ["category", "cost"], rules.RUNTIME_COST.items()), ["category"]),
         ("header_composition", classes.orderBy(F.col("classes").desc(), "path").limit(10), ["-classes", "path"]),
         ("wrapper_bypass", wrapper_bypass(lines), ["facility", "-n", "origin"]),
         ("magic_numbers", magic.orderBy(F.col("n").desc(), "path").limit(10), ["-n", "path"]),

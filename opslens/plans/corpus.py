@@ -279,6 +279,25 @@ def _(spark, sf):
     return ops.member_naming_counts(lines(spark, sf))
 
 
+@query(
+    "member_naming_samples",
+    """SELECT rule, path, line_no, name FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line_no) AS rn FROM (
+      SELECT path, line_no, unnest(['_member (leading _)', 'member_ (trailing _)', 'm_member (m_ prefix)']) AS rule,
+        unnest(['_y', 'x_', 'm_value']) AS name FROM code_lines WHERE tpl = 15 AND trim(stripped) <> '') m) r WHERE rn <= 3""",
+)
+def _(spark, sf):
+    return ops.member_naming_samples(lines(spark, sf))
+
+
+@query(
+    "function_naming_samples",
+    """SELECT path, start, name, CASE name WHEN 'run' THEN 'lowercase' WHEN 'load_all' THEN 'snake_case' ELSE 'camelCase' END AS style
+      FROM spans ORDER BY path, start LIMIT 8""",
+)
+def _(spark, sf):
+    return ops.function_naming_samples(spans(spark, sf))
+
+
 # Output-like templates: 12 prints, 13 logs; keys inside the literals of every
 # template: status= and n= (too short to count) in 12, "url:" in 13.
 VIEWS["log_keys"] = """
@@ -488,11 +507,19 @@ _SECTIONS = [
     ("red_flags", sql(_totals(_ALL_HITS)), "rule hits files samples", "-hits rule"),
     ("header_hygiene", ORACLES["header_hygiene_totals"], "rule hits files samples", "-hits rule"),
     ("function_naming", ORACLES["naming_distribution"], "style functions minority", "-functions style"),
+    ("function_naming_samples", ORACLES["function_naming_samples"], "path start name style", "path #start"),
     ("member_naming", ORACLES["member_naming_counts"], "rule n", "rule"),
+    ("member_naming_samples", ORACLES["member_naming_samples"], "rule path line_no name", "rule path #line_no"),
     ("log_field_style", ORACLES["log_field_style"], "kind label n", "kind label"),
     ("top_log_keys", ORACLES["top_log_keys"], "key n", "-n key"),
     ("build_hardening", ORACLES["build_flag_counts"], "category label n", "category label"),
     ("missing_categories", ORACLES["missing_build_categories"], "category suggestion", "category"),
+    (
+        "runtime_cost",
+        "SELECT * FROM (VALUES " + ", ".join(f"({_quote(c)}, {_quote(t)})" for c, t in rules.RUNTIME_COST.items()) + ") v(category, cost)",
+        "category cost",
+        "category",
+    ),
     (
         "header_composition",
         f"SELECT * FROM ({ORACLES['multi_class_headers']}) m ORDER BY classes DESC, path LIMIT 10",

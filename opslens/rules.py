@@ -123,3 +123,13 @@ SUGGESTIONS = {
     "hardening": "-fstack-protector-strong, -D_GLIBCXX_ASSERTIONS, /sdl, /guard:cf",
     "sanitizers": "-fsanitize=address,undefined in dev/CI builds",
 }
+RUNTIME_COST = {
+    "warnings": "compile-time only, no runtime cost",
+    "warnings-as-errors": "compile-time only, no runtime cost",
+    "strict": "compile-time only, no runtime cost",
+    "hardening": "runtime ~0-3%, usually negligible (inform user; keep/remove is their call)",
+    "sanitizers": "runtime HIGH: ASan ~2x CPU / 2-3x memory, dev/CI only — inform user; "
+    "removal decision is theirs, never propose removing as a fix",
+    "global-state (§7 anti-pattern)": "compile-time only, no runtime cost",
+    "standards": "compile-time only, no runtime cost",
+}
