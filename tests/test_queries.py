@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from opslens.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -25,10 +26,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
     message, ok = check.compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
     assert ok, message
