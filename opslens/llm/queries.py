@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import bitpack, mixing, sharding
+from opslens.llm import bitpack, mixing, perplexity, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_report(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary of op10; a file of the driver, read there once."""
     import public_tokenizers
@@ -30,7 +34,12 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {"op10_bitpack": op10_bitpack, "op2_mixing": op2_mixing, "op6_sharding": op6_sharding}
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_perplexity": op3_perplexity,
+    "op6_sharding": op6_sharding,
+    "op10_bitpack": op10_bitpack,
+}
 
 # CRC-32 is linear in its low byte: the step xors one constant per set bit.
 _CRC_BITS = [
