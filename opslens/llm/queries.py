@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import bitpack, mixing, perplexity, sharding
+from opslens.llm import bitpack, hmm, mixing, perplexity, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary of op10; a file of the driver, read there once."""
     import public_tokenizers
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_perplexity": op3_perplexity,
     "op6_sharding": op6_sharding,
+    "op9_hmm": op9_hmm,
     "op10_bitpack": op10_bitpack,
 }
 
