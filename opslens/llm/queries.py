@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import bitpack, hmm, mixing, perplexity, sharding
+from opslens.llm import bitpack, hmm, mixing, perplexity, pii, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary of op10; a file of the driver, read there once."""
     import public_tokenizers
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_perplexity": op3_perplexity,
     "op6_sharding": op6_sharding,
+    "op8_pii": op8_pii,
     "op9_hmm": op9_hmm,
     "op10_bitpack": op10_bitpack,
 }
