@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.components import components
-from opslens.llm.shared import parts, written
+from opslens.llm.shared import bitmap, in_bitmap, parts, spot_of, written
 from opslens.llm.words import Words, hashes, mix64, pieces
 
 SHINGLE = 4
@@ -279,24 +278,10 @@ def suffix_filter(pairs: DataFrame, signatures: DataFrame, percent: int) -> Data
     return joined.mapInArrow(_like(percent), "a bigint, b bigint").distinct()
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Hashed ids in a bitmap of ``2**BITMAP_BITS`` bits: 8 MB, whatever the number of ids."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    one = F.expr("shiftleft(1L, cast(pmod(spot, 64) AS int))")
-    rows = ids.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("cell")).agg(F.bit_or(one).alias("bits"))
-    found = rows.toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
-    return out
-
-
 def _sets(size: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
         for batch in batches:
-            spot = batch.column("spot").to_numpy()
-            wanted = (bitmap[spot >> 6] >> (spot & 63)) & 1
-            batch = batch.filter(pa.array(wanted.astype(bool)))
+            batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column("spot").to_numpy())))
             for piece in pieces([batch], "text"):
                 sets = shingle_sets(piece.column("text"), size)
                 # six bytes a shingle: two sets of thousands meet by chance once in 10**8 pairs
@@ -332,8 +317,8 @@ def _verified(percent: int):
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link.  Sets are made for the pairs' documents alone (found by bitmap), once a document."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-    rows = _ready(docs).withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", BITMAP_BITS))
+    rows = _ready(docs).withColumn("spot", spot_of("doc_id", BITMAP_BITS))
     sets = rows.where("doc_id IS NOT NULL").mapInArrow(_sets(size, sent), "doc_id bigint, n bigint, packed binary")
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("packed").alias(f"set_{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")

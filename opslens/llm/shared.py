@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,24 @@ def join_small(big: DataFrame, small: DataFrame, on: Column) -> DataFrame:
 
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spot_of(column: str, bits: int) -> Column:
+    """The bit of a ``2**bits`` bitmap that a value falls on."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def bitmap(values: DataFrame, column: str, bits: int, hashed: bool = True) -> np.ndarray:
+    """The values' spots in a bitmap of fixed size; a chance hit must do no harm where it is used.
+
+    ``hashed=False`` takes the column itself as the spot."""
+    one = F.expr("shiftleft(1L, cast(pmod(spot, 64) AS int))")
+    rows = values.select((spot_of(column, bits) if hashed else F.col(column)).alias("spot"))
+    found = rows.groupBy(F.floor(F.col("spot") / 64).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(found: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    return ((found[spot >> 6] >> (spot & 63)) & 1).astype(bool)
