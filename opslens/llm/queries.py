@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslens.llm import bitpack, decontaminate, hmm, jaccard_join, mixing, perplexity, pii, sharding, superkmers
+from opslens.llm import bitpack, decontaminate, hmm, jaccard_join, mixing, perplexity, pii, sharding, site_quality, superkmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op3_perplexity": op3_perplexity,
+    "op4_site_bayes": op4_site_bayes,
     "op5_superkmers": op5_superkmers,
     "op6_sharding": op6_sharding,
     "op7_jaccard_join": op7_jaccard_join,
