@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.components import components
 from opslens.llm.shared import bitmap, in_bitmap, parts, spot_of, written
-from opslens.llm.words import Words, hashes, mix64, pieces
+from opslens.llm.words import WORD, Words, hashes, mix64, pieces
 
 SHINGLE = 4
 PERCENT = 85
@@ -423,3 +423,24 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     own = named.withColumn("node", F.coalesce("doc_id", "rep"))
     found = own.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """One document of each component, with all its columns: the one with the least id.
+
+    Documents without shingles are alone and all stay; so do rows without id.  Of several rows with the kept
+    id and words in their texts, the one whose text has the least hash stays.
+    """
+    found = similarity_join(docs, percent, size).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    found = written(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "join-groups")
+    gone = found.where("doc_id <> first").select(F.col("doc_id").alias("__id"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    kept = docs.join(gone, (F.col("doc_id") == F.col("__id")) & ~wordless, "left_anti")
+    again = found.where("doc_id = first AND rows > 1").select(F.col("doc_id").alias("__id"))
+    if again.isEmpty():
+        return kept
+    repeated = F.col("doc_id") == F.col("__id")
+    once = kept.where(~wordless).join(again, repeated, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    once = once.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return kept.join(again, repeated & ~wordless, "left_anti").unionByName(once)

@@ -4,15 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from opslens.llm import bitpack, decontaminate, hmm, jaccard_join, mixing, perplexity, pii, sharding, site_quality, superkmers
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+from opslens.llm.tables import table, vocabulary_path
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +21,6 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_report(table(spark, sf_dir, "documents"))
 
 
-def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score_documents(table(spark, sf_dir, "documents"))
-
-
 def op4_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +29,10 @@ def op5_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_join(table(spark, sf_dir, "documents"))
 
@@ -47,11 +41,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary of op10; a file of the driver, read there once."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +60,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_hmm": op9_hmm,
     "op10_bitpack": op10_bitpack,
+    "pipeline": corpus_pipeline.run,
 }
 
 # CRC-32 is linear in its low byte: the step xors one constant per set bit.
@@ -97,5 +89,29 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, law, shar
     row_number() OVER (PARTITION BY shard ORDER BY substr(md5(
         coalesce(strlen(doc_id::VARCHAR) || '=' || doc_id, '~') || ':' || strlen(text_crc32::VARCHAR) || '=' || text_crc32
         || ':' || strlen(size::VARCHAR) || '=' || size || '#slot'), 1, 3),
-        doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard FROM x"""
+        doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard FROM x""",
+    "op5_superkmers": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (s) WHERE f < doc_id),
+x AS (SELECT doc_id, p, ws[p] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM m LEFT JOIN n USING (doc_id)""",
 }

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from opslens.llm import bitpack, queries
+from opslens.llm import bitpack, tables
 
 ODD = [
     None,
@@ -24,7 +24,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    with open(queries.vocabulary_path(), encoding="utf-8") as file:
+    with open(tables.vocabulary_path(), encoding="utf-8") as file:
         return file.read()
 
 
@@ -74,7 +74,7 @@ def test_encoder_equals_whole_texts(vocabulary, spark):
 def test_documents(spark, vocabulary):
     rows = [(i * 7 % 10, t, "x") for i, t in enumerate(ODD)] + [(None, "no id", "x"), (3, "again", "y"), (3, "again", "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string").repartition(3)
-    got = sorted(map(tuple, bitpack.pack_documents(docs, queries.vocabulary_path()).collect()), key=lambda r: r[1])
+    got = sorted(map(tuple, bitpack.pack_documents(docs, tables.vocabulary_path()).collect()), key=lambda r: r[1])
     whole = Tokenizer.from_str(vocabulary)
     assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     want, start = [], 0
@@ -89,4 +89,4 @@ def test_documents(spark, vocabulary):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert bitpack.pack_documents(docs, queries.vocabulary_path()).count() == 0
+    assert bitpack.pack_documents(docs, tables.vocabulary_path()).count() == 0
