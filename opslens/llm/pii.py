@@ -259,15 +259,16 @@ class Detector:
 
 
 def fit(scanned: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Detector:
-    """Learn from at most about ``sample`` labelled candidates, taken by hash of their features and place.
+    """Learn from at most about ``sample`` labelled candidates, taken by hash of their row's key and place.
 
     Seven tenths grow the trees; the others set each kind's margin.
     """
-    rows = scanned.select(F.explode("found").alias("c")).select("c.*").where("label >= 0")
+    key = F.xxhash64(*[F.col(c) for c in scanned.columns if c not in ("base", "found")])
+    rows = scanned.select(key.alias("row"), F.explode("found").alias("c")).select("row", "c.*").where("label >= 0")
     total = rows.count()
-    spot = F.pmod(F.xxhash64("start", "end", "kind", "x"), F.lit(1 << 20))
+    spot = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(1 << 20))
     taken = rows.where(spot < int((1 << 20) * min(1.0, sample / max(total, 1)))).select("kind", "label", "x", (spot % 10).alias("part"))
-    data = taken.orderBy("part", "kind", "label", "x").toArrow()
+    data = taken.orderBy("part", "kind", "label", "x").toArrow()  # the same order in every run
     y = data.column("label").to_numpy().astype(float)
     if len(y) < 50 or len(set(y)) < 2:
         return Detector(None, [float("inf")] * len(KINDS))
