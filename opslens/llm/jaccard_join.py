@@ -7,12 +7,13 @@ Two documents link when the Jaccard similarity of their shingle sets reaches ``p
 2. Shingles are ordered rare first by the sketch (any fixed order is right; rare ones first keep
    groups small).  Two linked sets share a shingle within their prefixes of
    ``n - ceil(n * percent / 100) + 1``, so only prefixes meet, by shingle.
-3. In a shingle's group, sorted by set size, neighbours that pass the length and positional
-   filters become candidates.  The suffix filter drops those whose signatures differ in more
-   places than linked sets may differ in.  The others are verified, a spanning choice first.
-4. Groups that still hold several components are compared block by block, across components only,
-   so a large group of near copies costs its length and not its square, and no link between
-   components is lost.
+3. In a shingle's group, sorted by set size, each document is a candidate with the leader, the first
+   one that the length filter lets it link to, if the positional filter allows.  The suffix filter drops
+   those whose signatures differ in more places than linked sets may differ in.  The others are
+   verified, a spanning choice first.
+4. Groups that still hold several components are compared block by block, across components only
+   and through all filters, so a large group of near copies costs its length and not its square,
+   and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -195,7 +196,7 @@ def _prefixes(size: int, percent: int, sent):
     return run
 
 
-_RUNS = "token bigint, salt int, doc_id bigint, n int, place int, before bigint, before_n int"
+_RUNS = "token bigint, salt int, doc_id bigint, n int, place int, leader bigint"
 
 
 def _passes(n1, place1, n2, place2, percent: int):
@@ -242,14 +243,19 @@ def _runs(percent: int):
             same = np.zeros(len(token) + 1, bool)
             same[1:-1] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
             shared = same[:-1] | same[1:] | (salt > 0)
-            before = np.zeros(len(token), bool)
-            before[1:] = same[1:-1] & _passes(n[:-1], place[:-1], n[1:], place[1:], percent) & (doc[1:] != doc[:-1])
-            shift = lambda c: np.concatenate([c[:1], c[:-1]])
+            lead = np.arange(len(token))
+            starts = np.flatnonzero(~same[:-1] & same[1:])
+            ends = np.flatnonzero(same[:-1] & ~same[1:]) + 1
+            for start, end in zip(starts.tolist(), ends.tolist()):
+                while start < end:  # the first of a run leads all that the length filter lets link to it
+                    stop = start + int(np.searchsorted(n[start:end], n[start] * 100 // percent, "right"))
+                    lead[start:stop] = start
+                    start = stop
+            leads = (doc[lead] != doc) & _passes(n[lead], place[lead], n, place, percent)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[pa.array(c[shared]) for c in (token, salt, doc, n, place)],
-                    pa.array(shift(doc)[shared], mask=~before[shared]),
-                    pa.array(shift(n)[shared], mask=~before[shared]),
+                    pa.array(doc[lead][shared], mask=~leads[shared]),
                 ],
                 [c.split()[0] for c in _RUNS.split(", ")],
             )
@@ -329,36 +335,50 @@ def _ready(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _folded(signatures: list[bytes]) -> np.ndarray:
+    """All signatures folded to the least size, one row each."""
+    size = LEAST_SIGNATURE // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in signatures])
+
+
 def _across(percent: int):
-    """Pairs of one group, in different components, that pass the length and positional filters."""
+    """Pairs of one group, in different components, that pass the length, positional and suffix filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "n", "place", "component", "part", "low", "high")
         for table in _whole_runs(batches, ["token", "low", "high"]):
             token = table.column("token").to_numpy()
             doc, n, place, component, part, low, high = (table.column(c).to_numpy() for c in names)
+            signatures = table.column("signature").to_pylist()
+            short = _folded(signatures)
             edge = np.flatnonzero(
                 np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])
             )
-            found = []
-            for start, end in zip(edge[:-1], edge[1:]):
+            found: set[tuple[int, int]] = set()
+            for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 for i in range(start, end - 1):  # rows are sorted by n
                     stop = start + int(np.searchsorted(n[start:end], n[i] * 100 // percent, "right"))
                     j = np.arange(i + 1, max(stop, i + 1))
                     good = (component[j] != component[i]) & _passes(n[i], place[i], n[j], place[j], percent)
                     if low[i] != high[i]:
                         good &= part[j] != part[i]
-                    if good.any():
-                        other = doc[j[good]]
-                        found.append(np.stack([np.minimum(other, doc[i]), np.maximum(other, doc[i])], axis=1))
+                    j = j[good]
+                    if not len(j):
+                        continue
+                    most = n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+                    near = np.bitwise_count(short[j] ^ short[i]).sum(axis=1) <= most
+                    for other, allowed in zip(j[near].tolist(), most[near].tolist()):
+                        if differing(signatures[i], signatures[other]) <= allowed:
+                            a, b = int(doc[i]), int(doc[other])
+                            found.add((min(a, b), max(a, b)))
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                a, b = zip(*sorted(found))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _between_components(runs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _between_components(runs: DataFrame, labels: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Candidates between components: shingles whose documents lie in several, in blocks of ``BLOCK`` members."""
     rows = runs.select("token", "doc_id", "n", "place").join(labels, "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
@@ -367,8 +387,9 @@ def _between_components(runs: DataFrame, labels: DataFrame, percent: int) -> Dat
     )
     mixed = mixed.where("least < most").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(signatures.select("doc_id", "signature"), "doc_id")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("token", "doc_id", "n", "place", "component", "part", F.explode(other).alias("other"))
+    rows = rows.select("token", "doc_id", "n", "place", "component", "part", "signature", F.explode(other).alias("other"))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
     dealt = rows.repartition(parts(runs), "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "doc_id")
     return dealt.mapInArrow(_across(percent), "a bigint, b bigint").distinct()
@@ -397,10 +418,11 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     prefixes = ready.mapInArrow(_prefixes(size, percent, sketch), _PREFIX)
     dealt = prefixes.repartition(parts(docs), "token", "salt").sortWithinPartitions("token", "salt", "n", "d1", "doc_id")
     runs = written(dealt.mapInArrow(_runs(percent), _RUNS), "join-runs")
-    signatures = rows.select("doc_id", "n", "signature")
+    # rows that share an id and differ in text are compared in every version
+    signatures = rows.where("n > 0").select("doc_id", "n", "signature").distinct()
 
-    neighbours = runs.where("before IS NOT NULL").select(*_ordered(F.col("doc_id"), F.col("before"))).distinct()
-    likely = written(suffix_filter(neighbours, signatures, percent), "join-likely")
+    led = runs.where("leader IS NOT NULL").select(*_ordered(F.col("doc_id"), F.col("leader"))).distinct()
+    likely = written(suffix_filter(led, signatures, percent), "join-likely")
     first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(verify(docs, first, size, percent).unionByName(same.distinct()), "join-links-1")
     labels = components(links)
@@ -414,8 +436,8 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     second = written(apart(likely, first), "join-second")
     links = links.unionByName(written(verify(docs, second, size, percent), "join-links-2"))
     labels = components(links)
-    across = apart(_between_components(runs, labels, percent), likely)
-    third = written(suffix_filter(across, signatures, percent), "join-third")
+    across = _between_components(runs, labels, signatures, percent)
+    third = written(apart(across, likely), "join-third")
     links = links.unionByName(written(verify(docs, third, size, percent), "join-links-3"))
     labels = components(links)
 
