@@ -7,8 +7,8 @@ minimisers and meet in one bucket, where sorting by exact names counts them and
 first document of each.
 
 What keeps it small: a super-k-mer travels only if documents share its minimiser (a bitmap of fixed
-size; a chance hit sends one more, never one less); equal strings are merged before they travel to
-the bucket; a minimiser with more than ``HOT`` super-k-mers is dealt out by single windows.
+size; a chance hit sends one more, never one less); a task merges equal strings before it sends
+them; a minimiser with more than ``HOT`` super-k-mers is dealt out by single windows.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.shared import bitmap, in_bitmap, parts, written
-from opslens.llm.words import Words, hashes, mix64, pair_ids, pieces
+from opslens.llm.shared import bitmap, in_bitmap, parts, spot_of, written
+from opslens.llm.words import Words, hashes, mix64, numbered, pair_ids, pieces
 
 WINDOW = 50
 HOT = 20_000
 SHARED_BITS = 26
 HOT_BITS = 22
+#: Bytes of distinct strings that a cutting task holds before it passes them on.
+HELD_BYTES = 48 << 20
 #: Packed bytes that a bucket task sorts at once, unless one minimiser has more.
 BUCKET_BYTES = 8 << 20
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
@@ -98,16 +100,26 @@ def _first_places(window: int):
     return run
 
 
-_PIECES = "key bigint, sid binary, packed binary, doc_id bigint, text_key bigint, start int"
+_PIECES = "key bigint, sid binary, packed binary, low bigint, high bigint, doc_id bigint, text_key bigint, start int"
 
 
 def _pieces(window: int, sent):
+    """Two kinds of rows: every place of a string (``sid, doc_id, text_key, start``), and each distinct
+    string with its bucket and its least and greatest id, once per ``HELD_BYTES`` of strings."""
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def strings(held: dict) -> pa.RecordBatch:
+        columns = list(zip(*((key, sid, packed, low, high) for sid, (key, packed, low, high) in held.items())))
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(held), k) for k in kinds[5:]]], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, hot = sent.value
+        held: dict[bytes, tuple[int, bytes, int, int]] = {}
+        size = 0
         for batch in pieces(batches, "text"):
             cut = Cut(batch.column("text"), window)
-            if not len(cut.start):
-                continue
             wanted = np.flatnonzero(in_bitmap(shared, _spot(cut.minimiser, SHARED_BITS)))
             if not len(wanted):
                 continue
@@ -116,22 +128,34 @@ def _pieces(window: int, sent):
             times = np.where(single, count, 1)
             first = np.repeat(start, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             many = np.repeat(np.where(single, 1, count), times)
+            key, alone, text = np.repeat(minimiser, times), np.repeat(single, times), np.repeat(text, times)
+            doc_id = batch.column("doc_id").take(pa.array(text))
             data, places = cut.joined()
-            packed = [data[a : b - 1] for a, b in zip(places[first], places[first + many + window - 1])]
-            sids = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
-            own = np.array([int.from_bytes(s[:8], "little", signed=True) for s in sids], np.int64)
-            text = np.repeat(text, times)
+            sids = []
+            ends = places[first + many + window - 1] - 1
+            for a, b, k, one, doc in zip(places[first].tolist(), ends.tolist(), key.tolist(), alone.tolist(), doc_id.to_pylist()):
+                packed = data[a:b]
+                sid = hashlib.blake2b(packed, digest_size=16).digest()
+                sids.append(sid)
+                if sid in held:
+                    k, packed, low, high = held[sid]
+                    held[sid] = (k, packed, min(low, doc), max(high, doc))
+                else:
+                    # a window of a hot minimiser has a bucket of its own
+                    k = int.from_bytes(sid[:8], "little", signed=True) if one else k
+                    held[sid] = (k, packed, doc, doc)
+                    size += len(packed) + 200
+            nothing = [pa.nulls(len(sids), k) for k in kinds]
+            place = pa.array(first - cut.words.first[text], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(np.repeat(single, times), own, np.repeat(minimiser, times))),
-                    pa.array(sids, pa.binary()),
-                    pa.array(packed, pa.binary()),
-                    batch.column("doc_id").take(pa.array(text)),
-                    batch.column("text_key").take(pa.array(text)),
-                    pa.array(first - cut.words.first[text], pa.int32()),
-                ],
-                [c.split()[0] for c in _PIECES.split(", ")],
+                [nothing[0], pa.array(sids, pa.binary()), *nothing[2:5], doc_id, batch.column("text_key").take(pa.array(text)), place],
+                names,
             )
+            if size > HELD_BYTES:
+                yield strings(held)
+                held, size = {}, 0
+        if held:
+            yield strings(held)
 
     return run
 
@@ -149,13 +173,19 @@ def _bucket(window: int):
 
     def sort(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
+        number = numbered(table.column("sid").combine_chunks())[0]
+        low, high = np.full(number.max() + 1, LAST), np.full(number.max() + 1, -LAST - 1)
+        np.minimum.at(low, number, table.column("low").to_numpy())
+        np.maximum.at(high, number, table.column("high").to_numpy())
+        place = np.zeros(len(low), np.int64)
+        place[number] = np.arange(len(number))
+        table = table.select(["sid", "packed"]).take(pa.array(place))  # each string once
         words = Words(table.column("packed"))
         names = _doubled(words.ids()[0].astype(np.int64), window, pair_ids)
         count = words.counts - window + 1
         string = np.repeat(np.arange(len(count)), count)
         skip = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
         name = names[words.first[:-1][string] + skip]
-        low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
         order = np.argsort(name, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
         first = np.empty(len(name), np.int64)
@@ -201,7 +231,7 @@ def _kept(window: int, with_text: bool):
         for batch in pieces(batches, "__text"):
             words = Words(batch.column("__text"))
             values = words.values.to_pylist()
-            gone, sums, texts = [], [], []
+            gone, sums, texts = [], [], []  # per text
             for a, b, spans in zip(words.first[:-1], words.first[1:], batch.column("__spans").to_pylist()):
                 keep = np.ones(b - a, bool)
                 for span in spans or ():
@@ -231,10 +261,10 @@ def _spans(docs: DataFrame, window: int, hot: int) -> DataFrame:
         (_marked(met, SHARED_BITS), _marked(met.where(F.col("n") > hot), HOT_BITS))
     )
     sent_pieces = written(docs.select("doc_id", "text_key", "text").mapInArrow(_pieces(window, sent), _PIECES), "substring-pieces")
-    merged = sent_pieces.groupBy("key", "sid", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    dealt = merged.repartition(parts(docs), "key").sortWithinPartitions("key")
+    strings = sent_pieces.where("packed IS NOT NULL").select("key", "sid", "packed", "low", "high")
+    dealt = strings.repartition(parts(docs), "key").sortWithinPartitions("key")
     firsts = dealt.mapInArrow(_bucket(window), _FIRSTS)
-    places = sent_pieces.select("sid", "doc_id", "text_key", "start").join(firsts, "sid")
+    places = sent_pieces.where("packed IS NULL").select("sid", "doc_id", "text_key", "start").join(firsts, "sid")
     places = places.select("doc_id", "text_key", "start", F.inline("found")).where(F.col("first") < F.col("doc_id"))
     span = F.struct(
         (F.col("start") + F.col("skip")).alias("low"), (F.col("start") + F.col("skip") + F.col("many") + window - 1).alias("high")
@@ -264,8 +294,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"),
         text.alias("text"),
     )
-    spans = _spans(rows, window, hot)
-    joined = rows.join(spans, F.expr("doc_id = id AND text_key = key"), "left")
-    joined = joined.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.col("spans").alias("__spans"), F.col("text").alias("__text"))
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return joined.mapInArrow(_kept(window, with_text), schema + (", kept_text string" if with_text else ""))
+    spans = written(_spans(rows, window, hot), "substring-spans")
+    found = rows.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("id", "key").alias("row")), "row", SHARED_BITS))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text_key")).withColumn("spot", spot_of("row", SHARED_BITS)).drop("row")
+    # only texts that lose words are shuffled, and those that fall on the same bit by chance
+    touched = rows.mapInArrow(_taken(found, True), rows.schema).join(spans, F.expr("doc_id = id AND text_key = key"), "left")
+    whole = rows.mapInArrow(_taken(found, False), rows.schema)
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
+    parts_ = []
+    for part, removed in ((touched, F.col("spans")), (whole, F.lit(None).cast(spans.schema["spans"].dataType))):
+        named = part.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), removed.alias("__spans"), F.col("text").alias("__text"))
+        parts_.append(named.mapInArrow(_kept(window, with_text), schema))
+    return parts_[0].unionByName(parts_[1])
+
+
+def _taken(sent, inside: bool):
+    """The rows whose spot is (not) in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = in_bitmap(sent.value, batch.column("spot").to_numpy()) == inside
+            yield batch.filter(pa.array(taken))
+
+    return run
