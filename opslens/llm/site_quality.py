@@ -22,7 +22,7 @@ from opslens.llm.shared import join_small, written
 from opslens.llm.words import Words, numbered, pieces, totals
 
 #: Labelled documents the word classifier is fitted on, at most (least hash of the id first).
-SAMPLE = 20_000
+SAMPLE = 10_000
 FEATURE_BITS = 18
 EPOCHS = 20
 LEAST_TEXTS = 8
@@ -32,7 +32,7 @@ PRIOR = 2.0
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed distinct words of each text, and the text's marks and repeats, as rows and slots."""
+    """Hashed distinct words of each text (rows, slots), and the text's shares."""
     words = Words(column, lower=True)
     ids, distinct = words.ids()
     texts = len(words.first) - 1
@@ -40,7 +40,7 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (zlib.crc32(w.strip(b".,;:!?\"'()")) >> (32 - FEATURE_BITS) for w in distinct.to_pylist()), np.int64, len(distinct)
     )
     key = numbered(pa.array(words.owner * (1 << FEATURE_BITS) + slot[ids]))[1] if len(ids) else pa.array([], pa.int64())
-    owner, slot = np.divmod(np.asarray(key).astype(np.int64), 1 << FEATURE_BITS)
+    owner, slot = np.divmod(np.sort(np.asarray(key).astype(np.int64)), 1 << FEATURE_BITS)
     data, offsets = words.data, words.offsets
     size = np.maximum(np.diff(offsets), 1)
     count = np.maximum(words.counts, 1)
@@ -87,13 +87,12 @@ def _telling(owner: np.ndarray, slot: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (n >= LEAST_TEXTS) & (np.abs(off) >= LEAST_Z * np.sqrt(np.maximum(n, 1) * share * (1 - share)))
 
 
-def fit_linear(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, ridge: float = 1e-4) -> Linear:
-    """AdaGrad over seeded small batches of telling words; deterministic for a given order of rows."""
-    owner, slot, dense = _features(column)
-    known = _telling(owner, slot, y)[slot] if len(y) else np.zeros(len(slot), bool)
+def fit_linear(
+    owner: np.ndarray, slot: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, ridge: float = 1e-4
+) -> Linear:
+    """AdaGrad over seeded small batches of telling words; ``owner`` rises.  Deterministic for a given order."""
+    known = _telling(owner, slot, y)[slot]
     owner, slot = owner[known], slot[known]
-    order = np.argsort(owner, kind="stable")
-    owner, slot = owner[order], slot[order]
     first = np.searchsorted(owner, np.arange(len(y) + 1))
     words, weights = np.zeros(1 << FEATURE_BITS), np.zeros(DENSE)
     seen_words, seen_dense = np.full(1 << FEATURE_BITS, 1e-3), np.full(DENSE, 1e-3)
@@ -101,8 +100,7 @@ def fit_linear(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: floa
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             rows = np.repeat(np.arange(len(part)), np.diff(first)[part])
-            at = np.concatenate([np.arange(first[i], first[i + 1]) for i in part]) if len(part) else np.empty(0, int)
-            s = slot[at]
+            s = slot[np.concatenate([np.arange(first[i], first[i + 1]) for i in part])]
             z = np.bincount(rows, words[s], minlength=len(part)) + dense[part] @ weights
             wrong = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
             used, place = np.unique(s, return_inverse=True)
@@ -115,26 +113,52 @@ def fit_linear(column: pa.Array, y: np.ndarray, epochs: int = EPOCHS, rate: floa
     return Linear(words, weights)
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        owner, slot, dense = _features(batch.column("text"))
+        marks = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("id"),
+                batch.column("hash"),
+                pa.ListArray.from_arrays(marks, pa.array(slot, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * DENSE, pa.int32()), pa.array(dense.reshape(-1))),
+            ],
+            ["id", "hash", "slots", "dense"],
+        )
+
+
 def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], sample: int = SAMPLE) -> tuple[dict[str, Linear], dict[str, float]]:
     """A classifier per target and the targets' rates, from at most ``sample`` labelled documents.
 
-    A document's label is the mean of its label rows; without labels a target's evidence is 0.
+    A document's label is the mean of its label rows; of several texts with one id, that of the least hash
+    counts; without labels a target's evidence is 0.  Features are made in tasks, and only theirs travel.
     """
-    agreed = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
+    agreed = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id"))
     rows = agreed.agg(*[F.avg(F.col(t).cast("double")).alias(f"y_{t}") for t in targets])
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    taken = written(rows.orderBy(F.xxhash64("label_id"), "label_id").limit(sample), "site-labels")
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     # the labelled ids are at most ``sample`` rows
-    joined = text.join(F.broadcast(taken), F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("id"), "text")
-    data = joined.limit(sample).select("text", *[f"y_{t}" for t in targets]).toArrow()
+    own = text.join(F.broadcast(taken.select("label_id")), F.col("id") == F.col("label_id"), "left_semi")
+    kind = own.schema["id"].dataType.simpleString()
+    found = own.withColumn("hash", F.xxhash64("text")).mapInArrow(_sampled, f"id {kind}, hash bigint, slots array<int>, dense array<double>")
+    one = found.groupBy("id").agg(F.min(F.struct("hash", "slots", "dense")).alias("f"))
+    joined = one.join(F.broadcast(taken), F.col("id") == F.col("label_id"))
+    data = joined.select("id", "f.slots", "f.dense", *[f"y_{t}" for t in targets]).orderBy("id").toArrow().combine_chunks()
     models, rates = {}, {}
+    size = data.num_rows
+    slots = data.column("slots").combine_chunks() if size else None
+    dense = data.column("dense").combine_chunks().flatten().to_numpy().reshape(size, DENSE) if size else None
     for t in targets:
-        y = data.column(f"y_{t}").to_numpy() if len(data) else np.empty(0)
-        known = np.flatnonzero(~np.isnan(y.astype(float)))
-        y = y.astype(float)[known]
-        rates[t] = float((y.sum() + 1) / (len(y) + 2))
-        column = data.column("text").combine_chunks().take(pa.array(known)) if len(known) else None
-        models[t] = fit_linear(column, y) if len(known) else Linear(np.zeros(1 << FEATURE_BITS), np.zeros(DENSE))
+        y = data.column(f"y_{t}").to_numpy().astype(float) if size else np.empty(0)
+        known = np.flatnonzero(~np.isnan(y))
+        rates[t] = float((y[known].sum() + 1) / (len(known) + 2))
+        if not len(known):
+            models[t] = Linear(np.zeros(1 << FEATURE_BITS), np.zeros(DENSE))
+            continue
+        own = slots.take(pa.array(known))
+        counts = own.value_lengths().to_numpy()
+        models[t] = fit_linear(np.repeat(np.arange(len(known), dtype=np.int32), counts), own.flatten().to_numpy(), dense[known], y[known])
     return models, rates
 
 
