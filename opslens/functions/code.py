@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from opslens import rules
 
 _SPACE = " \t\r\n\f\u000b"
+# The characters that end a line (a carriage return takes a newline with it).
+BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+LINE_END = rf"\r\n|[{BREAKS}]"
 _TOKEN = r"""//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^/"']++|/"""
 
 
 def strip_comments(text: Column) -> Column:
-    """Text of equal length with comments and literal contents blanked; newlines stay.
+    """Text of equal length with comments and literal contents blanked; line ends stay.
 
     Escaped quotes and backslashes are blanked first, so a literal ends at the next
     quote.  A newline after a backslash inside a literal is kept, so that lines
     keep their numbers.
     """
     plain = F.regexp_replace(text, r"""\\["'\\]""", "  ")
-    blank = lambda c: F.regexp_replace(c, r"[^\n]", " ")
+    blank = lambda c: F.regexp_replace(c, rf"[^{BREAKS}]", " ")
 
     def token(t: Column) -> Column:
         mark = F.substring(t, 1, 1)
@@ -38,9 +41,8 @@ def strip_comments(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """Lines without their ends; a final newline opens no further line."""
-    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    lines = F.split(F.regexp_replace(body, r"\r(?=\n|\z)", ""), "\n", -1)
+    """Lines without their ends; a final line end opens no further line."""
+    lines = F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END, -1)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
 
 

@@ -68,7 +68,7 @@ def parse_columns(text: Column, ingested: Column, custom: dict[str, int] | None
         "severity": F.coalesce(severity, F.lit(SEVERITIES["RAW"])),
         "level": F.when(known, ascii_upper(word)).otherwise(F.lit("RAW")),
         "ts_text": F.when(known, F.regexp_extract(text, LINE, 1)).otherwise(
-            F.date_format(ingested, "yyyy-MM-dd HH:mm:ss")
+            F.date_format(ingested, "yyyy-MM-dd HH:mm:ss.SSS")
         ),
         "message": F.when(known, F.regexp_extract(text, LINE, 3)).otherwise(text),
     }
@@ -105,12 +105,11 @@ def _pair(found: Column) -> Column:
 def kv_strict(text: Column) -> Column:
     """Map of the ``key=value`` pairs from the start of the text up to the first
     token that is not a pair; a repeated key keeps its last value."""
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), _pair)
-    return F.aggregate(
-        pairs,
-        F.create_map().cast("map<string,string>"),
-        lambda seen, p: merge_maps(seen, F.create_map(p["key"], p["value"])),
-    )
+    pairs = F.reverse(F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), _pair))
+    keys = F.transform(pairs, lambda p: p["key"])
+    # from the end, the first of equal keys is the last in the text
+    kept = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.map_from_entries(F.reverse(kept))
 
 
 def kv_tail(text: Column) -> Column:

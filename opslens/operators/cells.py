@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.functions import cells as C
-from opslens.session import shared_dir
 
 MAX_DEPTH = 64
 
@@ -116,26 +116,41 @@ def reference_edges(formulas: DataFrame) -> DataFrame:
 def reference_graph(formulas: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
     """``sheet, col, row_no, depth, state`` of every formula cell.
 
-    Depth 1 refers to no other formula.  Cells are settled level by level; each
-    round is one join of the shrinking set of open edges with the cells settled in
-    the round before, written to the checkpoint folder.  ``state`` is ``ok``,
-    ``cycle`` (the cell reaches a loop) or ``too_deep``.
+    Depth 1 refers to no other formula.  ``state`` is ``ok``, ``cycle`` (the cell
+    reaches a loop) or ``too_deep`` (deeper than ``limit``).  References stay inside a sheet and
+    a sheet is bounded by its grammar (702 columns, 99 rows), so each is settled
+    in one task from its leaves upwards, and no sheet affects another.
     """
-    shared_dir(formulas.sparkSession)
-    here = ["sheet", "col", "row_no"]
-    cells = formulas.where(F.col("formula").startswith("=")).select(*here)
-    targets = cells.select("sheet", F.col("col").alias("to_col"), F.col("row_no").alias("to_row"))
-    edges = reference_edges(formulas).join(targets, ["sheet", "to_col", "to_row"], "left_semi").checkpoint()
-    open_cells = edges.select(*here).distinct()
-    settled = cells.join(open_cells, here, "left_anti").withColumn("depth", F.lit(1)).checkpoint()
-    found, last, depth = settled, settled, 1
-    while depth < limit and not last.isEmpty():
-        depth += 1
-        done = last.select("sheet", F.col("col").alias("to_col"), F.col("row_no").alias("to_row"))
-        rest = edges.join(done, ["sheet", "to_col", "to_row"], "left_anti").checkpoint()
-        ready = edges.select(*here).distinct().join(rest.select(*here).distinct(), here, "left_anti")
-        last = ready.withColumn("depth", F.lit(depth)).checkpoint()
-        found, edges = found.unionByName(last), rest
-    stuck = "cycle" if depth < limit or last.isEmpty() else "too_deep"
-    blocked = edges.select(*here).distinct().select(*here, F.lit(None).cast("int").alias("depth"))
-    return found.withColumn("state", F.lit("ok")).unionByName(blocked.withColumn("state", F.lit(stuck)))
+    targets = F.transform(F.array_distinct(C.references_in(F.col("formula"))), lambda t: C.reference(t))
+    cells = formulas.where(F.col("formula").startswith("=")).select(
+        "sheet",
+        "col",
+        "row_no",
+        F.transform(targets, lambda t: t["col"]).alias("to_col"),
+        F.transform(targets, lambda t: t["row_no"]).alias("to_row"),
+    )
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        number = {cell: i for i, cell in enumerate(zip(rows["col"], rows["row_no"]))}
+        users: list[list[int]] = [[] for _ in range(len(rows))]
+        waiting = [0] * len(rows)
+        for i, (columns, lines) in enumerate(zip(rows["to_col"], rows["to_row"])):
+            for target in {number[cell] for cell in zip(columns, lines) if cell in number}:
+                users[target].append(i)
+                waiting[i] += 1
+        depth = [1] * len(rows)
+        ready = [i for i, n in enumerate(waiting) if n == 0]
+        for i in ready:  # grows while it is read
+            for user in users[i]:
+                depth[user] = max(depth[user], depth[i] + 1)
+                waiting[user] -= 1
+                if not waiting[user]:
+                    ready.append(user)
+        state = ["cycle" if w else "ok" if d <= limit else "too_deep" for w, d in zip(waiting, depth)]
+        out = rows[["sheet", "col", "row_no"]].copy()
+        out["depth"] = pd.array([d if s == "ok" else None for s, d in zip(state, depth)], dtype="Int32")
+        out["state"] = state
+        return out
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("sheet", "col", "row_no"))
+    return cells.groupBy("sheet").applyInPandas(settle, f"{kinds}, depth int, state string")

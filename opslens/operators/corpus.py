@@ -7,11 +7,10 @@ Windows by ``path`` therefore never hold more than one file.
 
 from __future__ import annotations
 
-import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from opslens import rules
 from opslens.functions import code as C
@@ -96,22 +95,6 @@ def red_flag_scan(
     return lines.select("path", "line_no", F.explode(found).alias("rule"), C.snippet(F.col("raw")).alias("snippet"))
 
 
-def red_flag_join(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """As :func:`red_flag_scan` for a user's rule table ``rule, pattern, header_only``.
-
-    Rule tables are short lists; one of more than 10,000 rules is refused rather
-    than collected.
-    """
-    rows = table.select("rule", "pattern", "header_only").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a rule table may hold at most 10,000 rules")
-    return red_flag_scan(
-        lines,
-        [(r.rule, r.pattern) for r in rows if not r.header_only],
-        [(r.rule, r.pattern) for r in rows if r.header_only],
-    )
-
-
 def reach_out_includes(lines: DataFrame) -> DataFrame:
     """Include lines of headers that leave their folder; raw text, since stripping
     blanks the path."""
@@ -121,55 +104,48 @@ def reach_out_includes(lines: DataFrame) -> DataFrame:
     )
 
 
-def _call_text(line: str, start: int) -> str:
-    depth = 0
-    for at in range(start, len(line)):
-        depth += (line[at] == "(") - (line[at] == ")")
-        if depth == 0 and line[at] == ")":
-            return line[start : at + 1]
-    return ""
-
+def _calls(line: Column) -> Column:
+    """Texts of the printing calls of a line, each up to the parenthesis that closes it.
 
-def _size_without_z(patterns: dict[str, str]):
-    """Arrow function: does a line print a size-like argument without ``%z``?"""
-
-    def judge(line: str) -> bool:
-        for match in re.finditer(patterns["call"], line):
-            call = _call_text(line, match.start())
-            literals = list(re.finditer(patterns["quoted"], call))
-            if not literals:
-                continue
-            arguments = call[literals[-1].end() :]
-            if "static_cast<" in arguments or not re.search(patterns["size"], arguments):
-                continue
-            if any(not m.group(1) for m in re.finditer(patterns["conversion"], literals[-1].group(1))):
-                return True
-        return False
+    A call starts where the pattern matches and opens a parenthesis with its last character.
+    It closes at the first ``)`` up to which as many parentheses close as open; a call
+    that stays open has no text.
+    """
+    names = F.regexp_extract_all(line, F.lit(rules.PRINTF_CALL), F.lit(0))
+    between = F.split(line, rules.PRINTF_CALL, -1)
+    total = lambda parts: F.aggregate(F.transform(parts, F.length), F.lit(0), lambda x, y: x + y)
+
+    def call(name: Column, index: Column) -> Column:
+        ahead = total(F.slice(between, F.lit(1), index + 1)) + total(F.slice(names, F.lit(1), index))
+        body = F.substring(line, ahead + F.length(name), F.length(line))  # from the parenthesis on
+        count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark)))
+        upto = lambda at: F.substring(body, F.lit(1), at)
+        ends = F.filter(
+            F.sequence(F.lit(1), F.length(body)),
+            lambda at: (F.substring(body, at, F.lit(1)) == ")") & (count(upto(at), "(") == count(upto(at), ")")),
+        )
+        return F.coalesce(upto(F.array_min(ends)), F.lit(""))
 
-    return F.pandas_udf(lambda lines: lines.map(judge).astype(bool), BooleanType())
+    return F.transform(names, call)
 
 
 def printf_spec_scan(lines: DataFrame) -> DataFrame:
-    """Lines that print a size-like argument after the last literal without ``%z``.
-
-    Matching parentheses is not regular, so the few lines that pass the plain
-    patterns go to an Arrow function.
-    """
+    """Lines that print a size-like argument after the last literal without ``%z``."""
     raw = F.col("raw")
-    judged = _size_without_z(
-        {
-            "call": rules.PRINTF_CALL,
-            "quoted": rules.QUOTED,
-            "size": rules.SIZE_ARGUMENT,
-            "conversion": rules.INT_CONVERSION,
-        }
-    )
     likely = raw.rlike(rules.PRINTF_CALL) & raw.rlike(rules.SIZE_ARGUMENT) & F.contains(raw, F.lit("%"))
-    return (
-        lines.where(likely)
-        .select("path", "line_no", "raw")
-        .where(judged("raw"))
-        .select("path", "line_no", F.lit(rules.PRINTF_FLAG).alias("rule"), C.snippet(raw).alias("snippet"))
+    literals = r'\A((?:[^"]*"[^"]*")*)'
+
+    def wrong(call: Column) -> Column:
+        head = F.regexp_extract(call, literals, 1)  # up to the end of the last closed literal
+        format_text = F.regexp_extract(head, rules.QUOTED + r"\z", 1)
+        arguments = F.substring(call, F.length(head) + 1, F.length(call))
+        sized = arguments.rlike(rules.SIZE_ARGUMENT) & ~F.contains(arguments, F.lit("static_cast<"))
+        modifiers = F.regexp_extract_all(format_text, F.lit(rules.INT_CONVERSION), F.lit(1))
+        return (head != "") & sized & F.exists(modifiers, lambda z: z == "")
+
+    calls = once(lines.where(likely).select("path", "line_no", "raw"), calls=_calls(raw))
+    return calls.where(F.exists("calls", wrong)).select(
+        "path", "line_no", F.lit(rules.PRINTF_FLAG).alias("rule"), C.snippet(raw).alias("snippet")
     )
 
 
@@ -666,9 +642,9 @@ def _place(rows: DataFrame, order: list[str]) -> Column:
     for name in order:
         column = F.col(name.lstrip("-"))
         if name.startswith("-"):
-            column = F.lit(10**17) - column
+            column = F.lit(Decimal(10**37)) - column.cast("decimal(38, 0)")
         if types[name.lstrip("-")] != "string":
-            column = F.lpad(column.cast("string"), 18, "0")
+            column = F.lpad(column.cast("string"), 38, "0")
         parts.append(column)
     return F.concat_ws("\u0001", *parts)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opslens.functions import logline as L
 from opslens.functions import text as T
 from opslens.operators import ordered as O
-from opslens.operators.staging import join_checked, once, small_table
+from opslens.operators.staging import once, small_table
 
 Record = dict[str, Column]
 
@@ -101,6 +101,9 @@ def window_starts(
     if block < span:
         raise ValueError("a block must be at least as long as a window")
     keys = list(keys)
+    if not keys:  # one window shared by all lines
+        shared = window_starts(lines.withColumn("__all", F.lit(0)), ["__all"], at, span, block, entry)
+        return shared.drop("__all")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys).schema)
     points = (
         lines.select(*keys, F.col(at).cast("bigint").alias("t"))
@@ -387,10 +390,16 @@ def kv_top_n(counts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def line_size(text: Column) -> Column:
-    """Bytes of a line with its newline."""
+    """Bytes of a line that is written with a newline."""
     return T.utf8_bytes(text) + 1
 
 
+def file_size(lines: DataFrame) -> Column:
+    """Bytes a line takes in its file: as the reader counted them (``bytes``), which
+    includes a carriage return, else the text with its newline."""
+    return F.col("bytes") if "bytes" in lines.columns else line_size(F.col("text"))
+
+
 def _anchors(lines: DataFrame, since_ms: int) -> DataFrame:
     in_line = T.in_line_ms(F.col("text"))
     return lines.groupBy("source").agg(F.min(F.when(in_line >= since_ms, F.col("line_no"))).alias("anchor"))
@@ -399,7 +408,7 @@ def _anchors(lines: DataFrame, since_ms: int) -> DataFrame:
 def replay_since(lines: DataFrame, since_ms: int) -> DataFrame:
     """Per source, everything from the first line stamped at or after ``since_ms``."""
     return (
-        join_checked(lines, _anchors(lines, since_ms), ["source"])
+        lines.join(_anchors(lines, since_ms), "source")
         .where(F.col("line_no") >= F.col("anchor"))
         .drop("anchor")
     )
@@ -408,9 +417,9 @@ def replay_since(lines: DataFrame, since_ms: int) -> DataFrame:
 def replay_skipped_bytes(lines: DataFrame, since_ms: int) -> DataFrame:
     skipped = F.col("anchor").isNull() | (F.col("line_no") < F.col("anchor"))
     return (
-        join_checked(lines, _anchors(lines, since_ms), ["source"])
+        lines.join(_anchors(lines, since_ms), "source")
         .groupBy("source")
-        .agg(F.coalesce(F.sum(F.when(skipped, line_size(F.col("text")))), F.lit(0)).alias("skipped_bytes"))
+        .agg(F.coalesce(F.sum(F.when(skipped, file_size(lines))), F.lit(0)).alias("skipped_bytes"))
     )
 
 
@@ -420,7 +429,7 @@ def line_offsets(lines: DataFrame, chunk: int = O.CHUNK_ROWS) -> DataFrame:
     sized = lines.select(
         "source",
         "line_no",
-        line_size(F.col("text")).alias("size"),
+        file_size(lines).alias("size"),
         T.in_line_ms(F.col("text")).alias("in_line"),
         O.chunk_of(F.col("line_no"), chunk).alias("chunk"),
     )
@@ -484,7 +493,7 @@ def replay_positioning(offsets: DataFrame, index: DataFrame, since_ms: int) -> D
     sources = offsets.groupBy("source").agg(F.max("end").alias("size"))
     placed = sources.join(marks, "source", "left")
     aligned = (
-        join_checked(offsets, marks, ["source"])
+        offsets.join(marks, "source")
         .where(F.col("start") <= F.col("mark"))
         .groupBy("source")
         .agg(F.max("start").alias("start"))
@@ -500,40 +509,96 @@ def replay_positioning(offsets: DataFrame, index: DataFrame, since_ms: int) -> D
 # --- output accounting ------------------------------------------------------------
 
 
+def _cuts(prefix: np.ndarray, room: int) -> np.ndarray:
+    """For each line taken as the first of a file, the first line of the next file."""
+    before = np.concatenate([[0], prefix[:-1]])
+    following = np.searchsorted(prefix, before + room, side="right")
+    return np.maximum(following, np.arange(1, len(prefix) + 1))
+
+
 def size_rotation_plan(
-    written: DataFrame, max_bytes: int, header_bytes: int, slice_lines: int = 1_000_000
+    written: DataFrame, max_bytes: int, header_bytes: int, block_lines: int = 1_000_000
 ) -> DataFrame:
     """Assign output lines to numbered files of at most ``max_bytes``.
 
-    ``written`` holds ``output, day, seq, bytes``.  Each writer takes one slice of
-    ``slice_lines`` positions of an output and day and rolls its own files, as
-    parallel writers do; a slice is the unit held in memory.
+    ``written`` holds ``output, day, seq, bytes``.  A file ends before the line that would exceed
+    the limit; a line that alone exceeds it has a file of its own.  Where files end
+    depends on all lines before, so lines are cut into blocks of ``block_lines``
+    positions; each block is summarised, in parallel, as "bytes in the open file before ->
+    files opened, bytes in the open file after" (only lines within one file's size of its
+    start can be its first cut), and only these summaries are chained per output and day.
+    The numbers do not depend on the block size.
     """
-    if slice_lines < 1 or header_bytes >= max_bytes:
-        raise ValueError("slice_lines must be positive and the header smaller than a file")
-    sliced = written.withColumn("slice", O.chunk_of(F.col("seq"), slice_lines))
+    if block_lines < 1 or header_bytes >= max_bytes:
+        raise ValueError("block_lines must be positive and the header smaller than a file")
+    room = max_bytes - header_bytes
+    blocked = written.select("output", "day", "seq", "bytes", O.chunk_of(F.col("seq"), block_lines).alias("block"))
+    place = ["output", "day", "block"]
 
-    def roll(rows: pd.DataFrame) -> pd.DataFrame:
+    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", ignore_index=True)
-        ends = rows["bytes"].cumsum().to_numpy()
-        room, number, at, start = max_bytes - header_bytes, 0, 0, 0
-        numbers = np.empty(len(ends), dtype="int64")
-        while at < len(ends):
-            full = int(np.searchsorted(ends, start + room, side="right"))
-            numbers[at:full] = number
-            if full == len(ends):
+        prefix = rows["bytes"].cumsum().to_numpy()
+        reach = int(np.searchsorted(prefix, room, side="right")) + 2
+        following = _cuts(prefix, room)
+        here = np.arange(len(prefix))
+        at = np.where(following < len(prefix), following, here)
+        opened = 1 + (at != here)
+        while True:  # follow all chains to their last file, doubling the steps
+            further = at[at]
+            if np.array_equal(further, at):
                 break
-            number, start = number + 1, int(ends[full] - rows["bytes"].iloc[full])
-            numbers[full] = number
-            at = full + 1
-            if ends[full] - start > room:
-                start = int(ends[full]) - room
-        out = rows[["output", "day", "slice", "seq", "bytes"]].copy()
-        out["file_no"] = numbers
+            opened = opened + opened[at] - 1
+            at = further
+        left = header_bytes + prefix[-1] - np.concatenate([[0], prefix[:-1]])[at]
+        head = rows.iloc[:1][place].copy()
+        head["total"] = int(prefix[-1])
+        head["prefix"], head["opened"], head["left"] = [prefix[:reach]], [opened[:reach]], [left[:reach]]
+        return head
+
+    summaries = blocked.groupBy(*place).applyInPandas(
+        summarise,
+        "output string, day string, block bigint, total bigint, prefix array<bigint>, opened array<bigint>, left array<bigint>",
+    )
+
+    def first_cut(prefix: np.ndarray, used: int) -> int:
+        cut = int(np.searchsorted(prefix, max_bytes - used, side="right"))
+        return max(cut, 1) if used == 0 else cut  # an empty file takes any line
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        used, number, entries = header_bytes, 0, []
+        for total, prefix, opened, left in zip(rows["total"], rows["prefix"], rows["opened"], rows["left"]):
+            entries.append((used, number))
+            cut = first_cut(prefix, used)
+            if cut < len(prefix):
+                used, number = int(left[cut]), number + int(opened[cut])
+            else:
+                used += int(total)
+        out = rows[place].copy()
+        out["used"], out["number"] = [e[0] for e in entries], [e[1] for e in entries]
         return out
 
-    return sliced.groupBy("output", "day", "slice").applyInPandas(
-        roll, "output string, day string, slice bigint, seq bigint, bytes bigint, file_no bigint"
+    entries = summaries.groupBy("output", "day").applyInPandas(
+        chain, "output string, day string, block bigint, used bigint, number bigint"
+    )
+
+    def expand(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", ignore_index=True)
+        prefix = rows["bytes"].cumsum().to_numpy()
+        following = _cuts(prefix, room)
+        starts = np.zeros(len(prefix), dtype="int64")
+        at = first_cut(prefix, int(rows["used"].iloc[0]))
+        while at < len(prefix):
+            starts[at] = 1
+            at = int(following[at])
+        out = rows[["output", "day", "seq", "bytes"]].copy()
+        out["file_no"] = rows["number"].iloc[0] + starts.cumsum()
+        return out
+
+    return (
+        blocked.join(entries, place)
+        .groupBy(*place)
+        .applyInPandas(expand, "output string, day string, seq bigint, bytes bigint, file_no bigint")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,12 @@ def result_fields(tokens: Column) -> dict[str, Column]:
     }
 
 
+def task_number(digits: Column) -> Column:
+    """Unsigned 64-bit id as ``decimal(20, 0)``; null for no digits or a larger number."""
+    number = F.nullif(digits, F.lit("")).try_cast("decimal(20, 0)")
+    return F.when(number <= F.lit(Decimal(2**64 - 1)), number)
+
+
 def parse_task_result(lines: DataFrame) -> DataFrame:
     """Add ``ts, task_id, status, tag, worker, duration_us, detail, class`` to ``text``.
 
@@ -70,13 +77,13 @@ def parse_task_result(lines: DataFrame) -> DataFrame:
     return parsed.withColumns(
         {
             "ts": F.try_to_timestamp(F.substring("text", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")),
-            "task_id": F.regexp_extract("text", r"(?:^|\s)task_id=(\d{1,18})(?=\s|\z)", 1),
+            "task_id": F.regexp_extract("text", r"(?:^|\s)task_id=(\d{1,20})(?=\s|\z)", 1),
             "detail": F.regexp_extract("text", r"(?:^|\s)detail=([\s\S]*)\z", 1),
             "class": F.when(F.col("text") == "", "blank")
             .when(F.coalesce(known, F.lit(False)), "parsed")
             .otherwise("skipped"),
         }
-    ).withColumn("task_id", F.nullif("task_id", F.lit("")).cast("bigint"))
+    ).withColumn("task_id", task_number(F.col("task_id")))
 
 
 def classify_result_lines(results: DataFrame) -> DataFrame:
@@ -98,20 +105,20 @@ def parse_trace_line(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     # The stamp and the marker have fixed widths: "yyyy-MM-dd HH:mm:ss.SSS [trace] ".
     body = F.substring(text, F.lit(33), F.length(text))
-    task = F.regexp_extract(body, r"\A\w+ task=(\d{1,18})(?=\s|\z)", 1)
+    task = F.regexp_extract(body, r"\A\w+ task=(\d{1,20})(?=\s|\z)", 1)
     rows = once(
         lines.where(F.substring(text, 24, 9) == " [trace] "),
         at_ms=F.unix_millis(F.try_to_timestamp(F.substring(text, 1, 23), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))),
         event=F.substring_index(body, " ", 1),
         __task=task,
     )
-    known = F.col("event").isin(*TRACE_EVENTS) & (F.col("__task") != "") & F.col("at_ms").isNotNull()
+    known = F.col("event").isin(*TRACE_EVENTS) & task_number(F.col("__task")).isNotNull() & F.col("at_ms").isNotNull()
     others = [c for c in lines.columns if c not in ("text", "task_id")]
     return rows.where(known).select(
         *others,
         "at_ms",
         "event",
-        F.col("__task").cast("bigint").alias("task_id"),
+        task_number(F.col("__task")).alias("task_id"),
         kv_strict(F.substring(body, F.length("event") + 2, F.length(text))).alias("fields"),
     )
 

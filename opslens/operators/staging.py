@@ -7,11 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslens.session import shared_dir
-
-BROADCAST_BYTES = 64 << 20
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
 
@@ -40,17 +35,3 @@ def small_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequen
     shuffle."""
     entries = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*entries)))
-
-
-def join_checked(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join with an aggregate that is usually small, such as one row per source.
-
-    The aggregate is written to the checkpoint folder and measured; only up to
-    ``BROADCAST_BYTES`` is it broadcast, which saves shuffling the big side.
-    Beyond that the join is Spark's own, with AQE splitting skewed keys.
-    """
-    shared_dir(small.sparkSession)
-    kept = small.checkpoint()
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    fits = kept.agg(size.alias("bytes")).first()["bytes"] <= BROADCAST_BYTES
-    return big.join(F.broadcast(kept) if fits else kept, list(keys), how)

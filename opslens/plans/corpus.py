@@ -537,9 +537,9 @@ def _report_sql() -> str:
     for i, (name, rows, columns, order) in enumerate(_SECTIONS):
         entry = "to_json({" + ", ".join(f"'{c}': {c}" for c in columns.split()) + "})"
         keys = [
-            f"lpad(CAST(100000000000000000 - {k[1:]} AS VARCHAR), 18, '0')"
+            f"lpad(CAST(10000000000000000000000000000000000000::HUGEINT - {k[1:]} AS VARCHAR), 38, '0')"
             if k[0] == "-"
-            else f"lpad(CAST({k[1:]} AS VARCHAR), 18, '0')"
+            else f"lpad(CAST({k[1:]} AS VARCHAR), 38, '0')"
             if k[0] == "#"
             else k
             for k in order.split()

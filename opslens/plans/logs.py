@@ -628,7 +628,7 @@ def _written(spark, sf):
       SELECT output, day, CAST(file_no AS BIGINT) AS file_no, count(*) AS lines, CAST(sum(b) AS BIGINT) AS bytes FROM fold GROUP BY 1, 2, 3) z""",
 )
 def _(spark, sf):
-    plan = ops.size_rotation_plan(_written(spark, sf).select("output", "day", "seq", "bytes"), 2000, 40)
+    plan = ops.size_rotation_plan(_written(spark, sf).select("output", "day", "seq", "bytes"), 2000, 40, 64)
     return plan.groupBy("output", "day", "file_no").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes")
     )

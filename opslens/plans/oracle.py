@@ -32,7 +32,8 @@ SELECT *, shape = 'plain' AS parsed,
        WHEN event_type = 'click' THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 7 END AS severity,
   CASE WHEN shape <> 'plain' THEN 'RAW' WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'DEBUG'
        WHEN event_type = 'click' THEN 'NOTICE' WHEN event_type = 'purchase' THEN 'WARNING' ELSE 'AUDIT' END AS level,
-  strftime(ingested_ts, '%Y-%m-%d %H:%M:%S') AS ts_text,
+  CASE WHEN shape = 'plain' THEN strftime(ingested_ts, '%Y-%m-%d %H:%M:%S')
+       ELSE strftime(ingested_ts, '%Y-%m-%d %H:%M:%S.%g') END AS ts_text,
   CASE WHEN shape = 'plain' THEN substr(text, strpos(text, '] ') + 2) ELSE text END AS message
 FROM log_lines"""
 

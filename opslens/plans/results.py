@@ -27,11 +27,16 @@ def query(name: str, oracle: str | None = None):
 
 
 def parsed(spark, sf):
-    return ops.parse_task_result(views.task_result_lines(spark, sf))
+    return _with_long_id(ops.parse_task_result(views.task_result_lines(spark, sf)))
+
+
+def _with_long_id(rows):
+    """The tables' ids are longs; the parsers read any unsigned 64-bit id."""
+    return rows.withColumn("task_id", F.col("task_id").cast("bigint"))
 
 
 def trace(spark, sf):
-    return ops.parse_trace_line(views.trace_lines(spark, sf))
+    return _with_long_id(ops.parse_trace_line(views.trace_lines(spark, sf)))
 
 
 _COUNTS = """count(*) FILTER (WHERE status = 'OK') AS ok, count(*) FILTER (WHERE status = 'FAILED') AS failed,

@@ -30,13 +30,15 @@ def local_session(name: str = "opslens", cpus: int | str = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) is a fresh local folder
-    used, and it is then also set as the checkpoint folder.
+    Only a local session (tests, a laptop) may do without: it gets a fresh local folder,
+    which is then also set as the checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         named = tempfile.mkdtemp(prefix="opslens-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -30,11 +30,13 @@ BUILD_NAMES = ["cmakelists.txt", "makefile", "meson.build", "build.bazel", "work
 
 
 def file_lines(raw: DataFrame, source_type: str) -> DataFrame:
-    """Columns every text scan delivers: ``source, block, text, source_type``."""
+    """Columns every text scan delivers: ``source, block, text, bytes, source_type``."""
     return raw.select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", r"\r\z", "").alias("text"),
+        # the newline is counted for every line, also where the last one lacks it
+        (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
         F.lit(source_type).alias("source_type"),
     )
 
@@ -76,7 +78,7 @@ def read_log_lines(
     if excludes:
         lines = lines.where(glob_match(F.col("source"), "*", list(excludes)))
     return number_file_lines(lines).select(
-        "source", "line_no", F.current_timestamp().alias("ingested_ts"), "text", "source_type"
+        "source", "line_no", F.current_timestamp().alias("ingested_ts"), "text", "bytes", "source_type"
     )
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +45,11 @@ def _epoch_dir(out: str, epoch: int) -> str:
 
 
 def _previous(spark: SparkSession, out: str, epoch: int, schema: str) -> DataFrame:
-    """State written by the batch before, empty at the start."""
-    try:
-        return spark.read.schema(schema).parquet(_epoch_dir(out, epoch - 1))
-    except AnalysisException:
+    """State written by the batch before, empty at the start.  State that is missing later
+    is an error: the flow must not begin anew by itself."""
+    if epoch == 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_epoch_dir(out, epoch - 1))
 
 
 def run_available(
@@ -146,28 +145,32 @@ def stream_rate_limit(lines: DataFrame, out: str, limit: int, span: int = 1000,
     return run_available(lines, each, f"{out}-checkpoint")
 
 
-def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, **options):
+def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, late_seconds: int = 3600, **options):
     """Parse, limit, extract, filter and route a stream; the output rows of
     ``fan_out`` are written batch by batch, partitioned by output.
 
-    The limit counts per source and clock second; a second that spans two batches
-    keeps its count.
+    The limit counts per source and clock second.  A second keeps its count over batches
+    until it is ``late_seconds`` behind its source's newest one; a line that comes
+    later than that opens its second anew.  Each batch is computed once: its judged
+    lines are written, and outputs and counts are derived from them.
     """
     state_schema = "source string, second bigint, used bigint"
-    states = f"{out}-state"
+    states, flows = f"{out}-state", f"{out}-flow"
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         before = _previous(spark, states, epoch, state_schema)
-        flow = ops.log_flow(batch, routes, limit=limit, used=before, **options)
+        judged = ops.log_flow(batch, routes, limit=limit, used=before, **options)
+        judged.write.mode("overwrite").parquet(_epoch_dir(flows, epoch))
+        flow = spark.read.schema(judged.schema).parquet(_epoch_dir(flows, epoch))
         ops.fan_out(flow, routes).write.mode("overwrite").partitionBy("output").parquet(_epoch_dir(out, epoch))
-        here = ops.rate_limit_aligned(batch, limit, used=before)
-        counted = here.groupBy("source", "second").agg(F.count_if("admitted").alias("n"))
+        counted = flow.groupBy("source", "second").agg(F.count_if("admitted").alias("n"))
         both = counted.join(before, ["source", "second"], "full").select(
             "source", "second", (F.coalesce("n", F.lit(0)) + F.coalesce("used", F.lit(0))).alias("used")
         )
-        newest = both.groupBy("source").agg(F.max_by(F.struct("second", "used"), "second").alias("s"))
-        newest.select("source", "s.*").write.mode("overwrite").parquet(_epoch_dir(states, epoch))
+        newest = both.groupBy("source").agg(F.max("second").alias("newest"))
+        open_now = both.join(newest, "source").where(F.col("second") >= F.col("newest") - late_seconds)
+        open_now.select("source", "second", "used").write.mode("overwrite").parquet(_epoch_dir(states, epoch))
 
     return run_available(lines, each, f"{out}-checkpoint")
 

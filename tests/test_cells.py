@@ -114,10 +114,15 @@ def test_reference_graph(spark):
     df = spark.createDataFrame(rows, "sheet bigint, col bigint, row_no bigint, formula string")
     got = {f"{chr(r.col + 64)}{r.row_no}": (r.depth, r.state) for r in ops.reference_graph(df).collect()}
     assert got == {c: (d, "ok" if d else "cycle") for c, d in plain_depths(refs).items()}
+    # a deep sheet does not change the states of a looping one
     chain = [(1, 1, i, f"=A{i + 1}") for i in range(1, 9)]
-    deep = spark.createDataFrame(chain, "sheet bigint, col bigint, row_no bigint, formula string")
-    states = {r.row_no: (r.depth, r.state) for r in ops.reference_graph(deep, limit=3).collect()}
-    assert states == {8: (1, "ok"), 7: (2, "ok"), 6: (3, "ok"), **{i: (None, "too_deep") for i in range(1, 6)}}
+    loop = [(2, 1, 1, "=A2"), (2, 1, 2, "=A1"), (2, 1, 3, "=A2"), (2, 1, 4, "=7")]
+    deep = spark.createDataFrame(chain + loop, "sheet bigint, col bigint, row_no bigint, formula string")
+    states = {(r.sheet, r.row_no): (r.depth, r.state) for r in ops.reference_graph(deep, limit=3).collect()}
+    assert states == {
+        (1, 8): (1, "ok"), (1, 7): (2, "ok"), (1, 6): (3, "ok"), **{(1, i): (None, "too_deep") for i in range(1, 6)},
+        **{(2, i): (None, "cycle") for i in (1, 2, 3)}, (2, 4): (1, "ok"),
+    }
 
 
 @pytest.mark.parametrize("data", [b"", b"f", b"fo", b"foo", b"foob", b"fooba", b"foobar", bytes(range(256)), b"x" * 57, b"x" * 114])

@@ -179,8 +179,7 @@ def test_rules_see_stripped_lines_and_headers(spark):
     df = corpus(spark, a_dot_h='using namespace std; // new Foo\nconst char* s = "new Foo";\n', b_dot_cpp="using namespace std;\nx = new Foo;\n")
     hits = [(r.path, r.line_no, r.rule) for r in ops.red_flag_scan(ops.explode_code_lines(df)).collect()]
     assert sorted(hits) == [("a.h", 1, "using namespace (in header)"), ("b.cpp", 2, "raw new")]
-    table = spark.createDataFrame([("mine", "x =", False), ("head", "const", True)], "rule string, pattern string, header_only boolean")
-    own = [(r.path, r.rule) for r in ops.red_flag_join(ops.explode_code_lines(df), table).collect()]
+    own = [(r.path, r.rule) for r in ops.red_flag_scan(ops.explode_code_lines(df), [("mine", "x =")], [("head", "const")]).collect()]
     assert sorted(own) == [("a.h", "head"), ("b.cpp", "mine")]
 
 

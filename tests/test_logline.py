@@ -68,7 +68,7 @@ def test_parse(spark, text, level, severity, message):
     row = ops.parse_log_line(df, {"audit": 7}).first()
     assert (row.level, row.severity, row.message) == (level, severity, message)
     assert row.parsed == (level != "RAW")
-    assert row.ts_text == (text.strip()[:23].split(" [")[0].split(" warn")[0] if row.parsed else "2026-01-01 00:00:00")
+    assert row.ts_text == (text.strip()[:23].split(" [")[0].split(" warn")[0] if row.parsed else "2026-01-01 00:00:00.000")
 
 
 OPS = ["=", "!=", ">=", ">", "<=", "<", "contains", "starts_with", "ends_with", "matches"]

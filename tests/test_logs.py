@@ -71,11 +71,21 @@ def test_rotation_plan(spark, seed):
     sizes = [rng.choice([5, 20, 60, 150]) for _ in range(200)]
     rows = [("o", "20260101", i, s) for i, s in enumerate(sizes)]
     df = spark.createDataFrame(rows, "output string, day string, seq bigint, bytes bigint")
-    got = ops.size_rotation_plan(df, 100, 10).orderBy("seq").collect()
-    assert [r.file_no for r in got] == plain_rotation(sizes, 100, 10)
-    sliced = ops.size_rotation_plan(df, 100, 10, slice_lines=50).orderBy("seq").collect()
-    want = [n for at in range(0, 200, 50) for n in plain_rotation(sizes[at : at + 50], 100, 10)]
-    assert [r.file_no for r in sliced] == want
+    for block in (1, 7, 50, 1_000_000):
+        got = ops.size_rotation_plan(df, 100, 10, block).orderBy("seq").collect()
+        assert [r.file_no for r in got] == plain_rotation(sizes, 100, 10)
+    files = {}
+    for r in got:
+        files.setdefault(r.file_no, []).append(r.bytes)
+    assert all(10 + sum(lines) <= 100 or len(lines) == 1 for lines in files.values())
+
+
+def test_rotation_without_header(spark):
+    rows = [("o", "d", i, s) for i, s in enumerate([150, 20, 90, 150, 150, 5])]
+    df = spark.createDataFrame(rows, "output string, day string, seq bigint, bytes bigint")
+    for block in (1, 2, 100):
+        got = ops.size_rotation_plan(df, 100, 0, block).orderBy("seq").collect()
+        assert [r.file_no for r in got] == [0, 1, 2, 3, 4, 5]
 
 
 def plain_packed(data: bytes) -> int:
