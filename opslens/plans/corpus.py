@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from opslens import rules
 from opslens.functions import code as C
 from opslens.operators import corpus as ops
+from opslens.operators.staging import small_table
 from opslens.plans.oracle import VIEWS, sql
-from opslens.sources import readers, views
+from opslens.session import fresh_dir
+from opslens.sources import readers, sinks, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,9 +148,15 @@ SELECT {_FILE.replace('fid', '(event_id % 200)')} AS path, ts AS committed_at, e
     "SELECT path, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM code_lines GROUP BY path",
 )
 def _(spark, sf):
-    wanted = readers.extension(F.col("path")).isin(*readers.CODE_EXTENSIONS) & ~readers.in_skipped_folder(F.col("path"))
-    files = views.corpus(spark, sf).where(wanted)
-    return files.select(
+    # beside the sources: a binary, a foreign folder and a large file of another kind
+    others = small_table(
+        spark,
+        ["path", "text"],
+        [("src/blob.cpp", "a\0b"), ("node_modules/x/dep.cpp", "int a;\n"), ("notes.txt", "x" * 100_000)],
+    )
+    out = fresh_dir(spark, "read_corpus")
+    sinks.write_files(views.corpus(spark, sf).unionByName(others), out)
+    return readers.read_corpus(spark, out).select(
         "path",
         F.octet_length("text").cast("bigint").alias("bytes"),
         F.size(C.split_lines(F.col("text"))).cast("bigint").alias("lines"),

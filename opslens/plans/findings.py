@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opslens.operators import findings as ops
 from opslens.plans.oracle import VIEWS, sql
+from opslens.session import fresh_dir
 from opslens.sources import readers, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,12 +182,12 @@ def _(spark, sf):
 
 
 def _document(spark, sf):
-    """One findings document per order, findings from its lines, as JSON text."""
+    """One findings document per order, written as a line of JSON and read back."""
     rows = views.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"),
         F.struct(
             F.struct(
-                F.lit("demo").alias("repo"),
+                F.concat(F.lit("demo-"), F.col("o_orderkey").cast("string")).alias("repo"),
                 F.when(F.col("o_custkey") % 5 == 0, "").otherwise("whole").alias("scope"),
                 F.when(F.col("o_custkey") % 7 == 0, "short").otherwise("all modules read").alias("coverage"),
             ).alias("review"),
@@ -206,11 +207,10 @@ def _document(spark, sf):
             ).alias("findings"),
         ).alias("doc"),
     )
-    parsed = rows.select(
-        F.col("key").alias("document"),
-        F.from_json(F.to_json("doc"), readers.FINDINGS_SCHEMA.simpleString()).alias("d"),
-    )
-    return parsed.select("document", "d.*")
+    out = fresh_dir(spark, "findings")
+    rows.select("doc.*").write.json(out)
+    read = readers.read_review_documents(spark, out, per_line=True)
+    return read.withColumn("document", F.substring("review.repo", 6, 20).cast("bigint"))
 
 
 @query(
@@ -243,8 +243,6 @@ def _(spark, sf):
 def _(spark, sf):
     copies = findings(spark, sf).select("id", ops.normalize_severity(F.col("severity")).alias("severity"))
     rows = views.verdicts(spark, sf).join(copies, "id")
-    document = F.to_json(
-        F.struct(F.create_map(F.col("id"), F.struct("verdict", "comment", "severity")).alias("verdicts"))
-    )
-    parsed = rows.select(F.from_json(document, readers.FEEDBACK_SCHEMA).alias("d"))
-    return parsed.select(F.explode("d.verdicts").alias("id", "v")).select("id", "v.verdict", "v.comment", "v.severity")
+    out = fresh_dir(spark, "feedback")
+    rows.select(F.create_map(F.col("id"), F.struct("verdict", "comment", "severity")).alias("verdicts")).write.json(out)
+    return readers.read_feedback(spark, out, per_line=True).select("id", "verdict", "comment", "severity")

@@ -48,8 +48,7 @@ def _(spark, sf):
     return flows.read_batches(spark, out).groupBy("source", "source_type").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("stream_log_flow", batch.ORACLES["fan_out"])
-def _(spark, sf):
+def _log_flow(spark, sf):
     out = fresh_dir(spark, "stream_log_flow")
     flows.stream_log_flow(
         log_stream(spark, sf),
@@ -62,7 +61,31 @@ def _(spark, sf):
         custom=batch.CUSTOM,
         tags=ops.tag_table(spark, batch.TAGS),
     )
-    return flows.read_batches(spark, out).select("source", "line_no", "output", "line")
+    return out
+
+
+@query("stream_log_flow", batch.ORACLES["fan_out"])
+def _(spark, sf):
+    return flows.read_batches(spark, _log_flow(spark, sf)).select("source", "line_no", "output", "line")
+
+
+@query(
+    "stream_flow_counters",
+    """SELECT family, label, CAST(n AS BIGINT) AS n FROM (
+      SELECT 'disposition' AS family, CASE WHEN NOT admitted THEN 'rate_dropped' WHEN stage IS NOT NULL THEN 'filtered'
+        WHEN d.source IS NULL THEN 'unrouted' ELSE 'written' END AS label, count(*) AS n FROM log_staged s
+        LEFT JOIN (SELECT DISTINCT source, line_no FROM log_routed) d ON d.source = s.source AND d.line_no = s.line_no GROUP BY 2
+      UNION ALL SELECT 'source', source, count(*) FROM log_limited WHERE admitted GROUP BY source
+      UNION ALL SELECT 'level', CASE WHEN severity >= 4 THEN 'RAW' ELSE ['DEBUG', 'INFO', 'WARN', 'ERROR'][severity + 1] END, count(*)
+        FROM log_records GROUP BY 2
+      UNION ALL SELECT 'kv', 'attempted', count(*) FROM log_limited WHERE admitted
+      UNION ALL SELECT 'kv', 'extracted', count(DISTINCT line_id) FROM log_kv
+      UNION ALL SELECT 'kv', 'fields', count(*) FROM log_kv
+      UNION ALL SELECT 'output_lines', output, count(*) FROM log_written GROUP BY output
+      UNION ALL SELECT 'output_bytes', output, sum(strlen(line) + 1) FROM log_written GROUP BY output) x""",
+)
+def _(spark, sf):
+    return flows.flow_counters(spark, _log_flow(spark, sf)).select("family", "label", "n")
 
 
 @query("stream_rate_limit", batch.ORACLES["rate_limit_anchored"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -151,12 +152,19 @@ def is_build_file(path: Column) -> Column:
     return wanted
 
 
-def _text_files(spark: SparkSession, root: str, wanted: Column, include_all: bool) -> DataFrame:
-    top = root.rstrip("/")
+def _any_case(name: str) -> str:
+    """Glob that matches a name in any case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+def _text_files(spark: SparkSession, root: str, globs: Sequence[str], wanted: Column, include_all: bool) -> DataFrame:
+    """Files are chosen by name while they are listed, so no other file is opened."""
+    top = re.sub(r"\A[a-z0-9]+:/+", "/", root.rstrip("/"))
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(top)
+        .option("pathGlobFilter", "{" + ",".join(globs) + "}")
+        .load(root)
         .withColumn("path", F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/"))
     )
     below = F.substring("path", F.lit(len(top) + 2), F.length("path"))
@@ -171,11 +179,13 @@ def _text_files(spark: SparkSession, root: str, wanted: Column, include_all: boo
 def read_corpus(spark: SparkSession, root: str, include_all: bool = False) -> DataFrame:
     """``path, text`` of source files below ``root``; binaries and foreign folders
     are left out, undecodable bytes are replaced."""
-    return _text_files(spark, root, extension(F.col("path")).isin(*CODE_EXTENSIONS), include_all)
+    globs = [f"*.{_any_case(e)}" for e in CODE_EXTENSIONS]
+    return _text_files(spark, root, globs, extension(F.col("path")).isin(*CODE_EXTENSIONS), include_all)
 
 
 def read_build_files(spark: SparkSession, root: str, include_all: bool = False) -> DataFrame:
-    return _text_files(spark, root, is_build_file(F.col("path")), include_all)
+    globs = [_any_case(n) for n in BUILD_NAMES] + [f"*{_any_case(s)}" for s in BUILD_SUFFIXES]
+    return _text_files(spark, root, globs, is_build_file(F.col("path")), include_all)
 
 
 # --- findings and feedback ------------------------------------------------------------
@@ -216,11 +226,14 @@ FEEDBACK_SCHEMA = (
 )
 
 
-def read_review_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per findings document with its path; a byte-order mark is tolerated."""
+def read_review_documents(spark: SparkSession, paths: str | Sequence[str], per_line: bool = False) -> DataFrame:
+    """One row per findings document with its path; a byte-order mark is tolerated.
+
+    A document is a whole file, or a line of a file with ``per_line``.
+    """
     return (
         spark.read.schema(FINDINGS_SCHEMA)
-        .option("multiLine", "true")
+        .option("multiLine", str(not per_line).lower())
         .json(paths)
         .withColumn("document", F.col("_metadata.file_path"))
     )
@@ -243,7 +256,7 @@ def read_systemic(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_feedback(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_feedback(spark: SparkSession, paths: str | Sequence[str], per_line: bool = False) -> DataFrame:
     """One row per verdict: ``id, verdict, comment, severity, file, line, title, fix``."""
-    documents = spark.read.schema(FEEDBACK_SCHEMA).option("multiLine", "true").json(paths)
+    documents = spark.read.schema(FEEDBACK_SCHEMA).option("multiLine", str(not per_line).lower()).json(paths)
     return documents.select(F.explode("verdicts").alias("id", "v")).select("id", "v.*")

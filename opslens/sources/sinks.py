@@ -7,6 +7,10 @@ few files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +47,22 @@ def write_task_results(results: DataFrame, text: Column, at: Column, path: str,
 def write_report(lines: DataFrame, path: str, mode: str = "error") -> None:
     """Report lines in order; part files follow the order of their names."""
     lines.orderBy("section", "place").select(F.col("text").alias("value")).write.mode(mode).text(path)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """One file per ``path, text`` row below ``root``, a URI that all executors reach; returns their number.
+
+    A task that is run again writes the same files with the same content.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                folder = f"{top}/{path}".rpartition("/")[0]
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{top}/{path}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "text").mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslens.functions import logline as L
@@ -164,6 +164,11 @@ def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, late_seco
         judged.write.mode("overwrite").parquet(_epoch_dir(flows, epoch))
         flow = spark.read.schema(judged.schema).parquet(_epoch_dir(flows, epoch))
         ops.fan_out(flow, routes).write.mode("overwrite").partitionBy("output").parquet(_epoch_dir(out, epoch))
+        counts = _flow_counts(flow, routes)
+        if epoch:
+            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(_epoch_dir(f"{out}-counters", epoch - 1)))
+        total = counts.groupBy("family", "label").agg(F.sum("n").cast("bigint").alias("n"))
+        total.write.mode("overwrite").parquet(_epoch_dir(f"{out}-counters", epoch))
         counted = flow.groupBy("source", "second").agg(F.count_if("admitted").alias("n"))
         both = counted.join(before, ["source", "second"], "full").select(
             "source", "second", (F.coalesce("n", F.lit(0)) + F.coalesce("used", F.lit(0))).alias("used")
@@ -175,6 +180,36 @@ def stream_log_flow(lines: DataFrame, out: str, routes, *, limit: int, late_seco
     return run_available(lines, each, f"{out}-checkpoint")
 
 
+def _flow_counts(flow: DataFrame, routes) -> DataFrame:
+    """``family, label, n``: a batch's counters by disposition, source, level, output and
+    field extraction; two grouped passes over the batch's judged lines."""
+
+    def one(family: str, label: Column, n: Column | int = 1, when: Column | None = None) -> Column:
+        entry = F.struct(F.lit(family).alias("family"), label.alias("label"), F.lit(n).cast("bigint").alias("n"))
+        return entry if when is None else F.when(when, entry)
+
+    admitted, fields = F.col("admitted"), F.size("kv")
+    kinds = F.array(
+        one("disposition", F.col("disposition")),
+        one("source", F.col("source"), when=admitted),
+        one("level", L.level_name(F.col("severity"))),
+        one("kv", F.lit("attempted"), when=admitted),
+        one("kv", F.lit("extracted"), when=admitted & (fields > 0)),
+        one("kv", F.lit("fields"), fields, when=admitted & (fields > 0)),
+    )
+    lines = flow.select(F.inline(F.filter(kinds, lambda k: k.isNotNull())))
+    written = ops.output_counters(flow, routes)
+    outputs = written.select(
+        F.inline(F.array(one("output_lines", F.col("output"), F.col("lines")), one("output_bytes", F.col("output"), F.col("bytes"))))
+    )
+    return lines.groupBy("family", "label").agg(F.sum("n").alias("n")).unionByName(outputs)
+
+
+def flow_counters(spark: SparkSession, out: str) -> DataFrame:
+    """All counters of a :func:`stream_log_flow` up to its last batch."""
+    return last_snapshot(spark, f"{out}-counters")
+
+
 def stream_counters(
     lines: DataFrame, out: str, custom: dict[str, int] | None = None, interval: str | None = None
 ):
@@ -187,9 +222,9 @@ def stream_counters(
 
 
 def last_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    batches = read_batches(spark, out)
-    newest = batches.agg(F.max("epoch").alias("epoch"))
-    return batches.join(newest, "epoch").drop("epoch")
+    """Rows of the newest batch folder; the others are not opened."""
+    newest = read_batches(spark, out).agg(F.max("epoch")).first()[0]
+    return spark.read.parquet(_epoch_dir(out, newest or 0))
 
 
 def stream_window_counts(lines: DataFrame, out: str, at: str, width: str, delay: str, custom: dict[str, int] | None = None):
@@ -206,24 +241,22 @@ def stream_window_counts(lines: DataFrame, out: str, at: str, width: str, delay:
 
 
 def stream_kv_counts(lines: DataFrame, out: str, custom: dict[str, int] | None = None):
-    """Per-batch counts of every field value; their sums are the running counts."""
+    """Running counts of every field value: each batch adds its counts to the total before
+    it and writes the new one, so a reader needs the last folder only."""
 
-    def counted(batch: DataFrame, _epoch: int) -> DataFrame:
+    def counted(batch: DataFrame, epoch: int) -> DataFrame:
         parsed = ops.parse_log_line(batch, custom)
         kv = L.kv_cascade(F.col("text"), F.col("message"), F.col("parsed"))
-        return (
-            parsed.select(F.explode(kv).alias("key", "value"))
-            .groupBy("key", "value")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-        )
+        here = parsed.select(F.explode(kv).alias("key", "value")).select("key", "value", F.lit(1).cast("bigint").alias("cnt"))
+        before = _previous(batch.sparkSession, out, epoch, "key string, value string, cnt bigint")
+        return here.unionByName(before).groupBy("key", "value").agg(F.sum("cnt").alias("cnt"))
 
     return _append_batches(lines, out, counted)
 
 
 def kv_top_n(spark: SparkSession, out: str, n: int = 10) -> DataFrame:
-    """Top values per key over all batches written so far."""
-    total = read_batches(spark, out).groupBy("key", "value").agg(F.sum("cnt").alias("cnt"))
-    return ops.kv_top_n(total, n)
+    """Top values per key over all batches written so far: the last total alone is read."""
+    return ops.kv_top_n(last_snapshot(spark, out), n)
 
 
 def stream_result_stats(lines: DataFrame, out: str):
