@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from opslens.llm.shared import join_small, written
 from opslens.llm.words import Words, numbered, pieces, totals
 
-#: Labelled documents the word classifier is fitted on, at most (least hash of the id first).
+#: Labelled documents the word classifier is fitted on, at most about; taken by hash of the id.
 SAMPLE = 10_000
 FEATURE_BITS = 18
 EPOCHS = 20
@@ -129,16 +129,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], sample: int = SAMPLE) -> tuple[dict[str, Linear], dict[str, float]]:
-    """A classifier per target and the targets' rates, from at most ``sample`` labelled documents.
+    """A classifier per target and the targets' rates, from at most about ``sample`` labelled documents.
 
     A document's label is the mean of its label rows; of several texts with one id, that of the least hash
     counts; without labels a target's evidence is 0.  Features are made in tasks, and only theirs travel.
     """
     agreed = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id"))
     rows = agreed.agg(*[F.avg(F.col(t).cast("double")).alias(f"y_{t}") for t in targets])
-    taken = written(rows.orderBy(F.xxhash64("label_id"), "label_id").limit(sample), "site-labels")
+    rows = written(rows, "site-labels")
+    share = min(1.0, sample / max(rows.count(), 1))
+    taken = rows.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    # the labelled ids are at most ``sample`` rows
+    # about ``sample`` labelled ids, whatever the number of labels
     own = text.join(F.broadcast(taken.select("label_id")), F.col("id") == F.col("label_id"), "left_semi")
     kind = own.schema["id"].dataType.simpleString()
     found = own.withColumn("hash", F.xxhash64("text")).mapInArrow(_sampled, f"id {kind}, hash bigint, slots array<int>, dense array<double>")
