@@ -228,12 +228,12 @@ def asof_last(
     """
     keys = list(keys)
     tie = F.col(tiebreak) if tiebreak else F.lit(0)
-    left = events.select(
-        *keys,
-        F.col(at).alias("__at"),
-        F.lit(0).alias("__side"),
-        tie.cast("bigint").alias("__tie"),
-        F.col(value).alias("__value"),
+    # of events that share a time only the last counts: they are merged before anything is sorted
+    left = (
+        events.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(at).alias("__at"))
+        .agg(F.max_by(value, tie.cast("bigint")).alias("__value"))
+        .select(*keys, "__at", F.lit(0).alias("__side"), F.lit(0).cast("bigint").alias("__tie"), "__value")
     )
     carried = [c for c in probes.columns if c not in keys]
     right = probes.select(

@@ -140,7 +140,7 @@ VIEWS["stats"] = f"""
 SELECT path, count(*) AS loc, count(*) FILTER (WHERE {_INC} AND trim(stripped) <> '') AS includes,
   count(*) FILTER (WHERE tpl IN (7, 34)) AS todos, max(fid) AS fid FROM code_lines GROUP BY path"""
 VIEWS["changes"] = f"""
-SELECT {_FILE.replace('fid', '(event_id % 200)')} AS path, ts AS committed_at, event_id FROM events WHERE event_type = 'purchase'"""
+SELECT {_FILE.replace('fid', '(event_id % 200)')} AS path, ts AS committed_at, event_id FROM events"""
 
 
 @query(

@@ -70,7 +70,7 @@ def _(spark, sf):
     )
 
 
-@query("effective_status", "SELECT id, status FROM judged WHERE pk % 4 <> 0")
+@query("effective_status", "SELECT id, status FROM judged")
 def _(spark, sf):
     rows = views.verdicts(spark, sf)
     return rows.select("id", ops.effective_status(F.col("verdict"), F.col("comment")).alias("status"))
@@ -83,14 +83,17 @@ def _(spark, sf):
 
 @query(
     "findings_with_verdicts",
-    """SELECT id, severity, file, status, pk % 7 <> 0 AS present FROM judged WHERE pk % 7 <> 0 OR pk % 4 <> 0""",
+    """SELECT id, severity, file, CASE WHEN pk % 7 <> 0 THEN status END AS status, true AS present FROM judged
+      UNION ALL SELECT 'old-' || id, severity, file, status, false FROM judged WHERE pk % 7 = 0""",
 )
 def _(spark, sf):
+    # one verdict in seven is about a finding that has another id now
     part = F.split("id", "-")[3].cast("bigint")
-    kept = findings(spark, sf).where(part % 7 != 0)
     copies = findings(spark, sf).select("id", "severity", "file", "line", "title", "fix")
     feedback = views.verdicts(spark, sf).join(copies, "id")
-    return ops.findings_with_verdicts(kept, feedback).select("id", "severity", "file", "status", "present")
+    feedback = feedback.withColumn("id", F.when(part % 7 == 0, F.concat(F.lit("old-"), F.col("id"))).otherwise(F.col("id")))
+    merged = ops.findings_with_verdicts(findings(spark, sf), feedback)
+    return merged.select("id", "severity", "file", "status", "present")
 
 
 @query("severity_counts", "SELECT severity, category, count(*) AS findings FROM findings GROUP BY severity, category")
@@ -239,7 +242,11 @@ def _(spark, sf):
     return ops.validate_documents(_document(spark, sf))
 
 
-@query("read_feedback", "SELECT id, verdict, comment, severity FROM findings WHERE pk % 4 <> 0")
+@query(
+    "read_feedback",
+    """SELECT id, CASE WHEN pk % 4 = 0 THEN '' ELSE verdict END AS verdict, CASE WHEN pk % 4 = 0 THEN '' ELSE comment END AS comment,
+      severity FROM findings""",
+)
 def _(spark, sf):
     copies = findings(spark, sf).select("id", ops.normalize_severity(F.col("severity")).alias("severity"))
     rows = views.verdicts(spark, sf).join(copies, "id")

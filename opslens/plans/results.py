@@ -194,23 +194,24 @@ def _(spark, sf):
 
 
 def _cancels(spark, sf):
-    """Two requests for every seventh task, a little after it entered the queue."""
-    orders = views.table(spark, sf, "orders").where(F.col("o_orderkey") % 7 == 0)
+    """Two requests for every task: a little after it entered the queue for every seventh, before that for the others."""
+    orders = views.table(spark, sf, "orders")
     at = F.lit(1_700_000_000_000) + F.col("o_orderkey") * 10
+    side = F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(-1)
     return orders.select(
         F.col("o_orderkey").alias("task_id"),
         F.inline(
             F.array(
-                F.struct(F.lit(1).alias("request_id"), (at + 60).alias("at_ms")),
-                F.struct(F.lit(2).alias("request_id"), (at + 150).alias("at_ms")),
+                F.struct(F.lit(1).alias("request_id"), (at + side * 60).alias("at_ms")),
+                F.struct(F.lit(2).alias("request_id"), (at + side * 150).alias("at_ms")),
             )
         ),
     )
 
 
 _CANCEL = """SELECT r.task_id, r.request_id, r.at_ms, s.event AS state, s.at_ms AS since FROM (
-    SELECT o_orderkey AS task_id, q.request_id, 1700000000000 + o_orderkey * 10 + q.d AS at_ms
-    FROM orders, (VALUES (1, 60), (2, 150)) q(request_id, d) WHERE o_orderkey % 7 = 0) r
+    SELECT o_orderkey AS task_id, q.request_id, 1700000000000 + o_orderkey * 10 + CASE WHEN o_orderkey % 7 = 0 THEN q.d ELSE -q.d END AS at_ms
+    FROM orders, (VALUES (1, 60), (2, 150)) q(request_id, d)) r
   LEFT JOIN LATERAL (SELECT t.event, t.at_ms FROM trace_rows t WHERE t.task_id = r.task_id AND t.at_ms <= r.at_ms
     AND t.event IN ('enqueue', 'dequeue', 'retry_requeue') ORDER BY t.at_ms DESC, t.seq DESC LIMIT 1) s ON true"""
 _RESOLVED = f"""SELECT task_id, request_id, at_ms, coalesce(state IN ('enqueue', 'retry_requeue'), false)

@@ -232,14 +232,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") == "purchase")
-        .select(
-            _path_of(F.col("event_id") % 200).alias("path"),
-            F.col("event_id").alias("commit_id"),
-            F.col("ts").alias("committed_at"),
-        )
+    return table(spark, sf_dir, "events").select(
+        _path_of(F.col("event_id") % 200).alias("path"),
+        F.col("event_id").alias("commit_id"),
+        F.col("ts").alias("committed_at"),
     )
 
 
@@ -295,19 +291,17 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey")
     flag = F.col("l_returnflag")
+    open_yet = part % 4 == 0
     verdict = (
-        F.when(flag == "A", "accept")
+        F.when(open_yet, "")
+        .when(flag == "A", "accept")
         .when(flag == "R", "reject")
         .otherwise(F.when(part % 2 == 0, "custom").otherwise(""))
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(part % 4 != 0)
-        .select(
-            finding_id().alias("id"),
-            verdict.alias("verdict"),
-            F.when(F.col("l_suppkey") % 3 == 0, "note").otherwise("").alias("comment"),
-        )
+    return table(spark, sf_dir, "lineitem").select(
+        finding_id().alias("id"),
+        verdict.alias("verdict"),
+        F.when(~open_yet & (F.col("l_suppkey") % 3 == 0), "note").otherwise("").alias("comment"),
     )
 
 
@@ -352,11 +346,8 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, *corners in RANGES
         ]
     )
-    return (
-        table(spark, sf_dir, "orders")
-        .where(F.col("o_orderkey") % 10 == 0)
-        .select(F.expr("o_orderkey div 10").alias("sheet"), F.inline(wanted))
-    )
+    sheets = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 10").alias("sheet")).distinct()
+    return sheets.select("sheet", F.inline(wanted))
 
 
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
