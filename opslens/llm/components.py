@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.shared import written
@@ -18,7 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the least of them."""
-    down = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    down = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     least = down.groupBy("x").agg(F.min("y").alias("m"))
     linked = down.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
     out = linked.unionByName(least.select("x", F.col("m").alias("y")))
@@ -29,15 +29,19 @@ def components(edges: DataFrame) -> DataFrame:
     """``doc_id, component`` of every node of the edges ``a, b``; a component's id is its least node.
 
     Each round shortens paths by a constant factor; rounds are written, so lost executors cost one
-    round.  It ends when every node hangs at its least one and nothing changed.
+    round.  It ends when all edges are stars: no node is both centre and leaf, or leaf of two.
     """
-    now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
-    mark = None
+    now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "cc")
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum("a").alias("s"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or tuple(state) == mark:
+        ends = now.select(F.inline(F.array(_end("a", None), _end("b", "a"))))
+        mixed = ends.groupBy("x").agg(F.max("leaf").alias("leaf"), F.min("leaf").alias("centre"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+        if mixed.where("leaf = 1 AND (centre = 0 OR lo < hi)").isEmpty():
             break
-        mark = tuple(state)
         now = written(_small_star(_large_star(now)), "cc")
     roots = now.select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct()
-    return now.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).unionByName(roots)
+    return now.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).distinct().unionByName(roots)
+
+
+def _end(node: str, centre: str | None) -> Column:
+    at = F.col(centre) if centre else F.lit(None).cast("bigint")
+    return F.struct(F.col(node).alias("x"), F.lit(int(centre is not None)).alias("leaf"), at.alias("at"))

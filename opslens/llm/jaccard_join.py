@@ -9,8 +9,8 @@ Two documents link when the Jaccard similarity of their shingle sets reaches ``p
    ``n - ceil(n * percent / 100) + 1``, so only prefixes meet, by shingle.
 3. In a shingle's group, sorted by set size, each document is a candidate with the leader, the first
    one that the length filter lets it link to, if the positional filter allows.  The suffix filter drops
-   those whose signatures differ in more places than linked sets may differ in.  The others are
-   verified, a spanning choice first.
+   those whose signatures differ in more places than linked sets may differ in.  Of the others each
+   document's best one, by shared prefix, is verified.
 4. Groups that still hold several components are compared block by block, across components only
    and through all filters, so a large group of near copies costs its length and not its square,
    and no link between components is lost.
@@ -270,18 +270,18 @@ def _like(percent: int):
                 differing(x, y) <= a + b - 2 * least_overlap(a, b, percent)
                 for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("sig_a", "sig_b", "na", "nb")))
             ]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
 def suffix_filter(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose signatures differ no more than linked sets may."""
+    """Pairs ``a, b, shared`` whose signatures differ no more than linked sets may."""
     side = lambda k: signatures.select(
         F.col("doc_id").alias(k), F.col("signature").alias(f"sig_{k}"), F.col("n").alias(f"n{k}")
     )
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(_like(percent), "a bigint, b bigint").distinct()
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.mapInArrow(_like(percent), "a bigint, b bigint, shared bigint")
 
 
 def _sets(size: int, sent):
@@ -421,25 +421,17 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # rows that share an id and differ in text are compared in every version
     signatures = rows.where("n > 0").select("doc_id", "n", "signature").distinct()
 
-    led = runs.where("leader IS NOT NULL").select(*_ordered(F.col("doc_id"), F.col("leader"))).distinct()
-    likely = written(suffix_filter(led, signatures, percent), "join-likely")
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(verify(docs, first, size, percent).unionByName(same.distinct()), "join-links-1")
-    labels = components(links)
-
-    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        label = lambda k: labels.select(F.col("doc_id").alias(k), F.col("component").alias(f"c{k}"))
-        both = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-        split = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-        return both.where(split).select("a", "b").join(known, ["a", "b"], "left_anti")
-
-    second = written(apart(likely, first), "join-second")
+    # a document is tried with the leader that shares most of its prefix ...
+    led = runs.where("leader IS NOT NULL").groupBy(*_ordered(F.col("doc_id"), F.col("leader")))
+    likely = suffix_filter(led.agg(F.count("*").alias("shared")), signatures, percent)
+    first = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    first = written(first, "join-first")
+    links = written(verify(docs, first, size, percent).unionByName(same), "join-links-1")
+    # ... and then with all that lie in other components
+    across = _between_components(runs, components(links), signatures, percent)
+    second = written(across.join(first, ["a", "b"], "left_anti"), "join-second")
     links = links.unionByName(written(verify(docs, second, size, percent), "join-links-2"))
     labels = components(links)
-    across = _between_components(runs, labels, signatures, percent)
-    third = written(apart(across, likely), "join-third")
-    links = links.unionByName(written(verify(docs, third, size, percent), "join-links-3"))
-    labels = components(links)
 
     named = rows.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     own = named.withColumn("node", F.coalesce("doc_id", "rep"))
