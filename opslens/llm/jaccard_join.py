@@ -12,8 +12,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches ``p
    those whose signatures differ in more places than linked sets may differ in.  Of the others each
    document's best one, by shared prefix, is verified.
 4. Groups that still hold several components are compared block by block, across components only
-   and through all filters, so a large group of near copies costs its length and not its square,
-   and no link between components is lost.
+   and through all filters: first each document with its nearest by signature, then all that is
+   still apart.  A large group of near copies costs its length and not its square, and no
+   link between components is lost.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ def least_overlap(a, b, percent: int):
 
 
 def signature(found: np.ndarray) -> bytes:
-    """Parity of the hashes per slot, one to two slots a shingle."""
-    bits = max(LEAST_SIGNATURE, 1 << int(np.ceil(np.log2(max(len(found), 1)))))
+    """Parity of the hashes per slot, four to eight slots a shingle."""
+    bits = max(LEAST_SIGNATURE, 4 << int(np.ceil(np.log2(max(len(found), 1)))))
     return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -335,26 +336,32 @@ def _ready(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _folded(signatures: list[bytes]) -> np.ndarray:
-    """All signatures folded to the least size, one row each."""
+def _shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures folded to the least size."""
     size = LEAST_SIGNATURE // 8
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0) for x in signatures])
+    for batch in batches:
+        folded = [
+            np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), axis=0).tobytes()
+            for x in batch.column("signature").to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folded, pa.binary())], ["doc_id", "short"])
 
 
-def _across(percent: int):
-    """Pairs of one group, in different components, that pass the length, positional and suffix filters."""
+def _across(percent: int, nearest: bool):
+    """Pairs of one group, in different components, that pass the length and positional filters and the
+    suffix filter with the short signature; with ``nearest`` only each document's nearest by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "n", "place", "component", "part", "low", "high")
         for table in _whole_runs(batches, ["token", "low", "high"]):
             token = table.column("token").to_numpy()
             doc, n, place, component, part, low, high = (table.column(c).to_numpy() for c in names)
-            signatures = table.column("signature").to_pylist()
-            short = _folded(signatures)
+            short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(doc), -1)
             edge = np.flatnonzero(
                 np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])
             )
             found: set[tuple[int, int]] = set()
+            best: dict[int, tuple[int, int]] = {}
             for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 for i in range(start, end - 1):  # rows are sorted by n
                     stop = start + int(np.searchsorted(n[start:end], n[i] * 100 // percent, "right"))
@@ -365,12 +372,17 @@ def _across(percent: int):
                     j = j[good]
                     if not len(j):
                         continue
-                    most = n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
-                    near = np.bitwise_count(short[j] ^ short[i]).sum(axis=1) <= most
-                    for other, allowed in zip(j[near].tolist(), most[near].tolist()):
-                        if differing(signatures[i], signatures[other]) <= allowed:
-                            a, b = int(doc[i]), int(doc[other])
+                    apart = np.bitwise_count(short[j] ^ short[i]).sum(axis=1)
+                    near = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+                    a = int(doc[i])
+                    for b, gap in zip(doc[j[near]].tolist(), apart[near].tolist()):
+                        if not nearest:
                             found.add((min(a, b), max(a, b)))
+                            continue
+                        for x, y in ((a, b), (b, a)):
+                            if x not in best or (gap, y) < best[x]:
+                                best[x] = (gap, y)
+            found |= {(min(x, y), max(x, y)) for x, (_, y) in best.items()}
             if found:
                 a, b = zip(*sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -378,7 +390,7 @@ def _across(percent: int):
     return run
 
 
-def _between_components(runs: DataFrame, labels: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _between_components(runs: DataFrame, labels: DataFrame, shorts: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Candidates between components: shingles whose documents lie in several, in blocks of ``BLOCK`` members."""
     rows = runs.select("token", "doc_id", "n", "place").join(labels, "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
@@ -387,12 +399,12 @@ def _between_components(runs: DataFrame, labels: DataFrame, signatures: DataFram
     )
     mixed = mixed.where("least < most").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(signatures.select("doc_id", "signature"), "doc_id")
+    rows = rows.join(shorts, "doc_id")
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.select("token", "doc_id", "n", "place", "component", "part", "signature", F.explode(other).alias("other"))
+    rows = rows.select("token", "doc_id", "n", "place", "component", "part", "short", F.explode(other).alias("other"))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
     dealt = rows.repartition(parts(runs), "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "doc_id")
-    return dealt.mapInArrow(_across(percent), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_across(percent, nearest), "a bigint, b bigint").distinct()
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -427,10 +439,15 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     first = written(first, "join-first")
     links = written(verify(docs, first, size, percent).unionByName(same), "join-links-1")
-    # ... and then with all that lie in other components
-    across = _between_components(runs, components(links), signatures, percent)
-    second = written(across.join(first, ["a", "b"], "left_anti"), "join-second")
-    links = links.unionByName(written(verify(docs, second, size, percent), "join-links-2"))
+    # ... then with the nearest and at last with all that lie in other components
+    shorts = written(signatures.mapInArrow(_shorts, "doc_id bigint, short binary"), "join-shorts")
+    for number, nearest in enumerate((True, False)):
+        across = _between_components(runs, components(links), shorts, percent, nearest).join(first, ["a", "b"], "left_anti")
+        if not nearest:
+            across = across.join(tried, ["a", "b"], "left_anti")
+        across = suffix_filter(across.withColumn("shared", F.lit(1).cast("bigint")), signatures, percent)
+        tried = written(across.select("a", "b").distinct(), f"join-tried-{number}")
+        links = links.unionByName(written(verify(docs, tried, size, percent), f"join-links-{number}"))
     labels = components(links)
 
     named = rows.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
