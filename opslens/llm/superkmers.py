@@ -29,9 +29,9 @@ HOT = 20_000
 SHARED_BITS = 26
 HOT_BITS = 22
 #: Bytes of distinct strings that a cutting task holds before it passes them on.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 12 << 20
 #: Packed bytes that a bucket task sorts at once, unless one minimiser has more.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
