@@ -28,6 +28,8 @@ WINDOW = 50
 HOT = 20_000
 SHARED_BITS = 26
 HOT_BITS = 22
+#: Text bytes cut at once where strings are packed; up to three times as many come out.
+CUT_BYTES = 2 << 20
 #: Bytes of distinct strings that a cutting task holds before it passes them on.
 HELD_BYTES = 12 << 20
 #: Packed bytes that a bucket task sorts at once, unless one minimiser has more.
@@ -118,7 +120,7 @@ def _pieces(window: int, sent):
         shared, hot = sent.value
         held: dict[bytes, tuple[int, bytes, int, int]] = {}
         size = 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", CUT_BYTES):
             cut = Cut(batch.column("text"), window)
             wanted = np.flatnonzero(in_bitmap(shared, _spot(cut.minimiser, SHARED_BITS)))
             if not len(wanted):
