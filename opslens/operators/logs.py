@@ -643,24 +643,24 @@ def run_length_expand(runs: DataFrame, position: str) -> DataFrame:
 
 # --- exposition text ------------------------------------------------------------
 
-# Metric families in output order with their type and help text.
+# Metric families in output order with their type; the help texts are our own.
 FAMILIES = [
-    ("lines_ingested_total", "counter", "Lines ingested (per level and total)."),
-    ("lines_filtered_total", "counter", "Lines dropped by the filter stages."),
-    ("lines_written_total", "counter", "Lines written to the output."),
-    ("output_bytes_total", "counter", "Bytes written to the output."),
-    ("lines_rate_dropped_total", "counter", "Lines dropped by the rate limiter."),
-    ("kv_lines_attempted_total", "counter", "Lines offered to the KV extractor."),
-    ("kv_lines_extracted_total", "counter", "Lines the KV extractor recognized."),
-    ("kv_fields_extracted_total", "counter", "Individual key=value pairs extracted."),
-    ("kv_extraction_ratio", "gauge", "KV extraction success rate, percent (0-100)."),
-    ("source_lines_total", "counter", "Lines ingested per input source."),
-    ("source_output_bytes_total", "counter", "Output bytes per input source."),
-    ("output_lines_written_total", "counter", "Lines written per named output."),
-    ("output_bytes_written_total", "counter", "Output bytes per named output."),
-    ("source_type_lines_total", "counter", "Lines ingested per input source type."),
-    ("source_type_active", "gauge", "Currently active input sources per type."),
-    ("field_value_count", "counter", "Number of extracted values per field key."),
+    ("lines_ingested_total", "counter", "Lines read, by level and in all."),
+    ("lines_filtered_total", "counter", "Lines that a filter stage left out."),
+    ("lines_written_total", "counter", "Lines handed to outputs."),
+    ("output_bytes_total", "counter", "Bytes handed to outputs."),
+    ("lines_rate_dropped_total", "counter", "Lines over the rate limit."),
+    ("kv_lines_attempted_total", "counter", "Lines searched for fields."),
+    ("kv_lines_extracted_total", "counter", "Lines in which fields were found."),
+    ("kv_fields_extracted_total", "counter", "Fields found."),
+    ("kv_extraction_ratio", "gauge", "Share of searched lines with fields, in percent."),
+    ("source_lines_total", "counter", "Lines read from each source."),
+    ("source_output_bytes_total", "counter", "Bytes written for each source."),
+    ("output_lines_written_total", "counter", "Lines in each output."),
+    ("output_bytes_written_total", "counter", "Bytes in each output."),
+    ("source_type_lines_total", "counter", "Lines read from each kind of source."),
+    ("source_type_active", "gauge", "Sources of each kind that delivered lines."),
+    ("field_value_count", "counter", "Values found for each field."),
 ]
 
 

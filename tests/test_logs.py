@@ -215,7 +215,7 @@ def test_empty_input_gives_zero_counters(spark):
 
 def test_exposition_text(spark):
     rows = [r.text for r in ops.prometheus_lines(small_flow(spark), ROUTES).collect()]
-    assert rows[:2] == ["# HELP opslens_lines_ingested_total Lines ingested (per level and total).", "# TYPE opslens_lines_ingested_total counter"]
+    assert rows[:2] == ["# HELP opslens_lines_ingested_total Lines read, by level and in all.", "# TYPE opslens_lines_ingested_total counter"]
     assert 'opslens_lines_ingested_total{level="RAW"} 1' in rows and "opslens_lines_ingested_total 5" in rows
     assert 'opslens_field_value_count{key="x",value="1"} 1' in rows
     assert "opslens_kv_extraction_ratio 20" in rows
