@@ -38,7 +38,7 @@ SKETCH_BLOCKS = 64
 HOT = 20_000
 #: Members of one block in the comparison across components.
 BLOCK = 2_000
-LEAST_SIGNATURE = 256
+LEAST_SIGNATURE = 1024
 BITMAP_BITS = 26
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
