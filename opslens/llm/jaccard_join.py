@@ -177,7 +177,8 @@ def _prefixes(size: int, percent: int, sent):
                 else:
                     order = np.argsort(often, kind="stable")[:count]
                 often = often[order]
-                salt = np.where(often >= HOT, doc_id % (1 + often // HOT), 0)
+                # salts of hot shingles count from 1: only a shingle with salt 0 lies in one task
+                salt = np.where(often >= HOT, 1 + doc_id % (1 + often.astype(np.int64) // HOT), 0)
                 out.append((found[order].view(np.int64), salt, doc_id, n, d1))
             if not out:
                 continue

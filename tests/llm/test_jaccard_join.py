@@ -62,6 +62,19 @@ def test_near_copies(spark, monkeypatch):
     check(docs)
 
 
+@pytest.mark.parametrize("first", [0, 5_000_000_000])
+def test_pairs_that_share_only_hot_shingles(spark, monkeypatch, first):
+    """Each salt holds one of the two documents, also the lowest salt."""
+    monkeypatch.setattr(jj, "HOT", 1)
+    rows = []
+    for pair in range(30):
+        words = [f"w{pair}x{k}" for k in range(60)]
+        rows += [(first + 2 * pair, " ".join(words)), (first + 2 * pair + 1, " ".join([*words, f"last{pair}"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    check(docs)
+    assert {r.component_id for r in jj.similarity_join(docs).collect()} == {first + 2 * pair for pair in range(30)}
+
+
 def test_signature_is_a_lower_bound():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
