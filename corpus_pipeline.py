@@ -16,6 +16,8 @@ from opslens.llm.tables import table, vocabulary_path
 
 # SQL has no n-gram model, alignment or tokenizer, so the stages are tested against brute force.
 ORACLE_SQL = None
+#: Near duplicates share so much of their shingles of so many words; op7 by itself is fixed at 4 words and 85 %.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity joins: the one with the least id."""
-    return jaccard_join.keep_first(docs)
+    """One document of each group that five-word similarity of 0.8 joins: the one with the least id."""
+    return jaccard_join.keep_first(docs, percent=NEAR_PERCENT, size=NEAR_SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

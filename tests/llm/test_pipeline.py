@@ -42,6 +42,30 @@ def test_each_stage_against_its_report(spark, small, tmp_path):
     assert bitpack.END_ID == 1 and re.fullmatch("bigint", dict(docs.dtypes)["start"])
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Five words and 0.80, all pairs compared: scattered edits and edited blocks on both sides of the limit."""
+    texts = []
+    for family in range(24):
+        base = [f"f{family}w{k}" for k in range(200)]
+        scattered, block = list(base), list(base)
+        for e in range(family % 8):
+            scattered[20 + 22 * e] = "edit"
+        for k in range(family):
+            block[60 + k] = f"new{k}"
+        texts += [base, scattered, block]
+    rows = [(i, " ".join(words), "en", "a", 1) for i, words in enumerate(texts)]
+    sets = [{tuple(words[k : k + 5]) for k in range(len(words) - 4)} for words in texts]
+    first = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((first[i], first[j]))
+                first = [low if f == high else f for f in first]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(first))
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     start = 0
