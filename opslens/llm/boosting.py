@@ -79,14 +79,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
     return Trees(edges, base, np.array(features), np.array(cuts), np.array(values))
 
 
-def threshold(margin: np.ndarray, y: np.ndarray, precision: float, least: int = 20) -> float:
+def threshold(margin: np.ndarray, y: np.ndarray, precision: float, least: int = 20, count: np.ndarray | None = None) -> float:
     """The lowest margin at which held-back rows are right often enough; infinite with too few of them.
 
+    With ``count`` each entry stands for so many rows, ``y`` of them right.
     The share of right ones is smoothed by one wrong, so a handful of rows proves little.
     """
     order = np.argsort(-margin, kind="stable")
     right = np.cumsum(y[order])
-    taken = np.arange(1, len(y) + 1)
+    taken = np.arange(1, len(y) + 1) if count is None else np.cumsum(count[order])
     last_of_tie = np.append(margin[order][1:] != margin[order][:-1], True) if len(y) else np.zeros(0, bool)
     good = (right / (taken + 1) >= precision) & (right >= least) & last_of_tie
     return float(margin[order][np.flatnonzero(good)[-1]]) if good.any() else float("inf")

@@ -5,7 +5,7 @@ overlapping spans of the same kinds: every window of up to ``MOST_GROUPS`` digit
 and separators, and addresses written with blanks, ``(at)`` or ``[dot]``.  Trees learn from the base
 rules' verdicts (a rule span is right; its fragments, and whole matches that a rule rejects, are
 wrong), using the format of the candidate and its surroundings.  A threshold per kind is set on
-held-back candidates for the wanted precision; what passes and overlaps no chosen span is added.
+all held-back candidates for the wanted precision; what passes and overlaps no chosen span is added.
 """
 
 from __future__ import annotations
@@ -43,8 +43,11 @@ _HINTS = [
     for p in (r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|credit|account", r"phone|tel|call|fax|mobile")
 ]
 MOST_GROUPS = 6
-#: Candidates the trees learn from, at most about.
+#: Candidates that are taken for the trees, at most about.
 SAMPLE = 20_000
+SPOTS = 1 << 40
+#: Held-back margins are counted in bins; powers of two, so that a bin's border is exact.
+MARGIN_BINS, MOST_MARGIN = 1024, 32
 PRECISION = 0.98
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -258,28 +261,57 @@ class Detector:
         return chosen
 
 
+def _shares(counts: dict[int, int], sample: int) -> dict[int, float]:
+    """The share of each kind's candidates to take: rare kinds whole, the others alike, ``sample`` in all."""
+    out, room = {}, sample
+    for place, (kind, count) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        take = min(count, room // (len(counts) - place))
+        out[kind] = take / max(count, 1)
+        room -= take
+    return out
+
+
+def _bins(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column("x").flatten(), np.float32).reshape(-1, FEATURES)
+            low = np.floor(sent.value.margin(x) * MARGIN_BINS) if len(x) else np.empty(0)
+            last = MOST_MARGIN * MARGIN_BINS
+            bins = pa.array(np.clip(low, -last, last).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), bins, batch.column("label")], ["kind", "bin", "label"])
+
+    return run
+
+
 def fit(scanned: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Detector:
-    """Learn from at most about ``sample`` labelled candidates, taken by hash of their row's key and place.
+    """Learn from the labelled candidates, split by hash of their row's key and place.
 
-    Seven tenths grow the trees; the others set each kind's margin.
+    Of seven tenths at most about ``sample``, shared out among the kinds, grow the trees; all of the other three
+    tenths are counted by kind, margin and label, and set each kind's margin.
     """
     key = F.xxhash64(*[F.col(c) for c in scanned.columns if c not in ("base", "found")])
     rows = scanned.select(key.alias("row"), F.explode("found").alias("c")).select("row", "c.*").where("label >= 0")
-    total = rows.count()
-    spot = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(1 << 20))
-    taken = rows.where(spot < int((1 << 20) * min(1.0, sample / max(total, 1)))).select("kind", "label", "x", (spot % 10).alias("part"))
-    data = taken.orderBy("part", "kind", "label", "x").toArrow()  # the same order in every run
+    spot = F.pmod(F.xxhash64("row", "start", "end", "kind"), F.lit(10 * SPOTS))
+    rows = rows.select("kind", "label", "x", (spot % 10).alias("part"), F.floor(spot / 10).alias("spot"))
+    totals = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    wanted = F.lit(False)
+    for kind, share in _shares(totals, sample).items():
+        wanted = wanted | ((F.col("kind") == kind) & (F.col("spot") < int(share * SPOTS)))
+    grow = rows.where((F.col("part") < 7) & wanted).select("kind", "label", "x", "part")
+    data = grow.orderBy("part", "kind", "label", "x").toArrow()  # the same order in every run
     y = data.column("label").to_numpy().astype(float)
-    if len(y) < 50 or len(set(y)) < 2:
+    if len(y) < 35 or len(set(y)) < 2:
         return Detector(None, [float("inf")] * len(KINDS))
-    x = np.array(data.column("x").to_pylist(), np.float32)
-    kind, part = data.column("kind").to_numpy(), data.column("part").to_numpy()
-    grow = part < 7
-    if len(set(y[grow])) < 2:
-        return Detector(None, [float("inf")] * len(KINDS))
-    trees = boosting.fit(x[grow], y[grow])
-    margin = trees.margin(x[~grow])
-    least = [boosting.threshold(margin[kind[~grow] == k], y[~grow][kind[~grow] == k], precision) for k in range(len(KINDS))]
+    trees = boosting.fit(np.array(data.column("x").to_pylist(), np.float32), y)
+    sent = scanned.sparkSession.sparkContext.broadcast(trees)
+    held = rows.where("part >= 7").select("kind", "label", "x").mapInArrow(_bins(sent), "kind int, bin bigint, label int")
+    # one row a kind and bin, however many candidates there are
+    counts = held.groupBy("kind", "bin").agg(F.sum("label").alias("right"), F.count("*").alias("taken")).toArrow()
+    kind, low, right, taken = (counts.column(c).to_numpy() for c in ("kind", "bin", "right", "taken"))
+    least = [
+        boosting.threshold(low[kind == k] / MARGIN_BINS, right[kind == k], precision, count=taken[kind == k])
+        for k in range(len(KINDS))
+    ]
     return Detector(trees, [max(m, 0.0) for m in least])
 
 
