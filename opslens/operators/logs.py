@@ -13,6 +13,7 @@ from opslens.functions import logline as L
 from opslens.functions import text as T
 from opslens.operators import ordered as O
 from opslens.operators.staging import once, small_table
+from opslens.session import fresh_dir
 
 Record = dict[str, Column]
 
@@ -516,6 +517,35 @@ def _cuts(prefix: np.ndarray, room: int) -> np.ndarray:
     return np.maximum(following, np.arange(1, len(prefix) + 1))
 
 
+#: So many neighbouring summaries are merged into one, or chained, in one task.
+ROTATION_FAN = 16
+_BLOCK_SUMMARY = (
+    "output string, day string, block bigint, lines bigint, total bigint, "
+    "prefix array<bigint>, opened array<bigint>, left array<bigint>"
+)
+
+
+def _rotation_levels(summaries: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> list[DataFrame]:
+    """Summaries of blocks, of ``ROTATION_FAN`` neighbours, of as many of those, until a key has at most so many.
+
+    Each level is written, as it is read on the way up and on the way down.
+    """
+    spark = summaries.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = fresh_dir(spark, "rotation")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    levels = [kept(summaries)]
+    low, high = levels[0].agg(F.min("block"), F.max("block")).first()
+    while low is not None and high - low >= ROTATION_FAN:
+        above = levels[-1].withColumn("above", O.chunk_of(F.col("block"), ROTATION_FAN))
+        levels.append(kept(above.groupBy("output", "day", "above").applyInPandas(merge, _BLOCK_SUMMARY)))
+        low, high = low // ROTATION_FAN, high // ROTATION_FAN
+    return levels
+
+
 def size_rotation_plan(
     written: DataFrame, max_bytes: int, header_bytes: int, block_lines: int = 1_000_000
 ) -> DataFrame:
@@ -526,7 +556,9 @@ def size_rotation_plan(
     depends on all lines before, so lines are cut into blocks of ``block_lines``
     positions; each block is summarised, in parallel, as "bytes in the open file before ->
     files opened, bytes in the open file after" (only lines within one file's size of its
-    start can be its first cut), and only these summaries are chained per output and day.
+    start can be its first cut).  ``ROTATION_FAN`` neighbouring summaries become one of the
+    same form, round by round, until a key has few; then each round's blocks are entered from
+    the round above.  So no task holds more than that many summaries, each with one file's lines.
     The numbers do not depend on the block size.
     """
     if block_lines < 1 or header_bytes >= max_bytes:
@@ -535,10 +567,19 @@ def size_rotation_plan(
     blocked = written.select("output", "day", "seq", "bytes", O.chunk_of(F.col("seq"), block_lines).alias("block"))
     place = ["output", "day", "block"]
 
+    def reach_of(prefix: np.ndarray) -> int:
+        return int(np.searchsorted(prefix, room, side="right")) + 2
+
+    def summary(head: pd.DataFrame, lines: int, total: int, prefix, opened, left) -> pd.DataFrame:
+        head = head[place].copy()
+        head["lines"], head["total"] = lines, total
+        head["prefix"], head["opened"], head["left"] = [prefix], [opened], [left]
+        return head
+
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", ignore_index=True)
         prefix = rows["bytes"].cumsum().to_numpy()
-        reach = int(np.searchsorted(prefix, room, side="right")) + 2
+        reach = reach_of(prefix)
         following = _cuts(prefix, room)
         here = np.arange(len(prefix))
         at = np.where(following < len(prefix), following, here)
@@ -550,23 +591,37 @@ def size_rotation_plan(
             opened = opened + opened[at] - 1
             at = further
         left = header_bytes + prefix[-1] - np.concatenate([[0], prefix[:-1]])[at]
-        head = rows.iloc[:1][place].copy()
-        head["total"] = int(prefix[-1])
-        head["prefix"], head["opened"], head["left"] = [prefix[:reach]], [opened[:reach]], [left[:reach]]
-        return head
+        return summary(rows.iloc[:1], len(prefix), int(prefix[-1]), prefix[:reach], opened[:reach], left[:reach])
 
-    summaries = blocked.groupBy(*place).applyInPandas(
-        summarise,
-        "output string, day string, block bigint, total bigint, prefix array<bigint>, opened array<bigint>, left array<bigint>",
-    )
+    summaries = blocked.groupBy(*place).applyInPandas(summarise, _BLOCK_SUMMARY)
 
     def first_cut(prefix: np.ndarray, used: int) -> int:
         cut = int(np.searchsorted(prefix, max_bytes - used, side="right"))
         return max(cut, 1) if used == 0 else cut  # an empty file takes any line
 
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        lines, total = 0, 0
+        prefix, opened, left = (np.empty(0, np.int64) for _ in range(3))
+        for block in rows.itertuples():
+            cut = np.searchsorted(block.prefix, max_bytes - left, side="right")
+            cut = np.where(left == 0, np.maximum(cut, 1), cut)
+            inside = cut < len(block.prefix)
+            cut = np.where(inside, cut, 0)
+            opened = opened + np.where(inside, np.asarray(block.opened)[cut], 0)
+            left = np.where(inside, np.asarray(block.left)[cut], left + block.total)
+            if len(prefix) == lines:  # all lines so far may be passed without a cut
+                prefix = np.concatenate([prefix, total + np.asarray(block.prefix)])
+                opened, left = np.concatenate([opened, block.opened]), np.concatenate([left, block.left])
+                reach = reach_of(prefix)
+                prefix, opened, left = prefix[:reach], opened[:reach], left[:reach]
+            lines, total = lines + int(block.lines), total + int(block.total)
+        head = rows.iloc[:1].assign(block=rows["above"].iloc[0])
+        return summary(head, lines, total, prefix, opened, left)
+
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        used, number, entries = header_bytes, 0, []
+        used, number, entries = int(rows["used"].iloc[0]), int(rows["number"].iloc[0]), []
         for total, prefix, opened, left in zip(rows["total"], rows["prefix"], rows["opened"], rows["left"]):
             entries.append((used, number))
             cut = first_cut(prefix, used)
@@ -578,9 +633,14 @@ def size_rotation_plan(
         out["used"], out["number"] = [e[0] for e in entries], [e[1] for e in entries]
         return out
 
-    entries = summaries.groupBy("output", "day").applyInPandas(
-        chain, "output string, day string, block bigint, used bigint, number bigint"
-    )
+    entered = "output string, day string, block bigint, used bigint, number bigint"
+    *lower, top = _rotation_levels(summaries, merge)
+    start = top.withColumn("used", F.lit(header_bytes).cast("bigint")).withColumn("number", F.lit(0).cast("bigint"))
+    entries = start.groupBy("output", "day").applyInPandas(chain, entered)
+    for level in reversed(lower):
+        above = entries.withColumnRenamed("block", "above")
+        inside = level.withColumn("above", O.chunk_of(F.col("block"), ROTATION_FAN)).join(above, ["output", "day", "above"])
+        entries = inside.groupBy("output", "day", "above").applyInPandas(chain, entered)
 
     def expand(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", ignore_index=True)
