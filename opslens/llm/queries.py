@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from opslens.llm import bitpack, decontaminate, hmm, jaccard_join, mixing, perplexity, pii, sharding, site_quality, superkmers
+from opslens.llm import (
+    bitpack,
+    collocations,
+    cross_align,
+    decontaminate,
+    hmm,
+    jaccard_join,
+    mixing,
+    perplexity,
+    piece_merge,
+    pii,
+    sharding,
+    site_quality,
+    superkmers,
+)
 from opslens.llm.tables import table, vocabulary_path
 
 
@@ -49,6 +63,19 @@ def op10_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return cross_align.align_documents(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_piece_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_merge.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -60,6 +87,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_hmm": op9_hmm,
     "op10_bitpack": op10_bitpack,
+    "op11_collocations": op11_collocations,
+    "op12_cross_align": op12_cross_align,
+    "op13_piece_merge": op13_piece_merge,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -114,4 +144,26 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
 m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id FROM m LEFT JOIN n USING (doc_id)""",
+    "op11_collocations": r"""
+WITH p AS (SELECT d, lang, i, p FROM (SELECT d, lang, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+        SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents))),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, s, array_to_string(ws[i:i + s - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM w, range(1, 4) AS t(s))),
+f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE s > 1 AND f >= 10),
+k AS (SELECT c.lang, c.phrase, c.s, a, k, x.f AS l, y.f AS r,
+        (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+    FROM c JOIN range(1, 3) AS t(k) ON k < s
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (
+        SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE s = 3) t
+    ON t.lang = c.lang AND t.part = c.phrase WHERE c.s = 2 AND 100 * t.a >= 50 * c.a),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+    FROM b ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -9,8 +9,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary of op10; a file of the driver, read there once."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary, by default that of op10; a file of the driver, read there once."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
