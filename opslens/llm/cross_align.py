@@ -292,7 +292,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         flat = {c: left.column(c).combine_chunks().flatten() for c in left.column_names if c != "chunk"}
         links, unit_first = flat["unit_links"].to_numpy(), flat["unit_first"].to_numpy()
         doc_units, doc_first = flat["doc_units"].to_numpy(), flat["doc_first"].to_numpy()
-        count, best = np.zeros((2, right.num_rows), np.int64)
+        count, best = np.zeros((2, int(links.max(initial=-1)) + 1), np.int64)
         place = right.column("pos").to_numpy()
         count[place], best[place] = right.column("n").to_numpy(), np.asarray(right.column("best").cast(pa.int64()))
 
