@@ -44,11 +44,10 @@ def check(spark, rows, chunk, monkeypatch, **options):
     return got
 
 
-@pytest.mark.parametrize("chunk", [50, 8 << 20])
-@pytest.mark.parametrize("longest", [2, 3, 5])
-def test_equals_brute_force(spark, monkeypatch, chunk, longest):
+@pytest.mark.parametrize("chunk, longest, kinds", [(8 << 20, 2, 8), (60, 3, 8), (300, 5, 2)])
+def test_equals_brute_force(spark, monkeypatch, chunk, longest, kinds):
     rng = random.Random(longest)
-    words = ["a", "B", "c", "dd", "é", "日本", "X-1", "#"]
+    words = ["a", "B", "c", "dd", "é", "日本", "X-1", "#"][:kinds]
     joins = [" "] * 12 + ["\t", "  ", ", ", ".", "\n", "\r\n", "\x0b", "? ", " "]
     texts = [
         (rng.choice(["en", "de", None, "und", ""]), "".join(rng.choice(words) + rng.choice(joins) for _ in range(rng.randrange(60))))
