@@ -13,6 +13,7 @@ is read without the rest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,7 +28,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opslens.llm.agenda import PairTable
 from opslens.llm.shared import parts, written
+from opslens.llm.units import byte_symbols, text_bytes_of
 from opslens.llm.words import LOWER, SPACE, binary_array, numbered, pieces, text_bytes
 from opslens.session import fresh_dir
 
@@ -35,7 +38,7 @@ MAGIC = b"TBITS01\0"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 1 << 14
 END_ID = 1
-#: Distinct pieces whose ids a task remembers.
+#: Words encoded by the tokenizer whose ids a task remembers.
 REMEMBERED = 1 << 19
 
 
@@ -45,12 +48,16 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each id, least significant first."""
+    if width in (8, 16, 32):  # whole bytes need no shifting
+        return np.ascontiguousarray(ids).astype(f"<u{width // 8}").tobytes()
     octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     bits = np.unpackbits(octets, axis=1, bitorder="little")[:, :width]
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", count).astype(np.uint32)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
     full = np.zeros((count, 32), np.uint8)
     full[:, :width] = bits
@@ -139,46 +146,55 @@ _CLASS[65:91] = _CLASS[97:123] = 1
 
 
 class Encoder:
-    """Encodes texts with the vocabulary, each distinct piece once.
+    """Encodes texts with the vocabulary, each distinct piece of a batch once.
 
     The vocabulary drops white space and never joins over it, so words can be encoded alone.
     Words of ASCII and Latin-1 letters, digits and marks are cut further, where the vocabulary's own
-    pattern cuts: runs of letters, single digits, runs of marks.  Every other word goes
-    through the tokenizer whole.  Tests hold the result against encoding whole texts.
+    pattern cuts: runs of letters, single digits, runs of marks.  These pieces are merged by the
+    vocabulary's ranks, all at once (``agenda``).  Every other word goes through the tokenizer
+    whole.  Tests hold the result against encoding whole texts.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(vocabulary)
-        self.simple = Tokenizer.from_str(vocabulary)
-        self.simple.normalizer = normalizers.Lowercase()
-        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
-        size = self.whole.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, number in self.whole.get_vocab().items():
-            self.ends[number] = token.endswith("</w>")
+        model = json.loads(vocabulary)["model"]
+        number, self.end = model["vocab"], model["end_of_word_suffix"]
+        symbols = byte_symbols()
+        self.inner, self.last = np.zeros(256, np.int32), np.zeros(256, np.int32)
+        for letter, octet in symbols.items():
+            self.inner[octet], self.last[octet] = number[letter], number[letter + self.end]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        rows = [(number[a], number[b], number[a + b], rank) for rank, (a, b) in enumerate(merges)]
+        self.pairs = PairTable(*(np.array(x, np.int64) for x in zip(*rows)))
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[bytes, np.ndarray] = {}
 
-    def _learn(self, texts: list[bytes], simple: np.ndarray) -> None:
-        if len(self.known) + len(texts) > REMEMBERED:
-            self.known = {}
-        easy = [t for t, s in zip(texts, simple) if s]
-        for start in range(0, len(easy), 1024):
-            part = easy[start : start + 1024]
-            joined = b" ".join(part).decode()
-            ids = np.array(self.simple.encode(joined, add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("a simple piece is not one unit of the vocabulary")
-            self.known.update(zip(part, np.split(ids, cuts[:-1])))
-        hard = [t for t, s in zip(texts, simple) if not s]
-        if hard:
-            found = self.whole.encode_batch_fast([t.decode() for t in hard], add_special_tokens=False)
-            self.known.update((t, np.array(e.ids, np.uint32)) for t, e in zip(hard, found))
+    def _merged(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of simple pieces, and how many each has."""
+        data, marks = text_bytes_of(values)
+        data = LOWER[data]
+        # a capital Latin-1 letter: C3 and 80..9E but for the sign among them
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] <= 0x9E) & (data[lead + 1] != 0x97)]
+        data[lead + 1] += 32
+        table = self.inner[data]
+        table[marks[1:] - 1] = self.last[data[marks[1:] - 1]]
+        sizes = np.diff(marks)
+        alive = self.pairs.merge(table, sizes)
+        return table[alive].astype(np.uint32), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[alive], minlength=len(sizes))
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of other words, through the tokenizer, remembered by the task."""
+        new = [t for t in texts if t not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, texts
+        found = self.whole.encode_batch_fast([t.decode() for t in new], add_special_tokens=False) if new else []
+        self.known.update((t, np.array(e.ids, np.uint32)) for t, e in zip(new, found))
+        ids = [self.known[t] for t in texts]
+        return np.concatenate([np.empty(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
@@ -211,22 +227,20 @@ class Encoder:
         cuts = np.flatnonzero(edge)
         full = inside[cuts[:-1]]
         starts, ends = cuts[:-1][full], cuts[1:][full]
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         marks = np.concatenate([[0], np.cumsum(ends - starts)])
         # lower case merges pieces; only in words that are cut, as others may compose
         folded = np.where(in_plain, LOWER[data], data)[inside]
         numbers, distinct = numbered(binary_array(marks, folded))
-        texts = distinct.to_pylist()
-        if not texts:
-            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        new = [i for i, t in enumerate(texts) if t not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, range(len(texts))
-        simple = np.zeros(len(texts), bool)
+        simple = np.zeros(len(distinct), bool)
         simple[numbers] = in_plain[starts]
-        self._learn([texts[i] for i in new], simple[np.asarray(new, np.int64)])
-        found = [self.known[t] for t in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        table, place = np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
+        one, one_sizes = self._merged(distinct.filter(pa.array(simple)))
+        two, two_sizes = self._whole(distinct.filter(pa.array(~simple)).to_pylist())
+        sizes, place = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        sizes[simple], sizes[~simple] = one_sizes, two_sizes
+        place[simple], place[~simple] = np.cumsum(one_sizes) - one_sizes, len(one) + np.cumsum(two_sizes) - two_sizes
+        table = np.concatenate([one, two])
         lengths = sizes[numbers]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = table[np.repeat(place[numbers] - upto[:-1], lengths) + np.arange(upto[-1])]

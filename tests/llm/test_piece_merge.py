@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
-from opslens.llm import piece_merge, tables
+from opslens.llm import agenda, piece_merge, tables
 
 MODEL = "piece_bpe_32k.model"
 ODD = [
@@ -40,19 +40,18 @@ def test_equals_the_library(encoder, library):
 @pytest.mark.parametrize("matrix", [1, 7])
 def test_small_matrices_and_heaps_agree(encoder, library, monkeypatch, matrix):
     texts = [t or "" for t in ODD]
-    monkeypatch.setattr(piece_merge, "MATRIX", matrix * 50)
+    monkeypatch.setattr(agenda, "MATRIX", matrix * 50)
+    monkeypatch.setattr(agenda, "LONG", matrix)
     monkeypatch.setattr(piece_merge, "LONG", matrix)
     ids, lengths = encoder.encode(pa.array(texts))
     assert [p.tolist() for p in np.split(ids, np.cumsum(lengths)[:-1])] == library.encode(texts)
 
 
-def test_agenda_takes_the_leftmost_of_equal_scores(encoder):
-    # a vocabulary of its own: "aa" beats nothing else, so odd runs leave their last letter
-    pairs = piece_merge.PairTable(*(np.array(x) for x in ([1], [1], [2], [0])))
-    encoder = object.__new__(piece_merge.PieceEncoder)
-    encoder.pairs = pairs
+def test_agenda_takes_the_leftmost_of_equal_ranks():
+    # "aa" beats nothing else, so odd runs leave their last letter
+    pairs = agenda.PairTable(*(np.array(x) for x in ([1], [1], [2], [0])))
     for n in (2, 3, 7):
-        for merge in (lambda s, a: encoder._matrix(s, a, np.array([0]), n), lambda s, a: encoder._heap(s, a, 0, n)):
+        for merge in (lambda s, a: pairs._matrix(s, a, np.array([0]), n), lambda s, a: pairs._heap(s, a, 0, n)):
             symbols, alive = np.ones(n, np.int32), np.ones(n, bool)
             merge(symbols, alive)
             assert symbols[alive].tolist() == [2] * (n // 2) + [1] * (n % 2)
