@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm import units as U
-from opslens.llm.collocations import _list, grouped
+from opslens.llm.collocations import grouped
 from opslens.llm.piece_merge import PieceEncoder
 from opslens.llm.shared import written
 from opslens.llm.words import binary_array, totals
@@ -30,14 +30,8 @@ from opslens.llm.words import binary_array, totals
 CHUNK_BYTES = 8 << 20
 #: Bytes of units that the byte-level tokenizer gets at once.
 JOINED_BYTES = 1 << 16
-
-
-def byte_symbols() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1
-    characters stand for themselves, all other bytes take the characters from 256 on in order."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Links that are counted per document at once.
+SLICE_LINKS = 1 << 19
 
 
 class ByteEncoder:
@@ -52,7 +46,7 @@ class ByteEncoder:
             raise ValueError("not a byte-level vocabulary with the usual pattern")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        symbols = byte_symbols()
+        symbols = U.byte_symbols()
         octets = [b""] * (max(self.tokenizer.get_vocab().values()) + 1)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             octets[number] = bytes(symbols[c] for c in token)
@@ -200,6 +194,12 @@ def _vocabularies(docs: DataFrame, a_path: str, b_path: str):
         return docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
 
+def _list(values) -> pa.Array:
+    """One list value."""
+    values = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text")
 
@@ -228,9 +228,12 @@ def _chunk_row(aligner: Aligner, part: pa.Table, chunk: int) -> pa.RecordBatch:
     held = np.asarray(pc.unique(pa.array(owner * len(units.distinct) + doc_units)))
     of, unit = held // max(len(units.distinct), 1), held % max(len(units.distinct), 1)
     many = found["link_counts"][unit]
-    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[unit], many)
-    pairs = np.asarray(pc.unique(pa.array(np.repeat(of, many) * max(len(codes), 1) + number[at])))
-    docs = np.bincount(pairs % max(len(codes), 1), minlength=len(codes))
+    docs = np.zeros(len(codes), np.int64)
+    for low, high in _slices(of, many):
+        n = many[low:high]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[unit[low:high]], n)
+        pairs = np.asarray(pc.unique(pa.array(np.repeat(of[low:high], n) * len(codes) + number[at])))
+        docs += np.bincount(pairs % max(len(codes), 1), minlength=len(codes))
     lists = [
         part.column("doc_id").combine_chunks(), *(sums[c] for c in _INTS), pa.array(digests, pa.string()),
         np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), doc_units.astype(np.int32), first.astype(np.int32),
@@ -240,6 +243,18 @@ def _chunk_row(aligner: Aligner, part: pa.Table, chunk: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk]), *map(_list, lists)], names)
 
 
+def _slices(of: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of whole documents with about ``SLICE_LINKS`` links together."""
+    ends = np.flatnonzero(np.concatenate([of[1:] != of[:-1], [True]])) + 1 if len(of) else np.empty(0, np.int64)
+    sums = np.cumsum(many)
+    low = 0
+    while low < len(of):
+        done = sums[low - 1] if low else 0
+        i = max(int(np.searchsorted(sums[ends - 1], done + SLICE_LINKS, "right")) - 1, int(np.searchsorted(ends, low, "right")))
+        yield low, int(ends[i])
+        low = int(ends[i])
+
+
 def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     coded = pa.array(values).dictionary_encode()
     return np.asarray(coded.indices), np.asarray(coded.dictionary)

@@ -6,7 +6,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from opslens.llm import cross_align, tables
+from opslens.llm import cross_align, tables, units
 
 PATHS = tables.vocabulary_path("byte_bpe_50k.json"), tables.vocabulary_path("piece_bpe_32k.model")
 TEXTS = [
@@ -25,7 +25,7 @@ def both():
 def brute(texts, both):
     """Whole texts, token by token."""
     a_lib, b_lib = both
-    symbols = cross_align.byte_symbols()
+    symbols = units.byte_symbols()
     a_octets = {i: bytes(symbols[c] for c in t) for t, i in a_lib.get_vocab().items() if i != 50256}
     piece = lambda i: bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode()
     docs = []
@@ -44,10 +44,14 @@ def brute(texts, both):
                 at = spans[-1][1]
             sides.append(spans)
         cuts = sorted({e for _, e, _ in sides[0]} & {e for _, e, _ in sides[1]})
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for cut in cuts:
-            groups.append([[i for s, e, i in side if low <= s < cut] for side in sides])
-            low = cut
+            group = [[], []]
+            for k, side in enumerate(sides):
+                while at[k] < len(side) and side[at[k]][0] < cut:
+                    group[k].append(side[at[k]][2])
+                    at[k] += 1
+            groups.append(group)
         links = []
         j = 0
         for s, e, i in sides[0]:
@@ -78,9 +82,10 @@ def columns(row):
     return tuple(row[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))
 
 
-@pytest.mark.parametrize("chunk", [200, 8 << 20])
-def test_equals_brute_force(spark, both, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, links", [(200, 1), (8 << 20, 500)])
+def test_equals_brute_force(spark, both, monkeypatch, chunk, links):
     monkeypatch.setattr(cross_align, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(cross_align, "SLICE_LINKS", links)
     corpus = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 20 = 3").collect()]
     texts = TEXTS + corpus
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
