@@ -1,11 +1,12 @@
 """Collocations by set-oriented mining over sorted occurrence relations.
 
 The relation of length 1 holds every word occurrence, sorted by piece of text and position.  It
-is persisted in chunks: a row has a chunk's distinct words and the sequence of their local
-numbers, with a break between pieces.  A length is mined in three steps: the chunks' distinct
-phrases are grouped and counted over the corpus, the frequent groups go back to the chunks that
-hold them (a semi-join), and neighbours in a chunk's sequence are merge-joined to the relation
-of the next length.  Phrases meet once per chunk and group, never once per occurrence.
+is persisted in chunks: a chunk has the sequence of its local phrase numbers, with breaks between
+pieces, and its distinct phrases with their counts, dealt to buckets by hash.  A length is mined in
+three steps: buckets sort and count their phrases over all chunks, the frequent ones go back
+to the chunks that hold them (a semi-join), and neighbours in a chunk's sequence are merge-joined to the
+relation of the next length.  A phrase meets its like once per chunk, never once per
+occurrence, and travels packed with the others of its chunk and bucket.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslens.llm.shared import written
-from opslens.llm.words import LOWER, _runs, binary_array, numbered, pair_ids, pieces, text_bytes
+from opslens.llm.shared import parts, written
+from opslens.llm.units import text_bytes_of
+from opslens.llm.words import LOWER, _runs, binary_array, hashes, mix64, numbered, pair_ids, pieces, text_bytes
 
 #: Text bytes of a chunk; a longer text makes a chunk of its own.
 CHUNK_BYTES = 8 << 20
@@ -30,14 +33,44 @@ _GAP[[9, 32]] = True
 _END = np.zeros(256, bool)
 _END[[10, 11, 12, 13, *b".,;:!?"]] = True
 
-_FIRST = "chunk bigint, lang array<string>, word array<string>, n array<bigint>, seq array<int>"
-_NEXT = "chunk bigint, left array<bigint>, right array<bigint>, n array<bigint>, seq array<int>"
+#: Buckets of phrases for each shuffle partition of the session.
+BUCKETS = 4
 
+# A chunk's sequence (seq), its phrases of one bucket (base: number of the first one), or its words per language.
+_RELATION = (
+    "chunk bigint, bucket int, base int, size int, keys binary, lengths binary, counts binary, seq binary, length int, "
+    "lang string, n bigint"
+)
+# A chunk's frequent phrases of one bucket, or a frequent phrase.
+_FOUND = "chunk bigint, size int, place binary, ids binary, id bigint, f bigint, lang string, word string, left bigint, right bigint"
 
-def _list(values) -> pa.Array:
-    """One list value."""
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+def zipped(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unzipped(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers or rows of numbers, packed by byte planes."""
+    octets = np.ascontiguousarray(values).view(np.uint8).reshape(max(len(values), 1), -1)
+    return zipped(octets.T.tobytes())
+
+
+def expand(data: bytes, count: int, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(unzipped(data, count * kind.itemsize), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, count).T).reshape(-1).view(kind)
+
+
+def _batch(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.Table.from_arrays(
+        [pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], schema=pa.schema([(n, kinds[k]) for n, k in fields])
+    )
 
 
 def _occurrences(column: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -54,18 +87,35 @@ def _occurrences(column: pa.Array, langs: pa.Array) -> tuple[np.ndarray, pa.Arra
     spread[ends] -= 1
     word, distinct = numbered(binary_array(marks, LOWER[data[np.cumsum(spread[:-1]).astype(bool)]]))
     spoken = np.asarray(langs)[owner]
-    both, first = pair_ids(spoken, word), None
-    _, first = np.unique(both, return_index=True)
+    both = pair_ids(spoken, word)
+    first = np.empty(int(both.max()) + 1, np.int64)
+    first[both[::-1]] = np.arange(len(both))[::-1]
     ended = np.cumsum(end)[starts]
     breaks = np.flatnonzero((np.diff(ended) > 0) | (np.diff(owner) > 0)) + 1
     return np.insert(both, breaks, -1).astype(np.int32), distinct.take(pa.array(word[first])), spoken[first]
 
 
+def _relation(chunk: int, seq: np.ndarray, bucket: np.ndarray, order: np.ndarray, cell, counts: np.ndarray) -> list[dict]:
+    """Rows of a chunk whose phrases are renumbered by bucket; ``cell`` packs the keys of a range."""
+    number = np.empty(len(order) + 1, np.int32)
+    number[order] = np.arange(len(order))
+    number[-1] = -1  # a break
+    rows = [{"chunk": chunk, "seq": squeeze(number[seq]), "length": len(seq)}]
+    dealt, counts = bucket[order], counts[order]
+    edges = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        rows.append(
+            {"chunk": chunk, "bucket": int(dealt[low]), "base": low, "size": high - low, "counts": squeeze(counts[low:high]), **cell(low, high)}
+        )
+    return rows
+
+
 def occurrence_chunks(docs: DataFrame) -> DataFrame:
-    """The persisted relation of single words, one row per chunk of the corpus."""
+    """The persisted relation of single words; a row without a chunk counts a chunk's words of a language."""
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text")
     )
+    buckets = BUCKETS * parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -75,19 +125,24 @@ def occurrence_chunks(docs: DataFrame) -> DataFrame:
             if not len(seq):
                 continue
             counts = np.bincount(seq[seq >= 0], minlength=len(words))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk]),
-                    _list(langs.dictionary.take(pa.array(spoken)).cast(pa.string())),
-                    _list(words.cast(pa.binary()).cast(pa.string())),
-                    _list(counts),
-                    _list(seq),
-                ],
-                ["chunk", "lang", "word", "n", "seq"],
-            )
+            names = langs.dictionary.cast(pa.large_binary())
+            # words hold no line end, so the last one parts language and word
+            keys = pc.binary_join_element_wise(names.take(pa.array(spoken)), words.cast(pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+            bucket = (hashes(keys) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            data, marks = text_bytes_of(keys.take(pa.array(order)))
+
+            def cell(low: int, high: int) -> dict:
+                body = data[marks[low] : marks[high]]
+                return {"keys": zipped(body.tobytes()), "lengths": squeeze(np.diff(marks[low : high + 1]))}
+
+            sums = np.bincount(spoken, weights=counts, minlength=len(names)).astype(np.int64)
+            found = _relation(chunk, seq, bucket, order, cell, counts)
+            found += [{"lang": name, "n": int(n)} for name, n in zip(langs.dictionary.to_pylist(), sums) if n]
+            yield from _batch(_RELATION, found).to_batches()
             chunk += 1
 
-    return written(rows.mapInArrow(run, _FIRST), "collocations-words")
+    return written(rows.mapInArrow(run, _RELATION), "collocations-1", "none")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
@@ -104,54 +159,94 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def _frequent(chunks: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
-    """Phrases found ``least`` times or more: ``chunk, pos`` of each chunk that holds one, its
-    keys, count ``f`` and ``id``; the row with ``uid = id`` stands for the phrase.
+def _frequent(relation: DataFrame, least: int, size: int) -> DataFrame:
+    """Phrases found ``least`` times or more, written: each chunk's own (``place``, ``ids``) and the
+    phrases themselves (``id``, ``f`` and their words or parts).
 
-    One shuffle by the phrase: counting and the semi-join share it.  A phrase has one row a
-    chunk, so a common one is no larger group than the number of chunks.
+    A bucket holds one entry for each chunk and phrase, so the largest phrase of a bucket is no
+    larger than the number of chunks.
     """
-    cells = chunks.select("chunk", F.posexplode(F.arrays_zip(*keys, "n")).alias("pos", "cell")).select(
-        "chunk", "pos", "cell.*", F.monotonically_increasing_id().alias("uid")
-    )
-    same = Window.partitionBy(*keys)
-    found = cells.withColumns({"f": F.sum("n").over(same), "id": F.min("uid").over(same)}).drop("n")
-    return written(found.where(F.col("f") >= least), f"collocations-{label}")
-
 
-def _extend(chunks: DataFrame, found: DataFrame, keep_sequence: bool) -> DataFrame:
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket, sizes = key[0].as_py(), table.column("size").to_pylist()
+        counts = np.concatenate([expand(c, n, np.int64) for c, n in zip(table.column("counts").to_pylist(), sizes)])
+        if size == 1:
+            lengths = [expand(c, n, np.int64) for c, n in zip(table.column("lengths").to_pylist(), sizes)]
+            data = b"".join(
+                unzipped(k, int(m.sum())) for k, m in zip(table.column("keys").to_pylist(), lengths)
+            )
+            marks = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+            values = binary_array(marks, np.frombuffer(data, np.uint8))
+        else:
+            pairs = np.concatenate([expand(k, n, "V16") for k, n in zip(table.column("keys").to_pylist(), sizes)])
+            values = binary_array(np.arange(len(pairs) + 1) * 16, pairs.view(np.uint8))
+        number, distinct = numbered(values)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, number, counts)
+        good = total >= least
+        ids = (np.int64(bucket) << 32) + np.cumsum(good) - 1
+        rows, low = [], 0
+        for chunk, base, n in zip(table.column("chunk").to_pylist(), table.column("base").to_pylist(), sizes):
+            here = number[low : low + n]
+            at = np.flatnonzero(good[here])
+            low += n
+            if len(at):
+                place = (at + base).astype(np.int32)
+                rows.append({"chunk": chunk, "size": len(at), "place": squeeze(place), "ids": squeeze(ids[here[at]])})
+        kept = distinct.filter(pa.array(good)).to_pylist()
+        for name, f, phrase in zip(kept, total[good].tolist(), ids[good].tolist()):
+            row = {"id": phrase, "f": f}
+            if size == 1:
+                lang, _, word = name.rpartition(b"\n")
+                row |= {"lang": lang.decode(), "word": word.decode()}
+            else:
+                row["left"], row["right"] = np.frombuffer(name, np.int64).tolist()
+            rows.append(row)
+        return _batch(_FOUND, rows)
+
+    cells = relation.where("bucket IS NOT NULL").select("bucket", "chunk", "base", "size", "keys", "lengths", "counts")
+    return written(cells.groupBy("bucket").applyInArrow(count, _FOUND), f"collocations-found-{size}", "none")
+
+
+def _extend(relation: DataFrame, found: DataFrame, keep_sequence: bool) -> DataFrame:
     """Merge-join neighbours of each chunk's frequent occurrences: the relation of the next length."""
+    buckets = BUCKETS * parts(relation)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [("chunk", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("left", "right", "n")), ("seq", pa.list_(pa.int32()))]
-        )
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        seq = left.column("seq").combine_chunks().flatten().to_numpy()
-        ids, place = right.column("id").to_numpy(), right.column("pos").to_numpy()
-        number = np.full(max(int(seq.max()), int(place.max())) + 2, -1, np.int64)  # the last entry answers -1
+            return _batch(_RELATION, [])
+        chunk = left.column("chunk")[0].as_py()
+        seq = expand(left.column("seq")[0].as_py(), left.column("length")[0].as_py(), np.int32)
+        sizes = right.column("size").to_pylist()
+        place = np.concatenate([expand(p, n, np.int32) for p, n in zip(right.column("place").to_pylist(), sizes)])
+        ids = np.concatenate([expand(p, n, np.int64) for p, n in zip(right.column("ids").to_pylist(), sizes)])
+        number = np.full(max(int(seq.max()), int(place.max())) + 2, -1, np.int64)  # the last entry answers a break
         number[place] = np.arange(len(place))
         here = number[seq]
         at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
         if not len(at):
-            return schema.empty_table()
+            return _batch(_RELATION, [])
         a, b = here[at], here[at + 1]
         pair = pair_ids(a, b)
-        _, first, counts = np.unique(pair, return_index=True, return_counts=True)
+        counts = np.bincount(pair)
+        first = np.empty(len(counts), np.int64)
+        first[pair[::-1]] = np.arange(len(pair))[::-1]
+        keys = np.stack([ids[a[first]], ids[b[first]]], axis=1)
+        bucket = (mix64(mix64(keys[:, 0]) + keys[:, 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((keys[:, 1], keys[:, 0], bucket))
         following = np.empty(0, np.int32)
         if keep_sequence:
             following = np.full(len(seq) - 1, -1, np.int32)
             following[at] = pair
             # one break in a row is enough
             following = following[(following >= 0) | np.concatenate([[True], following[:-1] >= 0])]
-        columns = [ids[a[first]], ids[b[first]], counts]
-        return pa.Table.from_arrays(
-            [left.column("chunk").combine_chunks(), *map(_list, columns), _list(following)], schema=schema
-        )
+        keys = keys[order]
+        rows = _relation(chunk, following, bucket, order, lambda low, high: {"keys": squeeze(keys[low:high])}, counts)
+        return _batch(_RELATION, rows)
 
-    sides = chunks.select("chunk", "seq").groupBy("chunk").cogroup(found.select("chunk", "pos", "id").groupBy("chunk"))
-    return sides.applyInArrow(join, _NEXT)
+    sequences = relation.where("seq IS NOT NULL").select("chunk", "seq", "length")
+    replies = found.where("chunk IS NOT NULL").select("chunk", "size", "place", "ids")
+    return sequences.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(join, _RELATION)
 
 
 def phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS) -> tuple[DataFrame, list[DataFrame]]:
@@ -162,26 +257,20 @@ def phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS) -
     and ``tails[i]`` count the first and the last ``i + 1`` words.  Parts of a frequent phrase are as
     frequent, so every count they need is there.  Written tables throughout.
     """
-    chunks = occurrence_chunks(docs)
-    totals = chunks.select(F.inline(F.arrays_zip("lang", "n"))).groupBy("lang").agg(F.sum("n").alias("n"))
+    relation = occurrence_chunks(docs)
+    totals = relation.where("chunk IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     levels: list[DataFrame] = []
-    keys = ["lang", "word"]
     for size in range(1, longest + 1):
-        found = _frequent(chunks, keys, least, f"phrases-{size}")
-        own = found.where(F.col("uid") == F.col("id"))
+        found = _frequent(relation, least, size)
+        own = found.where("chunk IS NULL")
         if size == 1:
             one = F.array("f")
-            nothing = F.lit(None).cast("bigint")
-            level = own.select(
-                "id", nothing.alias("left"), nothing.alias("right"), "f", "lang", F.array("word").alias("words"),
-                one.alias("heads"), one.alias("tails"),
-            )
+            level = own.select("id", "left", "right", "f", "lang", F.array("word").alias("words"), one.alias("heads"), one.alias("tails"))
         else:
             level = written(_spelled(own, levels[-1]), f"collocations-level-{size}")
         levels.append(level)
         if size < longest:
-            chunks = written(_extend(chunks, found, size + 1 < longest), f"collocations-next-{size + 1}")
-            keys = ["left", "right"]
+            relation = written(_extend(relation, found, size + 1 < longest), f"collocations-{size + 1}", "none")
     return totals, levels
 
 

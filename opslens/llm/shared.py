@@ -12,11 +12,11 @@ from opslens.session import fresh_dir
 SMALL_ROWS = 100_000
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write the rows to a new shared folder and read them back."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
