@@ -30,6 +30,8 @@ from opslens.llm.words import binary_array, totals
 CHUNK_BYTES = 8 << 20
 #: Bytes of units that the byte-level tokenizer gets at once.
 JOINED_BYTES = 1 << 16
+#: Distinct units aligned at once.
+UNITS = 1 << 15
 #: Links that are counted per document at once.
 SLICE_LINKS = 1 << 19
 
@@ -143,11 +145,16 @@ class Aligner:
         return good
 
     def align(self, distinct: pa.Array) -> dict:
-        """Per unit: whether both vocabularies give its bytes back, its tokens, groups and links.
+        """Per unit: whether both vocabularies give its bytes back, numbers of tokens, groups and links.
 
         ``links``: (A id << 32 | B id) of every link, ``link_counts`` many per unit; ``spelled``:
         the groups as ``a1,a2|b1;a3|b2;``, nothing for a unit that is not ``good``.
         """
+        found = [self._align(distinct.slice(low, UNITS)) for low in range(0, max(len(distinct), 1), UNITS)]
+        out = {name: np.concatenate([f[name] for f in found]) for name in found[0] if name != "spelled"}
+        return out | {"spelled": pa.concat_arrays([f["spelled"] for f in found])}
+
+    def _align(self, distinct: pa.Array) -> dict:
         a, n_a = self.a.encode_units(distinct)
         b, n_b = self.b.encode_units(distinct)
         b = b.astype(np.int64)
@@ -159,7 +166,7 @@ class Aligner:
         a_starts, b_starts = a_ends - self.a.lengths[a], b_ends - self.b_lengths[b]
         a_group, b_group = coalesce(a_starts, a_ends, b_starts, b_ends)
         left, right = overlaps(a_starts, a_ends, b_starts, b_ends)
-        unit_a, unit_b = np.repeat(np.arange(len(good)), n_a), np.repeat(np.arange(len(good)), n_b)
+        unit_a = np.repeat(np.arange(len(good)), n_a)
         ends = np.concatenate([a_group[1:] != a_group[:-1], [True]]) if len(a) else np.empty(0, bool)
         b_last = np.concatenate([b_group[1:] != b_group[:-1], [True]]) if len(b) else np.empty(0, bool)
         # A tokens of a group, then its B tokens: a stable sort by (group, side)
@@ -169,8 +176,7 @@ class Aligner:
         spelled = U.split_values(self.names.take(pa.array(names[order])), n_a + n_b)
         groups = np.bincount(unit_a[ends], minlength=len(good)) if len(a) else np.zeros(len(good), np.int64)
         return {
-            "good": good, "a": a, "b": b, "n_a": n_a, "n_b": n_b, "n_groups": groups, "spelled": spelled,
-            "a_group": a_group, "b_group": b_group, "unit_a": unit_a, "unit_b": unit_b,
+            "good": good, "n_a": n_a, "n_b": n_b, "n_groups": groups, "spelled": spelled,
             "links": a[left] << 32 | b[right], "link_counts": np.bincount(unit_a[left], minlength=len(good)),
         }
 

@@ -86,6 +86,7 @@ def columns(row):
 def test_equals_brute_force(spark, both, monkeypatch, chunk, links):
     monkeypatch.setattr(cross_align, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(cross_align, "SLICE_LINKS", links)
+    monkeypatch.setattr(cross_align, "UNITS", 100 * links)
     corpus = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 20 = 3").collect()]
     texts = TEXTS + corpus
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
