@@ -12,7 +12,7 @@ from opslens.session import fresh_dir
 SMALL_ROWS = 100_000
 
 
-def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write the rows to a new shared folder and read them back."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)

@@ -1,7 +1,7 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is ``window`` consecutive words of one document.  Its minimiser is the least hash of its
-grams of ``window // 2`` words; consecutive windows with the same minimiser form a super-k-mer,
+grams of ``window // 3`` words; consecutive windows with the same minimiser form a super-k-mer,
 which is packed as one string and sent to its minimiser's bucket.  Equal windows have equal
 minimisers and meet in one bucket, where sorting by exact names counts them and finds the
 first document of each.
@@ -71,7 +71,7 @@ class Cut:
         if not inside.any():
             self.start = self.count = self.minimiser = self.text = np.empty(0, np.int64)
             return
-        gram = max(1, window // 2)
+        gram = max(1, window // 3)
         value = _doubled(hashes(distinct)[ids], gram, _hash_pair)
         least = _doubled(value, window - gram + 1, np.minimum).view(np.int64)
         begins = inside.copy()
@@ -262,7 +262,7 @@ def _spans(docs: DataFrame, window: int, hot: int) -> DataFrame:
     sent = context.broadcast(
         (_marked(met, SHARED_BITS), _marked(met.where(F.col("n") > hot), HOT_BITS))
     )
-    sent_pieces = written(docs.select("doc_id", "text_key", "text").mapInArrow(_pieces(window, sent), _PIECES), "substring-pieces")
+    sent_pieces = written(docs.select("doc_id", "text_key", "text").mapInArrow(_pieces(window, sent), _PIECES), "substring-pieces", "zstd")
     strings = sent_pieces.where("packed IS NOT NULL").select("key", "sid", "packed", "low", "high")
     dealt = strings.repartition(parts(docs), "key").sortWithinPartitions("key")
     firsts = dealt.mapInArrow(_bucket(window), _FIRSTS)
