@@ -267,7 +267,7 @@ def _runs(percent: int):
 
 def _like(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "sig_b"):
             kept = [
                 differing(x, y) <= a + b - 2 * least_overlap(a, b, percent)
                 for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("sig_a", "sig_b", "na", "nb")))
@@ -310,7 +310,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "set_b"):  # a batch of Arrow's has rows of any length
             kept = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = _unpacked(x), _unpacked(y)
@@ -465,14 +465,18 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     """
     found = similarity_join(docs, percent, size).where("n_shingles > 0 AND doc_id IS NOT NULL")
     found = written(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "join-groups")
-    gone = found.where("doc_id <> first").select(F.col("doc_id").alias("__id"))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    kept = docs.join(gone, (F.col("doc_id") == F.col("__id")) & ~wordless, "left_anti")
-    again = found.where("doc_id = first AND rows > 1").select(F.col("doc_id").alias("__id"))
-    if again.isEmpty():
-        return kept
-    repeated = F.col("doc_id") == F.col("__id")
-    once = kept.where(~wordless).join(again, repeated, "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = once.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return kept.join(again, repeated & ~wordless, "left_anti").unionByName(once)
+    gone = found.where("doc_id <> first").select(F.col("doc_id").alias("__gone"))
+    again = found.where("doc_id = first AND rows > 1").select(F.col("doc_id").alias("__gone"))
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # columns of any name pass through
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("doc_id").alias("__id"), wordless.alias("__wordless")
+    )
+    kept = rows.join(gone, F.expr("__id = __gone AND NOT __wordless"), "left_anti")
+    if not again.isEmpty():
+        once = kept.where("NOT __wordless").join(again, F.expr("__id = __gone"), "left_semi")
+        text = F.col(names["text"])
+        rank = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text), text))
+        once = once.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+        kept = kept.join(again, F.expr("__id = __gone AND NOT __wordless"), "left_anti").unionByName(once)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
