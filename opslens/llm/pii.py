@@ -1,7 +1,7 @@
 """Personal data: rule spans, and boosted trees that add spans from overlapping candidates.
 
 Base rules find e-mail addresses, IP numbers, cards and phones.  Generators propose many
-overlapping spans of the same kinds: every window of up to ``MOST_GROUPS`` digit groups in a run of digits
+overlapping spans of the same kinds: every window of digit groups with up to ``MOST_DIGITS`` digits in a run of digits
 and separators, and addresses written with blanks, ``(at)`` or ``[dot]``.  Trees learn from the base
 rules' verdicts (a rule span is right; its fragments, and whole matches that a rule rejects, are
 wrong), using the format of the candidate and its surroundings.  A threshold per kind is set on
@@ -42,7 +42,7 @@ _HINTS = [
     re.compile(p, re.IGNORECASE)
     for p in (r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|credit|account", r"phone|tel|call|fax|mobile")
 ]
-MOST_GROUPS = 6
+MOST_DIGITS = 19
 #: Candidates that are taken for the trees, at most about.
 SAMPLE = 20_000
 SPOTS = 1 << 40
@@ -100,7 +100,7 @@ def candidates(text: str) -> Iterator[Span]:
     """Overlapping proposals of all kinds; their number is linear in the text."""
     for m in _AT.finditer(text) if "@" in text or "at)" in text.lower() or "at]" in text.lower() else ():
         start = m.start()
-        while start and m.start() - start < 64 and text[start - 1] in LOCAL:
+        while start and text[start - 1] in LOCAL:
             start -= 1
         domain = _LOOSE_DOMAIN.match(text, m.end())
         if start < m.start() and domain:
@@ -111,9 +111,9 @@ def candidates(text: str) -> Iterator[Span]:
         groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, run.start(), run.end())]
         for i, (start, _) in enumerate(groups):
             digits = 0
-            for j in range(i, min(i + MOST_GROUPS, len(groups))):
+            for j in range(i, len(groups)):
                 digits += groups[j][1] - groups[j][0]
-                if digits > 19:
+                if digits > MOST_DIGITS:  # a group has a digit at least, so a window has as many groups at most
                     break
                 end = groups[j][1]
                 between = [text[groups[k][1] : groups[k + 1][0]] for k in range(i, j)]
