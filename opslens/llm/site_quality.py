@@ -129,7 +129,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], sample: int = SAMPLE) -> tuple[dict[str, Linear], dict[str, float]]:
-    """A classifier per target and the targets' rates, from at most about ``sample`` labelled documents.
+    """A classifier per target, from at most about ``sample`` labelled documents, and the targets' rates among all labels.
 
     A document's label is the mean of its label rows; of several texts with one id, that of the least hash
     counts; without labels a target's evidence is 0.  Features are made in tasks, and only theirs travel.
@@ -137,6 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], sample: in
     agreed = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id"))
     rows = agreed.agg(*[F.avg(F.col(t).cast("double")).alias(f"y_{t}") for t in targets])
     rows = written(rows, "site-labels")
+    ids = docs.select(F.col("doc_id").alias("id"))
+    of_docs = rows.join(ids, F.col("id") == F.col("label_id"), "left_semi")
+    counted = of_docs.agg(*[f(f"y_{t}").alias(f"{n}_{t}") for t in targets for n, f in (("sum", F.sum), ("n", F.count))]).first()
+    rates = {t: ((counted[f"sum_{t}"] or 0.0) + 1) / (counted[f"n_{t}"] + 2) for t in targets}  # of all labels, not of the sample
     share = min(1.0, sample / max(rows.count(), 1))
     taken = rows.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
@@ -147,14 +151,13 @@ def train(docs: DataFrame, labels: DataFrame, targets: Sequence[str], sample: in
     one = found.groupBy("id").agg(F.min(F.struct("hash", "slots", "dense")).alias("f"))
     joined = one.join(F.broadcast(taken), F.col("id") == F.col("label_id"))
     data = joined.select("id", "f.slots", "f.dense", *[f"y_{t}" for t in targets]).orderBy("id").toArrow().combine_chunks()
-    models, rates = {}, {}
+    models = {}
     size = data.num_rows
     slots = data.column("slots").combine_chunks() if size else None
     dense = data.column("dense").combine_chunks().flatten().to_numpy().reshape(size, DENSE) if size else None
     for t in targets:
         y = data.column(f"y_{t}").to_numpy().astype(float) if size else np.empty(0)
         known = np.flatnonzero(~np.isnan(y))
-        rates[t] = float((y[known].sum() + 1) / (len(known) + 2))
         if not len(known):
             models[t] = Linear(np.zeros(1 << FEATURE_BITS), np.zeros(DENSE))
             continue
