@@ -292,7 +292,11 @@ def _clean(sent):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """The documents without any such region, with all their columns; nothing is shuffled."""
+    """The documents without any such region, with all their columns; nothing is shuffled.
+
+    Null and empty texts stay; repeated rows are judged alike; columns of any name pass through; an empty
+    table stays empty, and an empty benchmark removes nothing.
+    """
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     schema = out.schema

@@ -262,14 +262,20 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row as often as it is taken, with its own columns."""
+    """The mixed documents: each row as often as it is taken, with its own columns.
+
+    Null and empty texts have no words and are taken as their source's share says; a null source is a source of
+    its own; of repeated rows each is taken as often as the others; columns of any name pass through; an
+    empty table gives no rows.
+    """
+    parts_ = ("unit_id", "source", "unit_text", "unit_null")
     plan = plan_mix(docs, **options).where("takes > 0")
-    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in ("unit_id", "source", "unit_text", "unit_null", "takes")])
-    marked = docs
-    for column, name in zip(_unit_key(), ["unit_id", "source", "unit_text", "unit_null"]):
-        marked = marked.withColumn(f"__m_{name}", column)
-    same = [F.col(f"__m_{c}").eqNullSafe(F.col(f"__{c}")) for c in ("unit_id", "source", "unit_text", "unit_null")]
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in (*parts_, "takes")])
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[key.alias(f"__m_{n}") for key, n in zip(_unit_key(), parts_)]
+    )
+    same = [F.col(f"__m_{c}").eqNullSafe(F.col(f"__{c}")) for c in parts_]
     joined = marked.join(plan, same[0] & same[1] & same[2] & same[3])
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__takes"))).alias("__take")
-    ).drop("__take")
+    often = joined.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("__takes"))).alias("__take"))
+    return often.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -15,6 +15,7 @@ ODD_TEXTS = [
     (-5, "negative id words " * 30, "en", "b"),
 ]
 CLASHES = ["n", "words", "key", "id", "size", "shard", "bits", "target", "spans", "token", "component", "low", "rank", "path"]
+CLASHES += ["__id", "__gone", "__rank", "__take", "__takes", "__c0", "__text", "__lang", "chunk", "bucket", "ids"]
 
 
 @pytest.fixture
