@@ -6,14 +6,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslens.functions import logline as L
 from opslens.functions import text as T
 from opslens.operators import ordered as O
-from opslens.operators.staging import once, small_table
-from opslens.session import fresh_dir
+from opslens.operators.staging import once, small_table, stored
 
 Record = dict[str, Column]
 
@@ -82,28 +81,20 @@ def _last_starts(times: np.ndarray, span: int) -> np.ndarray:
         at = further
 
 
-def window_starts(
-    lines: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    span: int = 1000,
-    block: int = 3_600_000,
-    entry: DataFrame | None = None,
-) -> DataFrame:
+def window_starts(lines: DataFrame, keys: Sequence[str], at: str, span: int = 1000, block: int = 3_600_000) -> DataFrame:
     """``keys, at, window_start`` for every distinct time of every key.
 
     A window starts at the first time at least ``span`` after the previous start,
     so starts form a chain over the whole key.  Times are reduced to distinct
     milliseconds and cut into blocks; each block is summarised, in parallel, as
-    "start carried in -> start carried out" (at most ``span`` cases); only these
-    summaries, one row per key and block, are chained in order.  ``entry`` may
-    give each key's ``start`` carried in from earlier data.
+    "start carried in -> start carried out" (at most ``span`` cases), and the blocks are
+    entered through a parallel prefix over these summaries.
     """
     if block < span:
         raise ValueError("a block must be at least as long as a window")
     keys = list(keys)
     if not keys:  # one window shared by all lines
-        shared = window_starts(lines.withColumn("__all", F.lit(0)), ["__all"], at, span, block, entry)
+        shared = window_starts(lines.withColumn("__all", F.lit(0)), ["__all"], at, span, block)
         return shared.drop("__all")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys).schema)
     points = (
@@ -111,6 +102,7 @@ def window_starts(
         .distinct()
         .withColumn("block", F.floor(F.col("t") / block).cast("bigint"))
     )
+    form = "times array<bigint>, exits array<bigint>"
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(rows["t"].to_numpy())
@@ -120,29 +112,30 @@ def window_starts(
         head["exits"] = [_last_starts(times, span)[:reach]]
         return head
 
-    summaries = points.groupBy(*keys, "block").applyInPandas(
-        summarise, f"{key_ddl}, block bigint, times array<bigint>, exits array<bigint>"
-    )
-    if entry is not None:
-        summaries = summaries.join(entry.select(*keys, F.col("start").alias("carried")), keys, "left")
-    else:
-        summaries = summaries.withColumn("carried", F.lit(None).cast("bigint"))
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        first = rows["carried"].iloc[0]
-        start = None if pd.isna(first) else int(first)
-        entries = []
+    def merge(rows: pd.DataFrame) -> dict:
+        # a start carried in leads to a time of the first block, or to the first time of the next
+        times, exits = np.asarray(rows["times"].iloc[0]), np.asarray(rows["exits"].iloc[0])
+        for i in range(1, len(rows)):
+            here, leads = np.asarray(rows["times"].iloc[i]), np.asarray(rows["exits"].iloc[i])
+            found = np.searchsorted(here, exits + span)
+            inside = found < len(here)
+            exits = np.where(inside, leads[np.where(inside, found, 0)], exits)
+            if i == 1:
+                times, exits = np.append(times, here[0]), np.append(exits, leads[0])
+        return {"times": times, "exits": exits}
+
+    def enter(rows: pd.DataFrame, state: tuple) -> list[tuple]:
+        entries, (start,) = [], state
         for times, exits in zip(rows["times"], rows["exits"]):
-            entries.append(start)
+            entries.append((start,))
             at_index = 0 if start is None else int(np.searchsorted(times, start + span))
             if at_index < len(times):
                 start = int(exits[at_index])
-        out = rows[[*keys, "block"]].copy()
-        out["start"] = pd.array(entries, dtype="Int64")
-        return out
+        return entries
 
-    entries = summaries.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, block bigint, start bigint")
+    summaries = points.groupBy(*keys, "block").applyInPandas(summarise, f"{key_ddl}, block bigint, {form}")
+    nothing = {"start": F.lit(None).cast("bigint")}
+    entries = O.prefix_states(summaries, keys, form, "start bigint", nothing, merge, enter)
 
     def expand(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t", ignore_index=True)
@@ -257,15 +250,16 @@ def log_flow(
     predicate: Callable[[Record], Column] | None = None,
     custom: dict[str, int] | None = None,
     tags: DataFrame | None = None,
-    used: DataFrame | None = None,
+    limiter: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per line with its fate: ``rate_dropped``, ``filtered``, ``unrouted``
     or ``written``, and the output lines it produced.
 
     The limiter comes before field extraction, so dropped lines are never
-    scanned for fields.
+    scanned for fields.  ``limiter`` replaces the limit per source and second: it adds ``second``
+    and ``admitted``.
     """
-    limited = rate_limit_aligned(lines, limit, used=used)
+    limited = rate_limit_aligned(lines, limit) if limiter is None else limiter(lines)
     if tags is not None:
         limited = attach_source_tags(limited, tags)
     parsed = parse_log_line(limited, custom)
@@ -517,33 +511,7 @@ def _cuts(prefix: np.ndarray, room: int) -> np.ndarray:
     return np.maximum(following, np.arange(1, len(prefix) + 1))
 
 
-#: So many neighbouring summaries are merged into one, or chained, in one task.
-ROTATION_FAN = 16
-_BLOCK_SUMMARY = (
-    "output string, day string, block bigint, lines bigint, total bigint, "
-    "prefix array<bigint>, opened array<bigint>, left array<bigint>"
-)
-
-
-def _rotation_levels(summaries: DataFrame, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> list[DataFrame]:
-    """Summaries of blocks, of ``ROTATION_FAN`` neighbours, of as many of those, until a key has at most so many.
-
-    Each level is written, as it is read on the way up and on the way down.
-    """
-    spark = summaries.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = fresh_dir(spark, "rotation")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    levels = [kept(summaries)]
-    low, high = levels[0].agg(F.min("block"), F.max("block")).first()
-    while low is not None and high - low >= ROTATION_FAN:
-        above = levels[-1].withColumn("above", O.chunk_of(F.col("block"), ROTATION_FAN))
-        levels.append(kept(above.groupBy("output", "day", "above").applyInPandas(merge, _BLOCK_SUMMARY)))
-        low, high = low // ROTATION_FAN, high // ROTATION_FAN
-    return levels
+_BLOCK_FORM = "lines bigint, total bigint, prefix array<bigint>, opened array<bigint>, left array<bigint>"
 
 
 def size_rotation_plan(
@@ -556,10 +524,9 @@ def size_rotation_plan(
     depends on all lines before, so lines are cut into blocks of ``block_lines``
     positions; each block is summarised, in parallel, as "bytes in the open file before ->
     files opened, bytes in the open file after" (only lines within one file's size of its
-    start can be its first cut).  ``ROTATION_FAN`` neighbouring summaries become one of the
-    same form, round by round, until a key has few; then each round's blocks are entered from
-    the round above.  So no task holds more than that many summaries, each with one file's lines.
-    The numbers do not depend on the block size.
+    start can be its first cut), and blocks are entered through a parallel prefix over these
+    summaries, whose rounds are written while the plan is built.  The numbers do not depend on
+    the block size.
     """
     if block_lines < 1 or header_bytes >= max_bytes:
         raise ValueError("block_lines must be positive and the header smaller than a file")
@@ -570,11 +537,8 @@ def size_rotation_plan(
     def reach_of(prefix: np.ndarray) -> int:
         return int(np.searchsorted(prefix, room, side="right")) + 2
 
-    def summary(head: pd.DataFrame, lines: int, total: int, prefix, opened, left) -> pd.DataFrame:
-        head = head[place].copy()
-        head["lines"], head["total"] = lines, total
-        head["prefix"], head["opened"], head["left"] = [prefix], [opened], [left]
-        return head
+    def summary(lines: int, total: int, prefix, opened, left) -> dict:
+        return {"lines": lines, "total": total, "prefix": prefix, "opened": opened, "left": left}
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", ignore_index=True)
@@ -591,16 +555,18 @@ def size_rotation_plan(
             opened = opened + opened[at] - 1
             at = further
         left = header_bytes + prefix[-1] - np.concatenate([[0], prefix[:-1]])[at]
-        return summary(rows.iloc[:1], len(prefix), int(prefix[-1]), prefix[:reach], opened[:reach], left[:reach])
+        head = rows.iloc[:1][place].copy()
+        for name, value in summary(len(prefix), int(prefix[-1]), prefix[:reach], opened[:reach], left[:reach]).items():
+            head[name] = [value]
+        return head
 
-    summaries = blocked.groupBy(*place).applyInPandas(summarise, _BLOCK_SUMMARY)
+    summaries = blocked.groupBy(*place).applyInPandas(summarise, f"output string, day string, block bigint, {_BLOCK_FORM}")
 
     def first_cut(prefix: np.ndarray, used: int) -> int:
         cut = int(np.searchsorted(prefix, max_bytes - used, side="right"))
         return max(cut, 1) if used == 0 else cut  # an empty file takes any line
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
+    def merge(rows: pd.DataFrame) -> dict:
         lines, total = 0, 0
         prefix, opened, left = (np.empty(0, np.int64) for _ in range(3))
         for block in rows.itertuples():
@@ -616,12 +582,10 @@ def size_rotation_plan(
                 reach = reach_of(prefix)
                 prefix, opened, left = prefix[:reach], opened[:reach], left[:reach]
             lines, total = lines + int(block.lines), total + int(block.total)
-        head = rows.iloc[:1].assign(block=rows["above"].iloc[0])
-        return summary(head, lines, total, prefix, opened, left)
+        return summary(lines, total, prefix, opened, left)
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block", ignore_index=True)
-        used, number, entries = int(rows["used"].iloc[0]), int(rows["number"].iloc[0]), []
+    def enter(rows: pd.DataFrame, state: tuple) -> list[tuple]:
+        (used, number), entries = state, []
         for total, prefix, opened, left in zip(rows["total"], rows["prefix"], rows["opened"], rows["left"]):
             entries.append((used, number))
             cut = first_cut(prefix, used)
@@ -629,18 +593,10 @@ def size_rotation_plan(
                 used, number = int(left[cut]), number + int(opened[cut])
             else:
                 used += int(total)
-        out = rows[place].copy()
-        out["used"], out["number"] = [e[0] for e in entries], [e[1] for e in entries]
-        return out
+        return entries
 
-    entered = "output string, day string, block bigint, used bigint, number bigint"
-    *lower, top = _rotation_levels(summaries, merge)
-    start = top.withColumn("used", F.lit(header_bytes).cast("bigint")).withColumn("number", F.lit(0).cast("bigint"))
-    entries = start.groupBy("output", "day").applyInPandas(chain, entered)
-    for level in reversed(lower):
-        above = entries.withColumnRenamed("block", "above")
-        inside = level.withColumn("above", O.chunk_of(F.col("block"), ROTATION_FAN)).join(above, ["output", "day", "above"])
-        entries = inside.groupBy("output", "day", "above").applyInPandas(chain, entered)
+    start = {"used": F.lit(header_bytes).cast("bigint"), "number": F.lit(0).cast("bigint")}
+    entries = O.prefix_states(summaries, ["output", "day"], _BLOCK_FORM, "used bigint, number bigint", start, merge, enter)
 
     def expand(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", ignore_index=True)
@@ -710,10 +666,16 @@ FAMILIES = [
     ("lines_written_total", "counter", "Lines handed to outputs."),
     ("output_bytes_total", "counter", "Bytes handed to outputs."),
     ("lines_rate_dropped_total", "counter", "Lines over the rate limit."),
+    ("compression_raw_bytes_total", "counter", "Bytes of output lines before packing."),
+    ("compression_packed_bytes_total", "counter", "Bytes of output lines after packing."),
+    ("output_rotations_total", "counter", "Files begun anew, by what began them."),
     ("kv_lines_attempted_total", "counter", "Lines searched for fields."),
     ("kv_lines_extracted_total", "counter", "Lines in which fields were found."),
     ("kv_fields_extracted_total", "counter", "Fields found."),
     ("kv_extraction_ratio", "gauge", "Share of searched lines with fields, in percent."),
+    ("replay_index_hits_total", "counter", "Sources that a replay entered by their index."),
+    ("replay_index_fallbacks_total", "counter", "Sources that a replay read from their start."),
+    ("replay_skipped_bytes_total", "counter", "Bytes that a replay passed over."),
     ("source_lines_total", "counter", "Lines read from each source."),
     ("source_output_bytes_total", "counter", "Bytes written for each source."),
     ("output_lines_written_total", "counter", "Lines in each output."),
@@ -730,74 +692,118 @@ def escape_label(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit("\\n"))
 
 
-def _fact(family: str, n: Column, key: Column | str = "", value: Column | str = "") -> Column:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(
-        F.lit(family).alias("family"), lit(key).alias("key"), lit(value).alias("value"), n.cast("bigint").alias("n")
-    )
-
+def _observed(flow: DataFrame, routes: Sequence[L.Route]) -> tuple[DataFrame, Observation]:
+    """Write what the labelled counters need of a flow, and take all other counters on the way.
 
-def metric_facts(flow: DataFrame, routes: Sequence[L.Route]) -> DataFrame:
-    """All counters as ``family, key, value, n``, from one pass over the flow.
-
-    Each record yields its handful of facts, which are summed map-side.
+    Levels and outputs are known beforehand, so their counters are plain sums that Spark observes
+    while the rows are written; nothing is shuffled for them.
     """
-    one = F.lit(1)
-    fate, admitted = F.col("disposition"), F.col("admitted")
     lines = once(
         flow,
-        made=F.transform(
-            "accepted", lambda o: F.struct(o.alias("output"), (T.utf8_bytes(route_line(_record(), routes, o)) + 1).alias("size"))
-        ),
+        **{
+            f"line{i}": F.when(F.array_contains("accepted", r.name), route_line(_record(), [r], F.lit(r.name)))
+            for i, r in enumerate(routes)
+        },
+    )
+    fate, admitted, fields = F.col("disposition"), F.col("admitted"), F.size("kv")
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+    counters = {
+        "ingested": F.count(F.lit(1)),
+        "filtered": F.count_if(fate == "filtered"),
+        "written": F.count_if(fate == "written"),
+        "rate_dropped": F.count_if(~admitted),
+        "attempted": F.count_if(admitted),
+        "extracted": F.count_if(admitted & (fields > 0)),
+        "fields": total(F.when(admitted, fields)),
+    }
+    counters |= {f"level{s}": F.count_if(F.least("severity", F.lit(4)) == s) for s in L.SEVERITIES.values()}
+    size = F.lit(0)
+    for i in range(len(routes)):
+        line = F.col(f"line{i}")
+        size = size + F.coalesce(line_size(line), F.lit(0))
+        counters |= {
+            f"lines{i}": F.count(line),
+            f"bytes{i}": total(line_size(line)),
+            f"raw{i}": total(T.utf8_bytes(line)),
+            f"packed{i}": total(T.run_length_packed_bytes(line)),
+        }
+    seen = Observation()
+    narrow = lines.observe(seen, *[c.alias(n) for n, c in counters.items()]).select(
+        "source", "source_type", "admitted", F.when(admitted, F.col("kv")).alias("kv"), size.cast("bigint").alias("size")
+    )
+    return stored(narrow, "metrics"), seen
+
+
+def metric_facts(flow: DataFrame, routes: Sequence[L.Route], top: int) -> DataFrame:
+    """All counters as ``family, key, value, n``; the flow is computed once, while the plan is built."""
+    narrow, seen = _observed(flow, routes)
+    n = seen.get
+    ratio = 100 if n["attempted"] == 0 else (n["extracted"] * 100 + n["attempted"] // 2) // n["attempted"]
+    every = range(len(routes))
+    plain = {
+        "lines_ingested_total": n["ingested"],
+        "lines_filtered_total": n["filtered"],
+        "lines_written_total": n["written"],
+        "output_bytes_total": sum(n[f"bytes{i}"] for i in every),
+        "lines_rate_dropped_total": n["rate_dropped"],
+        "compression_raw_bytes_total": sum(n[f"raw{i}"] for i in every),
+        "compression_packed_bytes_total": sum(n[f"packed{i}"] for i in every),
+        "kv_lines_attempted_total": n["attempted"],
+        "kv_lines_extracted_total": n["extracted"],
+        "kv_fields_extracted_total": n["fields"],
+        "kv_extraction_ratio": ratio,
+    }
+    rows = [(family, "", "", int(count)) for family, count in plain.items()]
+    rows += [("lines_ingested_total", name, "", int(n[f"level{s}"])) for name, s in L.SEVERITIES.items()]
+    for i, route in enumerate(routes):
+        if n[f"lines{i}"]:
+            rows.append(("output_lines_written_total", route.name, "", int(n[f"lines{i}"])))
+            rows.append(("output_bytes_written_total", route.name, "", int(n[f"bytes{i}"])))
+    known = small_table(flow.sparkSession, ["family", "key", "value", "n"], rows).withColumn("n", F.col("n").cast("bigint"))
+
+    def fact(family: str, key: str, count: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), F.col(key).alias("key"), count.cast("bigint").alias("n"))
+
+    sources = narrow.groupBy("source_type", "source").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if("admitted").alias("admitted"), F.sum(F.when(F.col("admitted"), F.col("size"))).alias("bytes")
+    )
+    of_type = F.array(
+        fact("source_type_lines_total", "source_type", F.col("lines")), fact("source_type_active", "source_type", F.lit(1))
+    )
+    of_source = F.array(
+        fact("source_lines_total", "source", F.col("admitted")), fact("source_output_bytes_total", "source", F.col("bytes"))
+    )
+    none = F.slice(of_type, F.lit(1), F.lit(0))
+    labelled = (
+        sources.select(F.inline(F.concat(of_type, F.when(F.col("admitted") > 0, of_source).otherwise(none))))
+        .groupBy("family", "key")
+        .agg(F.sum("n").alias("n"))
+        .select("family", "key", F.lit("").alias("value"), "n")
     )
-    size = F.aggregate("made", F.lit(0).cast("bigint"), lambda acc, m: acc + m["size"])
-    always = F.array(
-        _fact("lines_ingested_total", one),
-        _fact("lines_ingested_total", one, L.level_name(F.col("severity"))),
-        _fact("lines_filtered_total", (fate == "filtered").cast("int")),
-        _fact("lines_written_total", (fate == "written").cast("int")),
-        _fact("output_bytes_total", F.coalesce(size, F.lit(0))),
-        _fact("lines_rate_dropped_total", (~admitted).cast("int")),
-        _fact("source_type_lines_total", one, F.col("source_type")),
-        _fact("source_type_active", one, F.col("source_type"), F.col("source")),
-    )
-    offered = F.array(
-        _fact("kv_lines_attempted_total", one),
-        _fact("kv_lines_extracted_total", (F.size("kv") > 0).cast("int")),
-        _fact("kv_fields_extracted_total", F.size("kv")),
-        _fact("source_lines_total", one, F.col("source")),
-        _fact("source_output_bytes_total", F.coalesce(size, F.lit(0)), F.col("source")),
-    )
-    outputs = F.flatten(
-        F.transform(
-            "made",
-            lambda m: F.array(
-                _fact("output_lines_written_total", one, m["output"]),
-                _fact("output_bytes_written_total", m["size"], m["output"]),
-            ),
-        )
+    values = kv_top_n(kv_value_counts(narrow), top).select(
+        F.lit("field_value_count").alias("family"), "key", "value", F.col("cnt").alias("n")
     )
-    values = F.transform(F.map_entries("kv"), lambda e: _fact("field_value_count", one, e["key"], e["value"]))
-    none = F.slice(always, F.lit(1), F.lit(0))
-    facts = F.concat(
-        always,
-        F.when(admitted, F.concat(offered, values)).otherwise(none),
-        F.coalesce(outputs, none),
-    )
-    zero = [("lines_ingested_total", name) for name in L.SEVERITIES]
-    zero += [(f"kv_{name}_total", "") for name in ("lines_attempted", "lines_extracted", "fields_extracted")]
-    shown_anyway = small_table(
-        flow.sparkSession, ["family", "key", "value", "n"], [(family, key, "", 0) for family, key in zero]
-    )
-    summed = (
-        lines.select(F.inline(facts))
-        .unionByName(shown_anyway)
-        .groupBy("family", "key", "value")
-        .agg(F.sum("n").alias("n"))
+    return known.unionByName(labelled).unionByName(values)
+
+
+def rotation_facts(plan: DataFrame) -> DataFrame:
+    """Rotations by size and by day of a :func:`size_rotation_plan`, for :func:`prometheus_lines`."""
+    days = plan.groupBy("output", "day").agg(F.max("file_no").alias("files"))
+    outputs = days.groupBy("output").agg(F.sum("files").alias("by_size"), (F.count(F.lit(1)) - 1).alias("by_day"))
+    summed = outputs.agg(F.coalesce(F.sum("by_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("by_day"), F.lit(0)).alias("day"))
+    return summed.unpivot([], ["size", "day"], "key", "n").select(F.lit("output_rotations_total").alias("family"), "key", F.col("n").cast("bigint").alias("n"))
+
+
+def replay_facts(positions: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Hits, misses and skipped bytes of a replay (:func:`replay_positioning`,
+    :func:`replay_skipped_bytes`), for :func:`prometheus_lines`."""
+    hits = positions.agg(
+        F.count_if(F.col("positioned_by") == "index").alias("replay_index_hits_total"),
+        F.count_if(F.col("positioned_by") == "fallback").alias("replay_index_fallbacks_total"),
     )
-    # Behind this border a filter on the family stays above the sum, so all readers
-    # share one pass.
-    return summed.select(F.inline(F.array(F.struct("family", "key", "value", "n"))))
+    passed = skipped.agg(F.coalesce(F.sum("skipped_bytes"), F.lit(0)).cast("bigint").alias("replay_skipped_bytes_total"))
+    long = hits.unpivot([], hits.columns, "family", "n").unionByName(passed.unpivot([], passed.columns, "family", "n"))
+    return long.select("family", F.lit("").alias("key"), "n")
 
 
 # Label each family carries.
@@ -805,6 +811,7 @@ LABELS = {
     "lines_ingested_total": "level",
     "source_lines_total": "source",
     "source_output_bytes_total": "source",
+    "output_rotations_total": "trigger",
     "output_lines_written_total": "output",
     "output_bytes_written_total": "output",
     "source_type_lines_total": "type",
@@ -813,37 +820,18 @@ LABELS = {
 
 
 def prometheus_lines(
-    flow: DataFrame, routes: Sequence[L.Route], top: int = 10, prefix: str = "opslens_"
+    flow: DataFrame, routes: Sequence[L.Route], top: int = 10, prefix: str = "opslens_", more: Sequence[DataFrame] = ()
 ) -> DataFrame:
-    """Exposition text as ``family_no, kind, label, text`` rows in output order."""
+    """Exposition text as ``family_no, kind, label, text`` rows in output order.
+
+    ``more`` may give further counters as ``family, key, n``: :func:`rotation_facts` and
+    :func:`replay_facts`.  The flow is computed once, while the plan is built.
+    """
     spark = flow.sparkSession
-    facts = metric_facts(flow, routes)
-    counted = facts.where(~F.col("family").isin("source_type_active", "field_value_count"))
-    active = (
-        facts.where(F.col("family") == "source_type_active")
-        .groupBy("family", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("family", "key", F.lit("").alias("value"), "n")
-    )
-    values = facts.where(F.col("family") == "field_value_count").select(
-        "family", "key", "value", F.col("n").alias("cnt")
-    )
-    common = kv_top_n(values, top).select("family", "key", "value", F.col("cnt").alias("n"))
-    total = lambda family: F.sum(F.when(F.col("family") == family, F.col("n")))
-    rate = (
-        counted.where(F.col("family").startswith("kv_"))
-        .agg(total("kv_lines_attempted_total").alias("attempted"), total("kv_lines_extracted_total").alias("extracted"))
-        .where(F.col("attempted").isNotNull())
-        .select(
-            F.lit("kv_extraction_ratio").alias("family"),
-            F.lit("").alias("key"),
-            F.lit("").alias("value"),
-            F.when(F.col("attempted") == 0, F.lit(100).cast("bigint"))
-            .otherwise(F.expr("(extracted * 100 + attempted div 2) div greatest(attempted, 1)"))
-            .alias("n"),
-        )
-    )
-    long = counted.unionByName(active).unionByName(common).unionByName(rate)
+    long = metric_facts(flow, routes, top)
+    for facts in more:
+        long = long.unionByName(facts.select("family", "key", F.lit("").alias("value"), F.col("n").cast("bigint").alias("n")))
+    long = stored(long, "metric-facts")
     families = small_table(
         spark,
         ["family_no", "family", "type", "help", "label_name"],

@@ -8,12 +8,17 @@ chunks, and carries one pre-aggregated row per chunk from chunk to chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslens.operators.staging import stored
+
 CHUNK_ROWS = 1 << 18
+#: So many neighbouring summaries are merged into one, or entered in turn, in one task.
+FAN = 16
 
 _COMBINE = {
     "sum": lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),
@@ -252,3 +257,66 @@ def asof_last(
     return seen.where(F.col("__side") == 1).select(
         *keys, *[F.col(f"__probe.{c}").alias(c) for c in carried], F.col("__seen").alias(name)
     )
+
+
+def prefix_states(
+    summaries: DataFrame,
+    keys: Sequence[str],
+    form: str,
+    states: str,
+    start: dict[str, Column],
+    merge: Callable[[pd.DataFrame], dict],
+    enter: Callable[[pd.DataFrame, tuple], list[tuple]],
+    fan: int | None = None,
+) -> DataFrame:
+    """The state in which each block of a key is entered: ``keys, block`` and the ``states``.
+
+    A parallel prefix for chains that no running aggregate expresses.  ``summaries`` holds one row
+    per key and ``block`` that says, in the columns of ``form``, what the block makes of any state.
+    ``merge`` composes neighbours, in order, into one summary of the same form; ``enter`` gives
+    the state before each of some neighbours, given the state before the first.  ``fan`` (``FAN``)
+    neighbours are merged at a time, round by round, until no key has more; then every
+    round's blocks are entered from the round above.  So a task holds ``fan`` summaries at most,
+    however long a key's chain is.  ``start`` is the state before a key's first block.  State columns
+    are bigint and may be null.  Rounds are written, so jobs run while the plan is built.
+    """
+    keys, fan = list(keys), fan or FAN
+    schema = summaries.select(*keys).schema
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    names = [part.split()[0] for part in states.split(", ")]
+    placed = [*keys, "block"]
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        head = rows.iloc[:1][keys].copy()
+        head["block"] = rows["above"].iloc[0]
+        for name, value in merge(rows).items():
+            head[name] = [value]
+        return head
+
+    def entered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block", ignore_index=True)
+        first = tuple(None if pd.isna(rows[n].iloc[0]) else int(rows[n].iloc[0]) for n in names)
+        found = enter(rows, first)
+        out = rows[placed].copy()
+        for i, name in enumerate(names):
+            out[name] = pd.array([f[i] for f in found], dtype="Int64")
+        return out
+
+    form_ddl = ", ".join(x for x in (key_ddl, "block bigint", form) if x)
+    state_ddl = ", ".join(x for x in (key_ddl, "block bigint", states) if x)
+    columns = [*placed, *[part.split()[0] for part in form.split(", ")]]
+    levels = [stored(summaries.select(*columns), "prefix")]
+    low, high = levels[0].agg(F.min("block"), F.max("block")).first()
+    while low is not None and high - low >= fan:
+        above = levels[-1].withColumn("above", chunk_of(F.col("block"), fan))
+        levels.append(stored(above.groupBy(*keys, "above").applyInPandas(merged, form_ddl), "prefix"))
+        low, high = low // fan, high // fan
+    *lower, top = levels
+    entries = top.withColumns(start).groupBy(*keys).applyInPandas(entered, state_ddl)
+    for level in reversed(lower):
+        inside = level.withColumn("above", chunk_of(F.col("block"), fan)).join(
+            entries.withColumnRenamed("block", "above"), [*keys, "above"]
+        )
+        entries = inside.groupBy(*keys, "above").applyInPandas(entered, state_ddl)
+    return entries

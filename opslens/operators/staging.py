@@ -7,6 +7,17 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opslens.session import fresh_dir
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows to the shared folder now and read them back: they are computed once and
+    need no executor to survive."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
 
@@ -18,18 +29,6 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a scan that comes in fewer pieces than there are cores.
-
-    Meant for costly expressions over a small file.  A large scan already has more
-    pieces than cores and is returned as it is, so no shuffle is added there.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def small_table(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence]) -> DataFrame:
     """A literal table whose few bytes the optimizer knows, so joins with it need no
     shuffle."""

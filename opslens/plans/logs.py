@@ -454,45 +454,6 @@ def _(spark, sf):
     return ops.kv_top_n(ops.kv_value_counts(flow(spark, sf)), 10)
 
 
-_PROM = " UNION ALL ".join(
-    [
-        "SELECT 0 AS family_no, 2 AS kind, '{level=\"' || level || '\"}' AS label, 'lines_ingested_total' AS fam, lines AS v FROM lv",
-        "SELECT 0, 3, '', 'lines_ingested_total', (SELECT count(*) FROM log_staged)",
-        "SELECT 1, 3, '', 'lines_filtered_total', (SELECT count(*) FROM log_staged WHERE stage IS NOT NULL)",
-        "SELECT 2, 3, '', 'lines_written_total', (SELECT count(*) FROM (SELECT DISTINCT source, line_no FROM log_routed) d)",
-        "SELECT 3, 3, '', 'output_bytes_total', (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM log_written)",
-        "SELECT 4, 3, '', 'lines_rate_dropped_total', (SELECT count(*) FROM log_staged WHERE NOT admitted)",
-        "SELECT 5, 3, '', 'kv_lines_attempted_total', (SELECT count(*) FROM log_limited WHERE admitted)",
-        "SELECT 6, 3, '', 'kv_lines_extracted_total', (SELECT count(DISTINCT line_id) FROM log_kv)",
-        "SELECT 7, 3, '', 'kv_fields_extracted_total', (SELECT count(*) FROM log_kv)",
-        "SELECT 8, 3, '', 'kv_extraction_ratio', (SELECT (x.e * 100 + x.a // 2) // x.a FROM (SELECT (SELECT count(DISTINCT line_id) FROM log_kv) AS e, (SELECT count(*) FROM log_limited WHERE admitted) AS a) x)",
-        "SELECT 9, 2, '{source=\"' || source || '\"}', 'source_lines_total', count(*) FROM log_limited WHERE admitted GROUP BY source",
-        "SELECT 10, 2, '{source=\"' || s.source || '\"}', 'source_output_bytes_total', CAST(coalesce(sum(strlen(w.line) + 1), 0) AS BIGINT) FROM (SELECT DISTINCT source FROM log_limited WHERE admitted) s LEFT JOIN log_written w ON w.source = s.source GROUP BY s.source",
-        "SELECT 11, 2, '{output=\"' || output || '\"}', 'output_lines_written_total', count(*) FROM log_written GROUP BY output",
-        "SELECT 12, 2, '{output=\"' || output || '\"}', 'output_bytes_written_total', CAST(sum(strlen(line) + 1) AS BIGINT) FROM log_written GROUP BY output",
-        "SELECT 13, 2, '{type=\"' || source_type || '\"}', 'source_type_lines_total', count(*) FROM log_lines GROUP BY source_type",
-        "SELECT 14, 2, '{type=\"' || source_type || '\"}', 'source_type_active', count(DISTINCT source) FROM log_lines GROUP BY source_type",
-        "SELECT 15, 2, '{key=\"' || key || '\",value=\"' || value || '\"}', 'field_value_count', cnt FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cnt DESC, value) AS rk FROM (SELECT key, value, count(*) AS cnt FROM log_kv GROUP BY key, value) c) t WHERE rk <= 10",
-    ]
-)
-_HEADS = ", ".join(f"({i}, '{n}', '{t}', '{h}')" for i, (n, t, h) in enumerate(ops.FAMILIES))
-
-
-@query(
-    "prometheus_lines",
-    f"""SELECT * FROM (WITH lv AS (SELECT n.level, count(r.line_id) AS lines
-        FROM (VALUES ('DEBUG',0),('INFO',1),('WARN',2),('ERROR',3),('RAW',4)) n(level, severity)
-        LEFT JOIN log_records r ON least(r.severity, 4) = n.severity GROUP BY n.level),
-      samples AS ({_PROM}),
-      heads AS (SELECT * FROM (VALUES {_HEADS}) h(family_no, fam, typ, help))
-      SELECT CAST(family_no AS INTEGER) AS family_no, kind, label, 'opslens_' || fam || label || ' ' || v AS text FROM samples
-      UNION ALL SELECT family_no, 0, '', '# HELP opslens_' || fam || ' ' || help FROM heads WHERE fam IN (SELECT fam FROM samples)
-      UNION ALL SELECT family_no, 1, '', '# TYPE opslens_' || fam || ' ' || typ FROM heads WHERE fam IN (SELECT fam FROM samples)) z""",
-)
-def _(spark, sf):
-    return ops.prometheus_lines(flow(spark, sf), ROUTES)
-
-
 @query(
     "retention_prune",
     """SELECT base, name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY name DESC) AS rn FROM (
@@ -539,12 +500,12 @@ def _(spark, sf):
     return ops.replay_since(views.log_lines(spark, sf), SINCE_MS).select("line_id")
 
 
-@query(
-    "replay_skipped_bytes",
-    f"""SELECT l.source, CAST(sum(CASE WHEN s.a IS NULL OR l.line_no < s.a THEN strlen(text) + 1 ELSE 0 END) AS BIGINT) AS skipped_bytes
+_SKIPPED = f"""SELECT l.source, CAST(sum(CASE WHEN s.a IS NULL OR l.line_no < s.a THEN strlen(text) + 1 ELSE 0 END) AS BIGINT) AS skipped_bytes
       FROM log_lines l LEFT JOIN (SELECT source, min(line_no) AS a FROM log_lines WHERE {_IN_LINE} >= {SINCE_MS} GROUP BY source) s
-      ON l.source = s.source GROUP BY l.source""",
-)
+      ON l.source = s.source GROUP BY l.source"""
+
+
+@query("replay_skipped_bytes", _SKIPPED)
 def _(spark, sf):
     return ops.replay_skipped_bytes(views.log_lines(spark, sf), SINCE_MS)
 
@@ -585,14 +546,14 @@ def _(spark, sf):
     return ops.index_seek(_index(spark, sf), _probes(spark, sf))
 
 
-@query(
-    "replay_positioning",
-    f"""SELECT * FROM (WITH {_OFFSETS},
+_POSITIONS = f"""SELECT * FROM (WITH {_OFFSETS},
       m AS (SELECT source, arg_max(mark, (last_ts_ms, mark)) AS mark FROM idx WHERE last_ts_ms <= {SINCE_MS} GROUP BY source)
       SELECT o.source, CASE WHEN max(m.mark) IS NULL THEN 'fallback' ELSE 'index' END AS positioned_by,
         coalesce(max(m.mark), 0) AS mark, coalesce(max(CASE WHEN o.fin - o.size <= m.mark THEN o.fin - o.size END), 0) AS start_offset
-      FROM offs o LEFT JOIN m ON m.source = o.source GROUP BY o.source) z""",
-)
+      FROM offs o LEFT JOIN m ON m.source = o.source GROUP BY o.source) z"""
+
+
+@query("replay_positioning", _POSITIONS)
 def _(spark, sf):
     offsets = ops.line_offsets(views.log_lines(spark, sf), 1 << 16)
     return ops.replay_positioning(offsets, ops.build_line_index(offsets, 4096), SINCE_MS)
@@ -613,9 +574,11 @@ def _written(spark, sf):
     )
 
 
-@query(
-    "size_rotation_plan",
-    """SELECT output, day, file_no, lines, bytes FROM (
+def _plan(spark, sf, block):
+    return ops.size_rotation_plan(_written(spark, sf).select("output", "day", "seq", "bytes"), 2000, 40, block)
+
+
+_ROTATION = """SELECT output, day, file_no, lines, bytes FROM (
       WITH RECURSIVE w AS (SELECT replace(replace(source, 'logs/', ''), '.', '_') AS output, strftime(ingested_ts, '%Y%m%d') AS day,
           row_number() OVER (PARTITION BY source, strftime(ingested_ts, '%Y%m%d') ORDER BY line_no) AS rn,
           strlen(ts_text) + strlen(level) + strlen(source) + strlen(message) + 7 + 15 AS b FROM log_records),
@@ -625,15 +588,78 @@ def _written(spark, sf):
         SELECT w.output, w.day, w.rn, w.b, CASE WHEN f.used + w.b > 2000 THEN f.file_no + 1 ELSE f.file_no END,
           CASE WHEN f.used + w.b > 2000 THEN 40 + w.b ELSE f.used + w.b END
         FROM fold f JOIN w ON w.output = f.output AND w.day = f.day AND w.rn = f.rn + 1)
-      SELECT output, day, CAST(file_no AS BIGINT) AS file_no, count(*) AS lines, CAST(sum(b) AS BIGINT) AS bytes FROM fold GROUP BY 1, 2, 3) z""",
-)
+      SELECT output, day, CAST(file_no AS BIGINT) AS file_no, count(*) AS lines, CAST(sum(b) AS BIGINT) AS bytes FROM fold GROUP BY 1, 2, 3) z"""
+
+
+@query("size_rotation_plan", _ROTATION)
 def _(spark, sf):
-    plan = ops.size_rotation_plan(_written(spark, sf).select("output", "day", "seq", "bytes"), 2000, 40, 64)
+    plan = _plan(spark, sf, 64)
     return plan.groupBy("output", "day", "file_no").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes")
     )
 
 
+_PROM = " UNION ALL ".join(
+    [
+        "SELECT 0 AS family_no, 2 AS kind, '{level=\"' || level || '\"}' AS label, 'lines_ingested_total' AS fam, lines AS v FROM lv",
+        "SELECT 0, 3, '', 'lines_ingested_total', (SELECT count(*) FROM log_staged)",
+        "SELECT 1, 3, '', 'lines_filtered_total', (SELECT count(*) FROM log_staged WHERE stage IS NOT NULL)",
+        "SELECT 2, 3, '', 'lines_written_total', (SELECT count(*) FROM (SELECT DISTINCT source, line_no FROM log_routed) d)",
+        "SELECT 3, 3, '', 'output_bytes_total', (SELECT CAST(sum(strlen(line) + 1) AS BIGINT) FROM log_written)",
+        "SELECT 4, 3, '', 'lines_rate_dropped_total', (SELECT count(*) FROM log_staged WHERE NOT admitted)",
+        "SELECT 5, 3, '', 'compression_raw_bytes_total', (SELECT CAST(sum(strlen(line)) AS BIGINT) FROM log_written)",
+        "SELECT 6, 3, '', 'compression_packed_bytes_total', (SELECT packed FROM packing)",
+        "SELECT 7, 2, '{trigger=\"' || trigger || '\"}', 'output_rotations_total', n FROM rotations",
+        "SELECT 12, 3, '', 'replay_index_hits_total', (SELECT count(*) FILTER (WHERE positioned_by = 'index') FROM positions)",
+        "SELECT 13, 3, '', 'replay_index_fallbacks_total', (SELECT count(*) FILTER (WHERE positioned_by = 'fallback') FROM positions)",
+        "SELECT 14, 3, '', 'replay_skipped_bytes_total', (SELECT CAST(sum(skipped_bytes) AS BIGINT) FROM passed)",
+        "SELECT 8, 3, '', 'kv_lines_attempted_total', (SELECT count(*) FROM log_limited WHERE admitted)",
+        "SELECT 9, 3, '', 'kv_lines_extracted_total', (SELECT count(DISTINCT line_id) FROM log_kv)",
+        "SELECT 10, 3, '', 'kv_fields_extracted_total', (SELECT count(*) FROM log_kv)",
+        "SELECT 11, 3, '', 'kv_extraction_ratio', (SELECT (x.e * 100 + x.a // 2) // x.a FROM (SELECT (SELECT count(DISTINCT line_id) FROM log_kv) AS e, (SELECT count(*) FROM log_limited WHERE admitted) AS a) x)",
+        "SELECT 15, 2, '{source=\"' || source || '\"}', 'source_lines_total', count(*) FROM log_limited WHERE admitted GROUP BY source",
+        "SELECT 16, 2, '{source=\"' || s.source || '\"}', 'source_output_bytes_total', CAST(coalesce(sum(strlen(w.line) + 1), 0) AS BIGINT) FROM (SELECT DISTINCT source FROM log_limited WHERE admitted) s LEFT JOIN log_written w ON w.source = s.source GROUP BY s.source",
+        "SELECT 17, 2, '{output=\"' || output || '\"}', 'output_lines_written_total', count(*) FROM log_written GROUP BY output",
+        "SELECT 18, 2, '{output=\"' || output || '\"}', 'output_bytes_written_total', CAST(sum(strlen(line) + 1) AS BIGINT) FROM log_written GROUP BY output",
+        "SELECT 19, 2, '{type=\"' || source_type || '\"}', 'source_type_lines_total', count(*) FROM log_lines GROUP BY source_type",
+        "SELECT 20, 2, '{type=\"' || source_type || '\"}', 'source_type_active', count(DISTINCT source) FROM log_lines GROUP BY source_type",
+        "SELECT 21, 2, '{key=\"' || key || '\",value=\"' || value || '\"}', 'field_value_count', cnt FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cnt DESC, value) AS rk FROM (SELECT key, value, count(*) AS cnt FROM log_kv GROUP BY key, value) c) t WHERE rk <= 10",
+    ]
+)
+_HEADS = ", ".join(f"({i}, '{n}', '{t}', '{h}')" for i, (n, t, h) in enumerate(ops.FAMILIES))
+
+
+@query(
+    "prometheus_lines",
+    f"""SELECT * FROM (WITH lv AS (SELECT n.level, count(r.line_id) AS lines
+        FROM (VALUES ('DEBUG',0),('INFO',1),('WARN',2),('ERROR',3),('RAW',4)) n(level, severity)
+        LEFT JOIN log_records r ON least(r.severity, 4) = n.severity GROUP BY n.level),
+      ch AS (SELECT source, line_no, output, unnest(string_split(line, '')) AS c, unnest(range(strlen(line))) AS i FROM log_written),
+      g AS (SELECT *, i - row_number() OVER (PARTITION BY source, line_no, output, c ORDER BY i) AS isl FROM ch),
+      runs AS (SELECT source, line_no, output, c, isl, count(*) AS n, min(i) AS i0 FROM g GROUP BY ALL),
+      lit AS (SELECT source, line_no, output, i0 - row_number() OVER (PARTITION BY source, line_no, output ORDER BY i0) AS seg FROM runs WHERE n = 1),
+      seg AS (SELECT source, line_no, output, seg, count(*) AS n FROM lit GROUP BY ALL),
+      packing AS (SELECT CAST((SELECT count(*) * 16 FROM log_written) + (SELECT sum(n + ceil(n / 128.0)) FROM seg)
+        + (SELECT count(*) * 2 FROM runs WHERE n > 1) AS BIGINT) AS packed),
+      plan AS ({_ROTATION}),
+      by_day AS (SELECT output, day, max(file_no) AS files FROM plan GROUP BY output, day),
+      rotations AS (SELECT 'size' AS trigger, CAST(sum(files) AS BIGINT) AS n FROM by_day
+        UNION ALL SELECT 'day', CAST(count(*) - count(DISTINCT output) AS BIGINT) FROM by_day),
+      positions AS ({_POSITIONS}), passed AS ({_SKIPPED}),
+      samples AS ({_PROM}),
+      heads AS (SELECT * FROM (VALUES {_HEADS}) h(family_no, fam, typ, help))
+      SELECT CAST(family_no AS INTEGER) AS family_no, kind, label, 'opslens_' || fam || label || ' ' || v AS text FROM samples
+      UNION ALL SELECT family_no, 0, '', '# HELP opslens_' || fam || ' ' || help FROM heads WHERE fam IN (SELECT fam FROM samples)
+      UNION ALL SELECT family_no, 1, '', '# TYPE opslens_' || fam || ' ' || typ FROM heads WHERE fam IN (SELECT fam FROM samples)) z""",
+)
+def _(spark, sf):
+    lines = views.log_lines(spark, sf)
+    offsets = ops.line_offsets(lines, 1 << 16)
+    positions = ops.replay_positioning(offsets, ops.build_line_index(offsets, 4096), SINCE_MS)
+    more = [ops.rotation_facts(_plan(spark, sf, 1 << 16)), ops.replay_facts(positions, ops.replay_skipped_bytes(lines, SINCE_MS))]
+    return ops.prometheus_lines(flow(spark, sf), ROUTES, more=more)
+
+
 @query(
     "compression_report",
     f"""SELECT * FROM (

@@ -92,7 +92,7 @@ def _(spark, sf):
 def _(spark, sf):
     out = fresh_dir(spark, "stream_rate_limit")
     flows.stream_rate_limit(log_stream(spark, sf), out, batch.LIMIT)
-    return flows.read_batches(spark, out).select("line_id", "window_start", "admitted")
+    return flows.read_limited(spark, out).select("line_id", "window_start", "admitted")
 
 
 @query(

@@ -90,13 +90,14 @@ def test_rotation_without_header(spark):
 
 def test_rotation_in_rounds(spark, monkeypatch):
     """No task holds the summaries of a whole output: few per key at the top, each with one file's lines."""
-    monkeypatch.setattr(ops, "ROTATION_FAN", 3)
-    levels, collected = ops._rotation_levels, []
-    monkeypatch.setattr(ops, "_rotation_levels", lambda *a: collected.append(levels(*a)) or collected[-1])
+    monkeypatch.setattr(O, "FAN", 3)
+    store, levels = O.stored, []
+    monkeypatch.setattr(O, "stored", lambda *a: levels.append(store(*a)) or levels[-1])
     rng = random.Random(8)
     rows = [(f"o{k}", "d", i - 5, rng.choice([5, 20, 60, 150])) for k, n in enumerate([300, 40, 1]) for i in range(n)]
     df = spark.createDataFrame(rows, "output string, day string, seq bigint, bytes bigint")
     for block, header in ((1, 10), (4, 0), (30, 10)):
+        levels.clear()
         got = ops.size_rotation_plan(df, 100, header, block).orderBy("output", "seq").collect()
         for k in range(3):
             sizes = [r[3] for r in rows if r[0] == f"o{k}"]
@@ -104,12 +105,33 @@ def test_rotation_in_rounds(spark, monkeypatch):
             if header == 0:  # an empty file takes a line of any size
                 want = [n - want[0] for n in want]
             assert [r.file_no for r in got if r.output == f"o{k}"] == want
-        top = collected[-1][-1].groupBy("output", "day").count().collect()
-        assert len(collected[-1]) > 1 and max(r["count"] for r in top) <= 3
-        for level in collected[-1]:
+        top = levels[-1].groupBy("output", "day").count().collect()
+        assert len(levels) > 1 and max(r["count"] for r in top) <= 3
+        for level in levels:
             assert all(len(r.prefix) <= 100 // 5 + 2 for r in level.collect())
 
 
+@pytest.mark.parametrize("block", [1000, 60_000, 3_600_000])
+def test_windows_in_rounds(spark, monkeypatch, block):
+    """Blocks of any length, entered through rounds of few summaries, give the windows of one pass."""
+    monkeypatch.setattr(O, "FAN", 3)
+    store, levels = O.stored, []
+    monkeypatch.setattr(O, "stored", lambda *a: levels.append(store(*a)) or levels[-1])
+    rng, rows, want = random.Random(block), [], {}
+    for key, n in (("a", 400), ("b", 30), (None, 5)):
+        at, times = -5 * block, []
+        for _ in range(n):
+            at += rng.choice([1, 300, 999, 1000, 1001, 2500, block // 2, block * 3])
+            times.append(at)
+        want |= {(key, t): w for t, w in zip(times, map(plain_windows(times, 1000).get, times))}
+        rows += [(key, i, t) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "source string, line_no bigint, ts_ms bigint").repartition(4)
+    got = {(r.source, r.ts_ms): r.window_start for r in ops.window_starts(df.na.fill("-"), ["source"], "ts_ms", 1000, block).collect()}
+    assert got == {(k or "-", t): w for (k, t), w in want.items()}
+    per_task = [lv.selectExpr("source", "block div 3 AS b").groupBy("source", "b").count().agg({"count": "max"}).first()[0] for lv in levels]
+    assert len(levels) > 2 and max(per_task) <= 5
+
+
 def plain_packed(data: bytes) -> int:
     cost, literal = 16, 0
     runs = [len(list(g)) for _, g in groupby(data)]

@@ -10,6 +10,14 @@ from opslens.streaming import flows
 ROUTES = [L.Route("all", 0)] if hasattr(L, "Route") else []
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small streams: every partition of every batch opens a state store."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def land(spark, folder, number, rows):
     df = spark.createDataFrame(rows, "source string, line_no bigint, ts_ms bigint, ingested_ts timestamp, text string")
     df.coalesce(1).write.mode("append").parquet(f"{folder}/b={number}")
@@ -57,6 +65,105 @@ def test_field_counts_over_batches(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3, 4, 5, 8, 9, 13, 27, 28])
+def test_merge_levels_cover_every_batch_once(batches):
+    held = [b for level, n in flows.merge_levels(batches, 3) for b in range(n * 3**level, (n + 1) * 3**level)]
+    assert held == list(range(batches))
+    assert len(flows.merge_levels(batches, 3)) <= 2 * 4
+
+
+def test_field_counts_in_levels(spark, tmp_path):
+    """Merged folders go, a batch that dies between its merges loses nothing when it is run again."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = None
+    for number in range(10):
+        land(spark, folder, number, lines([(n + 10 * number, 1000 * n) for n in range(4)]))
+    schema = spark.read.parquet(folder).drop("b").schema
+    stream = flows.stream_table(spark, f"{folder}/b=*", schema, per_batch=1)
+
+    write, calls = flows.remove_dir, []
+
+    def dies(session, path):
+        calls.append(path)
+        if len(calls) == 4:
+            raise OSError("lost")
+        write(session, path)
+
+    flows.remove_dir = dies
+    try:
+        with pytest.raises(Exception, match="lost"):
+            flows.stream_kv_counts(stream, out, fan=3)
+    finally:
+        flows.remove_dir = write
+    flows.stream_kv_counts(flows.stream_table(spark, f"{folder}/b=*", schema, per_batch=1), out, fan=3)
+    got = {(r["key"], r["value"]): r["cnt"] for r in flows.kv_counts(spark, out, fan=3).collect()}
+    assert got == {("k", "0"): 20, ("k", "1"): 20}
+    left = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("level=*/*"))
+    assert left == ["level=0/part=000000000009", "level=2/part=000000000000"]
+
+
+def limited(rows):
+    return {(r.source, r.line_no): (r.window_start, r.admitted) for r in rows}
+
+
+def stamped(spark, folder, number, rows):
+    df = spark.createDataFrame(rows, "source string, line_no bigint, ts_ms bigint")
+    df.coalesce(1).write.mode("append").parquet(f"{folder}/b={number}")
+
+
+def rate_stream(spark, folder):
+    return flows.stream_table(spark, f"{folder}/b=*", "source string, line_no bigint, ts_ms bigint", per_batch=1)
+
+
+@pytest.mark.parametrize("limit", [0, 2])
+def test_anchored_limit_goes_on_after_a_restart(spark, tmp_path, limit):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(s, n, 170 * n - 900 + (37 if s == "b" else 0)) for n in range(40) for s in ("a", "b")]
+    for number in range(4):
+        stamped(spark, folder, number, rows[number * 15 : number * 15 + 15])
+    flows.stream_rate_limit(rate_stream(spark, folder), out, limit)
+    for number in range(4, 6):
+        stamped(spark, folder, number, rows[number * 15 : number * 15 + 15])
+    flows.stream_rate_limit(rate_stream(spark, folder), out, limit)
+    want = ops.rate_limit_anchored(spark.createDataFrame(rows, "source string, line_no bigint, ts_ms bigint"), limit)
+    assert limited(flows.read_limited(spark, out).collect()) == limited(want.collect())
+
+
+def test_lines_out_of_order_are_held(spark, tmp_path):
+    """Within the delay the order of arrival does not matter; a timer settles what the watermark has passed."""
+    import random
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(s, n, 1_000_000 + 130 * n + (k * 50)) for n in range(60) for k, s in enumerate("abc")]
+    mixed = rows[:]
+    random.Random(3).shuffle(mixed)
+    for number in range(4):
+        stamped(spark, folder, number, mixed[number * 45 : number * 45 + 45])
+    stamped(spark, folder, 4, [("z", 0, 9_000_000)])
+    stamped(spark, folder, 5, [("z", 1, 9_000_001)])
+    flows.stream_rate_limit(rate_stream(spark, folder), out, 3, delay="60 seconds", hold=True)
+    got = {k: v for k, v in limited(flows.read_limited(spark, out, hold=True).collect()).items() if k[0] != "z"}
+    want = ops.rate_limit_anchored(spark.createDataFrame(rows, "source string, line_no bigint, ts_ms bigint"), 3)
+    assert got == limited(want.collect())
+    state = spark.read.format("statestore").option("stateVarName", "open").load(f"{out}-checkpoint")
+    assert [r["key"]["source"] for r in state.collect()] == ["z"]  # silent sources have left it
+
+
+def test_seconds_behind_the_watermark_leave_the_state(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, folder, 0, lines([(1, 1000), (2, 1100), (3, 2000)]))
+    land(spark, folder, 1, lines([(4, 1200), (5, 90_000)]))
+    land(spark, folder, 2, lines([(6, 90_100)]))
+    land(spark, folder, 3, lines([(7, 1300), (8, 1400), (9, 1500)]))  # too late: the second opens anew
+    schema = spark.read.parquet(folder).drop("b").schema
+    flows.stream_log_flow(flows.stream_table(spark, f"{folder}/b=*", schema, per_batch=1), out, ROUTES, limit=2, late_seconds=10)
+    got = sorted(r.line_no for r in flows.read_batches(spark, out).collect())
+    assert got == [1, 2, 3, 5, 6, 7, 8]
+    state = spark.read.format("statestore").option("stateVarName", "seconds").load(f"{out}-checkpoint").collect()
+    assert [list(r["value"]["second"]) for r in state] == [[90]]
+    assert len(list((tmp_path / "out-landed").glob("epoch=*"))) <= 2
+
+
 def test_offsets_count_carriage_returns(spark, tmp_path):
     from opslens.sources import readers
 
