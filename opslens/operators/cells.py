@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,44 +117,92 @@ def reference_edges(formulas: DataFrame) -> DataFrame:
     ).distinct()
 
 
+#: Formula cells settled at once; a batch ends between two sheets.
+GRAPH_ROWS = 1 << 16
+
+
+def _peel(count: int, users: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Depth of every node from its leaves, 0 for nodes that reach a loop.
+
+    Edge ``i`` says that node ``users[i]`` refers to ``used[i]``.  Each round removes the nodes
+    whose references are all settled, which is the whole frontier at once.
+    """
+    waiting = np.bincount(users, minlength=count)
+    by_used = np.argsort(used, kind="stable")
+    first = np.searchsorted(used[by_used], np.arange(count + 1))
+    users = users[by_used]
+    depth = np.zeros(count, np.int32)
+    frontier, level = np.flatnonzero(waiting == 0), 0
+    while len(frontier):
+        level += 1
+        depth[frontier] = level
+        sizes = first[frontier + 1] - first[frontier]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[frontier], sizes)
+        touched, times = np.unique(users[at], return_counts=True)
+        waiting[touched] -= times
+        frontier = touched[waiting[touched] == 0]
+    return depth
+
+
+def _settle(table: pa.Table, limit: int) -> pa.Table:
+    """Depths and states of whole sheets, all in one pass."""
+    rows = table.num_rows
+    sheet = np.asarray(table.column("sheet").combine_chunks().dictionary_encode(null_encoding="encode").indices)
+    col, row = (table.column(c).to_numpy().astype(np.int64) for c in ("col", "row_no"))
+    lists = {c: table.column(c).combine_chunks() for c in ("to_col", "to_row")}
+    owner = np.repeat(np.arange(rows), np.asarray(pc.list_value_length(lists["to_col"])))
+    to_col, to_row = (np.asarray(pc.fill_null(v.flatten(), -1)).astype(np.int64) for v in lists.values())
+    width, height = int(col.max()) + 1, int(row.max()) + 1
+    known = (to_col >= 0) & (to_col < width) & (to_row >= 0) & (to_row < height)
+    owner, to_col, to_row = owner[known], to_col[known], to_row[known]
+    cell = (sheet.astype(np.int64) * width + col) * height + row
+    order = np.argsort(cell, kind="stable")
+    wanted = (sheet[owner].astype(np.int64) * width + to_col) * height + to_row
+    at = np.searchsorted(cell[order], wanted, "right") - 1  # of cells given twice, the last
+    found = (at >= 0) & (cell[order][at] == wanted)
+    edges = np.unique(owner[found] * rows + order[at[found]])
+    depth = _peel(rows, edges // rows, edges % rows)
+    fine = (depth > 0) & (depth <= limit)
+    state = np.where(depth == 0, "cycle", np.where(fine, "ok", "too_deep"))
+    kept = [table.column(c) for c in ("sheet", "col", "row_no")]
+    return pa.Table.from_arrays(
+        [*kept, pa.array(depth, mask=~fine), pa.array(state, pa.string())], ["sheet", "col", "row_no", "depth", "state"]
+    )
+
+
 def reference_graph(formulas: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
     """``sheet, col, row_no, depth, state`` of every formula cell.
 
     Depth 1 refers to no other formula.  ``state`` is ``ok``, ``cycle`` (the cell
     reaches a loop) or ``too_deep`` (deeper than ``limit``).  References stay inside a sheet and
-    a sheet is bounded by its grammar (702 columns, 99 rows), so each is settled
-    in one task from its leaves upwards, and no sheet affects another.
+    a sheet is bounded by its grammar (702 columns, 99 rows), so sheets are sorted together and
+    settled from their leaves upwards, many in one batch of arrays.
     """
     targets = F.transform(F.array_distinct(C.references_in(F.col("formula"))), lambda t: C.reference(t))
     cells = formulas.where(F.col("formula").startswith("=")).select(
         "sheet",
         "col",
         "row_no",
-        F.transform(targets, lambda t: t["col"]).alias("to_col"),
-        F.transform(targets, lambda t: t["row_no"]).alias("to_row"),
+        F.transform(targets, lambda t: t["col"].cast("bigint")).alias("to_col"),
+        F.transform(targets, lambda t: t["row_no"].cast("bigint")).alias("to_row"),
     )
 
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        number = {cell: i for i, cell in enumerate(zip(rows["col"], rows["row_no"]))}
-        users: list[list[int]] = [[] for _ in range(len(rows))]
-        waiting = [0] * len(rows)
-        for i, (columns, lines) in enumerate(zip(rows["to_col"], rows["to_row"])):
-            for target in {number[cell] for cell in zip(columns, lines) if cell in number}:
-                users[target].append(i)
-                waiting[i] += 1
-        depth = [1] * len(rows)
-        ready = [i for i, n in enumerate(waiting) if n == 0]
-        for i in ready:  # grows while it is read
-            for user in users[i]:
-                depth[user] = max(depth[user], depth[i] + 1)
-                waiting[user] -= 1
-                if not waiting[user]:
-                    ready.append(user)
-        state = ["cycle" if w else "ok" if d <= limit else "too_deep" for w, d in zip(waiting, depth)]
-        out = rows[["sheet", "col", "row_no"]].copy()
-        out["depth"] = pd.array([d if s == "ok" else None for s, d in zip(state, depth)], dtype="Int32")
-        out["state"] = state
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size < GRAPH_ROWS:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            numbers = np.asarray(table.column("sheet").combine_chunks().dictionary_encode(null_encoding="encode").indices)
+            last = int(np.flatnonzero(numbers == numbers[-1])[0])
+            if last:  # the last sheet may go on in the next batch
+                yield from _settle(table.slice(0, last), limit).to_batches()
+            held, size = [table.slice(last)], table.num_rows - last
+        if size:
+            yield from _settle(pa.concat_tables(held).combine_chunks(), limit).to_batches()
 
     kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("sheet", "col", "row_no"))
-    return cells.groupBy("sheet").applyInPandas(settle, f"{kinds}, depth int, state string")
+    return cells.repartition("sheet").sortWithinPartitions("sheet").mapInArrow(run, f"{kinds}, depth int, state string")

@@ -7,17 +7,27 @@ Windows by ``path`` therefore never hold more than one file.
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Callable
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens import rules
 from opslens.functions import code as C
 from opslens.functions import text as T
-from opslens.operators.staging import once, small_table
+from opslens.operators.ruletable import rule_table_scan
+from opslens.operators.staging import once, small_table, stored
+from opslens.session import fresh_dir
 from opslens.sources.readers import HEADER_EXTENSIONS, extension
 
+_PRINTF_CALL = re.compile(rules.PRINTF_CALL, re.ASCII)
+_SIZE_ARGUMENT = re.compile(rules.SIZE_ARGUMENT, re.ASCII)
+_INT_CONVERSION = re.compile(rules.INT_CONVERSION, re.ASCII)
+
 
 def is_header(path: Column) -> Column:
     return extension(path).isin(*HEADER_EXTENSIONS)
@@ -35,6 +45,12 @@ def explode_code_lines(corpus: DataFrame) -> DataFrame:
     """One row per line: ``path, line_no, raw, stripped, is_header, loc``, the next
     stripped line, and whether the line counts as output text (it or one of the
     three lines before it prints something)."""
+    return _exploded(corpus.select("path", "text"))
+
+
+def _exploded(corpus: DataFrame, *facts: str, whole: bool = False) -> DataFrame:
+    """Lines with some columns of their files; ``whole`` keeps a file without lines as a row
+    without a line number."""
     prints = F.transform(
         C.split_lines(F.col("text")),
         lambda l: F.contains(T.ascii_lower(l), F.lit("printf"))
@@ -42,7 +58,7 @@ def explode_code_lines(corpus: DataFrame) -> DataFrame:
         | (F.contains(T.ascii_lower(l), F.lit("log")) & F.contains(l, F.lit('"'))),
     )
     files = once(
-        corpus.select("path", "text"),
+        corpus,
         raw=C.split_lines(F.col("text")),
         stripped=C.split_lines(C.strip_comments(F.col("text"))),
         prints=prints,
@@ -55,12 +71,14 @@ def explode_code_lines(corpus: DataFrame) -> DataFrame:
         F.col("prints").alias("p0"),
         *[C.shifted(F.col("prints"), k, no).alias(f"p{k}") for k in (1, 2, 3)],
     )
+    explode = F.posexplode_outer if whole else F.posexplode
     rows = files.select(
-        "path", is_header(F.col("path")).alias("is_header"), F.size("raw").cast("bigint").alias("loc"),
-        F.posexplode(zipped).alias("pos", "l"),
+        "path", *facts, is_header(F.col("path")).alias("is_header"), F.size("raw").cast("bigint").alias("loc"),
+        explode(zipped).alias("pos", "l"),
     )
     return rows.select(
         "path",
+        *facts,
         (F.col("pos") + 1).cast("bigint").alias("line_no"),
         F.col("l.raw").alias("raw"),
         F.col("l.stripped").alias("stripped"),
@@ -71,6 +89,14 @@ def explode_code_lines(corpus: DataFrame) -> DataFrame:
     )
 
 
+def scan_lines(corpus: DataFrame) -> DataFrame:
+    """The lines of a scan, written once, for all sections that read them: as
+    :func:`explode_code_lines`, with the file's ``guard_rule``; an empty file is one row without
+    a line number."""
+    marked = once(corpus.select("path", "text"), guard_rule=_guard_rule())
+    return stored(_exploded(marked, "guard_rule", whole=True), "scan-lines")
+
+
 # --- line rules -------------------------------------------------------------------
 
 
@@ -80,14 +106,17 @@ def todo_lines(lines: DataFrame) -> DataFrame:
 
 def red_flag_scan(
     lines: DataFrame,
-    flags: list[tuple[str, str]] | None = None,
+    flags: list[tuple[str, str]] | DataFrame | None = None,
     header_flags: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """One row per rule and line: ``path, line_no, rule, snippet``.
 
     Rules are literals of one projection, so each pattern compiles once and the
-    lines are read once.
+    lines are read once.  A table of rules (``rule, pattern, header_only``) may be of any size and
+    goes through an automaton of its literals.
     """
+    if isinstance(flags, DataFrame):
+        return rule_table_scan(lines, flags)
     stripped = F.col("stripped")
     every = C.matching(stripped, rules.RED_FLAGS if flags is None else flags)
     headers = C.matching(stripped, rules.HEADER_ONLY_FLAGS if header_flags is None else header_flags)
@@ -104,48 +133,77 @@ def reach_out_includes(lines: DataFrame) -> DataFrame:
     )
 
 
-def _calls(line: Column) -> Column:
-    """Texts of the printing calls of a line, each up to the parenthesis that closes it.
+def _closing(line: str) -> dict[int, int]:
+    """Place of the parenthesis that closes each one that is closed, in one pass."""
+    waiting, found = [], {}
+    for mark in re.finditer(r"[()]", line):
+        if mark.group() == "(":
+            waiting.append(mark.start())
+        elif waiting:
+            found[waiting.pop()] = mark.start()
+    return found
 
-    A call starts where the pattern matches and opens a parenthesis with its last character.
-    It closes at the first ``)`` up to which as many parentheses close as open; a call
-    that stays open has no text.
-    """
-    names = F.regexp_extract_all(line, F.lit(rules.PRINTF_CALL), F.lit(0))
-    between = F.split(line, rules.PRINTF_CALL, -1)
-    total = lambda parts: F.aggregate(F.transform(parts, F.length), F.lit(0), lambda x, y: x + y)
-
-    def call(name: Column, index: Column) -> Column:
-        ahead = total(F.slice(between, F.lit(1), index + 1)) + total(F.slice(names, F.lit(1), index))
-        body = F.substring(line, ahead + F.length(name), F.length(line))  # from the parenthesis on
-        count = lambda text, mark: F.length(text) - F.length(F.replace(text, F.lit(mark)))
-        upto = lambda at: F.substring(body, F.lit(1), at)
-        ends = F.filter(
-            F.sequence(F.lit(1), F.length(body)),
-            lambda at: (F.substring(body, at, F.lit(1)) == ")") & (count(upto(at), "(") == count(upto(at), ")")),
-        )
-        return F.coalesce(upto(F.array_min(ends)), F.lit(""))
 
-    return F.transform(names, call)
+def _prints_size_badly(line: str) -> bool:
+    """Whether some printing call of a line prints a size-like argument after its last literal
+    without ``%z``.
+
+    A call starts where the pattern matches and opens a parenthesis with its last character; one
+    that stays open has no text.  All marks of the line are found once and each call looks up its
+    own, so the work grows with the line and not with the length of its calls.
+    """
+    closing = _closing(line)
+    quotes = [m.start() for m in re.finditer('"', line)]
+    sizes = [m.span() for m in _SIZE_ARGUMENT.finditer(line)]
+    size_starts = [s for s, _ in sizes]
+    casts = [m.start() for m in re.finditer("static_cast<", line)]
+    bare: dict[int, bool] = {}  # by the quote that opens a literal
+
+    def first(starts: list[int], low: int) -> int:
+        return bisect.bisect_left(starts, low)
+
+    for call in _PRINTF_CALL.finditer(line):
+        low = call.end() - 1
+        if low not in closing:
+            continue
+        high = closing[low] + 1
+        opening, after = first(quotes, low), first(quotes, high)
+        if after - opening < 2:
+            continue
+        last = opening + (after - opening) // 2 * 2 - 1  # closes the last literal
+        behind = quotes[last] + 1
+        size = first(size_starts, behind)
+        if size == len(sizes) or sizes[size][1] > high:
+            continue
+        cast = first(casts, behind)
+        if cast < len(casts) and casts[cast] + len("static_cast<") <= high:
+            continue
+        if last - 1 not in bare:
+            text = line[quotes[last - 1] + 1 : quotes[last]]
+            bare[last - 1] = any(m.group(1) == "" for m in _INT_CONVERSION.finditer(text))
+        if bare[last - 1]:
+            return True
+    return False
 
 
 def printf_spec_scan(lines: DataFrame) -> DataFrame:
-    """Lines that print a size-like argument after the last literal without ``%z``."""
-    raw = F.col("raw")
-    likely = raw.rlike(rules.PRINTF_CALL) & raw.rlike(rules.SIZE_ARGUMENT) & F.contains(raw, F.lit("%"))
-    literals = r'\A((?:[^"]*"[^"]*")*)'
+    """Lines that print a size-like argument after the last literal without ``%z``.
+
+    Balanced parentheses are not regular, so lines that may be meant, by three patterns, are
+    judged by a small function in Arrow batches.
+    """
 
-    def wrong(call: Column) -> Column:
-        head = F.regexp_extract(call, literals, 1)  # up to the end of the last closed literal
-        format_text = F.regexp_extract(head, rules.QUOTED + r"\z", 1)
-        arguments = F.substring(call, F.length(head) + 1, F.length(call))
-        sized = arguments.rlike(rules.SIZE_ARGUMENT) & ~F.contains(arguments, F.lit("static_cast<"))
-        modifiers = F.regexp_extract_all(format_text, F.lit(rules.INT_CONVERSION), F.lit(1))
-        return (head != "") & sized & F.exists(modifiers, lambda z: z == "")
+    @F.pandas_udf("boolean")
+    def badly(raw: pd.Series) -> pd.Series:
+        return raw.map(_prints_size_badly).astype(bool)
 
-    calls = once(lines.where(likely).select("path", "line_no", "raw"), calls=_calls(raw))
-    return calls.where(F.exists("calls", wrong)).select(
-        "path", "line_no", F.lit(rules.PRINTF_FLAG).alias("rule"), C.snippet(raw).alias("snippet")
+    raw = F.col("raw")
+    likely = raw.rlike(rules.PRINTF_CALL) & raw.rlike(rules.SIZE_ARGUMENT) & F.contains(raw, F.lit("%"))
+    return (
+        lines.where(likely)
+        .select("path", "line_no", "raw")
+        .where(badly("raw"))
+        .select("path", "line_no", F.lit(rules.PRINTF_FLAG).alias("rule"), C.snippet(raw).alias("snippet"))
     )
 
 
@@ -169,14 +227,16 @@ def hit_totals(hits: DataFrame, samples: int = 3) -> DataFrame:
 # --- headers ------------------------------------------------------------------------
 
 
-def guard_style(corpus: DataFrame) -> DataFrame:
-    """Headers without an include guard, or with an ``#ifndef`` guard only."""
+def _guard_rule() -> Column:
     once = F.contains("text", F.lit("#pragma once"))
     guard = F.col("text").rlike(rules.GUARD)
-    flag = F.when(~once & ~guard, "header missing include guard").when(
-        guard & ~once, "#ifdef guard (no #pragma once)"
-    )
-    return corpus.where(is_header(F.col("path"))).select("path", flag.alias("rule")).where(F.col("rule").isNotNull())
+    wrong = F.when(~once & ~guard, "header missing include guard").when(guard & ~once, "#ifdef guard (no #pragma once)")
+    return F.when(is_header(F.col("path")), wrong)
+
+
+def guard_style(corpus: DataFrame) -> DataFrame:
+    """Headers without an include guard, or with an ``#ifndef`` guard only."""
+    return corpus.where(is_header(F.col("path"))).select("path", _guard_rule().alias("rule")).where(F.col("rule").isNotNull())
 
 
 def code_before_include(lines: DataFrame) -> DataFrame:
@@ -228,11 +288,17 @@ def unsorted_includes(lines: DataFrame) -> DataFrame:
 
 def self_header_first(corpus: DataFrame) -> DataFrame:
     """Source files whose same-named header exists but is not their first include."""
-    named = corpus.select(
+    includes = F.filter(C.split_lines(F.col("text")), lambda l: l.rlike(rules.INCLUDE))
+    return _own_header_first(corpus.select("path", F.get(includes, F.lit(0)).alias("first")))
+
+
+def _own_header_first(files: DataFrame) -> DataFrame:
+    """:func:`self_header_first` over files and their ``first`` include line."""
+    named = files.select(
         "path",
         stem(F.col("path")).alias("stem"),
         is_header(F.col("path")).alias("is_header"),
-        F.get(F.filter(C.split_lines(F.col("text")), lambda l: l.rlike(rules.INCLUDE)), F.lit(0)).alias("first"),
+        "first",
     )
     headers = named.where("is_header").select("stem").distinct()
     _, target = C.include_target(F.col("first"))
@@ -248,8 +314,12 @@ def self_header_first(corpus: DataFrame) -> DataFrame:
 
 def header_hygiene(corpus: DataFrame, lines: DataFrame) -> DataFrame:
     """All header findings as ``path, line_no, rule, snippet`` (line 0: whole file)."""
-    whole = guard_style(corpus).select("path", F.lit(0).cast("bigint").alias("line_no"), "rule", F.lit("").alias("snippet"))
-    own = self_header_first(corpus).select(
+    return _hygiene(guard_style(corpus), self_header_first(corpus), lines)
+
+
+def _hygiene(guards: DataFrame, own: DataFrame, lines: DataFrame) -> DataFrame:
+    whole = guards.select("path", F.lit(0).cast("bigint").alias("line_no"), "rule", F.lit("").alias("snippet"))
+    own = own.select(
         "path",
         F.lit(0).cast("bigint").alias("line_no"),
         F.lit("self-header not first include").alias("rule"),
@@ -260,6 +330,15 @@ def header_hygiene(corpus: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def scan_hygiene(scan: DataFrame) -> DataFrame:
+    """:func:`header_hygiene` of the lines that :func:`scan_lines` has written."""
+    lines = scan.where("line_no IS NOT NULL")
+    first = F.min_by("raw", F.when(F.col("raw").rlike(rules.INCLUDE), F.col("line_no")))
+    firsts = lines.groupBy("path").agg(first.alias("first"))
+    guards = scan.where("coalesce(line_no, 1) = 1 AND guard_rule IS NOT NULL").select("path", F.col("guard_rule").alias("rule"))
+    return _hygiene(guards, _own_header_first(firsts), lines)
+
+
 def header_class_rows(lines: DataFrame) -> DataFrame:
     """Classes and structs defined at column 0 of headers; forward declarations do
     not count."""
@@ -432,11 +511,12 @@ def top_log_keys(fields: DataFrame, k: int = 12) -> DataFrame:
 
 
 def build_flag_counts(files: DataFrame) -> DataFrame:
-    """``category, label, n`` over build files; flags that never occur are left out."""
+    """``category, label, n, files`` over build files, ``files`` being how many were read; flags
+    that never occur are left out."""
     return (
         files.select(F.inline(C.counts_of(F.col("text"), rules.BUILD_FLAGS)))
         .groupBy(F.col("label0").alias("category"), F.col("label1").alias("label"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))  # a file has a row for every flag
         .where(F.col("n") > 0)
     )
 
@@ -447,9 +527,8 @@ def missing_build_categories(flags: DataFrame) -> DataFrame:
     return wanted.join(flags, "category", "left_anti")
 
 
-def wrapper_bypass(lines: DataFrame) -> DataFrame:
-    """``facility, origin, n, mixed``: distinct ways one facility is used; ``mixed`` when
-    there are two or more."""
+def bypass_uses(lines: DataFrame) -> DataFrame:
+    """``facility, origin, n`` of the lines that use a facility."""
     line = F.col("stripped")
     ruled = C.counts_of(line, rules.WRAPPED)
     crc = F.transform(
@@ -457,26 +536,43 @@ def wrapper_bypass(lines: DataFrame) -> DataFrame:
         lambda name: F.struct(F.lit("crc").alias("label0"), name.alias("label1"), F.lit(1).cast("bigint").alias("n")),
     )
     found = F.filter(F.concat(ruled, crc), lambda r: r["n"] > 0)
-    used = (
-        lines.select(F.inline(found))
-        .groupBy(F.col("label0").alias("facility"), F.col("label1").alias("origin"))
-        .agg(F.sum("n").alias("n"))
-    )
+    return lines.select(F.inline(found)).select(F.col("label0").alias("facility"), F.col("label1").alias("origin"), "n")
+
+
+def mixed_uses(uses: DataFrame) -> DataFrame:
+    """:func:`bypass_uses` summed, and whether a facility is used in two ways or more."""
+    used = uses.groupBy("facility", "origin").agg(F.sum("n").alias("n"))
     ways = used.groupBy("facility").agg((F.count(F.lit(1)) >= 2).alias("mixed"))
     return used.join(ways, "facility")
 
 
-def magic_number_counts(lines: DataFrame) -> DataFrame:
-    """Unnamed literals of two or more digits per file."""
+def wrapper_bypass(lines: DataFrame) -> DataFrame:
+    """``facility, origin, n, mixed``: distinct ways one facility is used; ``mixed`` when
+    there are two or more."""
+    return mixed_uses(bypass_uses(lines))
+
+
+def magic_number_lines(lines: DataFrame) -> DataFrame:
+    """Lines with unnamed literals of two or more digits: ``path, line_no, snippet, n``."""
     line = F.col("stripped")
     trimmed = F.btrim(line, F.lit(" \t\r\n\f\u000b"))
     open_to_count = (trimmed != "") & ~trimmed.startswith("#") & ~trimmed.rlike(rules.CONSTANT_LINE)
-    return (
-        lines.where(open_to_count)
-        .groupBy("path")
-        .agg(F.sum(F.regexp_count(line, F.lit(rules.MAGIC_NUMBER))).cast("bigint").alias("n"))
-        .where(F.col("n") > 0)
-    )
+    n = F.regexp_count(line, F.lit(rules.MAGIC_NUMBER)).cast("bigint")
+    found = lines.where(open_to_count).select("path", "line_no", C.snippet(line).alias("snippet"), n.alias("n"))
+    return found.where(F.col("n") > 0)
+
+
+def magic_number_counts(lines: DataFrame) -> DataFrame:
+    """Unnamed literals of two or more digits per file."""
+    return magic_number_lines(lines).groupBy("path").agg(F.sum("n").alias("n"))
+
+
+def magic_number_samples(found: DataFrame, files: int = 4, k: int = 3) -> DataFrame:
+    """The first ``k`` of :func:`magic_number_lines` of the ``files`` files that have most."""
+    most = found.groupBy("path").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "path").limit(files)
+    order = Window.partitionBy("path").orderBy("line_no")
+    ranked = found.join(F.broadcast(most.select("path")), "path").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("path", "line_no", "snippet")
 
 
 def duplicate_blocks(files: DataFrame, window: int = 5) -> DataFrame:
@@ -586,15 +682,15 @@ def coverage_gap(corpus: DataFrame, read: DataFrame) -> DataFrame:
 
 
 def section_counts(corpus: DataFrame) -> DataFrame:
-    """``section, label, n`` of the rule sections of a scan."""
-    lines = explode_code_lines(corpus)
-    hits = red_flag_scan(lines).unionByName(reach_out_includes(lines))
-    flags = hits.groupBy(F.lit("red_flags").alias("section"), F.col("rule").alias("label"))
-    hygiene = header_hygiene(corpus, lines).groupBy(
-        F.lit("header_hygiene").alias("section"), F.col("rule").alias("label")
-    )
-    n = F.count(F.lit(1)).alias("n")
-    return flags.agg(n).unionByName(hygiene.agg(n))
+    """``section, label, n`` of the rule sections of a scan; the corpus is read once."""
+    scan = scan_lines(corpus)
+    lines = scan.where("line_no IS NOT NULL")
+    parts = [("red_flags", red_flag_scan(lines)), ("red_flags", reach_out_includes(lines)), ("header_hygiene", scan_hygiene(scan))]
+    rows = None
+    for section, hits in parts:
+        named = hits.select(F.lit(section).alias("section"), F.col("rule").alias("label"))
+        rows = named if rows is None else rows.unionByName(named)
+    return rows.groupBy("section", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -649,43 +745,100 @@ def _place(rows: DataFrame, order: list[str]) -> Column:
     return F.concat_ws("\u0001", *parts)
 
 
+def scan_partials(corpus: DataFrame) -> Callable[[str], DataFrame]:
+    """What all sections of a report are made of: the corpus is read once, its findings become one
+    long table, written by section, and the returned function gives a section's rows.
+
+    Rows are ``path, line_no, rule, snippet, n, includes, todos``; a section uses what it needs.
+    """
+    scan = scan_lines(corpus)
+    lines = scan.where("line_no IS NOT NULL")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    stripped, raw = F.col("stripped"), F.col("raw")
+    files = scan.groupBy("path").agg(
+        F.count("line_no").alias("n"),
+        F.count_if(stripped.rlike(rules.INCLUDE)).alias("includes"),
+        F.count_if(raw.rlike(rules.TODO)).alias("todos"),
+    )
+    members = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("rule"),
+                F.regexp_extract("stripped", pattern, 0).alias("snippet"),
+                F.regexp_count("stripped", F.lit(pattern)).cast("bigint").alias("n"),
+            )
+            for label, pattern in rules.MEMBER_RULES
+        ]
+    )
+    parts = {
+        "files": files,
+        "spans": function_spans(lines).select("path", F.col("start").alias("line_no"), F.col("name").alias("rule"), F.col("length").alias("n")),
+        "hits": red_flag_scan(lines).unionByName(reach_out_includes(lines)).unionByName(printf_spec_scan(lines)),
+        "hygiene": scan_hygiene(scan),
+        "members": lines.select("path", "line_no", F.inline(F.filter(members, lambda m: m["n"] > 0))),
+        "fields": log_field_scan(lines).select("path", "line_no", F.col("key").alias("rule"), F.col("separator").alias("snippet")),
+        "classes": header_class_rows(lines).select("path", "line_no", F.col("name").alias("rule")),
+        "bypass": bypass_uses(lines).select(F.col("facility").alias("rule"), F.col("origin").alias("snippet"), "n"),
+        "magic": magic_number_lines(lines),
+    }
+    long = None
+    kinds = {"path": text, "line_no": number, "rule": text, "snippet": text, "n": number, "includes": number, "todos": number}
+    for section, rows in parts.items():
+        full = rows.select(F.lit(section).alias("section"), *[F.col(c) if c in rows.columns else v.alias(c) for c, v in kinds.items()])
+        long = full if long is None else long.unionByName(full)
+    path = fresh_dir(corpus.sparkSession, "scan-partials")
+    long.write.partitionBy("section").parquet(path)
+    written = corpus.sparkSession.read.schema(long.schema).parquet(path)
+    return lambda section: written.where(F.col("section") == section).drop("section")
+
+
 def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, since: str, k: int = 15) -> DataFrame:
     """The whole scan as ``section, place, text`` lines; their texts joined by newlines
     are one JSON document.
 
     Lines rather than one string: the document is never held in one row, and
-    ``sinks.write_report`` writes it in order.
+    ``sinks.write_report`` writes it in order.  The scan itself runs while the plan is built.
     """
-    lines = explode_code_lines(corpus)
-    spans = function_spans(lines)
-    stats = file_stats(corpus)
-    fields = log_field_scan(lines)
-    hits = red_flag_scan(lines).unionByName(reach_out_includes(lines)).unionByName(printf_spec_scan(lines))
-    flags = build_flag_counts(builds)
+    part = scan_partials(corpus)
+    stats = part("files").select("path", F.col("n").alias("loc"), "includes", "todos")
+    spans = part("spans").select("path", F.col("line_no").alias("start"), F.col("rule").alias("name"), F.col("n").alias("length"))
+    fields = part("fields").select(F.col("rule").alias("key"), F.col("snippet").alias("separator"), C.name_style(F.col("rule")).alias("style"))
+    hits, hygiene = (part(name).select("path", "line_no", "rule", "snippet") for name in ("hits", "hygiene"))
+    magic = part("magic").select("path", "line_no", "snippet", "n")
+    members = part("members")
+    counted = members.groupBy("rule").agg(F.sum("n").alias("n"))
+    member_rules = small_table(corpus.sparkSession, ["rule"], [(label,) for label, _ in rules.MEMBER_RULES])
+    first = Window.partitionBy("rule").orderBy("path", "line_no")
+    member_samples = members.withColumn("rank", F.row_number().over(first)).where("rank <= 3")
+    uses = part("bypass").select(F.col("rule").alias("facility"), F.col("snippet").alias("origin"), "n")
+    flags = stored(build_flag_counts(builds), "scan-builds")
     churn = churn_x_size(stats, changes, since).orderBy(F.col("risk").desc(), F.col("path").desc()).limit(k)
-    magic = magic_number_counts(lines)
-    classes = multi_class_headers(header_class_rows(lines))
+    per_file = magic.groupBy("path").agg(F.sum("n").alias("n"))
+    classes = multi_class_headers(part("classes").select("path", "line_no", F.col("rule").alias("name")))
+    totals = stats.agg(F.count(F.lit(1)).alias("scanned_files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("total_loc"))
     sections: list[tuple[str, DataFrame, list[str]]] = [
-        ("totals", corpus_totals(corpus), ["scanned_files"]),
+        ("totals", totals, ["scanned_files"]),
         ("top_files_by_size", top_files_by_size(stats, k), ["-loc", "path"]),
         ("longest_functions", longest_functions(spans, k), ["-length", "path", "start"]),
         ("include_heavy_headers", include_heavy_headers(stats, k), ["-includes", "path"]),
         ("todo_hotspots", todo_hotspots(stats, k), ["-todos", "path"]),
         ("churn_x_size", churn, ["-risk", "path"]),
         ("red_flags", hit_totals(hits), ["-hits", "rule"]),
-        ("header_hygiene", hit_totals(header_hygiene(corpus, lines)), ["-hits", "rule"]),
+        ("header_hygiene", hit_totals(hygiene), ["-hits", "rule"]),
         ("function_naming", naming_distribution(spans), ["-functions", "style"]),
         ("function_naming_samples", function_naming_samples(spans), ["path", "start"]),
-        ("member_naming", member_naming_counts(lines), ["rule"]),
-        ("member_naming_samples", member_naming_samples(lines), ["rule", "path", "line_no"]),
+        ("member_naming", member_rules.join(counted, "rule", "left").na.fill(0, ["n"]), ["rule"]),
+        ("member_naming_samples", member_samples.select("rule", "path", "line_no", F.col("snippet").alias("name")), ["rule", "path", "line_no"]),
         ("log_field_style", log_field_style(fields), ["kind", "label"]),
         ("top_log_keys", top_log_keys(fields), ["-n", "key"]),
         ("build_hardening", flags, ["category", "label"]),
+        ("build_files", builds.agg(F.count(F.lit(1)).alias("files_scanned")), ["files_scanned"]),
         ("missing_categories", missing_build_categories(flags), ["category"]),
         ("runtime_cost", small_table(flags.sparkSession, ["category", "cost"], rules.RUNTIME_COST.items()), ["category"]),
         ("header_composition", classes.orderBy(F.col("classes").desc(), "path").limit(10), ["-classes", "path"]),
-        ("wrapper_bypass", wrapper_bypass(lines), ["facility", "-n", "origin"]),
-        ("magic_numbers", magic.orderBy(F.col("n").desc(), "path").limit(10), ["-n", "path"]),
+        ("wrapper_bypass", mixed_uses(uses), ["facility", "-n", "origin"]),
+        ("magic_numbers", per_file.orderBy(F.col("n").desc(), "path").limit(10), ["-n", "path"]),
+        ("magic_number_samples", magic_number_samples(magic), ["path", "line_no"]),
         ("magic_number_total", magic.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), ["total"]),
     ]
     frame, entries = [(-1, "", "{")], None
@@ -697,6 +850,7 @@ def scan_report_json(corpus: DataFrame, builds: DataFrame, changes: DataFrame, s
         )
         entries = listed if entries is None else entries.unionByName(listed)
     frame.append((3 * len(sections), "", "}"))
+    entries = stored(entries, "scan-report")
     last = entries.groupBy("section").agg(F.max("place").alias("last"))
     comma = F.when(F.col("place") == F.col("last"), "").otherwise(",")
     body = entries.join(last, "section").select(

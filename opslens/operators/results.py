@@ -240,18 +240,21 @@ def dispatch_order(queue: DataFrame, keys: Sequence[str], chunk: int = O.CHUNK_R
     return O.number_rows(ranked, keys, "chunk", ["urgency", "seq"], "position").drop("chunk", "urgency")
 
 
-def task_latency(trace: DataFrame, chunk: int = O.CHUNK_ROWS) -> DataFrame:
+def task_latency(trace: DataFrame, chunk: int | None = None) -> DataFrame:
     """Per task and attempt: queue wait, run time and, for retries, the retry gap.
 
-    ``trace`` holds ``task_id, seq, at_ms, event``.
+    ``trace`` holds ``task_id, seq, at_ms, event``.  A task's lines are numbered and aggregated after
+    one shuffle by task.  ``chunk`` is for traces in which a task runs for so long that its lines
+    must not meet in one task: they are then cut into chunks of so many ``seq``.
     """
-    requeue = F.col("event").isin("retry_requeue", "periodic_requeue")
-    marked = trace.select(
-        "task_id", "seq", "at_ms", "event", O.chunk_of(F.col("seq"), chunk).alias("chunk")
-    )
-    numbered = O.running(
-        marked, ["task_id"], "chunk", ["seq"], {"requeues": ("sum", F.when(requeue, 1).otherwise(0))}
-    )
+    requeue = F.when(F.col("event").isin("retry_requeue", "periodic_requeue"), 1).otherwise(0)
+    lines = trace.select("task_id", "seq", "at_ms", "event")
+    if chunk is None:
+        upto = Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbered = lines.withColumn("requeues", F.sum(requeue).over(upto))
+    else:
+        marked = lines.withColumn("chunk", O.chunk_of(F.col("seq"), chunk))
+        numbered = O.running(marked, ["task_id"], "chunk", ["seq"], {"requeues": ("sum", requeue)})
 
     def first(*events: str) -> Column:
         return F.min(F.when(F.col("event").isin(*events), F.col("at_ms")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opslens import rules
 from opslens.functions import code as C
 from opslens.operators import corpus as ops
-from opslens.operators.staging import small_table
+from opslens.operators.staging import small_table, stored
 from opslens.plans.oracle import VIEWS, sql
 from opslens.session import fresh_dir
 from opslens.sources import readers, sinks, views
@@ -183,6 +183,34 @@ def _(spark, sf):
     return ops.red_flag_scan(lines(spark, sf))
 
 
+@query(
+    "red_flag_rules",
+    r"""SELECT path, line_no, rule, snippet FROM flag_hits UNION ALL
+      SELECT path, line_no, 'constant of part ' || p_partkey, substr(trim(raw), 1, 100) FROM part JOIN (
+        SELECT path, line_no, raw, TRY_CAST(regexp_extract(stripped, '\b(kMax|q|k|z) = ([0-9]+)\b', 2) AS BIGINT) AS v FROM code_lines) c
+        ON v = p_partkey
+      UNION ALL SELECT path, line_no, 'width ' || p_size, substr(trim(raw), 1, 100)
+        FROM (SELECT DISTINCT p_size FROM part) s JOIN code_lines ON regexp_matches(stripped, 'uint' || p_size || '_t')""",
+)
+def _(spark, sf):
+    """The red flags, one rule per part and one per size, as a table."""
+    own = [(*r, False) for r in rules.RED_FLAGS] + [(*r, True) for r in rules.HEADER_ONLY_FLAGS]
+    table = small_table(spark, ["rule", "pattern", "header_only"], own)
+    part = views.table(spark, sf, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    parts = part.select(
+        F.concat(F.lit("constant of part "), key).alias("rule"),
+        F.concat(F.lit(r"\b(?:kMax|q|k|z) = "), key, F.lit(r"\b")).alias("pattern"),
+        F.lit(False).alias("header_only"),
+    )
+    sizes = part.select(
+        F.concat(F.lit("width "), size).alias("rule"),
+        F.concat(F.lit("uint"), size, F.lit("_t")).alias("pattern"),
+        F.lit(False).alias("header_only"),
+    ).distinct()
+    return ops.red_flag_scan(lines(spark, sf), table.unionByName(parts).unionByName(sizes))
+
+
 @query("red_flag_totals", _totals("flag_hits"))
 def _(spark, sf):
     return ops.hit_totals(ops.red_flag_scan(lines(spark, sf)))
@@ -220,7 +248,8 @@ def _(spark, sf):
 
 @query("header_hygiene_totals", _totals("hygiene_hits"))
 def _(spark, sf):
-    return ops.hit_totals(ops.header_hygiene(views.corpus(spark, sf), lines(spark, sf)))
+    scan = ops.scan_lines(views.corpus(spark, sf))
+    return ops.hit_totals(stored(ops.scan_hygiene(scan), "hygiene"))
 
 
 _CLASSES = """SELECT path, line_no, CASE tpl WHEN 20 THEN 'Widget' ELSE 'Pod' END AS name FROM (
@@ -354,7 +383,7 @@ def builds(spark, sf):
     return files.where(readers.is_build_file(F.col("path")) & ~readers.in_skipped_folder(F.col("path")))
 
 
-@query("build_flag_counts", "SELECT category, label, n FROM build_found")
+@query("build_flag_counts", "SELECT category, label, n, (SELECT count(*) FROM build_rows) AS files FROM build_found")
 def _(spark, sf):
     return ops.build_flag_counts(builds(spark, sf))
 
@@ -382,15 +411,25 @@ def _(spark, sf):
     return ops.wrapper_bypass(lines(spark, sf))
 
 
+VIEWS["magic_lines"] = r"""
+SELECT path, line_no, substr(trim(stripped), 1, 100) AS snippet, c FROM (SELECT *, len(regexp_extract_all(
+    regexp_replace(' ' || stripped || ' ', '([^\w.])', '\1\1', 'g'), '[^\w."'']([0-9]{2,})[^\w.]')) AS c
+  FROM code_lines WHERE trim(stripped) <> '' AND NOT regexp_matches(trim(stripped), '^(#|enum\b|((inline|static|extern)\s+)*(constexpr|const)\b)')) m
+WHERE c > 0"""
+
+
+@query("magic_number_counts", "SELECT path, CAST(sum(c) AS BIGINT) AS n FROM magic_lines GROUP BY path")
+def _(spark, sf):
+    return ops.magic_number_counts(lines(spark, sf))
+
+
 @query(
-    "magic_number_counts",
-    r"""SELECT path, CAST(sum(c) AS BIGINT) AS n FROM (SELECT path, len(regexp_extract_all(
-        regexp_replace(' ' || stripped || ' ', '([^\w.])', '\1\1', 'g'), '[^\w."'']([0-9]{2,})[^\w.]')) AS c
-      FROM code_lines WHERE trim(stripped) <> '' AND NOT regexp_matches(trim(stripped), '^(#|enum\b|((inline|static|extern)\s+)*(constexpr|const)\b)')) m
-      GROUP BY path HAVING sum(c) > 0""",
+    "magic_number_samples",
+    """SELECT path, line_no, snippet FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM magic_lines
+      WHERE path IN (SELECT path FROM magic_lines GROUP BY path ORDER BY sum(c) DESC, path LIMIT 4)) m WHERE rn <= 3""",
 )
 def _(spark, sf):
-    return ops.magic_number_counts(lines(spark, sf))
+    return ops.magic_number_samples(stored(ops.magic_number_lines(lines(spark, sf)), "magic"))
 
 
 @query(
@@ -520,7 +559,8 @@ _SECTIONS = [
     ("member_naming_samples", ORACLES["member_naming_samples"], "rule path line_no name", "rule path #line_no"),
     ("log_field_style", ORACLES["log_field_style"], "kind label n", "kind label"),
     ("top_log_keys", ORACLES["top_log_keys"], "key n", "-n key"),
-    ("build_hardening", ORACLES["build_flag_counts"], "category label n", "category label"),
+    ("build_hardening", ORACLES["build_flag_counts"], "category label n files", "category label"),
+    ("build_files", sql("SELECT count(*) AS files_scanned FROM build_rows"), "files_scanned", "#files_scanned"),
     ("missing_categories", ORACLES["missing_build_categories"], "category suggestion", "category"),
     (
         "runtime_cost",
@@ -536,6 +576,7 @@ _SECTIONS = [
     ),
     ("wrapper_bypass", ORACLES["wrapper_bypass"], "facility origin n mixed", "facility -n origin"),
     ("magic_numbers", f"SELECT * FROM ({ORACLES['magic_number_counts']}) m ORDER BY n DESC, path LIMIT 10", "path n", "-n path"),
+    ("magic_number_samples", ORACLES["magic_number_samples"], "path line_no snippet", "path #line_no"),
     ("magic_number_total", f"SELECT CAST(sum(n) AS BIGINT) AS total FROM ({ORACLES['magic_number_counts']}) m", "total", "#total"),
 ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opslens.functions.text import glob_match
+from opslens.sources import files
 
 # What counts as source code, as a header, and which folders hold
 # foreign or generated code.
@@ -157,10 +159,25 @@ def _any_case(name: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
 
 
-def _text_files(spark: SparkSession, root: str, globs: Sequence[str], wanted: Column, include_all: bool) -> DataFrame:
-    """Files are chosen by name while they are listed, so no other file is opened."""
+def _uri(root: str) -> str:
+    """The root as a URI; plain paths are local ones."""
+    return root if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", root) else f"file://{os.path.abspath(root)}"
+
+
+def _text_files(
+    spark: SparkSession, root: str, globs: Sequence[str], names: str, wanted: Column, include_all: bool, **options
+) -> DataFrame:
+    """Text files below ``root``, chosen by name while they are listed.
+
+    Tasks open the files themselves and read a binary file's head only.  A store that only Spark's
+    own readers reach is read by these, whole files at a time and without empty ones.
+    """
+    if files.can_open(_uri(root)):
+        spark.dataSource.register(files.SourceTree)
+        reader = spark.read.format("source_tree").option("root", _uri(root)).option("names", names)
+        return reader.option("skipped", "" if include_all else "\n".join(SKIPPED_FOLDERS)).options(**options).load()
     top = re.sub(r"\A[a-z0-9]+:/+", "/", root.rstrip("/"))
-    files = (
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "{" + ",".join(globs) + "}")
@@ -168,24 +185,27 @@ def _text_files(spark: SparkSession, root: str, globs: Sequence[str], wanted: Co
         .withColumn("path", F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/"))
     )
     below = F.substring("path", F.lit(len(top) + 2), F.length("path"))
-    files = files.withColumn("path", below).where(wanted)
+    listed = listed.withColumn("path", below).where(wanted)
     if not include_all:
-        files = files.where(~in_skipped_folder(F.col("path")))
+        listed = listed.where(~in_skipped_folder(F.col("path")))
     # One character per byte, so that a NUL byte can be looked for.
-    head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
-    return files.where(~F.contains(head, F.lit("\u0000"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    head = F.decode(F.substring("content", 1, files.HEAD_BYTES), "ISO-8859-1")
+    return listed.where(~F.contains(head, F.lit("\u0000"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def read_corpus(spark: SparkSession, root: str, include_all: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, include_all: bool = False, **options) -> DataFrame:
     """``path, text`` of source files below ``root``; binaries and foreign folders
-    are left out, undecodable bytes are replaced."""
+    are left out, undecodable bytes are replaced.  ``options`` go to the data source."""
     globs = [f"*.{_any_case(e)}" for e in CODE_EXTENSIONS]
-    return _text_files(spark, root, globs, extension(F.col("path")).isin(*CODE_EXTENSIONS), include_all)
+    names = rf"[^/]\.({'|'.join(CODE_EXTENSIONS)})\Z"
+    return _text_files(spark, root, globs, names, extension(F.col("path")).isin(*CODE_EXTENSIONS), include_all, **options)
 
 
-def read_build_files(spark: SparkSession, root: str, include_all: bool = False) -> DataFrame:
+def read_build_files(spark: SparkSession, root: str, include_all: bool = False, **options) -> DataFrame:
+    """``path, text`` of build files below ``root``, as :func:`read_corpus` reads sources."""
     globs = [_any_case(n) for n in BUILD_NAMES] + [f"*{_any_case(s)}" for s in BUILD_SUFFIXES]
-    return _text_files(spark, root, globs, is_build_file(F.col("path")), include_all)
+    exact, ends = "|".join(map(re.escape, BUILD_NAMES)), "|".join(map(re.escape, BUILD_SUFFIXES))
+    return _text_files(spark, root, globs, rf"\A({exact})\Z|({ends})\Z", is_build_file(F.col("path")), include_all, **options)
 
 
 # --- findings and feedback ------------------------------------------------------------

@@ -150,3 +150,43 @@ def test_audit(spark):
     df = spark.createDataFrame([(i, v, m) for i, (v, m, _, _) in enumerate(CASES)], "n int, value string, mode string")
     got = {r.n: (r["class"], r.position) for r in b64.audit(df).collect()}
     assert got == {i: (c, p) for i, (_, _, c, p) in enumerate(CASES)}
+
+
+def plain_graph(cells, limit):
+    """Depth of each formula cell by recursion, None where it reaches a loop."""
+    def depth(cell, path):
+        if cell in path:
+            return None
+        found = [depth(t, path | {cell}) for t in cells[cell] if t in cells]
+        return None if None in found else 1 + max(found, default=0)
+
+    out = {}
+    for cell in cells:
+        d = depth(cell, frozenset())
+        out[cell] = (None, "cycle") if d is None else (d, "ok") if d <= limit else (None, "too_deep")
+    return out
+
+
+@pytest.mark.parametrize("rows", [3, 1 << 16])
+def test_reference_graph_against_recursion(spark, monkeypatch, rows):
+    import random
+
+    from opslens.operators import cells as ops
+
+    monkeypatch.setattr(ops, "GRAPH_ROWS", rows)
+    rng, table, want = random.Random(rows), [], {}
+    for sheet in ["s1", "s2", "s3", None, "s4"]:
+        graph = {}
+        for col in range(1, 5):
+            for row in range(1, 5):
+                if rng.random() < 0.7:
+                    refs = [(rng.randrange(1, 6), rng.randrange(1, 6)) for _ in range(rng.randrange(3))]
+                    if sheet != "s1":  # no loops: upwards only
+                        refs = [(c, r) for c, r in refs if r > row]
+                    graph[(col, row)] = refs
+                    table.append((sheet, col, row, "=1" + "".join(f"+{chr(64 + c)}{r}+${chr(64 + c)}${r}" for c, r in refs)))
+        want |= {(sheet, *cell): found for cell, found in plain_graph(graph, 1).items()}
+    df = spark.createDataFrame(table, "sheet string, col bigint, row_no bigint, formula string").repartition(2)
+    got = {(r.sheet, r.col, r.row_no): (r.depth, r.state) for r in ops.reference_graph(df, 1).collect()}
+    assert got == want and {s for _, s in want.values()} == {"ok", "cycle", "too_deep"}
+    assert ops.reference_graph(df.limit(0), 3).count() == 0

@@ -300,3 +300,75 @@ def test_read_corpus(spark, tmp_path):
     assert got["src/b.H"] == "é\n" and got["src/bad.cc"] == "ok �\n"
     assert "build/gen.cpp" in {r.path for r in readers.read_corpus(spark, str(tmp_path), True).collect()}
     assert {r.path for r in readers.read_build_files(spark, str(tmp_path)).collect()} == {"CMakeLists.txt", "cmake/x.cmake"}
+
+
+def plain_prints_size_badly(line):
+    """The rule call by call, over each call's own text."""
+    import re
+
+    from opslens import rules
+
+    for m in re.finditer(rules.PRINTF_CALL, line):
+        depth = 0
+        for end in range(m.end() - 1, len(line)):
+            depth += {"(": 1, ")": -1}.get(line[end], 0)
+            if depth == 0:
+                call = line[m.end() - 1 : end + 1]
+                head = re.match(r'((?:[^"]*"[^"]*")*)', call).group()
+                literal = re.search(rules.QUOTED + r"\Z", head)
+                rest = call[len(head) :]
+                if literal and re.search(rules.SIZE_ARGUMENT, rest) and "static_cast<" not in rest:
+                    if any(not f.group(1) for f in re.finditer(rules.INT_CONVERSION, literal.group(1))):
+                        return True
+                break
+    return False
+
+
+def test_printing_calls_against_a_plain_reading():
+    import random
+
+    from opslens.operators import corpus
+
+    rng = random.Random(4)
+    parts = ["printf(", "std::snprintf (", ")", "(", '"', "%d", "%zu", " v.size()", "sizeof(x)", "static_cast<int>(", ", ", "a", ";", "%5.2lld"]
+    seen = set()
+    for _ in range(20_000):
+        line = "".join(rng.choice(parts) for _ in range(rng.randrange(3, 24)))
+        want = plain_prints_size_badly(line)
+        assert corpus._prints_size_badly(line) == want, line
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_a_line_of_a_megabyte(spark):
+    import time
+
+    from opslens.operators import corpus
+
+    nested = "printf(" * 60_000 + '"%zu", v.size()' + ")" * 60_000
+    rows = [("a", 1, nested), ("a", 2, 'printf("%zu", v.size());' * 40_000), ("a", 3, 'printf("%zu", n);' * 60_000 + 'printf("%d", v.size())')]
+    began = time.time()
+    got = corpus.printf_spec_scan(spark.createDataFrame(rows, "path string, line_no bigint, raw string")).collect()
+    assert [r.line_no for r in got] == [3] and time.time() - began < 20
+
+
+def test_build_files_are_counted(spark):
+    from opslens.operators import corpus
+
+    files = spark.createDataFrame([("a", "-Wall -Wall"), ("b", ""), ("c", "x")], "path string, text string")
+    assert [tuple(r) for r in corpus.build_flag_counts(files).collect()] == [("warnings", "-Wall", 2, 3), ]
+
+
+def test_scan_lines_give_what_the_corpus_gives(spark):
+    from opslens.operators import corpus
+
+    texts = {
+        "a/x.h": '#include "b.h"\n#include "a.h"\nint a;\n', "a/x.cpp": '#include "y.h"\n#include "x.h"\n', "a/empty.h": "",
+        "a/g.h": "#ifndef G\n\n#include <a>\n", "a/p.h": "#pragma once\nint q;\n#include <z>\n", "b/empty.cpp": "",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    scan = corpus.scan_lines(files)
+    plain = corpus.header_hygiene(files, corpus.explode_code_lines(files))
+    assert sorted(map(tuple, corpus.scan_hygiene(scan).collect())) == sorted(map(tuple, plain.collect()))
+    part = corpus.scan_partials(files)
+    assert {r.path: r.n for r in part("files").collect()} == {p: len(t.splitlines()) for p, t in texts.items()}

@@ -79,7 +79,7 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     whole = log_batches(spark, tmp_path / "in")
     out = str(tmp_path / "limit")
     flows.stream_rate_limit(stream_of(spark, tmp_path / "in", whole), out, 3)
-    got = flows.read_batches(spark, out)
+    got = flows.read_limited(spark, out)
     assert got.select("epoch").distinct().count() == 4
     want = ops.rate_limit_anchored(whole, 3)
     columns = ["source", "line_no", "window_start", "admitted"]
