@@ -1,7 +1,7 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is ``window`` consecutive words of one document.  Its minimiser is the least hash of its
-grams of ``window // 3`` words; consecutive windows with the same minimiser form a super-k-mer,
+grams of ``window // 4`` words; consecutive windows with the same minimiser form a super-k-mer,
 which is packed as one string and sent to its minimiser's bucket.  Equal windows have equal
 minimisers and meet in one bucket, where sorting by exact names counts them and finds the
 first document of each.
@@ -31,7 +31,7 @@ HOT_BITS = 22
 #: Text bytes cut at once where strings are packed; up to three times as many come out.
 CUT_BYTES = 2 << 20
 #: Bytes of distinct strings that a cutting task holds before it passes them on.
-HELD_BYTES = 12 << 20
+HELD_BYTES = 24 << 20
 #: Packed bytes that a bucket task sorts at once, unless one minimiser has more.
 BUCKET_BYTES = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null id, which comes after all others
@@ -71,7 +71,7 @@ class Cut:
         if not inside.any():
             self.start = self.count = self.minimiser = self.text = np.empty(0, np.int64)
             return
-        gram = max(1, window // 3)
+        gram = max(1, window // 4)
         value = _doubled(hashes(distinct)[ids], gram, _hash_pair)
         least = _doubled(value, window - gram + 1, np.minimum).view(np.int64)
         begins = inside.copy()
