@@ -279,11 +279,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+#: Text bytes searched at once where whole rows are held beside them.
+CLEAN_BYTES = 1 << 20
+
+
 def _clean(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         table = index.filter()
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", CLEAN_BYTES):
             kept = np.ones(batch.num_rows, bool)
             kept[[row[0] for row in find(index, table, batch.column("__text"))]] = False
             yield batch.drop_columns(["__text"]).filter(pa.array(kept))
