@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm import units as U
-from opslens.llm.collocations import grouped
+from opslens.llm.collocations import expand, grouped, squeeze
 from opslens.llm.piece_merge import PieceEncoder
 from opslens.llm.shared import written
 from opslens.llm.words import binary_array, totals
@@ -186,7 +186,7 @@ class Aligner:
 _INTS = ["n_a", "n_b", "n_groups", "n_links"]
 _CHUNK = (
     "chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "groups_sha256 array<string>, doc_first array<int>, doc_units array<int>, unit_first array<int>, unit_links array<int>, "
+    "groups_sha256 array<string>, sizes array<int>, doc_first binary, doc_units binary, unit_first binary, unit_links binary, "
     "code array<bigint>, docs array<bigint>"
 )
 _RESULT = (
@@ -240,13 +240,15 @@ def _chunk_row(aligner: Aligner, part: pa.Table, chunk: int) -> pa.RecordBatch:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[unit[low:high]], n)
         pairs = np.asarray(pc.unique(pa.array(np.repeat(of[low:high], n) * len(codes) + number[at])))
         docs += np.bincount(pairs % max(len(codes), 1), minlength=len(codes))
+    # what only the last pass reads travels packed
+    packed = [np.concatenate([[0], np.cumsum(counts)]), doc_units, first, number]
     lists = [
         part.column("doc_id").combine_chunks(), *(sums[c] for c in _INTS), pa.array(digests, pa.string()),
-        np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), doc_units.astype(np.int32), first.astype(np.int32),
-        number.astype(np.int32), codes, docs,
+        np.array([len(p) for p in packed], np.int32),
     ]
+    blobs = [pa.array([squeeze(p.astype(np.int32))], pa.binary()) for p in packed]
     names = [c.split()[0] for c in _CHUNK.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), *map(_list, lists)], names)
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), *map(_list, lists), *blobs, _list(codes), _list(docs)], names)
 
 
 def _slices(of: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -310,9 +312,11 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     )
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = {c: left.column(c).combine_chunks().flatten() for c in left.column_names if c != "chunk"}
-        links, unit_first = flat["unit_links"].to_numpy(), flat["unit_first"].to_numpy()
-        doc_units, doc_first = flat["doc_units"].to_numpy(), flat["doc_first"].to_numpy()
+        flat = {c: left.column(c).combine_chunks().flatten() for c in ("doc_id", *_INTS, "groups_sha256", "sizes")}
+        packed = ("doc_first", "doc_units", "unit_first", "unit_links")
+        doc_first, doc_units, unit_first, links = (
+            expand(left.column(c)[0].as_py(), n, np.int32) for c, n in zip(packed, flat["sizes"].to_pylist())
+        )
         count, best = np.zeros((2, int(links.max(initial=-1)) + 1), np.int64)
         place = right.column("pos").to_numpy()
         count[place], best[place] = right.column("n").to_numpy(), np.asarray(right.column("best").cast(pa.int64()))
