@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept; ``run``
 writes each stage's rows to the shared folder and reads them back as the next one's input.
+
+Odd rows: documents without words fail the base rules of the first stage; later stages by themselves
+keep them (they resemble nothing, hold no item and have no words to mix, and pack as their end id).  Rows
+without id or source are documents like any other.  Repeated rows are judged alike; the near-duplicate
+stage leaves one row of each id it keeps, and all rows without words or id.  Further columns of any name pass through; an empty
+table stays empty in every stage.
 """
 
 from __future__ import annotations
