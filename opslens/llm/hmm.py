@@ -2,7 +2,8 @@
 
 States emit *symbols*: each of the most frequent words is a symbol, every other word belongs
 to one of a fixed number of classes by its last letters, and within its class a word's share follows
-its count.  Baum-Welch counts are summed over all training texts by Spark; a scaled forward
+its count.  Start values are fitted to the pairs of neighbours of all training texts, which
+Spark counts; then Baum-Welch counts are summed over these texts by Spark.  A scaled forward
 recursion gives the exact likelihood of each text.
 
 Sizes that are collected or broadcast are bounded whatever the corpus: ``DICTIONARY`` words with their
@@ -30,8 +31,7 @@ STATES = 8
 SYMBOLS = 1 << 14
 CLASSES = 1 << 12
 DICTIONARY = 1 << 18
-#: Texts of the start values, fitted on the driver; everything else sees all training texts.
-START_TEXTS = 300
+#: Rounds of the start values, over the counted pairs of neighbours.
 START_ROUNDS = 15
 ROUNDS = 2
 #: Weight of the corpus-wide shares in every state's emissions.
@@ -43,6 +43,10 @@ READ_BYTES = 6 << 20
 END = " "  # no word holds a space
 #: Distinct words a counting task holds before it passes them on.
 HELD_WORDS = 1 << 20
+#: Distinct pairs of symbols a counting task holds before it passes them on.
+HELD_PAIRS = 1 << 20
+#: Pairs taken at once in a round.
+PAIR_ROWS = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -290,27 +294,113 @@ def renewed(emit: np.ndarray, move: np.ndarray, start: np.ndarray, share: np.nda
     return Model(start, move, emit)
 
 
-def start_model(docs: DataFrame, vocab: Vocabulary, texts: int = START_TEXTS, rounds: int = START_ROUNDS, states: int = STATES) -> Model:
-    """Start values: Baum-Welch on about ``texts`` training texts, taken by hash, from seeded noise."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    seen, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.zeros(len(seen), np.int64)
+    np.add.at(n, at, np.concatenate([p[1] for p in parts]))
+    return seen, n
+
+
+def _pairs(vocab):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, size = Reader(vocab.value), vocab.value.size
+        parts, held = [], 0
+
+        def rows(seen: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen // size), pa.array(seen % size), pa.array(n)], ["a", "b", "n"])
+
+        for batch in pieces(batches, "text", READ_BYTES):
+            *_, sequence, _ = reader.read(batch.column("text"))
+            inside = sequence[:-1] != vocab.value.end
+            parts.append(np.unique(sequence[:-1][inside] * size + sequence[1:][inside], return_counts=True))
+            held += len(parts[-1][0])
+            if held > HELD_PAIRS:
+                parts = [_merged(parts)]
+                held = len(parts[0][0])
+                if held > HELD_PAIRS // 2:
+                    yield rows(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield rows(*_merged(parts))
+
+    return run
+
+
+def count_pairs(docs: DataFrame, vocab) -> DataFrame:
+    """``a, b, n``: how often symbol ``b`` follows ``a`` in the training texts, their ends included."""
+    rows = _prepared(docs).where(~F.col("held_out")).select("text")
+    return rows.mapInArrow(_pairs(vocab), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def add_pairs(model: Model, a: np.ndarray, b: np.ndarray, n: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
+    """Add the expected counts of pairs of neighbours that occur ``n`` times; ``start`` is the state of the first."""
+    before, after = model.emit[a] * model.start, model.emit[b]
+    moved = before @ model.move
+    weight = (n / (moved * after).sum(axis=1))[:, None]
+    first, second = before * (after @ model.move.T) * weight, moved * after * weight
+    move += (before * weight).T @ after * model.move
+    start += first.sum(axis=0)
+    for k in range(emit.shape[1]):
+        emit[:, k] += np.bincount(a, first[:, k], len(emit)) + np.bincount(b, second[:, k], len(emit))
+
+
+def _sum_rows(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    rows = np.concatenate([emit, move, start[None]])
+    seen = np.flatnonzero(rows.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(seen), *[pa.array(rows[seen, k]) for k in range(rows.shape[1])]],
+        ["symbol", *[f"s{k}" for k in range(rows.shape[1])]],
+    )
+
+
+def _expect_pairs(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        sums = [np.zeros(x.shape) for x in (model.emit, model.move, model.start)]
+        held, size = [], 0
+
+        def add() -> None:
+            table = pa.Table.from_batches(held)
+            add_pairs(model, *(table.column(c).to_numpy() for c in "abn"), *sums)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PAIR_ROWS:
+                add()
+                held, size = [], 0
+        if size:
+            add()
+        yield _sum_rows(*sums)
+
+    return run
+
+
+def _round(rows: DataFrame, run, vocab: Vocabulary, states: int) -> list[np.ndarray]:
+    """Expected emissions, moves and starts; tasks send one row per symbol they saw (and per state), Spark sums them."""
+    names = [f"s{k}" for k in range(states)]
+    counted = rows.mapInArrow(run, "symbol bigint, " + ", ".join(f"{n} double" for n in names))
+    table = counted.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    sums = np.zeros((vocab.size + states + 1, states))
+    sums[table.column("symbol").to_numpy()] = np.stack([table.column(n).to_numpy() for n in names], axis=1)
+    return [sums[: vocab.size], sums[vocab.size : -1], sums[-1]]
+
+
+def start_model(docs: DataFrame, vocab: Vocabulary, rounds: int = START_ROUNDS, states: int = STATES) -> Model:
+    """Start values: rounds over the pairs of neighbours of all training texts, from seeded noise.
+
+    The pairs are counted once, by Spark, and stay distributed; a text's likelihood is taken as the product of
+    its pairs', which the states of the whole model maximise as well."""
+    context = docs.sparkSession.sparkContext
     share = shares(vocab)
     rng = np.random.default_rng(7)
     emit = share[:, None] * rng.uniform(0.5, 1.5, (vocab.size, states))
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     model = Model(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
-    rows = _prepared(docs).where(~F.col("held_out") & F.col("text").isNotNull())
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("hash"), "text")
-    share_taken = min(1.0, texts / max(vocab.texts, 1))
-    sample = rows.where(F.pmod("hash", F.lit(1 << 30)) < int(share_taken * (1 << 30))).toArrow()
-    if not sample.num_rows:
-        return model
-    sample = sample.sort_by([("hash", "ascending"), ("text", "ascending")])
-    *_, sequence, lengths = Reader(vocab).read(sample.column("text").combine_chunks())
-    groups = [w for _, w in walks(sequence, lengths)]
+    pairs = written(count_pairs(docs, context.broadcast(vocab)), "hmm-pairs")
     for _ in range(rounds):
-        sums = [np.zeros(a.shape) for a in (model.emit, model.move, model.start)]
-        for walk in groups:
-            walk.expect(model, *sums)
-        model = renewed(*sums, share)
+        emit, move, start = _round(pairs, _expect_pairs(context.broadcast(model)), vocab, states)
+        model = renewed(emit / 2, move, start, share)  # a word stands in two pairs
     return model
 
 
@@ -322,31 +412,19 @@ def _expect(vocab, sent):
             *_, sequence, lengths = reader.read(batch.column("text"))
             for _, walk in walks(sequence, lengths):
                 walk.expect(model, emit, move, start)
-        rows = np.concatenate([emit, move, start[None]])
-        seen = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), *[pa.array(rows[seen, k]) for k in range(rows.shape[1])]],
-            ["symbol", *[f"s{k}" for k in range(rows.shape[1])]],
-        )
+        yield _sum_rows(emit, move, start)
 
     return run
 
 
 def baum_welch(docs: DataFrame, vocab: Vocabulary, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch rounds over all training texts.  Tasks send one row per symbol they saw (and per state);
-    Spark sums them."""
+    """Baum-Welch rounds over all training texts."""
     context = docs.sparkSession.sparkContext
     rows = _prepared(docs).where(~F.col("held_out")).select("text")
-    states = len(model.start)
-    names = [f"s{k}" for k in range(states)]
     sent_vocab = context.broadcast(vocab)
     for _ in range(rounds):
-        schema = "symbol bigint, " + ", ".join(f"{n} double" for n in names)
-        counted = rows.mapInArrow(_expect(sent_vocab, context.broadcast(model)), schema)
-        table = counted.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-        sums = np.zeros((vocab.size + states + 1, states))
-        sums[table.column("symbol").to_numpy()] = np.stack([table.column(n).to_numpy() for n in names], axis=1)
-        model = renewed(sums[: vocab.size], sums[vocab.size : -1], sums[-1], shares(vocab))
+        sums = _round(rows, _expect(sent_vocab, context.broadcast(model)), vocab, len(model.start))
+        model = renewed(*sums, shares(vocab))
     return model
 
 

@@ -135,3 +135,31 @@ def test_reader_adds_ends():
     *_, sequence, lengths = hmm.Reader(vocab).read(pa.array(["A b", None, "", "a"]))
     assert lengths.tolist() == [3, 1, 1, 2]
     assert sequence.tolist() == [0, 1 + hmm._class_of([b"b"])[0], vocab.end, vocab.end, vocab.end, 0, vocab.end]
+
+
+def test_start_values_see_every_training_text(spark):
+    """Turning one text round keeps all word counts, and changes the pairs and so the start values."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 30, 12))) for i in range(900)]
+    learnt = [i for i, _ in rows if not is_held_out(i)]
+
+    def fitted(rows):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+        return hmm.start_model(docs, hmm.vocabulary(hmm.count_words(docs)), rounds=1, states=2).move
+
+    whole = fitted(rows)
+    for one in (learnt[0], learnt[len(learnt) // 2], learnt[-1]):
+        turned = [(i, " ".join(reversed(text.split())) if i == one else text) for i, text in rows]
+        assert np.abs(fitted(turned) - whole).max() > 1e-9
+
+
+def test_expected_counts_of_pairs():
+    model = random_model(np.random.default_rng(2), 3, 6)
+    a, b, n = np.array([0, 1, 5]), np.array([2, 2, 0]), np.array([1, 4, 2])
+    sums = [np.zeros(x.shape) for x in (model.emit, model.move, model.start)]
+    hmm.add_pairs(model, a, b, n, *sums)
+    sequence, lengths = np.concatenate([np.repeat(np.stack([a, b], 1), n, axis=0).ravel()]), np.full(n.sum(), 2)
+    want = [np.zeros(x.shape) for x in sums]
+    for _, walk in hmm.walks(sequence, lengths):
+        walk.expect(model, *want)
+    assert all(np.allclose(x, y) for x, y in zip(sums, want))
