@@ -203,3 +203,80 @@ def test_ids_of_twenty_digits(spark):
 
 def test_repeated_keys_keep_the_last_value(ask):
     assert ask(L.kv_strict, "a=1 b=2 a=3 c=4 b=5") == {"a": "3", "b": "5", "c": "4"}
+
+
+class Kept:
+    """A processor's handle and state in plain Python."""
+
+    value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_busy_source_is_judged_in_arrays(monkeypatch):
+    """Memory per line of one source stays that of some numbers; decisions leave in parts."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from opslens.streaming import limits
+
+    count = 200_000
+    frames = [pd.DataFrame({"ts_ms": 700 * np.arange(a, a + 10_000), "line_no": np.arange(a, a + 10_000)}) for a in range(0, count, 10_000)]
+    for processor in (limits.AnchoredLimit(2, 1000, False), limits.SecondLimit(2)):
+        processor.init(Kept())
+        tracemalloc.start()
+        sizes = [len(f) for f in processor.handleInputRows(("a",), iter(frames), Kept())]
+        peak = tracemalloc.get_traced_memory()[1] / count
+        tracemalloc.stop()
+        assert sum(sizes) >= count // 2 and max(sizes) <= 1 << 16, sizes
+        assert peak < 150, peak
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_anchored_windows_in_parts(monkeypatch, limit):
+    """Judged in parts and over batches, as line by line."""
+    import numpy as np
+    import pandas as pd
+
+    from opslens.streaming import limits
+
+    monkeypatch.setattr(limits, "OUT_ROWS", 7)
+    rng = np.random.default_rng(limit)
+    processor = limits.AnchoredLimit(limit, 1000, False)
+    processor.init(Kept())
+    start, used = None, 0
+    for _ in range(4):
+        times, numbers = rng.integers(0, 9000, 80) // 50 * 50, rng.permutation(80)
+        got = pd.concat(processor.handleInputRows(("a",), iter([pd.DataFrame({"ts_ms": times, "line_no": numbers})]), Kept()))
+        want = []
+        for at in np.unique(times).tolist():
+            own = np.sort(numbers[times == at])
+            if start is None or at >= start + 1000:
+                start, used = at, 0
+            take = min(limit - used, len(own)) if limit else 0
+            used += take
+            want.append((at, start, limits.EVERY if not limit else int(own[take - 1]) if take else None))
+        assert [(a, w, None if pd.isna(x) else int(x)) for a, w, x in zip(got.ts_ms, got.window_start, got.last_line)] == want
