@@ -276,7 +276,34 @@ def read_systemic(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Lines that Spark's JSON parsers over bytes and over characters may read differently: other encodings,
+#: escaped surrogates or letters, and other values than text where a verdict holds text.
+_ODD_LINE = (
+    r"""\x00|\x{FEFF}|\\u(?:[dD][89A-Fa-f]|00[4-7])"""
+    r"""|["'](?:verdict|comment|severity|file|title|fix)["']\s*:\s*(?!null\b)[^"'\s]"""
+)
+
+
 def read_feedback(spark: SparkSession, paths: str | Sequence[str], per_line: bool = False) -> DataFrame:
-    """One row per verdict: ``id, verdict, comment, severity, file, line, title, fix``."""
-    documents = spark.read.schema(FEEDBACK_SCHEMA).option("multiLine", str(not per_line).lower()).json(paths)
-    return documents.select(F.explode("verdicts").alias("id", "v")).select("id", "v.*")
+    """One row per verdict: ``id, verdict, comment, severity, file, line, title, fix``.
+
+    Verdicts are keyed by ids that hardly repeat.  The parser over bytes copies its table of known keys,
+    up to 6000, for every line that brings a new one; the parser over characters copies far less, so
+    lines go through it.  Only files with a line that both may read differently are left to the first;
+    they are found by a pass over the lines while the plan is built.
+    """
+
+    def documents(**options: str) -> DataFrame:
+        return spark.read.schema(FEEDBACK_SCHEMA).options(multiLine=str(not per_line).lower(), **options).json(paths)
+
+    def verdicts(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("verdicts").alias("id", "v")).select("id", "v.*")
+
+    if not per_line:
+        return verdicts(documents())
+    place = F.col("_metadata.file_path")
+    line = F.col("value")
+    lines = spark.read.text(paths).where(~F.is_valid_utf8(line) | line.rlike(_ODD_LINE))
+    odd = [row[0] for row in lines.select(place).distinct().collect()]
+    fast = verdicts(documents(encoding="UTF-8").where(~place.isin(odd)) if odd else documents(encoding="UTF-8"))
+    return fast.unionByName(verdicts(documents().where(place.isin(odd)))) if odd else fast
