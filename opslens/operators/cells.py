@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.functions import cells as C
@@ -107,14 +107,25 @@ def range_logic(cells: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def reference_edges(formulas: DataFrame) -> DataFrame:
-    """``sheet, col, row_no, to_col, to_row`` for every reference of a formula, once each."""
-    named = formulas.where(F.col("formula").startswith("=")).select(
-        "sheet", "col", "row_no", F.explode(F.array_distinct(C.references_in(F.col("formula")))).alias("text")
-    )
-    target = C.reference(F.col("text"))
-    return named.select(
-        "sheet", "col", "row_no", target["col"].alias("to_col"), target["row_no"].alias("to_row")
-    ).distinct()
+    """``sheet, col, row_no, to_col, to_row`` for every reference of a formula, once each.
+
+    A cell given once, or always with the same formula, needs no table of the edges seen: its own
+    list of targets is made distinct.  Only edges of cells with several formulas are compared.
+    """
+    cell = ["sheet", "col", "row_no"]
+    named = formulas.where(F.col("formula").startswith("=")).select(*cell, "formula")
+
+    def edges(rows: DataFrame) -> DataFrame:
+        targets = F.array_distinct(F.transform(C.references_in(F.col("formula")), lambda t: C.reference(t)))
+        return rows.select(*cell, F.explode(targets).alias("t")).select(
+            *cell, F.col("t.col").alias("to_col"), F.col("t.row_no").alias("to_row")
+        )
+
+    low, high = F.min("formula"), F.max("formula")
+    same = named.groupBy(*cell).agg(low.alias("formula"), high.alias("high")).where("formula = high")
+    whole = Window.partitionBy(*cell)
+    several = named.withColumns({"low": low.over(whole), "high": high.over(whole)}).where("low < high")
+    return edges(same).unionByName(edges(several).distinct())
 
 
 #: Formula cells settled at once; a batch ends between two sheets.

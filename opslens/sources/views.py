@@ -316,7 +316,13 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows that one task sorts into cells.
+CELL_ROWS = 1 << 20
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sheet, col, row_no, content`` from ``lineitem``; a large table is dealt to as many tasks as
+    its rows need, so that no task sorts more of a larger one."""
     part = F.col("l_partkey")
     content = (
         F.when(part % 9 == 0, "text")
@@ -324,15 +330,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(part % 97 == 2, "#DIV/0!")
         .otherwise(_text(part % 1000))
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.expr("l_orderkey div 10").alias("sheet"),
-            F.col("l_linenumber").cast("bigint").alias("col"),
-            (F.col("l_orderkey") % 10 + 1).alias("row_no"),
-        )
-        .agg(F.max(content).alias("content"))
-    )
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(
+        F.expr("l_orderkey div 10").alias("sheet"),
+        F.col("l_linenumber").cast("bigint").alias("col"),
+        (F.col("l_orderkey") % 10 + 1).alias("row_no"),
+        content.alias("content"),
+    )
+    wanted = -(-items.count() // CELL_ROWS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(wanted, "sheet", "col", "row_no")
+    return rows.groupBy("sheet", "col", "row_no").agg(F.max("content").alias("content"))
 
 
 # Corner columns and rows of the ranges every sheet is asked for; ends may be

@@ -190,3 +190,27 @@ def test_reference_graph_against_recursion(spark, monkeypatch, rows):
     got = {(r.sheet, r.col, r.row_no): (r.depth, r.state) for r in ops.reference_graph(df, 1).collect()}
     assert got == want and {s for _, s in want.values()} == {"ok", "cycle", "too_deep"}
     assert ops.reference_graph(df.limit(0), 3).count() == 0
+
+
+def test_edges_of_cells_given_several_times(spark):
+    rows = [
+        (1, 1, 1, "=A2+$A$2+b3"), (1, 1, 1, "=A2+$A$2+b3"), (1, 1, 1, "=B3+C4"), (1, 2, 1, '="A9"&A1'), (1, 2, 1, '="A9"&A1'),
+        (None, 1, None, "=A2"), (None, 1, None, "=A2+A3"), (2, 1, 1, "5"), (2, 1, 1, None), (2, 1, 1, "=$Z9"),
+    ]
+    df = spark.createDataFrame(rows, "sheet bigint, col bigint, row_no bigint, formula string").repartition(3)
+    got = [tuple(r) for r in ops.reference_edges(df).collect()]
+    want = [(1, 1, 1, 1, 2), (1, 1, 1, 2, 3), (1, 1, 1, 3, 4), (1, 2, 1, 1, 1), (None, 1, None, 1, 2), (None, 1, None, 1, 3), (2, 1, 1, 26, 9)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_cells_of_a_large_table_are_sorted_in_more_tasks(spark, tmp_path, monkeypatch):
+    from opslens.sources import views
+
+    rows = spark.range(4000).selectExpr("id div 2 AS l_orderkey", "id AS l_partkey", "cast(id % 7 AS int) AS l_linenumber")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole = sorted(views.cells(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(views, "CELL_ROWS", 200)
+    dealt = views.cells(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 20 and sorted(dealt.collect()) == whole
+    sizes = views.formulas(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 400  # no task gets more of a larger table
