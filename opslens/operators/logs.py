@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -540,9 +541,10 @@ def size_rotation_plan(
     def summary(lines: int, total: int, prefix, opened, left) -> dict:
         return {"lines": lines, "total": total, "prefix": prefix, "opened": opened, "left": left}
 
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", ignore_index=True)
-        prefix = rows["bytes"].cumsum().to_numpy()
+    def running(sizes: np.ndarray) -> np.ndarray:
+        return sizes.cumsum() if sizes.dtype.kind == "i" else pd.Series(sizes).cumsum().to_numpy()
+
+    def summarise(prefix: np.ndarray) -> dict:
         reach = reach_of(prefix)
         following = _cuts(prefix, room)
         here = np.arange(len(prefix))
@@ -555,12 +557,18 @@ def size_rotation_plan(
             opened = opened + opened[at] - 1
             at = further
         left = header_bytes + prefix[-1] - np.concatenate([[0], prefix[:-1]])[at]
-        head = rows.iloc[:1][place].copy()
-        for name, value in summary(len(prefix), int(prefix[-1]), prefix[:reach], opened[:reach], left[:reach]).items():
-            head[name] = [value]
-        return head
+        return summary(len(prefix), int(prefix[-1]), prefix[:reach], opened[:reach], left[:reach])
 
-    summaries = blocked.groupBy(*place).applyInPandas(summarise, f"output string, day string, block bigint, {_BLOCK_FORM}")
+    forms = O.columns_of(_BLOCK_FORM)
+
+    def summarised(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        sizes = rows.column("bytes").to_numpy()
+        found = [summarise(running(sizes[a:b])) for a, b in zip(starts[:-1], starts[1:])]
+        values = [pa.array([f[n] for f in found], kind) for n, kind in forms.items()]
+        return pa.Table.from_arrays([*rows.select(place).take(starts[:-1]).columns, *values], [*place, *forms])
+
+    line = ["seq", "bytes"]
+    summaries = O.in_groups(blocked, place, line, f"output string, day string, block bigint, {_BLOCK_FORM}", summarised)
 
     def first_cut(prefix: np.ndarray, used: int) -> int:
         cut = int(np.searchsorted(prefix, max_bytes - used, side="right"))
@@ -598,24 +606,24 @@ def size_rotation_plan(
     start = {"used": F.lit(header_bytes).cast("bigint"), "number": F.lit(0).cast("bigint")}
     entries = O.prefix_states(summaries, ["output", "day"], _BLOCK_FORM, "used bigint, number bigint", start, merge, enter)
 
-    def expand(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", ignore_index=True)
-        prefix = rows["bytes"].cumsum().to_numpy()
-        following = _cuts(prefix, room)
-        starts = np.zeros(len(prefix), dtype="int64")
-        at = first_cut(prefix, int(rows["used"].iloc[0]))
-        while at < len(prefix):
-            starts[at] = 1
-            at = int(following[at])
-        out = rows[["output", "day", "seq", "bytes"]].copy()
-        out["file_no"] = rows["number"].iloc[0] + starts.cumsum()
-        return out
-
-    return (
-        blocked.join(entries, place)
-        .groupBy(*place)
-        .applyInPandas(expand, "output string, day string, seq bigint, bytes bigint, file_no bigint")
-    )
+    def expanded(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        sizes = rows.column("bytes").to_numpy()
+        entered = (rows.column(c).take(starts[:-1]).to_pylist() for c in ("used", "number"))
+        files = np.zeros(rows.num_rows, np.int64)
+        for a, b, used, number in zip(starts[:-1], starts[1:], *entered):
+            prefix = running(sizes[a:b])
+            following = _cuts(prefix, room)
+            opens = np.zeros(len(prefix), np.int64)
+            at = first_cut(prefix, used)
+            while at < len(prefix):
+                opens[at] = 1
+                at = int(following[at])
+            files[a:b] = number + opens.cumsum()
+        kept = ["output", "day", "seq", "bytes"]
+        return pa.Table.from_arrays([*rows.select(kept).columns, pa.array(files)], [*kept, "file_no"])
+
+    form = "output string, day string, seq bigint, bytes bigint, file_no bigint"
+    return O.in_groups(blocked.join(entries, place), place, line, form, expanded)
 
 
 def compression_report(written: DataFrame) -> DataFrame:

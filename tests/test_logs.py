@@ -298,3 +298,10 @@ def test_register_levels(spark):
         1: None, 2: "already registered", 3: None, 4: "empty name", 5: "built-in name",
         6: "value out of range", 7: "value out of range",
     }
+
+
+def test_rotation_plan_makes_no_frame_per_block(spark):
+    df = spark.createDataFrame([("o", "d", i, 7) for i in range(60)], "output string, day string, seq bigint, bytes bigint")
+    plan = ops.size_rotation_plan(df, 100, 10, 2)
+    assert "GroupsIn" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [r.file_no for r in plan.orderBy("seq").collect()] == plain_rotation([7] * 60, 100, 10)
