@@ -60,3 +60,26 @@ def test_no_rules_or_lines(spark, lines):
 )
 def test_required_literals(pattern, literals):
     assert ruletable.required_literals(pattern) == literals
+
+
+@pytest.mark.parametrize("block", [1, 60, 400])
+def test_rules_beyond_the_automaton_are_joined_in_one_pass(spark, lines, monkeypatch, block):
+    """Far more rules than one automaton takes: lines are not read once more for each block of them."""
+    many = [(f"r{i}", rf"\bword{i}\b", False) for i in range(900)]
+    odd = [
+        ("twice", "recursive_mutex", False), ("twice", "recursive_mutex", False), ("any case", "(?i)RECURSIVE_MUTEX m", False),
+        ("several", r"recursive|::recursive_mutex|\bmutex m;|nowhere at all", False), ("header", "catch \\(\\.\\.\\.\\) \\{", True),
+        ("header too", "using namespace std", True), ("long", "x{0,5}" + "x" * 40 + "goto", False), ("wide", "ＮＵＬＬ é", False),
+        ("held but no match", r"using namespace stdx?\b\w", False), ("whole line", r"^virtual void f\(\);$", False),
+    ]
+    own = [(*r, False) for r in rules.RED_FLAGS] + [(*r, True) for r in rules.HEADER_ONLY_FLAGS]
+    want = hits(corpus.red_flag_scan(lines, table(spark, odd + own)))
+    assert {r for _, _, r, _ in want} > {"twice", "any case", "several", "header too", "long", "wide", "whole line"}
+    monkeypatch.setattr(ruletable, "BLOCK_RULES", block)
+    got = corpus.red_flag_scan(lines, table(spark, many + odd + own))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3 and hits(got) == want
+    # a full bitmap sends more lines, small cuts tear lines, and both find the same
+    monkeypatch.setattr(ruletable, "SEED_BITS", 7)
+    monkeypatch.setattr(ruletable, "CUT_BYTES", 5)
+    assert hits(corpus.red_flag_scan(lines, table(spark, many + odd + own))) == want
