@@ -2,8 +2,8 @@
 
 States emit *symbols*: each of the most frequent words is a symbol, every other word belongs
 to one of a fixed number of classes by its last letters, and within its class a word's share follows
-its count.  Start values are fitted to the pairs of neighbours of all training texts, which
-Spark counts; then Baum-Welch counts are summed over these texts by Spark.  A scaled forward
+its count.  The training texts are turned into symbols once.  Start values are fitted to the pairs of
+neighbours of all of them, which Spark counts; then Baum-Welch counts are summed over them by Spark.  A scaled forward
 recursion gives the exact likelihood of each text.
 
 Sizes that are collected or broadcast are bounded whatever the corpus: ``DICTIONARY`` words with their
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslens.llm.shared import written
-from opslens.llm.words import Words, pieces, totals
+from opslens.llm.words import Words, binary_array, numbered, pieces, totals
 
 STATES = 8
 SYMBOLS = 1 << 14
@@ -45,7 +45,7 @@ END = " "  # no word holds a space
 HELD_WORDS = 1 << 20
 #: Distinct pairs of symbols a counting task holds before it passes them on.
 HELD_PAIRS = 1 << 20
-#: Pairs taken at once in a round.
+#: Pairs in a row of the packed table, taken at once in a round.
 PAIR_ROWS = 1 << 17
 
 
@@ -91,8 +91,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _class_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w[-3:]) % CLASSES for w in words), np.int64, len(words))
+def _class_of(words: pa.Array | list[bytes]) -> np.ndarray:
+    """The class of each word (binary), by its last three bytes."""
+    words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words
+    ids, endings = numbered(pc.binary_slice(words, -3))
+    return np.fromiter((zlib.crc32(e) % CLASSES for e in endings.to_pylist()), np.int64, len(endings))[ids]
 
 
 def _class_sums(least: int):
@@ -100,7 +103,7 @@ def _class_sums(least: int):
         sums, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
             n = np.asarray(batch.column("n"))
-            number = _class_of(batch.column("word").cast(pa.binary()).to_pylist())
+            number = _class_of(batch.column("word").cast(pa.binary()))
             sums += np.bincount(number, n, CLASSES).astype(np.int64)
             kinds += np.bincount(number, minlength=CLASSES)
         seen = np.flatnonzero(kinds)
@@ -190,7 +193,7 @@ class Reader:
         place = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
         symbol = place.copy()
         rest = np.flatnonzero((place < 0) | (place >= vocab.symbols))
-        symbol[rest] = vocab.symbols + _class_of(distinct.take(pa.array(rest)).to_pylist())
+        symbol[rest] = vocab.symbols + _class_of(distinct.take(pa.array(rest)))
         lengths = words.counts + 1
         sequence = np.full(int(lengths.sum()), vocab.end, np.int64)
         ends = np.cumsum(lengths) - 1
@@ -301,18 +304,49 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return seen, n
 
 
+def _width(vocab: Vocabulary) -> np.dtype:
+    return np.dtype("<u2" if vocab.size <= 1 << 16 else "<i4")
+
+
+def _symbols(vocab):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, kind = Reader(vocab.value), _width(vocab.value)
+        for batch in pieces(batches, "text", READ_BYTES):
+            *_, sequence, lengths = reader.read(batch.column("text"))
+            marks = np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize
+            found = binary_array(marks, sequence.astype(kind).view(np.uint8))
+            yield pa.RecordBatch.from_arrays([found.cast(pa.binary())], ["symbols"])
+
+    return run
+
+
+def training_symbols(docs: DataFrame, vocab) -> DataFrame:
+    """``symbols`` of each training text, with its end, packed; written, as each round reads them."""
+    rows = _prepared(docs).where(~F.col("held_out")).select("text")
+    return written(rows.mapInArrow(_symbols(vocab), "symbols binary"), "hmm-symbols")
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed symbols as one sequence and the texts' lengths, as many texts at once as are read at once."""
+    kind = _width(vocab)
+    for batch in pieces(batches, "symbols", READ_BYTES // 6 * kind.itemsize):
+        column = batch.column("symbols").cast(pa.large_binary())
+        _, marks, data = column.buffers()
+        marks = np.frombuffer(marks, np.int64)[column.offset : column.offset + len(column) + 1]
+        yield np.frombuffer(data, np.uint8)[marks[0] : marks[-1]].view(kind).astype(np.int64), np.diff(marks) // kind.itemsize
+
+
 def _pairs(vocab):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, size = Reader(vocab.value), vocab.value.size
         parts, held = [], 0
 
         def rows(seen: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen // size), pa.array(seen % size), pa.array(n)], ["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], ["pair", "n"])
 
-        for batch in pieces(batches, "text", READ_BYTES):
-            *_, sequence, _ = reader.read(batch.column("text"))
+        for sequence, _ in _sequences(batches, vocab.value):
             inside = sequence[:-1] != vocab.value.end
-            parts.append(np.unique(sequence[:-1][inside] * size + sequence[1:][inside], return_counts=True))
+            pair = sequence[:-1][inside] * vocab.value.size + sequence[1:][inside]
+            parts.append(np.unique(pair, return_counts=True))
             held += len(parts[-1][0])
             if held > HELD_PAIRS:
                 parts = [_merged(parts)]
@@ -326,22 +360,56 @@ def _pairs(vocab):
     return run
 
 
-def count_pairs(docs: DataFrame, vocab) -> DataFrame:
-    """``a, b, n``: how often symbol ``b`` follows ``a`` in the training texts, their ends included."""
-    rows = _prepared(docs).where(~F.col("held_out")).select("text")
-    return rows.mapInArrow(_pairs(vocab), "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def count_pairs(symbols: DataFrame, vocab) -> DataFrame:
+    """``pair, n``: how often symbol ``pair % size`` follows ``pair // size`` in the texts, their ends included."""
+    return symbols.mapInArrow(_pairs(vocab), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of up to ``PAIR_ROWS`` pairs, sorted, and their counts, both packed."""
+    held, size = [], 0
+
+    def row() -> pa.RecordBatch:
+        pair, n = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("pair", "n"))
+        order = np.argsort(pair)
+        packed = [pa.array([x[order].astype("<i8").tobytes()], pa.binary()) for x in (pair, n)]
+        return pa.RecordBatch.from_arrays(packed, ["pairs", "times"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, PAIR_ROWS):
+            held.append(batch.slice(start, PAIR_ROWS))
+            size += held[-1].num_rows
+            if size >= PAIR_ROWS:
+                yield row()
+                held, size = [], 0
+    if size:
+        yield row()
 
 
 def add_pairs(model: Model, a: np.ndarray, b: np.ndarray, n: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
-    """Add the expected counts of pairs of neighbours that occur ``n`` times; ``start`` is the state of the first."""
-    before, after = model.emit[a] * model.start, model.emit[b]
-    moved = before @ model.move
-    weight = (n / (moved * after).sum(axis=1))[:, None]
-    first, second = before * (after @ model.move.T) * weight, moved * after * weight
-    move += (before * weight).T @ after * model.move
+    """Add the expected counts of pairs of neighbours that occur ``n`` times; ``start`` is the state of the first.
+
+    What a pair's first symbol gives is worked out once for all pairs with that symbol."""
+    if not len(a):
+        return
+    if (a[1:] < a[:-1]).any():
+        order = np.argsort(a, kind="stable")
+        a, b, n = a[order], b[order], n[order]
+    firsts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    times = np.diff(np.append(firsts, len(a)))
+    before = model.emit[a[firsts]] * model.start
+    to = before @ model.move
+    states = range(emit.shape[1])
+    after = [np.ascontiguousarray(model.emit[:, k])[b] for k in states]
+    moved = [np.repeat(to[:, k], times) * after[k] for k in states]
+    weight = n / sum(moved)
+    back = np.stack([np.add.reduceat(after[k] * weight, firsts) for k in states], axis=1)
+    first = before * (back @ model.move.T)
+    move += before.T @ back * model.move
     start += first.sum(axis=0)
-    for k in range(emit.shape[1]):
-        emit[:, k] += np.bincount(a, first[:, k], len(emit)) + np.bincount(b, second[:, k], len(emit))
+    emit[a[firsts]] += first
+    for k in states:
+        emit[:, k] += np.bincount(b, moved[k] * weight, len(emit))
 
 
 def _sum_rows(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -353,24 +421,14 @@ def _sum_rows(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> pa.Recor
     )
 
 
-def _expect_pairs(sent):
+def _expect_pairs(sent, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         sums = [np.zeros(x.shape) for x in (model.emit, model.move, model.start)]
-        held, size = [], 0
-
-        def add() -> None:
-            table = pa.Table.from_batches(held)
-            add_pairs(model, *(table.column(c).to_numpy() for c in "abn"), *sums)
-
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= PAIR_ROWS:
-                add()
-                held, size = [], 0
-        if size:
-            add()
+            for row in range(batch.num_rows):
+                pair, n = (np.frombuffer(batch.column(c)[row].as_buffer(), "<i8") for c in ("pairs", "times"))
+                add_pairs(model, pair // size, pair % size, n, *sums)
         yield _sum_rows(*sums)
 
     return run
@@ -386,30 +444,33 @@ def _round(rows: DataFrame, run, vocab: Vocabulary, states: int) -> list[np.ndar
     return [sums[: vocab.size], sums[vocab.size : -1], sums[-1]]
 
 
-def start_model(docs: DataFrame, vocab: Vocabulary, rounds: int = START_ROUNDS, states: int = STATES) -> Model:
+def start_model(
+    docs: DataFrame, vocab: Vocabulary, rounds: int = START_ROUNDS, states: int = STATES, symbols: DataFrame | None = None
+) -> Model:
     """Start values: rounds over the pairs of neighbours of all training texts, from seeded noise.
 
     The pairs are counted once, by Spark, and stay distributed; a text's likelihood is taken as the product of
-    its pairs', which the states of the whole model maximise as well."""
+    its pairs', which the states of the whole model maximise as well.  ``symbols``: the training texts' if at hand."""
     context = docs.sparkSession.sparkContext
     share = shares(vocab)
     rng = np.random.default_rng(7)
     emit = share[:, None] * rng.uniform(0.5, 1.5, (vocab.size, states))
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     model = Model(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
-    pairs = written(count_pairs(docs, context.broadcast(vocab)), "hmm-pairs")
+    sent = context.broadcast(vocab)
+    counted = count_pairs(training_symbols(docs, sent) if symbols is None else symbols, sent)
+    pairs = written(counted.mapInArrow(_pack_pairs, "pairs binary, times binary"), "hmm-pairs")
     for _ in range(rounds):
-        emit, move, start = _round(pairs, _expect_pairs(context.broadcast(model)), vocab, states)
+        emit, move, start = _round(pairs, _expect_pairs(context.broadcast(model), vocab.size), vocab, states)
         model = renewed(emit / 2, move, start, share)  # a word stands in two pairs
     return model
 
 
 def _expect(vocab, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = Reader(vocab.value), sent.value
+        model = sent.value
         emit, move, start = (np.zeros(a.shape) for a in (model.emit, model.move, model.start))
-        for batch in pieces(batches, "text", READ_BYTES):
-            *_, sequence, lengths = reader.read(batch.column("text"))
+        for sequence, lengths in _sequences(batches, vocab.value):
             for _, walk in walks(sequence, lengths):
                 walk.expect(model, emit, move, start)
         yield _sum_rows(emit, move, start)
@@ -417,13 +478,13 @@ def _expect(vocab, sent):
     return run
 
 
-def baum_welch(docs: DataFrame, vocab: Vocabulary, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch rounds over all training texts."""
+def baum_welch(docs: DataFrame, vocab: Vocabulary, model: Model, rounds: int = ROUNDS, symbols: DataFrame | None = None) -> Model:
+    """Baum-Welch rounds over all training texts, or over their symbols if at hand."""
     context = docs.sparkSession.sparkContext
-    rows = _prepared(docs).where(~F.col("held_out")).select("text")
     sent_vocab = context.broadcast(vocab)
+    symbols = training_symbols(docs, sent_vocab) if symbols is None else symbols
     for _ in range(rounds):
-        sums = _round(rows, _expect(sent_vocab, context.broadcast(model)), vocab, len(model.start))
+        sums = _round(symbols, _expect(sent_vocab, context.broadcast(model)), vocab, len(model.start))
         model = renewed(*sums, shares(vocab))
     return model
 
@@ -495,7 +556,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, dictionary: int = DIC
     context = docs.sparkSession.sparkContext
     counts = written(count_words(docs), "hmm-words")
     vocab = vocabulary(counts, dictionary, symbols)
-    model = baum_welch(docs, vocab, start_model(docs, vocab, states=states), rounds)
+    texts = training_symbols(docs, context.broadcast(vocab))
+    model = baum_welch(docs, vocab, start_model(docs, vocab, states=states, symbols=texts), rounds, texts)
     rows = _prepared(docs)
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean"
     scored = written(rows.mapInArrow(_score(context.broadcast(vocab), context.broadcast(model)), f"{kinds}, {_SCORES}"), "hmm-scores")

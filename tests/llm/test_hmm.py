@@ -163,3 +163,33 @@ def test_expected_counts_of_pairs():
     for _, walk in hmm.walks(sequence, lengths):
         walk.expect(model, *want)
     assert all(np.allclose(x, y) for x, y in zip(sums, want))
+
+
+def test_packed_pairs_are_every_pair_of_the_training_texts(spark, odd, monkeypatch):
+    """Each round reads a few packed rows, cut anywhere, and not a row a pair."""
+    monkeypatch.setattr(hmm, "PAIR_ROWS", 7)
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(60)] + [(60, None), (61, "Same same")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    vocab = hmm.vocabulary(hmm.count_words(docs), dictionary=6, symbols=4)
+    sent = spark.sparkContext.broadcast(vocab)
+    want, reader = {}, hmm.Reader(vocab)
+    for i, text in rows:
+        if not is_held_out(i):
+            own = reader.read(pa.array([text], pa.string()))[-2].tolist()
+            for pair in zip(own, own[1:]):
+                want[pair] = want.get(pair, 0) + 1
+    packed = hmm.count_pairs(hmm.training_symbols(docs, sent), sent).mapInArrow(hmm._pack_pairs, "pairs binary, times binary")
+    got, sums = [], [np.zeros(s) for s in ((vocab.size, 2), (2, 2), (2,))]
+    model = random_model(np.random.default_rng(4), 2, vocab.size)
+    for row in packed.collect():
+        pair, n = (np.frombuffer(row[c], "<i8") for c in ("pairs", "times"))
+        assert len(pair) <= 7 or len(pair) == len(n) and (pair[1:] > pair[:-1]).all()
+        got += zip((pair // vocab.size).tolist(), (pair % vocab.size).tolist(), n.tolist())
+        hmm.add_pairs(model, pair // vocab.size, pair % vocab.size, n, *sums)
+    assert {(a, b): n for a, b, n in got} == want and len(got) == len(want)
+    assert sums[0].sum() == pytest.approx(2 * sum(want.values())) and sums[1].sum() == pytest.approx(sum(want.values()))
+
+
+def test_class_is_the_checksum_of_the_last_three_bytes():
+    words = [b"a", b"", b"word", "größe".encode(), b"xyz", b"yz"]
+    assert hmm._class_of(words).tolist() == [zlib.crc32(w[-3:]) % hmm.CLASSES for w in words]
