@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslens.llm.shared import written
+from opslens.llm.shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         mixed = ends.groupBy("x").agg(F.max("leaf").alias("leaf"), F.min("leaf").alias("centre"), F.min("at").alias("lo"), F.max("at").alias("hi"))
         if mixed.where("leaf = 1 AND (centre = 0 OR lo < hi)").isEmpty():
             break
-        now = written(_small_star(_large_star(now)), "cc")
+        before, now = now, written(_small_star(_large_star(now)), "cc")
+        discard(before)
     roots = now.select(F.col("a").alias("doc_id"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).distinct().unionByName(roots)
 

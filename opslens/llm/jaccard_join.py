@@ -12,9 +12,10 @@ Two documents link when the Jaccard similarity of their shingle sets reaches ``p
    those whose signatures differ in more places than linked sets may differ in.  Of the others each
    document's best one, by shared prefix, is verified.
 4. Groups that still hold several components are compared block by block, across components only
-   and through all filters: first each document with its nearest by signature, then all that is
-   still apart.  A large group of near copies costs its length and not its square, and no
-   link between components is lost.
+   and through all filters: each document with its nearest by signature, round after round while that
+   links components, then all that is still apart.  A large group of near copies costs its length and not
+   its square, and no link between components is lost.  The first of these rounds reads all groups; it
+   keeps the rows that pass the filters with another component, and the others read only these.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.components import components
-from opslens.llm.shared import bitmap, in_bitmap, parts, spot_of, written
+from opslens.llm.shared import bitmap, discard, in_bitmap, parts, spot_of, written
 from opslens.llm.words import WORD, Words, hashes, mix64, pieces
 
 SHINGLE = 4
@@ -40,6 +41,8 @@ HOT = 20_000
 BLOCK = 2_000
 LEAST_SIGNATURE = 1024
 BITMAP_BITS = 26
+#: Most rounds of nearest documents; what they leave apart is compared in full.
+NEAREST_ROUNDS = 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -277,8 +280,28 @@ def _like(percent: int):
     return run
 
 
-def suffix_filter(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, shared`` whose signatures differ no more than linked sets may."""
+def _spotted(sent, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(sent.value, batch.column("spot").to_numpy()))).select(names)
+
+    return run
+
+
+def _ends(pairs: DataFrame):
+    """A bitmap of the pairs' documents, sent to all tasks."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return pairs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", BITMAP_BITS))
+
+
+def suffix_filter(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, shared`` (a written table) whose signatures differ no more than linked sets may.
+
+    Signatures travel for the pairs' documents alone.  Rows that share an id and differ in text are compared
+    in every version."""
+    spots = rows.select("doc_id", "n", "signature", spot_of("doc_id", BITMAP_BITS).alias("spot"))
+    found = spots.mapInArrow(_spotted(_ends(pairs), ["doc_id", "n", "signature"]), "doc_id bigint, n bigint, signature binary")
+    signatures = found.repartition(parts(rows), "doc_id").distinct()
     side = lambda k: signatures.select(
         F.col("doc_id").alias(k), F.col("signature").alias(f"sig_{k}"), F.col("n").alias(f"n{k}")
     )
@@ -324,8 +347,7 @@ def _verified(percent: int):
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link.  Sets are made for the pairs' documents alone (found by bitmap), once a document."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", BITMAP_BITS))
+    sent = _ends(pairs)
     rows = _ready(docs).withColumn("spot", spot_of("doc_id", BITMAP_BITS))
     sets = rows.where("doc_id IS NOT NULL").mapInArrow(_sets(size, sent), "doc_id bigint, n bigint, packed binary")
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("packed").alias(f"set_{k}"))
@@ -348,9 +370,14 @@ def _shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(folded, pa.binary())], ["doc_id", "short"])
 
 
+_LIVE = ["token", "doc_id", "n", "place", "short"]
+_FOUND = "token bigint, doc_id bigint, n int, place int, short binary, a bigint, b bigint"
+
+
 def _across(percent: int, nearest: bool):
-    """Pairs of one group, in different components, that pass the length and positional filters and the
-    suffix filter with the short signature; with ``nearest`` only each document's nearest by signature."""
+    """Pairs ``a, b`` of one group, in different components, that pass the length and positional filters and the
+    suffix filter with the short signature; with ``nearest`` only each document's nearest by signature.
+    Then the rows of all pairs that pass (the live ones), also of those not returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "n", "place", "component", "part", "low", "high")
@@ -363,6 +390,7 @@ def _across(percent: int, nearest: bool):
             )
             found: set[tuple[int, int]] = set()
             best: dict[int, tuple[int, int]] = {}
+            live = np.zeros(len(doc), bool)
             for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 for i in range(start, end - 1):  # rows are sorted by n
                     stop = start + int(np.searchsorted(n[start:end], n[i] * 100 // percent, "right"))
@@ -375,6 +403,8 @@ def _across(percent: int, nearest: bool):
                         continue
                     apart = np.bitwise_count(short[j] ^ short[i]).sum(axis=1)
                     near = apart <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+                    live[i] |= near.any()
+                    live[j[near]] = True
                     a = int(doc[i])
                     for b, gap in zip(doc[j[near]].tolist(), apart[near].tolist()):
                         if not nearest:
@@ -385,27 +415,33 @@ def _across(percent: int, nearest: bool):
                                 best[x] = (gap, y)
             found |= {(min(x, y), max(x, y)) for x, (_, y) in best.items()}
             if found:
-                a, b = zip(*sorted(found))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                ends = [pa.array(side, pa.int64()) for side in zip(*sorted(found))]
+                fields = [table.schema.field(name) for name in _LIVE]
+                nothing = [pa.nulls(len(found), f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*nothing, *ends], [*_LIVE, "a", "b"])
+                for batch in table.select(_LIVE).filter(pa.array(live)).to_batches():
+                    nothing = [pa.nulls(batch.num_rows, pa.int64())] * 2
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *nothing], [*_LIVE, "a", "b"])
 
     return run
 
 
-def _between_components(runs: DataFrame, labels: DataFrame, shorts: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidates between components: shingles whose documents lie in several, in blocks of ``BLOCK`` members."""
-    rows = runs.select("token", "doc_id", "n", "place").join(labels, "doc_id", "left")
+def _between_components(runs: DataFrame, labels: DataFrame, shorts: DataFrame | None, percent: int, nearest: bool) -> DataFrame:
+    """Candidates between components and live rows: shingles whose documents lie in several components, in blocks
+    of ``BLOCK`` members.  Live rows bring their short signatures, others take them from ``shorts``."""
+    rows = runs.select("token", "doc_id", "n", "place", *([] if shorts is not None else ["short"])).join(labels, "doc_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     mixed = rows.groupBy("token").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")
     )
     mixed = mixed.where("least < most").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(shorts, "doc_id")
+    rows = rows.join(shorts, "doc_id") if shorts is not None else rows
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.select("token", "doc_id", "n", "place", "component", "part", "short", F.explode(other).alias("other"))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
     dealt = rows.repartition(parts(runs), "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "doc_id")
-    return dealt.mapInArrow(_across(percent, nearest), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_across(percent, nearest), _FOUND)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -420,6 +456,11 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     A row without id takes its set's component, or null.  Repeated rows are returned as often as they occur;
     an empty table gives no rows.
     """
+    return _joined(docs, percent, size)[0]
+
+
+def _joined(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``similarity_join``, and the written tables it is read from."""
     ready = _ready(docs)
     facts = written(ready.mapInArrow(_facts(size), _FACTS), "join-facts")
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(facts))
@@ -431,30 +472,46 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     prefixes = ready.mapInArrow(_prefixes(size, percent, sketch), _PREFIX)
     dealt = prefixes.repartition(parts(docs), "token", "salt").sortWithinPartitions("token", "salt", "n", "d1", "doc_id")
     runs = written(dealt.mapInArrow(_runs(percent), _RUNS), "join-runs")
-    # rows that share an id and differ in text are compared in every version
-    signatures = rows.where("n > 0").select("doc_id", "n", "signature").distinct()
+    signed = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "signature")
 
     # a document is tried with the leader that shares most of its prefix ...
     led = runs.where("leader IS NOT NULL").groupBy(*_ordered(F.col("doc_id"), F.col("leader")))
-    likely = suffix_filter(led.agg(F.count("*").alias("shared")), signatures, percent)
+    led = written(led.agg(F.count("*").alias("shared")), "join-led")
+    likely = suffix_filter(led, signed, percent)
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    first = written(first, "join-first")
-    links = written(verify(docs, first, size, percent).unionByName(same), "join-links-1")
-    # ... then with the nearest and at last with all that lie in other components
-    shorts = written(signatures.mapInArrow(_shorts, "doc_id bigint, short binary"), "join-shorts")
-    for number, nearest in enumerate((True, False)):
-        across = _between_components(runs, components(links), shorts, percent, nearest).join(first, ["a", "b"], "left_anti")
-        if not nearest:
-            across = across.join(tried, ["a", "b"], "left_anti")
-        across = suffix_filter(across.withColumn("shared", F.lit(1).cast("bigint")), signatures, percent)
-        tried = written(across.select("a", "b").distinct(), f"join-tried-{number}")
-        links = links.unionByName(written(verify(docs, tried, size, percent), f"join-links-{number}"))
-    labels = components(links)
+    tried = written(first, "join-first")
+    links = written(verify(docs, tried, size, percent).unionByName(same), "join-links")
+    spent = [runs, led, tried, links]
+    # ... then with the nearest in other components, as long as that links some, and at last with all in these
+    shorts = signed.mapInArrow(_shorts, "doc_id bigint, short binary").repartition(parts(docs), "doc_id").distinct()
+    live, labels, nearest, number = runs, components(links), True, 0
+    while True:
+        found = _between_components(live, labels, None if number else shorts, percent, nearest)
+        found = written(found, f"join-across-{number}")
+        live = found.where("a IS NULL").select(*_LIVE).distinct()
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs.withColumn("shared", F.lit(1).cast("bigint")), f"join-pairs-{number}")
+        spent += [found, pairs]
+        fresh = not pairs.isEmpty()
+        if fresh:
+            now = written(suffix_filter(pairs, signed, percent).select("a", "b").distinct(), f"join-tried-{number}")
+            new = written(verify(docs, now, size, percent), f"join-links-{number}")
+            tried, links = tried.unionByName(now), links.unionByName(new)
+            spent += [now, new]
+            fresh = not new.isEmpty()
+        if fresh:
+            spent.append(labels)
+            labels = components(links)
+        if not nearest or found.isEmpty():
+            break
+        number += 1
+        nearest = fresh and number < NEAREST_ROUNDS
+    discard(*spent)
 
     named = rows.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     own = named.withColumn("node", F.coalesce("doc_id", "rep"))
     found = own.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")), [facts, classes, labels]
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -463,8 +520,10 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     Documents without shingles are alone and all stay; so do rows without id.  Of several rows with the kept
     id and words in their texts, the one whose text has the least hash stays.
     """
-    found = similarity_join(docs, percent, size).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    joined, spent = _joined(docs, percent, size)
+    found = joined.where("n_shingles > 0 AND doc_id IS NOT NULL")
     found = written(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "join-groups")
+    discard(*spent)
     gone = found.where("doc_id <> first").select(F.col("doc_id").alias("__gone"))
     again = found.where("doc_id = first AND rows > 1").select(F.col("doc_id").alias("__gone"))
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # columns of any name pass through

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ import pytest
 
 from opslens.llm import jaccard_join as jj
 from opslens.llm.components import components
+from opslens.session import shared_dir
 
 
 def shingles(text):
@@ -117,3 +119,50 @@ def test_components(spark, edges):
             parent[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {tuple(r) for r in got} == {(x, root(x)) for x in parent} and len(got) == len(parent)
+
+
+def test_rounds_after_the_first_read_live_rows_only(spark, monkeypatch):
+    """Documents that share a passage and little else go through the groups once; near copies go on until they are one."""
+    monkeypatch.setattr(jj, "BLOCK", 3)
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(12)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(30))])) for i in range(40)]
+    base = [word() for _ in range(120)]
+    for i in range(40, 80):  # each differs from its neighbour in one word, and from others in ever more
+        base = [*base]
+        base[i] = word()
+        rows.append((i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    read, inner = [], jj._between_components
+
+    def counted(runs, *rest):
+        read.append((runs.count(), rest[-1]))
+        return inner(runs, *rest)
+
+    monkeypatch.setattr(jj, "_between_components", counted)
+    check(docs)
+    assert len(read) > 1 and read[0][1] and all(n < read[0][0] / 2 for n, _ in read[1:])
+    # without rounds of nearest ones the full comparison finds the same
+    monkeypatch.setattr(jj, "NEAREST_ROUNDS", 1)
+    check(docs)
+
+
+def test_signatures_travel_for_documents_of_pairs(spark, monkeypatch):
+    rows = [(i, 1, bytes(jj.LEAST_SIGNATURE // 8)) for i in range(500)]
+    rows += [(1, 1, b"\xff" * (jj.LEAST_SIGNATURE // 8))]  # another text of the same id
+    facts = spark.createDataFrame(rows, "doc_id bigint, n bigint, signature binary")
+    pairs = spark.createDataFrame([(1, 2, 1), (3, 4, 2)], "a bigint, b bigint, shared bigint")
+    seen, inner = [], jj._spotted
+    monkeypatch.setattr(jj, "_spotted", lambda sent, names: seen.append(int(np.bitwise_count(sent.value).sum())) or inner(sent, names))
+    got = sorted(tuple(r) for r in jj.suffix_filter(pairs, facts, 85).collect())
+    assert got == [(1, 2, 1), (3, 4, 2)] and seen == [4]
+
+
+def test_no_table_of_rounds_stays_behind(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(20)], "doc_id bigint, text string")
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder.removeprefix("file:")))
+    jj.keep_first(docs).collect()
+    new = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder.removeprefix("file:"))) - before}
+    assert new == {"join-groups"}
