@@ -20,15 +20,16 @@ Two documents link when the Jaccard similarity of their shingle sets reaches ``p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslens.llm.components import components
-from opslens.llm.shared import bitmap, discard, in_bitmap, parts, spot_of, written
+from opslens.llm.shared import batch_bytes, bitmap, discard, in_bitmap, parts, spot_of, written
 from opslens.llm.words import WORD, Words, hashes, mix64, pieces
 
 SHINGLE = 4
@@ -41,11 +42,28 @@ HOT = 20_000
 BLOCK = 2_000
 LEAST_SIGNATURE = 1024
 BITMAP_BITS = 26
+#: Bytes of rows that a task is sent, and of texts or packed sets that it handles, at once.
+HELD_BYTES = 1 << 20
 #: Most rounds of nearest documents; what they leave apart is compared in full.
 NEAREST_ROUNDS = 12
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def _lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` as a task that gives back what Arrow's pool keeps after each batch: a worker waits for later
+    tasks with no more than it needs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        for batch in run(batches):
+            yield batch
+            del batch
+            pool.release_unused()
+        pool.release_unused()
+
+    return task
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a short text is one shingle, a wordless one has none."""
     words = Words(column, lower=True)
@@ -98,7 +116,7 @@ def _facts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FACTS.split(", ")]
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HELD_BYTES):
             sets = shingle_sets(batch.column("text"), size)
             count = len(sets)
             if sum(map(len, sets)):
@@ -160,7 +178,7 @@ def _prefixes(size: int, percent: int, sent):
         sketch = sent.value
         seen: set[tuple[int, int]] = set()
         mask = np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HELD_BYTES):
             out = []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), size)):
                 n = len(found)
@@ -270,7 +288,7 @@ def _runs(percent: int):
 
 def _like(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "sig_b"):
+        for batch in pieces(batches, "sig_b", HELD_BYTES):
             kept = [
                 differing(x, y) <= a + b - 2 * least_overlap(a, b, percent)
                 for x, y, a, b in zip(*(batch.column(c).to_pylist() for c in ("sig_a", "sig_b", "na", "nb")))
@@ -288,32 +306,41 @@ def _spotted(sent, names: list[str]):
     return run
 
 
-def _ends(pairs: DataFrame):
-    """A bitmap of the pairs' documents, sent to all tasks."""
+def _ends(pairs: DataFrame, sent: list[Broadcast] | None) -> Broadcast:
+    """A bitmap of the pairs' documents, sent to all tasks and noted in ``sent``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    return pairs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", BITMAP_BITS))
+    ends = pairs.sparkSession.sparkContext.broadcast(bitmap(ids, "doc_id", BITMAP_BITS))
+    if sent is not None:
+        sent.append(ends)
+    return ends
 
 
-def suffix_filter(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _forget(sent: list[Broadcast]) -> None:
+    """Take what was sent from the executors, once the tables that needed it are written."""
+    while sent:
+        sent.pop().unpersist()
+
+
+def suffix_filter(pairs: DataFrame, rows: DataFrame, percent: int, sent: list[Broadcast] | None = None) -> DataFrame:
     """Pairs ``a, b, shared`` (a written table) whose signatures differ no more than linked sets may.
 
     Signatures travel for the pairs' documents alone.  Rows that share an id and differ in text are compared
     in every version."""
     spots = rows.select("doc_id", "n", "signature", spot_of("doc_id", BITMAP_BITS).alias("spot"))
-    found = spots.mapInArrow(_spotted(_ends(pairs), ["doc_id", "n", "signature"]), "doc_id bigint, n bigint, signature binary")
+    found = spots.mapInArrow(_lean(_spotted(_ends(pairs, sent), ["doc_id", "n", "signature"])), "doc_id bigint, n bigint, signature binary")
     signatures = found.repartition(parts(rows), "doc_id").distinct()
     side = lambda k: signatures.select(
         F.col("doc_id").alias(k), F.col("signature").alias(f"sig_{k}"), F.col("n").alias(f"n{k}")
     )
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(_like(percent), "a bigint, b bigint, shared bigint")
+    return joined.mapInArrow(_lean(_like(percent)), "a bigint, b bigint, shared bigint")
 
 
 def _sets(size: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column("spot").to_numpy())))
-            for piece in pieces([batch], "text"):
+            for piece in pieces([batch], "text", HELD_BYTES):
                 sets = shingle_sets(piece.column("text"), size)
                 # six bytes a shingle: two sets of thousands meet by chance once in 10**8 pairs
                 packed = [np.sort(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
@@ -333,7 +360,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "set_b"):  # a batch of Arrow's has rows of any length
+        for batch in pieces(batches, "set_b", HELD_BYTES):  # a batch of Arrow's has rows of any length
             kept = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = _unpacked(x), _unpacked(y)
@@ -345,14 +372,17 @@ def _verified(percent: int):
     return run
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link.  Sets are made for the pairs' documents alone (found by bitmap), once a document."""
-    sent = _ends(pairs)
+def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, sent: list[Broadcast] | None = None) -> DataFrame:
+    """The pairs that link.  Sets are made for the pairs' documents alone (found by bitmap), once a document.
+
+    Also few pairs meet by shuffle: a broadcast join would leave making and comparing sets in one task, and
+    every core with two Python workers instead of one."""
+    ends = _ends(pairs, sent)
     rows = _ready(docs).withColumn("spot", spot_of("doc_id", BITMAP_BITS))
-    sets = rows.where("doc_id IS NOT NULL").mapInArrow(_sets(size, sent), "doc_id bigint, n bigint, packed binary")
+    sets = rows.where("doc_id IS NOT NULL").mapInArrow(_lean(_sets(size, ends)), "doc_id bigint, n bigint, packed binary")
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("packed").alias(f"set_{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(_verified(percent), "a bigint, b bigint").distinct()
+    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return joined.mapInArrow(_lean(_verified(percent)), "a bigint, b bigint").distinct()
 
 
 def _ready(docs: DataFrame) -> DataFrame:
@@ -441,7 +471,7 @@ def _between_components(runs: DataFrame, labels: DataFrame, shorts: DataFrame |
     rows = rows.select("token", "doc_id", "n", "place", "component", "part", "short", F.explode(other).alias("other"))
     rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other")
     dealt = rows.repartition(parts(runs), "token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "doc_id")
-    return dealt.mapInArrow(_across(percent, nearest), _FOUND)
+    return dealt.mapInArrow(_lean(_across(percent, nearest)), _FOUND)
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -456,34 +486,37 @@ def similarity_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     A row without id takes its set's component, or null.  Repeated rows are returned as often as they occur;
     an empty table gives no rows.
     """
-    return _joined(docs, percent, size)[0]
+    with batch_bytes(docs.sparkSession, HELD_BYTES):
+        return _joined(docs, percent, size)[0]
 
 
 def _joined(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, list[DataFrame]]:
     """The result of ``similarity_join``, and the written tables it is read from."""
     ready = _ready(docs)
-    facts = written(ready.mapInArrow(_facts(size), _FACTS), "join-facts")
+    facts = written(ready.mapInArrow(_lean(_facts(size)), _FACTS), "join-facts")
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(facts))
     rows = facts.where("block IS NULL").select("doc_id", "n", "d1", "d2", "signature")
     classes = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     classes = written(classes.where("members > 1 AND rep IS NOT NULL"), "join-classes")
     same = rows.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(*_ordered(F.col("doc_id"), F.col("rep")))
 
-    prefixes = ready.mapInArrow(_prefixes(size, percent, sketch), _PREFIX)
+    prefixes = ready.mapInArrow(_lean(_prefixes(size, percent, sketch)), _PREFIX)
     dealt = prefixes.repartition(parts(docs), "token", "salt").sortWithinPartitions("token", "salt", "n", "d1", "doc_id")
-    runs = written(dealt.mapInArrow(_runs(percent), _RUNS), "join-runs")
+    runs = written(dealt.mapInArrow(_lean(_runs(percent)), _RUNS), "join-runs")
     signed = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "signature")
 
     # a document is tried with the leader that shares most of its prefix ...
     led = runs.where("leader IS NOT NULL").groupBy(*_ordered(F.col("doc_id"), F.col("leader")))
     led = written(led.agg(F.count("*").alias("shared")), "join-led")
-    likely = suffix_filter(led, signed, percent)
+    sent = [sketch]
+    likely = suffix_filter(led, signed, percent, sent)
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     tried = written(first, "join-first")
-    links = written(verify(docs, tried, size, percent).unionByName(same), "join-links")
+    links = written(verify(docs, tried, size, percent, sent).unionByName(same), "join-links")
+    _forget(sent)
     spent = [runs, led, tried, links]
     # ... then with the nearest in other components, as long as that links some, and at last with all in these
-    shorts = signed.mapInArrow(_shorts, "doc_id bigint, short binary").repartition(parts(docs), "doc_id").distinct()
+    shorts = signed.mapInArrow(_lean(_shorts), "doc_id bigint, short binary").repartition(parts(docs), "doc_id").distinct()
     live, labels, nearest, number = runs, components(links), True, 0
     while True:
         found = _between_components(live, labels, None if number else shorts, percent, nearest)
@@ -494,8 +527,9 @@ def _joined(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, list[D
         spent += [found, pairs]
         fresh = not pairs.isEmpty()
         if fresh:
-            now = written(suffix_filter(pairs, signed, percent).select("a", "b").distinct(), f"join-tried-{number}")
-            new = written(verify(docs, now, size, percent), f"join-links-{number}")
+            now = written(suffix_filter(pairs, signed, percent, sent).select("a", "b").distinct(), f"join-tried-{number}")
+            new = written(verify(docs, now, size, percent, sent), f"join-links-{number}")
+            _forget(sent)
             tried, links = tried.unionByName(now), links.unionByName(new)
             spent += [now, new]
             fresh = not new.isEmpty()
@@ -520,7 +554,8 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     Documents without shingles are alone and all stay; so do rows without id.  Of several rows with the kept
     id and words in their texts, the one whose text has the least hash stays.
     """
-    joined, spent = _joined(docs, percent, size)
+    with batch_bytes(docs.sparkSession, HELD_BYTES):
+        joined, spent = _joined(docs, percent, size)
     found = joined.where("n_shingles > 0 AND doc_id IS NOT NULL")
     found = written(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows")), "join-groups")
     discard(*spent)

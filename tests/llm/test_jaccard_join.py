@@ -166,3 +166,40 @@ def test_no_table_of_rounds_stays_behind(spark, tmp_path):
     jj.keep_first(docs).collect()
     new = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder.removeprefix("file:"))) - before}
     assert new == {"join-groups"}
+
+
+def test_tasks_hold_little_at_once(spark, tmp_path, monkeypatch):
+    """Long texts reach the tasks some at a time, and what was sent leaves the executors."""
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(3000))) for i in range(400)]  # some 8 MB
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    seen, inner, gone = tmp_path / "sizes", jj._facts, []
+
+    def noted(size):
+        run = inner(size)
+
+        def sizes(batches):
+            for batch in batches:
+                with open(seen, "a") as file:
+                    print(batch.nbytes, file=file)
+                yield batch
+
+        return lambda batches: run(sizes(batches))
+
+    monkeypatch.setattr(jj, "_facts", noted)
+    ends = jj._ends
+    monkeypatch.setattr(jj, "_ends", lambda pairs, sent: gone.append(sent) or ends(pairs, sent))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert jj.keep_first(docs).count() == 200
+    sizes = [int(x) for x in seen.read_text().split()]
+    assert sum(sizes) > 4 * jj.HELD_BYTES and max(sizes) < 2 * jj.HELD_BYTES
+    assert gone and not any(gone)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_sets_are_made_and_compared_in_different_tasks(spark):
+    """A core never runs two Python workers, also if the pairs are few enough for a broadcast."""
+    docs = spark.createDataFrame([(i, "one two three four five") for i in range(6)], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(1, 2), (3, 5)], "a bigint, b bigint")
+    links = jj.verify(docs, pairs, 4, 85)
+    assert {tuple(r) for r in links.collect()} == {(1, 2), (3, 5)}
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
